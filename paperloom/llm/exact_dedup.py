@@ -108,6 +108,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, keep_id, group_size, kept, text_sha256) for each row of docs(doc_id, text)."""
     ids = common.as_table(identities(docs), "identities")
     groups = ids.groupBy("n", "name").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+    # A table of its own, so that the join has a stage of its own, in which Spark can split a large group.
+    groups = common.as_table(groups, "groups")
     return ids.join(groups, ["n", "name"]).select(
         "rid", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), F.col("sha").alias("text_sha256")
     )
