@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, jaccard_join
 
-QUERIES = {"op9_exact_dedup": exact_dedup.op9_exact_dedup}
+QUERIES = {
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+}
 
 SQL = {"op9_exact_dedup": exact_dedup.SQL}
