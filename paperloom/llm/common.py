@@ -30,14 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a temporary table in the shared folder."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def as_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: computed once, and without lineage to lose."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     out = df.write
     if partition_by:
         out = out.partitionBy(partition_by)
     out.option("compression", "zstd").parquet(path)
-    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
