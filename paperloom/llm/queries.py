@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, sentence_pieces, wavelet_shards
+from . import decontaminate, exact_dedup, jaccard_join, sentence_pieces, wavelet_shards
 
 QUERIES = {
     "op1_wavelet_shards": wavelet_shards.op1_wavelet_shards,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op8_sentence_pieces": sentence_pieces.op8_sentence_pieces,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-SQL = {"op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_decontaminate": decontaminate.SQL, "op9_exact_dedup": exact_dedup.SQL}
