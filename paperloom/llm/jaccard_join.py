@@ -41,7 +41,7 @@ WORDS = 5
 #: Similarity from which documents link, in percent.
 PERCENT = 80
 #: Bytes of text in a chunk, about.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Sets of a family that one task compares with each other; larger families are dealt in parts.
 FAMILY = 4096
 #: Children of a tree node.
