@@ -11,6 +11,8 @@ columns of docs pass through untouched, and must not be named ids or decoded.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,17 +49,18 @@ class Codec:
         plain = self.model.encode(MARK + "a " + MARK + "b") == self.model.encode("  a  b") and self.model.encode("") == []
         self.splits = plain and not any(MARK in x.lstrip(MARK) for x in pieces)
         self.end = self.model.eos_id()
-        self.table = ChunkTable(self._encode)
+        self.table = ChunkTable(self._encode, self.end)
 
-    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
+    def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # The model puts a marker before each text; it stands for the chunk's first one.
-        return self.model.encode([(x[1:] if x[:1] == b" " else x[3:]).decode("utf-8", "replace") for x in chunks])
+        ids = self.model.encode([(x[1:] if x[:1] == b" " else x[3:]).decode("utf-8", "replace") for x in chunks])
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and where each text's begin."""
         if self.splits:
             starts, first = marked_words(data, offsets)
-            return self.table.tokens(data, starts, first, b" ", self.end)
+            return self.table.tokens(data, starts, first, b" ")
         raw = data.tobytes()
         ids = [[*self.model.encode(raw[a:b].decode("utf-8", "replace")), self.end] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         return np.array([i for x in ids for i in x], np.int32), np.cumsum([0, *map(len, ids)])

@@ -8,8 +8,8 @@ number of zeros in it, and the number of ones before each block of 512 bits. Fro
 whole shards, all tokens. The files are compressed with zstd. Because shards are rows with a number of their own, a reader
 takes the shards and planes that it needs.
 
-Encoding keeps a table of distinct chunks, cut before a space that follows a character which isn't whitespace: the
-tokenizer's pattern never joins these, so that chunks have the same ids alone as in the text.
+Encoding keeps a table of distinct chunks, cut where the tokenizer's pattern never joins characters, so that chunks have
+the same ids alone as in the text.
 
 Cases: a null or empty text has the end id only. Rows with equal doc_id are ordered by a hash of the text; a null doc_id
 comes first. Other columns are not written. An empty table writes no shard.
@@ -172,14 +172,33 @@ def shard_row(part: int, shard: int, doc_ids: list, tokens: np.ndarray, ends: np
 # ---------------------------------------------------------------- encoding
 
 
+def _kinds() -> np.ndarray:
+    """For each byte: 1 white space, 2 letter or digit, 4 other character that is no white space, 0 else (and above 7E)."""
+    out = np.zeros(256, np.uint8)
+    out[33:127] = 4
+    out[[9, 10, 11, 12, 13, 32]] = 1
+    out[48:58] = out[65:91] = out[97:123] = 2
+    return out
+
+
+KIND = _kinds()
+
+
 def safe_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of chunks that are tokenized alone as in the text, and each text's first chunk."""
-    start = data == 0x20
-    # The character before is no whitespace: ASCII, or of two bytes from C3 on (Latin, Greek, Cyrillic); others don't count.
-    before = np.zeros(len(data), bool)
-    before[1:] = common.NONSPACE[data[:-1]] & (data[:-1] > 0x20) & (data[:-1] < 0x7F)
-    before[2:] |= (data[1:-1] >= 0x80) & (data[1:-1] < 0xC0) & (data[:-2] >= 0xC3) & (data[:-2] < 0xE0)
-    start &= before
+    """Starts of chunks that are tokenized alone as in the text, and each text's first chunk.
+
+    A chunk starts before white space after another character, before a punctuation mark (no apostrophe) after a letter
+    or digit, and before a letter or digit after a line end which is no part of a longer run of white space. Letters are
+    those of ASCII and, in two bytes from C3, of Latin-1; after further characters nothing starts.
+    """
+    kind = KIND[data]
+    latin = np.zeros(len(data), bool)
+    latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    kind[latin] = 2
+    start = np.zeros(len(data), bool)
+    start[1:] = (kind[1:] == 1) & (kind[:-1] >= 2)
+    start[1:] |= (kind[1:] == 4) & (kind[:-1] == 2) & (data[1:] != 0x27)
+    start[2:] |= (kind[2:] == 2) & (data[2:] < 0x80) & (data[1:-1] == 0x0A) & (kind[:-2] >= 2)
     start[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(start)
     return starts, np.searchsorted(starts, offsets)
@@ -197,36 +216,51 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_str(tokenizer.decode()), end
+        self.tokenizer = Tokenizer.from_str(tokenizer.decode())
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
-        self.table = ChunkTable(self._encode)
+        self.table = ChunkTable(self._encode, end)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts and their counts; many are encoded as one text, with a special token between, which divides texts."""
+        joined = [self.SEPARATOR.join(texts[i : i + self.JOINED]) + self.SEPARATOR for i in range(0, len(texts), self.JOINED)]
+        ids = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.int32), *ids])
+        stops = np.flatnonzero(ids == self.separator)
+        return ids[ids != self.separator], np.diff(stops, prepend=-1) - 1
 
-    def _encode(self, chunks: list[bytes]) -> list:
-        """The ids of each chunk. Many are encoded in one text, with a special token between them, which divides texts."""
+    def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [x.decode("utf-8", "replace") for x in chunks]
-        if self.separator is None:
-            return [self._ids(x) for x in texts]
-        out: list = [None] * len(texts)
-        plain = []
-        for k, x in enumerate(texts):
-            if self.SEPARATOR in x:
-                out[k] = self._ids(x)
-            else:
-                plain.append(k)
-        groups = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
-        many = self.tokenizer.encode_batch_fast([self.SEPARATOR.join(texts[k] for k in group) for group in groups], add_special_tokens=False)
-        for group, one in zip(groups, many, strict=True):
-            ids = np.array(one.ids, np.int32)
-            for k, x in zip(group, np.split(ids, np.flatnonzero(ids == self.separator)), strict=True):
-                out[k] = x[1:] if len(x) and x[0] == self.separator else x
-        return out
+        single = np.fromiter((self.separator is None or self.SEPARATOR in x for x in texts), bool, len(texts))
+        own = [self.tokenizer.encode(texts[k], add_special_tokens=False).ids for k in np.flatnonzero(single)]
+        ids, of_joined = self._joined([texts[k] for k in np.flatnonzero(~single)])
+        if not own:
+            return ids, of_joined
+        counts = np.zeros(len(texts), np.int64)
+        counts[single] = [len(x) for x in own]
+        counts[~single] = of_joined
+        out = np.empty(int(counts.sum()), np.int32)
+        before = np.cumsum(counts) - counts
+        out[common.ranges(before[~single], counts[~single])] = ids
+        out[common.ranges(before[single], counts[single])] = [i for x in own for i in x]
+        return out, counts
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, first = safe_chunks(data, offsets)
-        return self.table.tokens(data, starts, first, b"", self.end)
+        # The tokenizer finds its added tokens before anything else; texts with one are single chunks.
+        raw, whole = data.tobytes(), set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                whole.add(text := int(np.searchsorted(offsets, at, "right")) - 1)
+                at = raw.find(token, int(offsets[text + 1]) - len(token) + 1)
+        if whole:
+            keep = np.ones(len(starts), bool)
+            for text in whole:
+                keep[first[text] + 1 : first[text + 1]] = False
+            starts = starts[keep]
+            first = np.searchsorted(starts, offsets)
+        return self.table.tokens(data, starts, first)
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end: int, path: str) -> DataFrame:
@@ -245,7 +279,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end: int, path: str) -> D
             return pa.RecordBatch.from_pylist([row], ARROW)
 
         for batch in batches:
-            for rows, data, offsets in common.slices(batch, most=1 << 20):
+            for rows, data, offsets in common.slices(batch):
                 ids, at = encoder.encode(data, offsets)
                 doc_ids += rows.column("doc_id").to_pylist()
                 tokens.append(ids)
