@@ -30,9 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def unique(path: str) -> str:
+    return f"{path}-{uuid.uuid4().hex}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path for a temporary table in the shared folder."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = unique(f"{shared_dir(spark).rstrip('/')}/{name}")
     _made.append(path)
     return path
 
