@@ -32,7 +32,7 @@ from .chunk_table import ChunkTable
 #: Tokens of a shard, about; one document is never divided.
 SHARD = 1 << 19
 #: Bytes of text that a task turns into shards, about.
-TASK = 32 << 20
+TASK = 48 << 20
 #: Bits between two counts of ones.
 BLOCK = 512
 SCHEMA = "part int, shard int, tokens long, doc_ids array<bigint>, ends array<bigint>, alphabet array<int>, planes array<binary>, zeros array<bigint>, ranks array<binary>"
@@ -219,30 +219,49 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer.decode())
         self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for x, i in vocabulary.items() if x[0] == "\u0120"]] = True  # how byte-level vocabularies write a space
         self.table = ChunkTable(self._encode, end)
 
-    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _separated(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and their counts; many are encoded as one text, with a special token between, which divides texts."""
-        joined = [self.SEPARATOR.join(texts[i : i + self.JOINED]) + self.SEPARATOR for i in range(0, len(texts), self.JOINED)]
-        ids = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.concatenate([np.zeros(0, np.int32), *ids])
+        ids = self._ids([self.SEPARATOR.join(texts[i : i + self.JOINED]) + self.SEPARATOR for i in range(0, len(texts), self.JOINED)])
         stops = np.flatnonzero(ids == self.separator)
         return ids[ids != self.separator], np.diff(stops, prepend=-1) - 1
 
+    def _spaced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that all begin with their only space: each token that begins with a space begins a text."""
+        ids = self._ids(["".join(texts[i : i + self.JOINED]) for i in range(0, len(texts), self.JOINED)])
+        starts = np.flatnonzero(self.leads[ids])
+        if len(starts) != len(texts) or len(starts) and starts[0]:
+            return self._separated(texts)
+        return ids, np.diff(np.append(starts, len(ids)))
+
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        return np.array([i for x in own for i in x], np.int32), np.array([len(x) for x in own], np.int64)
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int32), *(np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+
     def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [x.decode("utf-8", "replace") for x in chunks]
-        single = np.fromiter((self.separator is None or self.SEPARATOR in x for x in texts), bool, len(texts))
-        own = [self.tokenizer.encode(texts[k], add_special_tokens=False).ids for k in np.flatnonzero(single)]
-        ids, of_joined = self._joined([texts[k] for k in np.flatnonzero(~single)])
-        if not own:
-            return ids, of_joined
-        counts = np.zeros(len(texts), np.int64)
-        counts[single] = [len(x) for x in own]
-        counts[~single] = of_joined
-        out = np.empty(int(counts.sum()), np.int32)
-        before = np.cumsum(counts) - counts
-        out[common.ranges(before[~single], counts[~single])] = ids
-        out[common.ranges(before[single], counts[single])] = [i for x in own for i in x]
+        # 0: a space, then up to a mark, letter or digit of ASCII without another space; 1: others; 2: those with special tokens.
+        special = self.SEPARATOR.encode()
+        kind = np.fromiter((0 if x[0] == 32 and 32 < x[-1] < 127 and x.count(b" ") == 1 else 1 for x in chunks), np.int8, len(chunks))
+        if self.separator is None:
+            kind[:] = 2
+        else:
+            kind[[k for k, x in enumerate(chunks) if special in x]] = 2
+        counts, parts = np.zeros(len(texts), np.int64), []
+        for k, encode in enumerate((self._spaced, self._separated, self._alone)):
+            if len(mine := np.flatnonzero(kind == k)):
+                ids, counts[mine] = encode([texts[i] for i in mine.tolist()])
+                parts.append((mine, ids))
+        out, before = np.empty(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+        for mine, ids in parts:
+            out[common.ranges(before[mine], counts[mine])] = ids
         return out, counts
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +287,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end: int, path: str) -> D
     spark = docs.sparkSession
     tokenizer = spark.sparkContext.broadcast(common.vocabulary(tokenizer_path))
     _, size = common.text_size(docs)
-    tasks = max(common.shuffle_partitions(spark), math.ceil(size / TASK))
+    # No more tasks than needed, as each has to encode its distinct chunks.
+    tasks = max(min(common.shuffle_partitions(spark), spark.sparkContext.defaultParallelism), math.ceil(size / TASK))
 
     def run(batches):
         encoder, part, shard = Encoder(tokenizer.value, end), TaskContext.get().partitionId(), 0
@@ -281,13 +301,16 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end: int, path: str) -> D
         for batch in batches:
             for rows, data, offsets in common.slices(batch):
                 ids, at = encoder.encode(data, offsets)
-                doc_ids += rows.column("doc_id").to_pylist()
-                tokens.append(ids)
-                lengths.append(np.diff(at))
-                held += len(ids)
-                if held >= SHARD:
-                    yield flush()
-                    doc_ids, tokens, lengths, held, shard = [], [], [], 0, shard + 1
+                names, a = rows.column("doc_id").to_pylist(), 0
+                while a < len(names):
+                    b = max(a + 1, int(np.searchsorted(at, at[a] + SHARD - held, "right")) - 1)
+                    doc_ids += names[a:b]
+                    tokens.append(ids[at[a] : at[b]])
+                    lengths.append(np.diff(at[a : b + 1]))
+                    held, a = held + int(at[b] - at[a]), b
+                    if held >= SHARD or a < len(names):
+                        yield flush()
+                        doc_ids, tokens, lengths, held, shard = [], [], [], 0, shard + 1
         if held:
             yield flush()
 
