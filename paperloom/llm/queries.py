@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, quality, sentence_pieces, subword_lm, toxicity, wavelet_shards
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, quality, sentence_pieces, subword_lm, toxicity, url_filter, wavelet_shards
 
 QUERIES = {
     "op1_wavelet_shards": wavelet_shards.op1_wavelet_shards,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality": quality.op3_quality,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_chat_format": chat_format.op5_chat_format,
     "op6_subword_lm": subword_lm.op6_subword_lm,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-SQL = {"op2_decontaminate": decontaminate.SQL, "op5_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_decontaminate": decontaminate.SQL, "op4_url_filter": url_filter.SQL, "op5_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
