@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; bounds the numpy arrays of a Python worker.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 # ---------------------------------------------------------------- temporary tables
 

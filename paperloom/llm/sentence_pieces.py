@@ -23,6 +23,8 @@ from . import common
 from .chunk_table import ChunkTable, text_array
 
 MARK = "▁"
+#: Bytes of text that are encoded at once; more text shares more distinct words.
+SLICE = 4 << 20
 
 
 def marked_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +79,7 @@ def encode(docs: DataFrame, model_path: str, decode: bool = False) -> DataFrame:
     def run(batches):
         codec = Codec(model.value)
         for batch in batches:
-            for part, data, offsets in common.slices(batch):
+            for part, data, offsets in common.slices(batch, most=SLICE):
                 ids, at = codec.encode(data, offsets)
                 more = {"ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))}
                 if decode:

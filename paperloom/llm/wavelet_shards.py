@@ -33,6 +33,8 @@ from .chunk_table import ChunkTable
 SHARD = 1 << 19
 #: Bytes of text that a task turns into shards, about.
 TASK = 48 << 20
+#: Bytes of text that are encoded at once; more text shares more distinct chunks.
+SLICE = 4 << 20
 #: Bits between two counts of ones.
 BLOCK = 512
 SCHEMA = "part int, shard int, tokens long, doc_ids array<bigint>, ends array<bigint>, alphabet array<int>, planes array<binary>, zeros array<bigint>, ranks array<binary>"
@@ -299,7 +301,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end: int, path: str) -> D
             return pa.RecordBatch.from_pylist([row], ARROW)
 
         for batch in batches:
-            for rows, data, offsets in common.slices(batch):
+            for rows, data, offsets in common.slices(batch, most=SLICE):
                 ids, at = encoder.encode(data, offsets)
                 names, a = rows.column("doc_id").to_pylist(), 0
                 while a < len(names):
