@@ -85,5 +85,6 @@ def text_features(
     for name, symbol in symbols.items():
         added[name] = source.contains(symbol).cast("int")
     for w in words:
-        added[w] = F.array_contains("_words", w).cast("int") if values == "presence" else F.size(F.filter("_words", lambda x, w=w: x == w))
+        # How often: the words that removing it takes away.
+        added[w] = F.array_contains("_words", w).cast("int") if values == "presence" else F.size("_words") - F.size(F.array_remove("_words", w))
     return out.withColumns({k: F.coalesce(v, F.lit(0)) for k, v in added.items()}).drop("_words")
