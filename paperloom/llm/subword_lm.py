@@ -6,13 +6,13 @@ pieces do not cross words here (a marker only begins a piece), a text's probabil
 each distinct word's is found once.
 
 The vocabulary's own scores weight the pieces at first (log probabilities of a unigram vocabulary; for merge ranks the
-weights fall as one over the rank). One expectation step over the words of all training documents, forward and backward
-over each word's lattice, gives the expected count of each piece, and so the weights that score. Single bytes are pieces
+weights fall as one over the rank). Expectation steps over the words of all training documents, forward and backward over
+each word's lattice, give the expected count of each piece, and so the weights that score. Single bytes are pieces
 too, so every text has a probability.
 
 Four passes, none of which shuffles text: (1) chunks of documents become lists of distinct words with training counts,
-and of each document's distinct words by number; (2) words meet by hash range: totals and expected counts, of which only
-vectors of the vocabulary's size reach the driver, added in two levels; (3) words meet again and get their global count and
+and of each document's distinct words by number; (2) words meet by hash range, once for each expectation step: totals and
+expected counts, of which only vectors of the vocabulary's size reach the driver, added in two levels; (3) words meet again and get their global count and
 log probability, which return to their chunks; (4) each chunk adds up its documents.
 
 base_score is that of whole words: the sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))).
@@ -40,6 +40,8 @@ CHUNK = 16 << 20
 SHORT = 64
 #: What the vocabulary's own weights count in the estimate, as a number of pieces.
 PRIOR = 1000.0
+#: Expectation steps.
+ROUNDS = 2
 MARKER = 0x20
 
 
@@ -388,13 +390,15 @@ def lattice_scores(docs: DataFrame, held_out: Column, model_path: str) -> DataFr
     first = Pieces.load(common.vocabulary(model_path))
     parts = words.agg(F.max("part")).first()[0] or 0
     slots = max(1, min(64, math.isqrt(parts + 1)))
-    sums = words.groupBy("part").applyInArrow(_expect(spark.sparkContext.broadcast(first), slots), SUMS).groupBy("slot").applyInArrow(_add, SUMS).collect()
     learned = F.aggregate(F.transform("held_out", lambda x: F.when(x, 0).otherwise(1).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     of_docs = table.where("kind = 'docs'").agg(F.sum(learned)).first()[0] or 0
-    expected = sum((np.frombuffer(bytes(x.expected)) for x in sums), np.zeros(len(first.weights)))
-    expected[-1] = of_docs
-    weights = expected + PRIOR * first.weights
-    pieces = Pieces(first.texts, weights / weights.sum())
+    pieces, sums = first, []
+    for _ in range(ROUNDS):
+        sums = words.groupBy("part").applyInArrow(_expect(spark.sparkContext.broadcast(pieces), slots), SUMS).groupBy("slot").applyInArrow(_add, SUMS).collect()
+        expected = sum((np.frombuffer(bytes(x.expected)) for x in sums), np.zeros(len(first.weights)))
+        expected[-1] = of_docs
+        weights = expected + PRIOR * first.weights
+        pieces = Pieces(first.texts, weights / weights.sum())
     totals = Totals(sum(x.tokens for x in sums) + of_docs, sum(x.words for x in sums) + (of_docs > 0), of_docs, math.log10(pieces.weights[-1]))
     values = words.groupBy("part").applyInArrow(_value(spark.sparkContext.broadcast(pieces)), VALUES)
     each = table.where("kind = 'docs'").select("chunk", "words", "counts", "doc_ids", "held_out", "tokens", "distinct")

@@ -51,13 +51,15 @@ def brute(rows):
             count.update(tokens(t))
             docs += 1
     n, v = sum(count.values()) + docs, len(count) + (docs > 0)
-    expected = Counter()
-    for w, c in count.items():
-        lattice(w, weight, longest, expected, c)
-    new = {p: expected[p] + lm.PRIOR * w for p, w in weight.items()}
-    end = docs + lm.PRIOR * first.weights[-1]
-    total = sum(new.values()) + end
-    new = {p: w / total for p, w in new.items()}
+    new = weight
+    for _ in range(lm.ROUNDS):
+        expected = Counter()
+        for w, c in count.items():
+            lattice(w, new, longest, expected, c)
+        new = {p: expected[p] + lm.PRIOR * w for p, w in weight.items()}
+        end = docs + lm.PRIOR * first.weights[-1]
+        total = sum(new.values()) + end
+        new = {p: w / total for p, w in new.items()}
     base = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
     memo = {}
     out = []
