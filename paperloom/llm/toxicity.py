@@ -32,7 +32,7 @@ STEMS = (4, 5)
 #: Labelled documents to learn from, at most.
 MOST = 10_000
 EPOCHS = 8
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.5
 
 
