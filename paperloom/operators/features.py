@@ -88,3 +88,13 @@ def text_features(
         # How often: the words that removing it takes away.
         added[w] = F.array_contains("_words", w).cast("int") if values == "presence" else F.size("_words") - F.size(F.array_remove("_words", w))
     return out.withColumns({k: F.coalesce(v, F.lit(0)) for k, v in added.items()}).drop("_words")
+
+
+def feature_classifier(df: DataFrame, label: str, names: list[str]):
+    """A logistic regression on feature columns, as a fitted pipeline of Spark's own: transform(df) adds prediction."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    stages = [VectorAssembler(inputCols=names, outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol=label)]
+    return Pipeline(stages=stages).fit(df)

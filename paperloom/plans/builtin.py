@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import settings
-from ..operators.search import expand_text, search_text
+from ..functions.text import squeeze
+from ..operators.search import distinct_rows, expand_text, full_text, search_text
 from ..operators.statcheck import stats
 from ..operators.tables import info_table
 from ..schemas import Corpus, null_safe_join
@@ -63,7 +64,7 @@ def all_p_values(corpus: Corpus) -> dict:
 
 @module("Exact P-Values", "List any p-values reported with insufficient precision (e.g., p < .05 or p = n.s.)")
 def exact_p(corpus: Corpus) -> dict:
-    p = with_imprecise(p_values(corpus))
+    p = with_imprecise(p_values(corpus)).persist()  # only what was found; table, summary and light all need it
     summary = p.groupBy("id").agg(F.count_if(~F.col("imprecise")).alias("exact_p"), F.count_if("imprecise").alias("imprecise_p"))
     total = summary.agg(F.sum("exact_p").alias("exact"), F.sum("imprecise_p").alias("imprecise")).first()
     light = "na" if total.exact is None else "red" if total.imprecise else "green"
@@ -81,7 +82,9 @@ def _tests(sentences: DataFrame, name: str, test: str, effect: str) -> DataFrame
 
 def effect_tests(source: Corpus | DataFrame) -> DataFrame:
     """t and F tests with the effect sizes reported beside them. One pass for each over the sentences with = and a digit."""
-    sentences = search_text(search_text(source, "=", fixed=True), "[0-9]")
+    text = full_text(source)
+    likely = text.where(F.col("text").contains("=") & F.col("text").rlike("[0-9]"))  # the cheap test first
+    sentences = distinct_rows(likely.withColumn("text", squeeze(F.col("text"))))
     return _tests(sentences, "t-test", T_TEST, T_EFFECTS).unionByName(_tests(sentences, "F-test", F_TEST, F_EFFECTS))
 
 
@@ -92,7 +95,7 @@ def effect_summary(table: DataFrame) -> DataFrame:
 
 @module("Missing Effect Sizes", "Detect t-tests and F-tests with missing effect sizes")
 def effect_size(corpus: Corpus) -> dict:
-    table = effect_tests(corpus)
+    table = effect_tests(corpus).persist()
     n, without = table.agg(F.count(F.lit(1)), F.count_if(F.col("es").isNull())).first()
     light = "na" if not n else "green" if not without else "red" if without == n else "yellow"
     report = {

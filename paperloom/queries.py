@@ -589,9 +589,10 @@ def contents_category(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 30), ' ') AS abstract FROM documents")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """Texts put together again from the positions of their words."""
-    first = F.slice(F.split("text", " "), 1, 30)
+    docs = read(spark, d, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 30).alias("first"))
+    first = F.col("first")
     places = F.transform(F.array_distinct(first), lambda w: F.struct(w.alias("w"), F.filter(F.transform(first, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("p")))
-    return abstracts(read(spark, d, "documents").select("doc_id", F.map_from_entries(places).alias("index")), "doc_id", "index")
+    return abstracts(docs.select("doc_id", F.map_from_entries(places).alias("index")), "doc_id", "index")
 
 
 @query("SELECT p_brand, p_partkey, p_size FROM (SELECT *, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM part) WHERE t <= 400")

@@ -103,6 +103,14 @@ class Corpus:
         """Both corpora; papers that are identical in both stay once."""
         return replace(self, **{t: a.unionByName(b, allowMissingColumns=True).dropDuplicates() if t != "authors" else a.unionByName(b).dropDuplicates(["id"]) for (t, a), b in zip(self.tables().items(), other.tables().values(), strict=True)})
 
+    def overview(self) -> DataFrame:
+        """(id, sections, sentences, references, citations) of each paper."""
+        text = self.full_text.groupBy("id").agg(F.max("div").alias("sections"), F.count(F.lit(1)).alias("sentences"))
+        out = self.ids().join(text, "id", "left")
+        for name, table in (("references", self.bib), ("citations", self.xrefs)):
+            out = out.join(table.groupBy("id").agg(F.count(F.lit(1)).alias(name)), "id", "left")
+        return out.fillna(0)
+
     def write(self, path: str) -> None:
         for t, df in self.tables().items():
             df.write.mode("overwrite").parquet(f"{path}/{t}")

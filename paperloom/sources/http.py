@@ -79,6 +79,18 @@ class Recorded(Client):
         return Response(200, found.encode() if isinstance(found, str) else json.dumps(found).encode())
 
 
+def site_down(url: str, error: bool = True, client: Client | None = None) -> bool:
+    """Whether a site does not answer; an error, if asked for."""
+    site = urllib.parse.urlsplit(url if "//" in url else f"https://{url}").netloc
+    try:
+        down = (client or Client()).request("HEAD", f"https://{site}").status >= 400
+    except OSError:
+        down = True
+    if down and error:
+        raise ConnectionError(f"The website {site} is not available")
+    return down
+
+
 def wait(seconds: float | None = None) -> None:
     if seconds := settings.osf_delay if seconds is None else seconds:
         time.sleep(seconds)

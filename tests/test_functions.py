@@ -6,7 +6,7 @@ from paperloom.functions import ids, tails
 from paperloom.functions.json_columns import json_expand
 from paperloom.functions.porter import stem
 from paperloom.functions.text import guard_initials, sentences, words
-from paperloom.operators.features import distinctive_words, text_features
+from paperloom.operators.features import distinctive_words, feature_classifier, text_features
 from pyspark.sql import functions as F
 
 TEXTS = [
@@ -98,3 +98,10 @@ def test_text_features(spark):
     assert (rows[14].word_count, rows[15].word_count) == (0, 0)
     counts = text_features(table, ["effect"], word_count=False, has_number=False, has_symbol=["%"], values="count").orderBy("k").first()
     assert counts.effect == 3 and list(counts.asDict()) == ["k", "text", "has_%", "effect"]
+
+
+def test_feature_classifier(spark):
+    table = spark.createDataFrame([(t, int(k < 7)) for k, t in enumerate(TEXTS)], "text string, y int")
+    rows = text_features(table, ["medium", "effect"])
+    model = feature_classifier(rows, "y", ["medium", "effect"])
+    assert model.transform(rows).where("prediction = y").count() >= 12

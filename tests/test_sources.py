@@ -10,7 +10,7 @@ from paperloom.plans import rest
 from paperloom.plans.modules import module_run
 from paperloom.schemas import Corpus, texts
 from paperloom.sources import bibtex, chat_model, databases, documents, github, grobid, osf, people, preregistrations, scholarly
-from paperloom.sources.http import Recorded, Response
+from paperloom.sources.http import Recorded, Response, site_down
 from paperloom.sources.reader import read
 
 TEI = """<?xml version="1.0"?>
@@ -220,6 +220,18 @@ def test_researchbox(spark):
     assert (got.RB_license, got.RB_abstract, got.files[0].name, got.files[0].description) == ("CC", "Text", "a.csv", "Data")
 
 
+def test_site_down():
+    client = Recorded({"https://up.org": ""})
+    assert not site_down("http://up.org/page", client=client) and site_down("down.org", error=False, client=client)
+    with pytest.raises(ConnectionError, match="down.org"):
+        site_down("https://down.org/x", client=client)
+
+
+def test_overview(papers):
+    rows = {r.id: tuple(r)[1:] for r in papers.overview().collect()}
+    assert rows["one/paper"] == (5, 16, 2, 2) and rows["word"] == (1, 3, 0, 0)
+
+
 def test_github():
     api = f"{github.API}/o/r"
     listing = [{"name": "sub", "path": "sub", "type": "dir", "size": 0}, {"name": "a.R", "path": "a.R", "type": "file", "size": 5}]
