@@ -83,7 +83,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages(page_id, url, html). rules: verdict (allow, block), host, path."""
     host, path = _host(F.col("url").cast("string"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    fitting = fitting_rules(pages.select("host").distinct(), rules)
+    # As tables, what there is for hosts has a known size: joined by broadcast if it is small, without dealing pages by host.
+    fitting = common.as_table(fitting_rules(pages.select("host").distinct(), rules), "fitting-rules")
     ruled = pages.select("page_id", "host", "path").join(fitting, "host", "left")
     fit = F.filter("rules", lambda r: F.col("path").startswith(r["path"]))
     ruled = ruled.withColumn("best", F.array_max(fit)).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
@@ -97,7 +98,7 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0))
     hosts = ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
     blocked = hosts.where(F.col("distrust") > LIMIT * F.col("trust")).select("host", F.lit("block").alias("of_host"))
-    out = ruled.join(blocked, "host", "left")
+    out = ruled.join(common.as_table(blocked, "blocked-hosts"), "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "of_host", F.lit("allow")).alias("verdict"))
 
 
