@@ -336,6 +336,8 @@ def set_links(sets: DataFrame) -> DataFrame:
     """(a, b): links between classes of equal sets that connect all that links connect. sets: digest, first, shingles of distinct live sets."""
     firsts = sets.select("digest", "first").mapInArrow(_explode_first, "shingle long, digest binary")
     stars = firsts.groupBy("shingle").agg(F.min("digest").alias("center"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    # A table of its own, so that the join has a stage of its own, in which Spark can split a shingle of many sets.
+    stars = common.as_table(stars.select("shingle", "center"), "stars")
     edges = firsts.join(stars, "shingle").where(F.col("digest") != F.col("center")).select(F.col("digest").alias("a"), F.col("center").alias("b")).distinct()
     families = common.as_table(components(edges), "families")
     parts = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("parts"))
@@ -351,11 +353,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     live = sets.where("live")
     distinct = common.as_table(live.groupBy("digest").agg(F.first("first").alias("first"), F.first("shingles").alias("shingles")), "distinct-sets")
     roots = components(set_links(distinct)).withColumnRenamed("node", "digest")
-    members = live.select("digest", "doc_id", "rid").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    # A null doc_id comes last.
+    # Equal sets first, before anything is dealt by their digest; a null doc_id comes last.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
-    best = members.groupBy("root").agg(least).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep"))
-    classes = members.select("root", "digest").distinct().join(best, "root").select("digest", "component_id", "keep")
+    of_set = live.groupBy("digest").agg(least).join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    of_set = common.as_table(of_set, "equal-sets")
+    best = of_set.groupBy("root").agg(F.min("least").alias("best"))
+    classes = of_set.join(best, "root").select("digest", F.col("best.doc_id").alias("component_id"), F.col("best.rid").alias("keep"))
+    classes = common.as_table(classes, "classes")
     rows = sets.select("rid", "doc_id", "n_shingles", "live", "digest")
     linked = rows.where("live").join(classes, "digest").select("rid", "doc_id", "n_shingles", "component_id", (F.col("rid") == F.col("keep")).alias("kept"))
     alone = rows.where(~F.col("live")).select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
