@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -25,8 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+        folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return base
 
 
