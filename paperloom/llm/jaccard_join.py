@@ -106,6 +106,13 @@ def _keys(token: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return key[at], at
 
 
+def _ranges(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash ranges (upper bits) that sorted keys fall in, and the bounds of each range's keys (one more)."""
+    part = (key >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[starts], np.append(starts, len(key))
+
+
 def _pack(low: np.ndarray) -> bytes:
     """Sorted 32-bit numbers as differences, byte by byte, so that a compressor finds the zeros."""
     return np.diff(low, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -124,15 +131,15 @@ def _packer(bits: int):
         token, _, _ = pairs_of_table(table)
         key, at = _keys(token, bits)
         counts = np.minimum(np.diff(np.append(at, len(token))), 255).astype(np.uint8)
-        bounds = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+        parts, bounds = _ranges(key)
         low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        parts = np.flatnonzero(np.diff(bounds))
+        spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
         return pa.table(
             {
                 "chunk": pa.array([table["chunk"][0].as_py()] * len(parts), pa.int64()),
                 "part": pa.array(parts, pa.int64()),
-                "shingles": pa.array([_pack(low[bounds[p] : bounds[p + 1]]) for p in parts], pa.binary()),
-                "counts": pa.array([counts[bounds[p] : bounds[p + 1]].tobytes() for p in parts], pa.binary()),
+                "shingles": pa.array([_pack(low[a:b]) for a, b in spans], pa.binary()),
+                "counts": pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary()),
             }
         )
 
@@ -172,9 +179,9 @@ def _setter(bits: int):
         token, doc, rows = pairs_of_table(docs)
         key, at = _keys(token, bits)
         level = np.zeros(len(key), np.uint8)
-        bounds = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
-        for part, packed in zip(levels["part"].to_pylist(), levels["levels"].to_pylist(), strict=True):
-            lo, hi = bounds[part], bounds[part + 1]
+        parts, bounds = _ranges(key)
+        for k, packed in zip(np.searchsorted(parts, levels["part"].to_numpy()).tolist(), levels["levels"].to_pylist(), strict=True):
+            lo, hi = bounds[k], bounds[k + 1]
             both = np.frombuffer(packed, np.uint8)
             level[lo:hi] = np.stack([both & 15, both >> 4], 1).ravel()[: hi - lo]
         level = level[np.repeat(np.arange(len(key)), np.diff(np.append(at, len(token))))] if len(key) else level

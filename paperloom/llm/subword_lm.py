@@ -233,13 +233,12 @@ def _chunk_rows(chunk: int, bits: int, bodies: list, lengths: list, per_doc: lis
     hashes = common.span_hashes(common.prefix_sums(data), at[:-1], at[1:])
     part = (hashes >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange((1 << bits) + 1))
+    starts = np.flatnonzero(np.diff(part[order], prepend=-1))
     size = np.diff(at)
     rows = []
-    for p in np.flatnonzero(np.diff(bounds)):
-        mine = order[bounds[p] : bounds[p + 1]]
+    for p, mine in zip(part[order][starts].tolist(), np.split(order, starts[1:]) if n else [], strict=True):
         words = data[common.ranges(at[mine], size[mine])].tobytes()
-        rows.append({"kind": "words", "chunk": chunk, "part": int(p), "words": words, "lengths": _planes(size[mine]), "counts": _planes(counts[mine])})
+        rows.append({"kind": "words", "chunk": chunk, "part": p, "words": words, "lengths": _planes(size[mine]), "counts": _planes(counts[mine])})
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     pairs, times = np.unique(doc << 32 | place[index], return_counts=True)
