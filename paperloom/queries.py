@@ -22,8 +22,9 @@ from .operators.statcheck import stats
 from .plans import builtin
 from .plans.modules import module_run
 from .schemas import Corpus, text_table
+from .sources.databases import compact_retractions
 from .sources.osf import osf_links
-from .sources.preregistrations import aspredicted_links
+from .sources.preregistrations import aspredicted_links, rbox_links
 from .sources.scholarly import abstracts
 from .streaming.files import stream_counts, text_stream
 
@@ -635,6 +636,45 @@ def aspredicted_link_table(spark: SparkSession, d: str) -> DataFrame:
     return aspredicted_links(rows.withColumn("s", F.col("s") + 1).withColumn("p", F.lit(1)).withColumn("seq", F.col("s").cast("bigint"))).select("id", "s", "text")
 
 
+@query(
+    """SELECT CAST(c_custkey AS VARCHAR) AS id, 'https://researchbox.org/' || c_custkey % 40 AS text FROM customer"""
+)
+def rbox_link_table(spark: SparkSession, d: str) -> DataFrame:
+    link = F.concat(F.lit("<https://researchbox.org/"), (F.col("c_custkey") % 40).cast("string"), F.lit(">"))
+    rows = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("See "), link, F.lit(" and "), link).alias("text"))
+    return rbox_links(rows.withColumn("seq", F.col("id").cast("bigint"))).select("id", "text")
+
+
+@query(
+    """WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 > 0 THEN 'id' END AS osf_id, ([NULL, 'nodes', 'private', 'unfound', 'too many requests', 'users'])[(c_custkey % 6)::INT + 1] AS osf_type,
+  CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS public FROM customer)
+SELECT k, CASE WHEN osf_id IS NULL THEN 'invalid' WHEN osf_type IN ('unfound', 'too many requests') THEN osf_type WHEN osf_type = 'private' OR NOT public THEN 'closed' WHEN public OR osf_type IS NOT NULL THEN 'open' ELSE '' END AS status FROM r"""
+)
+def osf_states(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    kind = F.get(F.array(*(F.lit(x) for x in (None, "nodes", "private", "unfound", "too many requests", "users"))), (k % 6).cast("int"))
+    rows = read(spark, d, "customer").select(k.alias("k"), F.when(k % 7 > 0, "id").alias("osf_id"), kind.alias("osf_type"), F.when(k % 5 == 0, True).when(k % 5 == 1, False).alias("public"))
+    return builtin.osf_status(rows).select("k", "status")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS doi, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS retractionwatch FROM orders WHERE o_custkey % 9 > 0 GROUP BY o_custkey")
+def retraction_compact(spark: SparkSession, d: str) -> DataFrame:
+    """The published list of retractions as one row for each paper."""
+    doi = F.when(F.col("o_custkey") % 9 == 0, "unavailable").otherwise(F.col("o_custkey").cast("string"))
+    return compact_retractions(read(spark, d, "orders").select(doi.alias("OriginalPaperDOI"), F.col("o_orderpriority").alias("RetractionNature")))
+
+
+@query(
+    f"""WITH {TALKS}, {SQUEEZED_TALKS}, whole AS (SELECT id, section, div, p, string_agg(text, ' ' ORDER BY seq) AS expanded FROM squeezed GROUP BY ALL)
+SELECT DISTINCT id, section, div, p, expanded FROM squeezed JOIN whole USING (id, section, div, p) WHERE section = 'user' AND regexp_matches(text, '(?i)ing') AND regexp_matches(text, '(?i)the')"""
+)
+def hit_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """What a check of power analyses does: sentences of a section with two patterns, and their paragraphs, each once."""
+    text = talks(spark, d)
+    hits = search_text(search_text(text, "ing", section="user"), "the")
+    return expand_text(hits, text, "paragraph").select("id", "section", "div", "p", "expanded").distinct()
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, len(regexp_extract_all(text, '[0-9]+')) AS matches FROM documents WHERE regexp_matches(text, '[0-9]')")
 def stream_search(spark: SparkSession, d: str) -> DataFrame:
     """Counts of matches by document, kept up over a stream of the table's file, and read when all of it has arrived."""
