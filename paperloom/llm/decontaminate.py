@@ -15,7 +15,7 @@ document is contaminated if it has hits and 20 * n_hit >= n_words.
 
 Cases: null and empty texts, of documents or items, have no words; such a document is clean. Rows of the benchmark with an
 equal item_id count as one item, those without item_id as one with the empty string for id. Repeated documents are judged
-each. All columns of the documents pass through untouched; they must not be named as the columns added. Empty tables work.
+each. All columns of the documents pass through untouched, whatever their names. Empty tables work.
 """
 
 from __future__ import annotations
@@ -155,9 +155,10 @@ def _search(broadcast, columns: list[str], earlier: bool):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs(text, ...) with n_words, hits (the places of its hit words) and items (ids of the items that occur, sorted)."""
+def _searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs with its columns named by place (but text), so that they cannot clash with those added: n_words, hits, items."""
     spark = docs.sparkSession
+    docs = docs.toDF(*(c if c == "text" else f"_{k}" for k, c in enumerate(docs.columns)))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     _, size = common.text_size(items)
     groups = max(1, math.ceil(size / GROUP))
@@ -171,13 +172,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs(text, ...) with n_words, hits (the places of its hit words) and items (ids of the items that occur, sorted)."""
+    return _searched(docs, benchmark).toDF(*docs.columns, "n_words", "hits", "items")
+
+
 def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The clean rows of docs."""
-    return contamination(docs, benchmark).where(~contaminated(F.size("hits"), F.col("n_words"))).select(*docs.columns)
+    clean = _searched(docs, benchmark).where(~contaminated(F.size("hits"), F.col("n_words")))
+    return clean.drop("n_words", "hits", "items").toDF(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

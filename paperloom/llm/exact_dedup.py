@@ -117,7 +117,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that another one replaces; all columns of docs."""
-    rid = "_rid_exact"
+    rid = common.free_name(docs, "_rid_exact")
     kept = exact_duplicates(docs).where("kept").select(F.col("rid").alias(rid))
     return docs.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left_semi").drop(rid)
 

@@ -375,7 +375,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 def drop_similar(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that with the smallest doc_id; all columns of docs."""
-    rid = "_rid_similar"
+    rid = common.free_name(docs, "_rid_similar")
     kept = similar_documents(docs).where("kept").select(F.col("rid").alias(rid))
     return docs.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left_semi").drop(rid)
 

@@ -167,7 +167,7 @@ def train_rows():
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs below the threshold; all columns of docs."""
-    score = "_toxicity"
+    score = common.free_name(docs, "_toxicity")
     return scores(docs, learn(docs, labels, train=train_rows()), score).where(F.col(score) < THRESHOLD).drop(score)
 
 

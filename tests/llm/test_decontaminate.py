@@ -61,7 +61,7 @@ def test_empty_tables(spark):
 
 def test_clashing_columns(spark):
     bench = spark.createDataFrame([(1, "a b c", "x")], "item_id long, text string, words string")
-    docs = spark.createDataFrame([(1, "x a b c", "1", "2"), (2, "d", "1", "2")], "doc_id long, text string, item_id string, row string")
+    docs = spark.createDataFrame([(1, "x a b c", "1", "2", 3), (2, "d", "1", "2", 3)], "doc_id long, text string, items string, `a.hits` string, n_words int")
     out = dc.drop_contaminated(docs, bench)
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [2]
 
