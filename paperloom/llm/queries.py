@@ -17,4 +17,10 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-SQL = {"op2_decontaminate": decontaminate.SQL, "op4_url_filter": url_filter.SQL, "op5_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op2_decontaminate": decontaminate.SQL,
+    "op4_url_filter": url_filter.SQL,
+    "op5_chat_format": chat_format.SQL,
+    "op9_exact_dedup": exact_dedup.SQL,
+    "op10_jaccard_join": jaccard_join.SQL,
+}

@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from paperloom.llm import jaccard_join as jj
@@ -85,3 +86,13 @@ def test_node_bound_never_hides_a_link():
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 assert label[i] == label[j]
+
+
+def test_query_matches_brute_force_and_sql(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    out = sorted((tuple(r) for r in jj.op10_jaccard_join(spark, d).collect()), key=str)
+    assert out == brute(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    assert sorted(con.execute(jj.SQL).fetchall(), key=str) == out

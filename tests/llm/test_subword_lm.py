@@ -117,3 +117,14 @@ def test_better_than_the_first_weights(spark):
             starts, ends, _ = common.word_spans(data, offsets, common.NONSPACE)
             plain += lattice_.words(data, starts, ends - starts).sum() / math.log(10) + math.log10(first.weights[-1])
     assert sum(r.score for r in out.values() if r.held_out) > plain
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("n_chars < 900").coalesce(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    out = sorted((tuple(r) for r in lm.op6_subword_lm(spark, str(tmp_path)).collect()), key=lambda r: (str(r[0]), r[2], r[6]))
+    want = brute(rows)
+    assert len(rows) > 40 and [r[:5] for r in out] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in out], [r[5:] for r in want], rtol=1e-9)
