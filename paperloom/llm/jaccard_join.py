@@ -43,7 +43,7 @@ PERCENT = 80
 #: Bytes of text in a chunk, about.
 CHUNK = 8 << 20
 #: Sets of a family that one task compares with each other; larger families are dealt in parts.
-FAMILY = 4096
+FAMILY = 1024
 #: Children of a tree node.
 FANOUT = 8
 
