@@ -596,6 +596,15 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     return abstracts(docs.select("doc_id", F.map_from_entries(places).alias("index")), "doc_id", "index")
 
 
+@query("SELECT doc_id, array_to_string(string_split(text, ' '), ' ') AS abstract FROM documents")
+def inverted_index_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same with all words of each text; a row for each word and its positions, so that each text is gone through once."""
+    docs = read(spark, d, "documents").select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.posexplode_outer(F.split("text", " ")).alias("at", "w"))
+    places = docs.groupBy("rid", "doc_id", "w").agg(F.collect_list("at").alias("p"))
+    index = places.groupBy("rid", "doc_id").agg(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "p"))).alias("places"))
+    return abstracts(index.select("doc_id", F.when(F.size("places") > 0, F.map_from_entries("places")).alias("index")), "doc_id", "index")
+
+
 @query("SELECT p_brand, p_partkey, p_size FROM (SELECT *, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM part) WHERE t <= 400")
 def download_cap(spark: SparkSession, d: str) -> DataFrame:
     return tables.keep_within(read(spark, d, "part").select("p_brand", "p_partkey", "p_size"), "p_size", 400, ["p_brand"], "p_partkey")
