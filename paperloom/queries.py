@@ -598,11 +598,15 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, array_to_string(string_split(text, ' '), ' ') AS abstract FROM documents")
 def inverted_index_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same with all words of each text; a row for each word and its positions, so that each text is gone through once."""
-    docs = read(spark, d, "documents").select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.posexplode_outer(F.split("text", " ")).alias("at", "w"))
-    places = docs.groupBy("rid", "doc_id", "w").agg(F.collect_list("at").alias("p"))
-    index = places.groupBy("rid", "doc_id").agg(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "p"))).alias("places"))
-    return abstracts(index.select("doc_id", F.when(F.size("places") > 0, F.map_from_entries("places")).alias("index")), "doc_id", "index")
+    """The same with all words of each text: the words are sorted with their positions, so that each word's are one run."""
+    sort = F.sort_array(F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    runs = read(spark, d, "documents").select("doc_id", sort.alias("s"))
+    word = lambda i: F.get("s", i)["w"]
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
+    runs = runs.select("doc_id", "s", F.when(F.col("s").isNotNull(), first).alias("first"))
+    length = lambda i, k: F.coalesce(F.get("first", k + 1), F.size("s")) - i
+    places = F.transform("first", lambda i, k: F.struct(word(i).alias("w"), F.transform(F.slice("s", i + 1, length(i, k)), lambda x: x["i"]).alias("p")))
+    return abstracts(runs.select("doc_id", F.map_from_entries(places).alias("index")), "doc_id", "index")
 
 
 @query("SELECT p_brand, p_partkey, p_size FROM (SELECT *, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM part) WHERE t <= 400")
