@@ -316,9 +316,10 @@ def ref_consistency_summary(spark: SparkSession, d: str) -> DataFrame:
     return module_run(_references(spark, d), "ref_consistency").summary
 
 
-def _flagged(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame]:
+def _flagged(spark: SparkSession, d: str, every: bool = False) -> tuple[Corpus, DataFrame]:
+    """References, their citations (one for each at most, or every one) and a database of DOIs."""
     bib = read(spark, d, "orders").select((F.col("o_orderkey") % 50).cast("string").alias("id"), F.col("o_orderkey").cast("string").alias("xref_id"), F.concat(F.lit("10.1/"), F.col("o_custkey").cast("string")).alias("doi"), F.col("o_orderstatus").alias("ref"))
-    xrefs = read(spark, d, "lineitem").where("l_linenumber = 2").select(
+    xrefs = read(spark, d, "lineitem").where(F.lit(every) | (F.col("l_linenumber") == 2)).select(
         (F.col("l_orderkey") % 50).cast("string").alias("id"), F.col("l_orderkey").cast("string").alias("xref_id"), F.lit("bibr").alias("type"), F.lit("x").alias("contents"), F.col("l_returnflag").alias("text"),
         F.lit("intro").alias("section"), F.lit(1).alias("div"), F.lit(1).alias("p"), F.col("l_linenumber").alias("s"),
     )
@@ -332,6 +333,13 @@ db AS (SELECT '10.1/' || c_custkey AS doi, c_mktsegment AS retractionwatch FROM
 flagged AS (SELECT id, xref_id, doi, retractionwatch, text, s FROM bib JOIN db USING (doi) LEFT JOIN xrefs USING (id, xref_id))"""
 
 
+FLAGGED_WHOLE = """bib AS (SELECT CAST(o_orderkey % 50 AS VARCHAR) AS id, CAST(o_orderkey AS VARCHAR) AS xref_id, '10.1/' || o_custkey AS doi, o_orderstatus AS ref FROM orders),
+xrefs AS (SELECT CAST(l_orderkey % 50 AS VARCHAR) AS id, CAST(l_orderkey AS VARCHAR) AS xref_id, l_returnflag AS text, l_linenumber AS s FROM lineitem),
+db AS (SELECT '10.1/' || c_custkey AS doi, c_mktsegment AS retractionwatch FROM customer WHERE c_acctbal < 0),
+flagged AS (SELECT id, xref_id, doi, retractionwatch, text, s FROM bib JOIN db USING (doi) LEFT JOIN xrefs USING (id, xref_id))"""
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 @query(f"WITH {FLAGGED} SELECT id, xref_id, doi, retractionwatch, text, s FROM flagged")
 def retraction_flags(spark: SparkSession, d: str) -> DataFrame:
     corpus, db = _flagged(spark, d)
@@ -354,6 +362,31 @@ def miscitation_table(spark: SparkSession, d: str) -> DataFrame:
     return builtin.miscited(corpus, db).select("id", "xref_id", "doi", "text", "s").distinct()
 
 
+@query(f"WITH {FLAGGED_WHOLE} SELECT id, xref_id, doi, retractionwatch, text, s FROM flagged")
+def retraction_flags_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every place that cites a flagged reference."""
+    corpus, db = _flagged(spark, d, every=True)
+    return module_run(corpus, "retractionwatch", db=db).table.select("id", "xref_id", "doi", "retractionwatch", "text", "s")
+
+
+@query(
+    f"""WITH {FLAGGED_WHOLE} SELECT b.id, {", ".join(f"count(*) FILTER (WHERE retractionwatch = '{s}') AS " + f'"rw_{s}"' for s in SEGMENTS)}
+FROM (SELECT DISTINCT id FROM bib) b LEFT JOIN flagged USING (id) GROUP BY b.id"""
+)
+def retraction_summary_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same, counted; kinds that small tables lack count 0."""
+    corpus, db = _flagged(spark, d, every=True)
+    summary = module_run(corpus, "retractionwatch", db=db).summary
+    return summary.withColumns({f"rw_{s}": F.lit(0).cast("bigint") for s in SEGMENTS if f"rw_{s}" not in summary.columns})
+
+
+@query(f"WITH {FLAGGED_WHOLE} SELECT DISTINCT id, xref_id, doi, text, s FROM flagged")
+def miscitation_table_whole(spark: SparkSession, d: str) -> DataFrame:
+    corpus, db = _flagged(spark, d, every=True)
+    db = db.select("doi", F.lit("a paper").alias("reftext"), F.col("retractionwatch").alias("warning"))
+    return builtin.miscited(corpus, db).select("id", "xref_id", "doi", "text", "s").distinct()
+
+
 @query(
     "SELECT CAST(user_id AS VARCHAR) AS id, "
     + ", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS n_{t}" for t in ("click", "error", "purchase", "signup", "view"))

@@ -11,3 +11,16 @@ def test_inverted_index_has_all_words(spark, tmp_path):
     assert {r.doc_id: r.abstract for r in queries.QUERIES["inverted_index_whole"](spark, str(tmp_path)).collect()} == texts
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
     assert {r.doc_id: r.abstract for r in queries.QUERIES["inverted_index_whole"](spark, D).collect()} == docs
+
+
+def test_flagged_references_have_every_citation(spark):
+    rows = queries.QUERIES["retraction_flags_whole"](spark, D).collect()
+    places = {}
+    for r in rows:
+        places.setdefault((r.id, r.xref_id), []).append(r.s)
+    cited = spark.read.parquet(f"{D}/lineitem.parquet").groupBy("l_orderkey").count()
+    want = {str(r.l_orderkey): r["count"] for r in cited.collect()}
+    assert {k[1]: len([s for s in v if s is not None]) for k, v in places.items()} == {k[1]: want.get(k[1], 0) for k in places}
+    assert max(map(len, places.values())) > 1
+    summary = queries.QUERIES["retraction_summary_whole"](spark, D).collect()
+    assert sum(r[f"rw_{s}"] for r in summary for s in queries.SEGMENTS) == len(rows)
