@@ -82,3 +82,26 @@ def test_query_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
     assert sorted((tuple(r) for r in uf.op4_url_filter(spark, d).collect()), key=str) == sorted(con.execute(uf.SQL).fetchall(), key=str)
+
+
+def test_distrust_passes_more_links_than_the_sql_has_rounds(spark, tmp_path):
+    """A chain of hosts that ends at a blocked one."""
+    n = uf.ROUNDS + 5
+    pages = [(k, f"http://h{k}.net/", f"<a href='http://h{k + 1}.net/'>") for k in range(n)] + [(n, f"http://h{n}.net/", "<a href='http://bad.com/'>"), (n + 1, "http://bad.com/de/", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = uf.op4_url_filter(spark, str(tmp_path)).collect()
+    assert {r.page_id: r.verdict for r in out} == dict.fromkeys(range(n + 2), "block")
+
+
+def test_ranks_are_those_that_no_round_changes(spark):
+    edges = {("a", "b"): 1, ("b", "c"): 2, ("c", "a"): 1, ("c", "d"): 20}
+    home = {"a": uf.SCALE // 100 * (100 - uf.ONWARD)}
+    table = spark.createDataFrame([("allow", s, t, n) for (s, t), n in edges.items()], "kind string, source string, target string, n long")
+    got = {r.host: r["rank"] for r in uf.propagate(spark.createDataFrame([("allow", "a", uf.SCALE)], "kind string, host string, seed long"), table, rounds=None).collect()}
+    out = Counter()
+    for (s, _), n in edges.items():
+        out[s] += n
+    want = Counter(home)
+    for (s, t), n in edges.items():
+        want[t] += got[s] // 100 * uf.ONWARD // out[s] * n
+    assert got == want
