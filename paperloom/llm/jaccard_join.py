@@ -307,6 +307,51 @@ def traverse(a: Tree, b: Tree, label_a: np.ndarray, label_b: np.ndarray) -> list
     return links
 
 
+def every_link(a: Tree, b: Tree):
+    """(x, y) for each set x of a, y all sets of b that link with it. If b is a, only those after x, so that a pair comes once."""
+    vocabulary = np.unique(np.concatenate(a.sets))
+    token = np.concatenate(b.sets)
+    at = np.searchsorted(vocabulary, token)
+    at[vocabulary[np.minimum(at, len(vocabulary) - 1)] != token] = len(vocabulary)
+    sizes = b.levels[0][1]
+    starts = np.cumsum(sizes) - sizes
+    mine = np.zeros(len(vocabulary) + 1, bool)
+    for x, s in enumerate(a.sets):
+        y = np.zeros(1, np.int64)
+        for j in range(len(b.levels) - 1, -1, -1):
+            if j < len(b.levels) - 1:
+                y = (y[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                y = y[y < len(b.levels[j][1])]
+            y = y[(y + 1) * FANOUT**j > x + 1] if a is b else y
+            y = y[~_apart(a, 0, x, b, j, y)]
+        mine[places := np.searchsorted(vocabulary, s)] = True
+        found = []
+        for some in np.array_split(y, -(-len(y) // 128)) if len(y) else []:
+            n = sizes[some]
+            both = np.add.reduceat(mine[at[common.ranges(starts[some], n)]], np.cumsum(n) - n, dtype=np.int64)
+            found.append(some[100 * both >= PERCENT * (len(s) + n - both)])
+        mine[places] = False
+        if found:
+            yield x, np.concatenate(found)
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """How many documents each set of a part of a family, or of two parts, links with in the other sets there."""
+    part, left, right = table["part"].to_numpy(), table["left"][0].as_py(), table["right"][0].as_py()
+    sets, weight = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]], table["documents"].to_numpy()
+    order = np.array(sorted(range(len(sets)), key=lambda k: len(sets[k])))
+    width = 1 << max(9, (4 * max(map(len, sets)) - 1).bit_length())
+    mine, theirs = order[part[order] == left], order[part[order] == right]
+    links = np.zeros(len(sets), np.int64)
+    if len(mine) and len(theirs):
+        a = Tree([sets[k] for k in mine], width)
+        b = a if left == right else Tree([sets[k] for k in theirs], width)
+        for x, y in every_link(a, b):
+            links[mine[x]] += weight[theirs[y]].sum()
+            links[theirs[y]] += weight[mine[x]]
+    return pa.table({"digest": table["digest"], "links": pa.array(links)})
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """Links among the sets of a part of a family, or between two parts."""
     part, left, right = table["part"].to_numpy(), table["left"][0].as_py(), table["right"][0].as_py()
@@ -339,8 +384,8 @@ def _explode_first(batches):
         yield pa.RecordBatch.from_arrays([pa.array(shingle), batch.column("digest").take(pa.array(np.repeat(np.arange(len(counts)), counts)))], names=["shingle", "digest"])
 
 
-def set_links(sets: DataFrame) -> DataFrame:
-    """(a, b): links between classes of equal sets that connect all that links connect. sets: digest, first, shingles of distinct live sets."""
+def _dealt(sets: DataFrame, *columns: str) -> DataFrame:
+    """Sets by (root, left, right): a part of a family, or two parts of it. sets: digest, first and columns of distinct live sets."""
     firsts = sets.select("digest", "first").mapInArrow(_explode_first, "shingle long, digest binary")
     stars = firsts.groupBy("shingle").agg(F.min("digest").alias("center"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     # A table of its own, so that the join has a stage of its own, in which Spark can split a shingle of many sets.
@@ -348,10 +393,28 @@ def set_links(sets: DataFrame) -> DataFrame:
     edges = firsts.join(stars, "shingle").where(F.col("digest") != F.col("center")).select(F.col("digest").alias("a"), F.col("center").alias("b")).distinct()
     families = common.as_table(components(edges), "families")
     parts = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("parts"))
-    members = families.join(parts, "root").join(sets.select("digest", "shingles"), F.col("node") == F.col("digest"))
+    members = families.join(parts, "root").join(sets.select("digest", *columns), F.col("node") == F.col("digest"))
     members = members.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    members = members.select("root", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "digest", "shingles")
-    return members.groupBy("root", "left", "right").applyInArrow(_compare, "a binary, b binary")
+    return members.select("root", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "digest", *columns)
+
+
+def set_links(sets: DataFrame) -> DataFrame:
+    """(a, b): links between classes of equal sets that connect all that links connect. sets: digest, first, shingles of distinct live sets."""
+    return _dealt(sets, "shingles").groupBy("root", "left", "right").applyInArrow(_compare, "a binary, b binary")
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, n_shingles, n_links) for each row of docs(doc_id, text): how many other rows it is similar to, all pairs counted."""
+    sets = common.as_table(document_sets(docs), "sets")
+    live = sets.where("live")
+    distinct = common.as_table(live.groupBy("digest").agg(F.first("first").alias("first"), F.first("shingles").alias("shingles"), F.count(F.lit(1)).alias("documents")), "distinct-sets")
+    found = _dealt(distinct, "shingles", "documents").groupBy("root", "left", "right").applyInArrow(_count, "digest binary, links long")
+    found = found.groupBy("digest").agg(F.sum("links").alias("links"))
+    of_set = distinct.select("digest", "documents").join(found, "digest", "left").select("digest", (F.col("documents") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    of_set = common.as_table(of_set, "link-counts")
+    rows = sets.select("rid", "doc_id", "n_shingles", "live", "digest")
+    linked = rows.where("live").join(of_set, "digest").select("rid", "doc_id", "n_shingles", "n_links")
+    return linked.unionByName(rows.where(~F.col("live")).select("rid", "doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links")))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -384,6 +447,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(common.read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_jaccard_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(common.read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "n_links")
+
+
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
 #: All pairs with a shingle in common, so for small tables only.
@@ -400,3 +467,11 @@ reach(r, q) AS (SELECT r, r FROM n UNION SELECT reach.r, both_ways.b FROM reach
 least AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.q GROUP BY reach.r)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN least USING (r)
 """
+
+_LINKS, _, _ = SQL.partition("reach(r, q) AS")
+
+#: The same pairs, counted for each document.
+SQL_COUNTS = f"""{_LINKS}
+each AS (SELECT a AS r, count(*) AS n_links FROM both_ways GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN n USING (r) LEFT JOIN each USING (r)
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentence_pieces": sentence_pieces.op8_sentence_pieces,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op10_jaccard_join_counts": jaccard_join.op10_jaccard_join_counts,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op5_chat_format": chat_format.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_jaccard_join": jaccard_join.SQL,
+    "op10_jaccard_join_counts": jaccard_join.SQL_COUNTS,
 }

@@ -96,3 +96,29 @@ def test_query_matches_brute_force_and_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
     assert sorted(con.execute(jj.SQL).fetchall(), key=str) == out
+
+
+@pytest.mark.parametrize("family", [4096, 8])
+def test_every_link_is_counted(spark, monkeypatch, family):
+    monkeypatch.setattr(jj, "FAMILY", family)
+    rng = random.Random(3)
+    rows = [(1000, None), (1001, ""), (1002, "One two"), (1003, "one TWO"), (1003, "one two")]
+    for d in range(3):
+        base = [f"w{rng.randrange(300)}" for _ in range(150)]
+        rows += [(d * 40 + k, edited(rng, base, rng.randrange(0, 5))) for k in range(30)]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    similar = lambda x, y: bool(x) and 100 * len(x & y) >= 80 * len(x | y)
+    want = sorted((d, len(x), sum(similar(x, y) for y in sets) - bool(x)) for (d, _), x in zip(rows, sets, strict=True))
+    assert max(n for _, _, n in want) > 2
+    out = jj.link_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in out) == want
+
+
+def test_counts_match_sql(spark):
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    assert sorted((tuple(r) for r in jj.op10_jaccard_join_counts(spark, d).collect()), key=str) == sorted(con.execute(jj.SQL_COUNTS).fetchall(), key=str)
