@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PARSING_ERROR = "parsing error"
+#: Distinct values that get a column each.
+MOST = 1000
+
+
+def few_values(df: DataFrame, column: str, most: int = MOST) -> list:
+    """The values of a column that are to have a column each; more than most is an error, for some would vanish."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} distinct values of {column} to have a column each")
+    return sorted(found)
 
 
 def _kind(values) -> str:
@@ -27,7 +37,7 @@ def json_expand(df: DataFrame, column: str = "answer", fields: dict[str, str] |
 
     Lists become texts joined by "; ", of lists of objects each field so. fields: the fields, with types or without (then
     text). If not given, fields and types are taken from the data: their names in one pass, their types in another (the
-    distinct kinds of values, no values, reach the driver).
+    distinct kinds of values, no values, reach the driver); more than MOST names are an error.
     """
     column = column if column in df.columns else df.columns[0]
     text = F.col(column)
@@ -38,8 +48,8 @@ def json_expand(df: DataFrame, column: str = "answer", fields: dict[str, str] |
     many = F.when(F.col("_list"), F.from_json(text, "array<map<string,string>>"))
     rows = rows.withColumn("_one", one).withColumn("_many", many)
     if fields is None:
-        keys = rows.select(F.explode(F.coalesce(F.map_keys("_one"), F.flatten(F.transform("_many", F.map_keys)))).alias("k")).distinct()
-        names = sorted(r.k for r in keys.limit(1000).collect())
+        keys = rows.select(F.explode(F.coalesce(F.map_keys("_one"), F.flatten(F.transform("_many", F.map_keys)))).alias("k"))
+        names = few_values(keys, "k")
         order = {k: i for i, k in enumerate(_first_order(rows, names))}
         names.sort(key=lambda k: order.get(k, len(order)))
     else:

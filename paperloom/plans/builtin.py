@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import settings
+from ..functions.json_columns import few_values
 from ..functions.text import squeeze
 from ..operators.search import distinct_rows, expand_text, full_text, search_text
 from ..operators.statcheck import stats
@@ -186,8 +187,8 @@ def flagged_references(corpus: Corpus, db: DataFrame, normalize: bool = False) -
 
 
 def pivot_counts(table: DataFrame, column: str, prefix: str) -> DataFrame:
-    """Counts of a column's values for each id. The values are few: kinds of entries."""
-    values = sorted(r[0] for r in table.select(column).where(F.col(column).isNotNull()).distinct().limit(1000).collect())
+    """Counts of a column's values for each id. The values are few: kinds of entries; too many are an error."""
+    values = few_values(table, column)
     if not values:
         return table.groupBy("id").agg(F.lit(0).alias(f"{prefix}none")).select("id")
     return table.groupBy("id").agg(*(F.count_if(F.col(column) == v).alias(f"{prefix}{v}") for v in values))
@@ -249,13 +250,13 @@ def miscitation(corpus: Corpus, db: DataFrame | None = None) -> dict:
 
     rows = miscited(corpus, miscitations(corpus.info.sparkSession) if db is None else db)
     table = rows.select("id", "xref_id", "doi", "text", "section", "div", "p", "s").distinct()
-    dois = sorted(r.doi for r in rows.select("doi").distinct().limit(1000).collect())
+    dois = few_values(rows, "doi")
     summary = table.groupBy("id").agg(*(F.min(F.when(F.col("doi") == d, F.col("xref_id"))).alias(f"miscite_{d}") for d in dois)) if dois else table.select("id").distinct()
     if not dois:
         return {"table": table, "summary": summary, "traffic_light": "green", "report": "No miscited papers were detected."}
     quotes = rows.groupBy("doi", "reftext", "warning").agg(F.count("text").alias("n"), F.slice(F.array_sort(F.collect_set("text")), 1, 5).alias("quotes"))
     parts = ["Some cited papers are often miscited."]
-    for r in quotes.orderBy("doi").limit(100).collect():
+    for r in quotes.orderBy("doi").collect():
         shown = f"{len(r.quotes)} of {r.n}" if len(r.quotes) < r.n else str(r.n)
         parts += [f"**{r.doi}**", r.reftext or "", r.warning or "", f"*{shown} instance{'' if r.n == 1 else 's'}:*", *(f"> {q}" for q in r.quotes)]
     return {"table": table, "summary": summary, "traffic_light": "yellow", "report": "\n\n".join(parts)}

@@ -1,6 +1,12 @@
 """Queries that do the whole of a job, where those of the same name without a suffix take a part of the rows or words."""
 
+import pytest
 from paperloom import queries
+from paperloom.functions import json_columns
+from paperloom.plans import builtin
+from paperloom.plans.modules import module_run
+from paperloom.schemas import Corpus
+from pyspark.sql import functions as F
 
 D = "/root/testdata/sf0.001"
 
@@ -24,3 +30,22 @@ def test_flagged_references_have_every_citation(spark):
     assert max(map(len, places.values())) > 1
     summary = queries.QUERIES["retraction_summary_whole"](spark, D).collect()
     assert sum(r[f"rw_{s}"] for r in summary for s in queries.SEGMENTS) == len(rows)
+
+
+def test_too_many_kinds_are_an_error(spark):
+    n = json_columns.MOST
+    table = spark.range(n + 1).select(F.lit("a").alias("id"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("kind"))
+    with pytest.raises(ValueError, match="distinct values of kind"):
+        builtin.pivot_counts(table, "kind", "n_")
+    answers = table.select(F.to_json(F.create_map("kind", F.lit("1"))).alias("answer"))
+    with pytest.raises(ValueError, match="distinct values of k "):
+        json_columns.json_expand(answers)
+
+
+def test_miscitation_reports_every_doi(spark):
+    n = 120
+    refs = [("p", f"b{k}", f"10.1/{k}", "r") for k in range(n)]
+    corpus = Corpus.of(spark, info=spark.createDataFrame([("p",)], "id string"), bib=spark.createDataFrame(refs, "id string, xref_id string, doi string, ref string"))
+    db = spark.createDataFrame([(d, "a paper", "often miscited") for _, _, d, _ in refs], "doi string, reftext string, warning string")
+    report = module_run(corpus, "miscitation", db=db).report
+    assert all(f"**{d}**" in report for _, _, d, _ in refs)
