@@ -6,6 +6,8 @@ from paperloom.functions import json_columns
 from paperloom.plans import builtin
 from paperloom.plans.modules import module_run
 from paperloom.schemas import Corpus
+from paperloom.sources import scholarly
+from paperloom.sources.http import Recorded
 from pyspark.sql import functions as F
 
 D = "/root/testdata/sf0.001"
@@ -49,3 +51,10 @@ def test_miscitation_reports_every_doi(spark):
     db = spark.createDataFrame([(d, "a paper", "often miscited") for _, _, d, _ in refs], "doi string, reftext string, warning string")
     report = module_run(corpus, "miscitation", db=db).report
     assert all(f"**{d}**" in report for _, _, d, _ in refs)
+
+
+def test_too_many_titles_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(scholarly, "MOST_TITLES", 2)
+    bib = spark.createDataFrame([(None, f"t{k}", "j") for k in range(3)], "doi string, title string, journal string")
+    with pytest.raises(ValueError, match="more than 2 distinct titles"):
+        scholarly.bib_add_dois(bib, client=Recorded({}))
