@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,12 @@ def as_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs as a table with a number for each row, and the number's column: once written, a row keeps it in all that reads it."""
+    column = free_name(docs, "_rid")
+    return as_table(docs.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the temporary tables made so far. Call it once the results that read them are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -186,6 +193,39 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
+_EIGHT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, short: int = 64) -> np.ndarray:
+    """A hash of each span of bytes, eight bytes at a time with a mix after each, so that no repeated pattern cancels out.
+
+    Spans above short bytes get a cryptographic one, each by itself.
+    """
+    size = ends - starts
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix(size.astype(np.uint64) + np.uint64(_R))
+    live, at = np.flatnonzero((size > 0) & (size <= short)), 0
+    while len(live):
+        block = eights[starts[live] + at] & _EIGHT[np.minimum(size[live] - at, 8)]
+        out[live] = mix((out[live] ^ block) * np.uint64(0xD6E8FEB86659FD93))
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > short).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def named_words(low: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each word (equal numbers, equal bytes), a hash for each number, and the index of each text's first word."""
+    starts, ends, first = word_spans(low, offsets, kind)
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    body = low[kind[low]]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(body)]).dictionary_encode()
+    data, at = buffers(coded.dictionary)
+    return coded.indices.to_numpy(), byte_hashes(data, at[:-1], at[1:]), first
+
+
 def fold(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of every n consecutive hashes."""
     size = max(0, len(h) - n + 1)

@@ -12,6 +12,12 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the least neighbour of each node. A table of its own: joined by broadcast while it is small, and beyond that in a
+    stage of its own, in which Spark can split a node with very many edges."""
+    return common.as_table(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(a, b): root is the smallest node that it is connected with.
 
@@ -24,10 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        large = both.join(_least(both).select("u", F.least("u", "m").alias("m")), "u").where(F.col("v") > F.col("u"))
+        large = common.as_table(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
+        small = large.join(_least(large), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = common.as_table(small.where(F.col("u") != F.col("v")).distinct(), "edges")
         before, mark = mark, _mark(edges)
         if mark == before:

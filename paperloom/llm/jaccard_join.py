@@ -1,26 +1,32 @@
 """N-gram Jaccard join by signature trees.
 
-A document's set has its distinct shingles of five words, as 64-bit hashes. Documents with equal sets are one class, and
-classes link when their Jaccard similarity is 0.8 or more. Three steps, each of which keeps every link:
+A document's set has its distinct shingles of five words. Documents of equal words are one class, and classes link when their
+Jaccard similarity is 0.8 or more. Three steps, each of which keeps every link:
 
 1. Which sets can link at all. If two sets are that similar, then the first n - ceil(0.8 n) + 1 shingles of each, in any
    order common to all sets, have a shingle in common. The order here is rarest first. So a set whose first shingles
    occur nowhere else has no partner; with most documents it ends here. How often a shingle occurs is counted over all
-   documents: each chunk of documents sends its distinct shingles, packed, to the task of their hash range and gets
-   the logarithms of their counts back.
+   documents: each chunk of documents sends the hashes of its distinct shingles, packed, to the task of their hash range and
+   gets the logarithms of their counts back.
 2. Families: the sets with a first shingle in common, transitively (connected components over a star of edges for each
    shingle, no pairs). All links lie inside families.
-3. In each family a signature tree: sorted by size, sets are leaves, and a node holds the OR of its sets' token bitmaps,
-   their range of sizes and their fewest bits. A dual traversal compares nodes with nodes: it leaves a pair of nodes if
-   no sets of such sizes are similar enough, if the bitmaps allow too small an overlap, or if all their sets are
-   connected already; pairs of leaves are compared exactly. A family above FAMILY sets is dealt over tasks by pairs of
-   parts of it, so that no task holds more than two parts.
+3. In each family a signature tree: sets are leaves, and a node holds the OR of its sets' token bitmaps, their range of
+   sizes and their fewest bits. The sets of a family, by size and least hash, are cut into parts of FAMILY sets or BYTES bytes,
+   each a subtree that one task holds; the nodes above are rows of a table. A dual traversal compares nodes with nodes, above the
+   parts by joins and below them in tasks: it leaves a pair of nodes if no sets of such sizes are similar enough, if the bitmaps
+   allow too small an overlap, or if all their sets are connected already; pairs of leaves are compared exactly. Texts are sent
+   only for the pairs of parts that are left. Near parts come first, so that what they connect need not be compared again.
 
 Components of the links found, with the smallest doc_id in each, are the result.
 
+Hashes choose what is compared, and decide nothing: a document's shingles are told apart by their words (two with one hash count
+as two, and the common order above is then one of hashes first), and sets that are compared have names for their shingles that are equal
+only if the words are. Classes go by a cryptographic digest of all words.
+
 Cases: null and empty texts, and texts without words, have no shingles and link with nothing. A text of one to four words
 has one shingle. Rows are members of their own, also where doc_id repeats or is null (a null is never the smallest, unless
-all are). Other columns are not read. An empty table gives an empty result.
+all are). Other columns are not read. An empty table gives an empty result. The rows are written to a table with a number each before
+anything else, so a retry can't number them otherwise. One text is always in one task, whatever its length.
 """
 
 from __future__ import annotations
@@ -30,7 +36,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,51 +49,79 @@ WORDS = 5
 PERCENT = 80
 #: Bytes of text in a chunk, about.
 CHUNK = 8 << 20
-#: Sets of a family that one task compares with each other; larger families are dealt in parts.
-FAMILY = 1024
-#: Children of a tree node.
-FANOUT = 8
+#: Sets, and bytes of their words, of a part of a family, which one task compares with each other or with another part.
+FAMILY, BYTES = 1024, 4 << 20
+#: Children of a tree node: below a part, and above.
+FANOUT, WIDE = 8, 32
+#: Bits of a part's bitmap.
+BITS = 1 << 14
 
 
 # ---------------------------------------------------------------- shingles
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (shingle, document) pairs of some texts, sorted by both."""
-    low = common.LOWER[data]
-    starts, ends, first = common.word_spans(low, offsets, common.NONSPACE)
-    words = common.span_hashes(common.prefix_sums(low), starts, ends)
+def shingles(data: np.ndarray, offsets: np.ndarray, hash_bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, first word) of the shingles of some texts, and numbers that name all words. hash_bits: how many are kept."""
+    ids, hashes, first = common.named_words(common.LOWER[data], offsets, common.NONSPACE)
+    words = hashes[ids]
     count = np.diff(first)
     of_doc = np.where(count >= WORDS, count - WORDS + 1, 0)
-    token = common.fold(words, WORDS)[common.ranges(first[:-1], of_doc)]
+    at = common.ranges(first[:-1], of_doc)
+    token = common.fold(words, WORDS)[at]
     doc = np.repeat(np.arange(len(count)), of_doc)
     short = np.flatnonzero((count > 0) & (count < WORDS))
     if len(short):
         whole = np.array([common.fold(words[first[d] : first[d + 1]], int(count[d]))[0] ^ np.uint64(int(count[d])) for d in short], np.uint64)
-        token, doc = np.concatenate([token, common.mix(whole)]), np.concatenate([doc, short])
-    return token, doc
+        token, doc, at = np.concatenate([token, common.mix(whole)]), np.concatenate([doc, short]), np.concatenate([at, first[short]])
+    return token & np.uint64((1 << 64) - (1 << 64 - hash_bits)), doc, at, ids
 
 
-def pairs_of_table(table: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
-    """The distinct (shingle, row) pairs of a table with text, sorted by shingle and row, and the number of rows."""
-    tokens, docs, rows = [], [], 0
+def pairs_of_table(table: pa.Table, hash_bits: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
+    """A (hash, row) pair for each distinct shingle of each row of a table with text, sorted by both, and the number of rows."""
+    tokens, docs, places, names, rows, known = [], [], [], [], 0, 0
     for batch in table.to_batches():
         for part, data, offsets in common.slices(batch):
-            token, doc = shingles(data, offsets)
+            token, doc, at, ids = shingles(data, offsets, hash_bits)
             tokens.append(token)
             docs.append(doc + rows)
-            rows += part.num_rows
-    token = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+            places.append(at + known)
+            names.append(ids)
+            rows, known = rows + part.num_rows, known + len(ids)
+    if not tokens:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), rows
+    token, doc, at, name = (np.concatenate(x) for x in (tokens, docs, places, names))
     order = np.argsort(token)
     same = np.zeros(len(token) + 1, bool)
     same[1:-1] = token[order[1:]] == token[order[:-1]]
     run = np.flatnonzero(same[1:] | same[:-1])
     order[run] = order[run][np.lexsort((doc[order[run]], token[order[run]]))]
-    token, doc = token[order], doc[order]
-    keep = np.ones(len(token), bool)
-    keep[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-    return token[keep], doc[keep], rows
+    token, doc, at = token[order], doc[order], at[order]
+    twin = np.flatnonzero((token[1:] == token[:-1]) & (doc[1:] == doc[:-1]))
+    words = lambda x: [name[at[x] + k] for k in range(WORDS)]
+    equal = lambda: np.logical_and.reduce([a == b for a, b in zip(words(twin), words(twin + 1), strict=True)])
+    if len(twin):
+        if not equal().all():  # different shingles of a document have one hash: those with equal words side by side
+            run = np.union1d(twin, twin + 1)
+            at[run] = at[run][np.lexsort((*words(run), doc[run], token[run]))]
+        keep = np.ones(len(token), bool)
+        keep[twin + 1] = ~equal()
+        token, doc = token[keep], doc[keep]
+    return token, doc, rows
+
+
+def plain_words(table: pa.Table):
+    """The words of each text of a table, lower-cased, with single spaces between."""
+    for batch in table.to_batches():
+        for part, data, offsets in common.slices(batch):
+            word = common.NONSPACE[data]
+            keep = word.copy()
+            keep[1:] |= word[:-1]
+            heads = offsets[:-1][np.diff(offsets) > 0]
+            keep[heads] = word[heads]
+            body = np.where(word, common.LOWER[data], 32).astype(np.uint8)[keep]
+            bounds = np.append(0, np.cumsum(keep))[offsets].tolist()
+            for k in range(part.num_rows):
+                yield body[bounds[k] : bounds[k + 1]].tobytes().rstrip(b" ")
 
 
 def first_count(n):
@@ -126,9 +161,9 @@ PACKED = "chunk long, part long, shingles binary, counts binary"
 LEVELS = "chunk long, part long, levels binary"
 
 
-def _packer(bits: int):
+def _packer(bits: int, hash_bits: int):
     def pack(table: pa.Table) -> pa.Table:
-        token, _, _ = pairs_of_table(table)
+        token, _, _ = pairs_of_table(table, hash_bits)
         key, at = _keys(token, bits)
         counts = np.minimum(np.diff(np.append(at, len(token))), 255).astype(np.uint8)
         parts, bounds = _ranges(key)
@@ -170,13 +205,13 @@ def _levels(table: pa.Table) -> pa.Table:
 
 # ---------------------------------------------------------------- sets
 
-SETS = "rid long, doc_id long, n_shingles long, live boolean, digest binary, first binary, shingles binary"
+SETS = "rid long, doc_id long, n_shingles long, live boolean, digest binary, least long, first binary, words binary"
 
 
-def _setter(bits: int):
+def _setter(bits: int, hash_bits: int):
     def sets(docs: pa.Table, levels: pa.Table) -> pa.Table:
-        """A row for each document; its set and first shingles that occur elsewhere, if there are any, else null."""
-        token, doc, rows = pairs_of_table(docs)
+        """A row for each document; its words and first shingles that occur elsewhere, if there are any, else null."""
+        token, doc, rows = pairs_of_table(docs, hash_bits)
         key, at = _keys(token, bits)
         level = np.zeros(len(key), np.uint8)
         parts, bounds = _ranges(key)
@@ -190,56 +225,70 @@ def _setter(bits: int):
         live = (n > 0) & (first_count(n) > single)
         keep = live[doc]
         token, doc, level = token[keep], doc[keep], level[keep]
-        order = np.lexsort((token, doc))
-        by_token, by_doc = token[order], doc[order]
-        bounds = np.searchsorted(by_doc, np.arange(rows + 1))
-        token = token[np.lexsort((token, level, doc))]
-        digests, firsts, all_ = [None] * rows, [None] * rows, [None] * rows
-        for d in np.flatnonzero(live):
-            lo, hi = bounds[d], bounds[d + 1]
-            all_[d] = by_token[lo:hi].tobytes()
-            digests[d] = hashlib.blake2b(all_[d], digest_size=16).digest()
-            firsts[d] = token[lo + single[d] : lo + first_count(hi - lo)].tobytes()
-        return pa.table(
-            {
-                "rid": docs["rid"],
-                "doc_id": docs["doc_id"],
-                "n_shingles": pa.array(n, pa.int64()),
-                "live": pa.array(live),
-                "digest": pa.array(digests, pa.binary()),
-                "first": pa.array(firsts, pa.binary()),
-                "shingles": pa.array(all_, pa.binary()),
-            }
-        )
+        order = np.lexsort((token, level, doc))
+        token, bounds = token[order], np.searchsorted(doc[order], np.arange(rows + 1))
+        digests, least, firsts, words = [None] * rows, [None] * rows, [None] * rows, [None] * rows
+        for d, text in enumerate(plain_words(docs)):
+            if live[d]:
+                lo, hi = bounds[d], bounds[d + 1]
+                words[d] = text
+                digests[d] = hashlib.blake2b(text, digest_size=16).digest()
+                least[d] = int(token[lo:hi].min() >> np.uint64(1))
+                firsts[d] = np.unique(token[lo + single[d] : lo + first_count(hi - lo)]).tobytes()
+        columns = {"n_shingles": pa.array(n, pa.int64()), "live": pa.array(live), "digest": pa.array(digests, pa.binary()), "least": pa.array(least, pa.int64())}
+        return pa.table({"rid": docs["rid"], "doc_id": docs["doc_id"], **columns, "first": pa.array(firsts, pa.binary()), "words": pa.array(words, pa.binary())})
 
     return sets
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """SETS for each row of docs(doc_id, text); rid is monotonically_increasing_id() over docs."""
+def document_sets(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """SETS for each row of docs(rid, doc_id, text), a stored table. hash_bits: of the shingles' hashes, kept; few give the same result, slower."""
     spark = docs.sparkSession
     _, size = common.text_size(docs)
     chunks = max(common.shuffle_partitions(spark), math.ceil(size / CHUNK))
     bits = max(0, min(31, math.ceil(math.log2(max(1, size / (CHUNK / 2))))))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
-    levels = docs.groupBy("chunk").applyInArrow(_packer(bits), PACKED).groupBy("part").applyInArrow(_levels, LEVELS)
-    return docs.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_setter(bits), SETS)
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.lit(chunks)).cast("long"))
+    levels = docs.groupBy("chunk").applyInArrow(_packer(bits, hash_bits), PACKED).groupBy("part").applyInArrow(_levels, LEVELS)
+    return docs.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_setter(bits, hash_bits), SETS)
 
 
 # ---------------------------------------------------------------- signature trees
 
 
+def named_sets(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, as numbers that are equal only if the words are; (text, bit) of all in a bitmap of BITS."""
+    offsets = np.cumsum([0, *map(len, texts)])
+    ids, hashes, first = common.named_words(np.frombuffer(b"".join(texts), np.uint8), offsets, common.NONSPACE)
+    count = np.diff(first)
+    of_text = np.maximum(0, count - WORDS + 1)
+    at = common.ranges(first[:-1], of_text)
+    name, token = ids.astype(np.int64), common.fold(hashes[ids], WORDS)[at]
+    for k in range(1, WORDS):
+        if len(ids) > k:
+            # A run of k + 1 words is that of its first k, and its last; both have numbers.
+            _, name = np.unique(name[: len(ids) - k] * (int(ids.max()) + 1) + ids[k:], return_inverse=True)
+    name, text = name[at], np.repeat(np.arange(len(texts)), of_text)
+    short = np.flatnonzero(count < WORDS)  # each has one of its own, as texts are distinct
+    if len(short):
+        tail = np.array([common.fold(hashes[ids[first[k] : first[k + 1]]], int(count[k]))[0] for k in short], np.uint64)
+        name, text, token = np.concatenate([name, len(ids) + short]), np.concatenate([text, short]), np.concatenate([token, tail])
+    order = np.lexsort((name, text))
+    name, text, token = name[order], text[order], token[order]
+    keep = np.ones(len(name), bool)
+    keep[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
+    name, text, token = name[keep], text[keep], token[keep]
+    return np.split(name, np.searchsorted(text, np.arange(1, len(texts)))), text, (token & np.uint64(BITS - 1)).astype(np.int64)
+
+
 class Tree:
-    """Sets by size, and over them levels of nodes of FANOUT children each. Level 0 has the sets themselves."""
+    """Sets in the order given, and over them levels of nodes of FANOUT children each. Level 0 has the sets themselves."""
 
     def __init__(self, sets: list[np.ndarray], width: int):
         self.sets = sets
         sizes = np.array([len(x) for x in sets])
         bits = np.zeros((len(sets), width // 8), np.uint8)
         for k, x in enumerate(sets):
-            at = np.unique(x & np.uint64(width - 1)).astype(np.int64)
+            at = np.unique(x & (width - 1))
             np.bitwise_or.at(bits[k], at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         bits = bits.view(np.uint64)
         some = np.bitwise_count(bits).sum(1, dtype=np.int64)
@@ -254,17 +303,21 @@ class Tree:
         return k * FANOUT**level, min((k + 1) * FANOUT**level, len(self.sets))
 
 
-def _apart(a: Tree, i: int, x: int, b: Tree, j: int, y: np.ndarray) -> np.ndarray:
-    """Of the nodes y of level j of b, those that have no set similar enough to any of node x of level i of a."""
-    bits_a, low_a, high_a, some_a = (v[x] for v in a.levels[i])
-    bits_b, low_b, high_b, some_b = (v[y] for v in b.levels[j])
+def _too_unlike(low_a, high_a, some_a, low_b, high_b, some_b, shared) -> np.ndarray:
+    """Whether nodes with such ranges of sizes, fewest bits and bits in common have no sets that are similar enough."""
     apart = (100 * high_a < PERCENT * low_b) | (100 * high_b < PERCENT * low_a)
-    common_bits = np.bitwise_count(bits_b & bits_a).sum(1, dtype=np.int64)
     # A shingle of a set falls on a bit of it, so each bit that the other side lacks stands for one that isn't shared.
-    most = np.minimum(high_a - np.maximum(0, some_a - common_bits), high_b - np.maximum(0, some_b - common_bits))
+    most = np.minimum(high_a - np.maximum(0, some_a - shared), high_b - np.maximum(0, some_b - shared))
     return apart | (most * (100 + PERCENT) < PERCENT * (low_a + low_b))
 
 
+def _apart(a: Tree, i: int, x: int, b: Tree, j: int, y: np.ndarray) -> np.ndarray:
+    """Of the nodes y of level j of b, those that have no set similar enough to any of node x of level i of a."""
+    bits_a, *numbers_a = (v[x] for v in a.levels[i])
+    bits_b, *numbers_b = (v[y] for v in b.levels[j])
+    return _too_unlike(*numbers_a, *numbers_b, np.bitwise_count(bits_b & bits_a).sum(1, dtype=np.int64))
+
+
 def traverse(a: Tree, b: Tree, label_a: np.ndarray, label_b: np.ndarray) -> list[tuple[int, int]]:
     """Links between sets of a and of b (which may be the same tree) that connect all that links connect.
 
@@ -335,99 +388,252 @@ def every_link(a: Tree, b: Tree):
             yield x, np.concatenate(found)
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """How many documents each set of a part of a family, or of two parts, links with in the other sets there."""
-    part, left, right = table["part"].to_numpy(), table["left"][0].as_py(), table["right"][0].as_py()
-    sets, weight = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]], table["documents"].to_numpy()
-    order = np.array(sorted(range(len(sets)), key=lambda k: len(sets[k])))
-    width = 1 << max(9, (4 * max(map(len, sets)) - 1).bit_length())
-    mine, theirs = order[part[order] == left], order[part[order] == right]
-    links = np.zeros(len(sets), np.int64)
-    if len(mine) and len(theirs):
-        a = Tree([sets[k] for k in mine], width)
-        b = a if left == right else Tree([sets[k] for k in theirs], width)
-        for x, y in every_link(a, b):
-            links[mine[x]] += weight[theirs[y]].sum()
-            links[theirs[y]] += weight[mine[x]]
-    return pa.table({"digest": table["digest"], "links": pa.array(links)})
-
-
-def _compare(table: pa.Table) -> pa.Table:
-    """Links among the sets of a part of a family, or between two parts."""
-    part, left, right = table["part"].to_numpy(), table["left"][0].as_py(), table["right"][0].as_py()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]]
-    digests = table["digest"].to_pylist()
-    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), sets[k][0], digests[k]))
-    width = 1 << max(9, (4 * max(map(len, sets)) - 1).bit_length())
-    mine = [k for k in order if part[k] == left]
-    a = Tree([sets[k] for k in mine], width)
+def _width(sets: list[np.ndarray]) -> int:
+    return 1 << max(9, (4 * max(map(len, sets)) - 1).bit_length())
+
+
+def linked_sets(sets: list[np.ndarray], cut: int | None = None) -> tuple[list[tuple[int, int]], bool]:
+    """Links that connect all that links connect, in a part of a family, or between the first cut sets and the others; whether all are connected."""
     label = np.arange(len(sets))
-    if left == right:
-        ends, links = (mine, mine), traverse(a, a, own := label[: len(mine)], own)
+    if cut is None:
+        tree = Tree(sets, _width(sets))
+        links = traverse(tree, tree, label, label)
     else:
-        theirs = [k for k in order if part[k] == right]
-        if not mine or not theirs:
-            ends, links = ([], []), []
-        else:
-            ends, links = (mine, theirs), traverse(a, Tree([sets[k] for k in theirs], width), label[: len(mine)], label[len(mine) :])
-    return pa.table({"a": pa.array([digests[ends[0][x]] for x, _ in links], pa.binary()), "b": pa.array([digests[ends[1][y]] for _, y in links], pa.binary())})
+        a, b = Tree(sets[:cut], _width(sets)), Tree(sets[cut:], _width(sets))
+        links = [(x, cut + y) for x, y in traverse(a, b, label[:cut], label[cut:])]
+    return links, bool((label == label[0]).all())
 
 
-# ---------------------------------------------------------------- the join
+def counted_links(sets: list[np.ndarray], weights: np.ndarray, cut: int | None = None) -> np.ndarray:
+    """How many documents each set links with in the other sets of a part, or, with cut, in those of the other part."""
+    counts = np.zeros(len(sets), np.int64)
+    first = Tree(sets[:cut], _width(sets))
+    second, shift = (first, 0) if cut is None else (Tree(sets[cut:], _width(sets)), cut)
+    for x, y in every_link(first, second):
+        counts[x] += weights[y + shift].sum()
+        counts[y + shift] += weights[x]
+    return counts
+
+
+# ---------------------------------------------------------------- families in parts
 
 
 def _explode_first(batches):
     for batch in batches:
         firsts = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("first")]
-        counts = np.array([len(x) for x in firsts])
+        counts = np.array([len(x) for x in firsts], np.int64)
         shingle = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(shingle), batch.column("digest").take(pa.array(np.repeat(np.arange(len(counts)), counts)))], names=["shingle", "digest"])
 
 
-def _dealt(sets: DataFrame, *columns: str) -> DataFrame:
-    """Sets by (root, left, right): a part of a family, or two parts of it. sets: digest, first and columns of distinct live sets."""
-    firsts = sets.select("digest", "first").mapInArrow(_explode_first, "shingle long, digest binary")
+def families(live: DataFrame) -> DataFrame:
+    """(root, digest, n_shingles, least, words, documents) of each class of live sets that shares a first shingle with another."""
+    firsts = live.groupBy("digest").agg(F.first("first").alias("first")).mapInArrow(_explode_first, "shingle long, digest binary")
     stars = firsts.groupBy("shingle").agg(F.min("digest").alias("center"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     # A table of its own, so that the join has a stage of its own, in which Spark can split a shingle of many sets.
     stars = common.as_table(stars.select("shingle", "center"), "stars")
     edges = firsts.join(stars, "shingle").where(F.col("digest") != F.col("center")).select(F.col("digest").alias("a"), F.col("center").alias("b")).distinct()
-    families = common.as_table(components(edges), "families")
-    parts = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("parts"))
-    members = families.join(parts, "root").join(sets.select("digest", *columns), F.col("node") == F.col("digest"))
-    members = members.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return members.select("root", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "digest", *columns)
+    roots = common.as_table(components(edges), "families").withColumnRenamed("node", "digest")
+    whole = live.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n_shingles", "least", "words")), F.count(F.lit(1)).alias("documents"))
+    return common.as_table(whole.join(roots, "digest"), "members")
+
+
+PARTS = """root binary, part long, whole boolean, low int, high int, some int, bits binary, digests array<binary>, words array<binary>, weights array<bigint>,
+a array<binary>, b array<binary>, links array<bigint>"""
+PARTS_ARROW = pa.schema(
+    [
+        ("root", pa.binary()), ("part", pa.int64()), ("whole", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("some", pa.int32()), ("bits", pa.binary()),
+        ("digests", pa.list_(pa.binary())), ("words", pa.list_(pa.binary())), ("weights", pa.list_(pa.int64())), ("a", pa.list_(pa.binary())), ("b", pa.list_(pa.binary())), ("links", pa.list_(pa.int64())),
+    ]
+)
+
+
+def _part(root: bytes, part: int, rows: list[tuple], several: bool, count: bool) -> dict:
+    """A part of a family: its node of the tree, the links in it, and its sets, if there may be other parts. rows: digest, words, documents."""
+    digests, texts, weights = (list(x) for x in zip(*rows, strict=True))
+    sets, text, bit = named_sets(texts)
+    each = np.unique(text * BITS + bit)
+    bits = np.zeros(BITS, np.uint8)
+    bits[each % BITS] = 1
+    sizes = [len(x) for x in sets]
+    out = {"root": root, "part": part, "low": min(sizes), "high": max(sizes), "some": int(np.bincount(each // BITS).min()), "bits": np.packbits(bits, bitorder="little").tobytes()}
+    out |= {"digests": digests, "words": texts, "weights": weights} if several else {"digests": digests if count else None}
+    if count:
+        return out | {"whole": False, "links": counted_links(sets, np.array(weights)).tolist()}
+    links, whole = linked_sets(sets)
+    return out | {"whole": whole, "a": [digests[x] for x, _ in links], "b": [digests[y] for _, y in links]}
+
+
+def family_parts(members: DataFrame, count: bool = False, most: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """PARTS of families(), whatever their size: dealt by range, so a family of many sets is in many tasks."""
+    most, most_bytes, spark = most or FAMILY, most_bytes or BYTES, members.sparkSession
+
+    def run(batches):
+        base, k, root, rows, size = TaskContext.get().partitionId() << 32, 0, None, [], 0
+        several = True  # the first family of a task may have begun in another, as the last may go on in one
+        made = []
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("root", "digest", "words", "documents"))
+            for family, *row in zip(*columns, strict=True):
+                if rows and (family != root or len(rows) >= most or size + len(row[1]) > most_bytes):
+                    made.append(_part(root, base + k, rows, several or family == root, count))
+                    several, rows, size, k = family == root, [], 0, k + 1
+                    if len(made) >= 64 or made[-1].get("words"):
+                        yield pa.RecordBatch.from_pylist(made, PARTS_ARROW)
+                        made = []
+                root, size = family, size + len(row[1])
+                rows.append(row)
+        if rows:
+            made.append(_part(root, base + k, rows, True, count))
+        if made:
+            yield pa.RecordBatch.from_pylist(made, PARTS_ARROW)
+
+    _, size = members.agg(F.count(F.lit(1)), F.sum(F.octet_length("words"))).first()
+    tasks = max(common.shuffle_partitions(spark), math.ceil((size or 0) / (8 * BYTES)))
+    # By size, a factor of 1.25 at a time, and by least hash, which similar sets mostly share, so that parts are alike inside.
+    order = [F.col("root"), F.floor(F.log(F.col("n_shingles")) / math.log(1.25)), F.col("least"), F.col("digest")]
+    dealt = members.select("root", "digest", "words", "documents", "n_shingles", "least").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return common.as_table(dealt.mapInArrow(run, PARTS), "parts")
+
+
+NODE = "root binary, k long, low int, high int, some int, bits binary"
+
+
+def _node(table: pa.Table) -> pa.Table:
+    """The node above some nodes."""
+    bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table["bits"]])
+    low, high, some = (f(table[c].to_numpy()) for f, c in ((np.min, "low"), (np.max, "high"), (np.min, "some")))
+    return pa.table({"root": table["root"][:1], "k": table["up"][:1], "low": pa.array([low], pa.int32()), "high": pa.array([high], pa.int32()), "some": pa.array([some], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def _possible(batches):
+    """The pairs of nodes that may have similar sets: one for each side in _apart()'s terms."""
+    for batch in batches:
+        low_a, high_a, some_a, low_b, high_b, some_b = (batch.column(f"{c}_{side}").to_numpy().astype(np.int64) for side in "ab" for c in ("low", "high", "some"))
+        bits_a, bits_b = (common.buffers(batch.column(f"bits_{side}"))[0].copy().reshape(-1, BITS // 8).view(np.uint64) for side in "ab")
+        shared = np.bitwise_count(bits_a & bits_b).sum(1, dtype=np.int64)
+        keep = ~_too_unlike(low_a, high_a, some_a, low_b, high_b, some_b, shared)
+        yield batch.select(["root", "left", "right"]).filter(pa.array(keep))
+
+
+def part_pairs(parts: DataFrame) -> tuple[DataFrame, int] | None:
+    """(left, right, gap): parts of a family, and how far apart they are in it, that may have similar sets; and the largest gap there can be.
+
+    The dual traversal above the parts, level by level from the root. A family's parts are numbered in one task: one row for FAMILY
+    sets or BYTES bytes, without the words.
+    """
+    several = parts.where("words IS NOT NULL").select("root", "part", "whole", "low", "high", "some", "bits")
+    several = several.withColumn("k", (F.row_number().over(Window.partitionBy("root").orderBy("part")) - 1).cast("long"))
+    nodes = [common.as_table(several, "nodes")]
+    most = last = nodes[0].agg(F.max("k")).first()[0] or 0
+    if not most:
+        return None
+    while last >= WIDE:
+        up = nodes[-1].select("root", F.expr(f"k div {WIDE}").alias("up"), "low", "high", "some", "bits").groupBy("root", "up").applyInArrow(_node, NODE)
+        nodes.append(common.as_table(up, "nodes"))
+        last //= WIDE
+    side = lambda df, s: df.select("root", *(F.col(c).alias(f"{c}_{s}") for c in ("k", "low", "high", "some", "bits")))
+    pairs = None
+    for level in reversed(nodes):
+        a, b = side(level, "a"), side(level, "b")
+        if pairs is None:
+            joined = a.join(b, "root")
+        else:
+            joined = pairs.join(a.withColumn("left", F.expr(f"k_a div {WIDE}")), ["root", "left"]).join(b.withColumn("right", F.expr(f"k_b div {WIDE}")), ["root", "right"])
+        order = F.col("k_a") < F.col("k_b") if level is nodes[0] else F.col("k_a") <= F.col("k_b")
+        joined = joined.where(order).drop("left", "right").withColumnsRenamed({"k_a": "left", "k_b": "right"})
+        pairs = common.as_table(joined.mapInArrow(_possible, "root binary, left long, right long"), "node-pairs")
+    name = lambda s: nodes[0].select("root", F.col("k").alias(s), F.col("part").alias(f"{s}_part"), F.col("whole").alias(f"{s}_whole"))
+    pairs = pairs.join(name("left"), ["root", "left"]).join(name("right"), ["root", "right"])
+    pairs = pairs.select(F.col("left_part").alias("left"), F.col("right_part").alias("right"), (F.col("right") - F.col("left")).alias("gap"), (F.col("left_whole") & F.col("right_whole")).alias("whole"))
+    return common.as_table(pairs, "part-pairs"), most
+
+
+def _compare(count: bool):
+    def compare(table: pa.Table) -> pa.Table:
+        """Two rows, the parts of a pair: their links."""
+        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        digests, texts = ([x for r in rows for x in r[c]] for c in ("digests", "words"))
+        sets, cut = named_sets(texts)[0], len(rows[0]["digests"])
+        if count:
+            weights = np.array([x for r in rows for x in r["weights"]])
+            return pa.table({"digest": pa.array(digests, pa.binary()), "links": pa.array(counted_links(sets, weights, cut))})
+        links, _ = linked_sets(sets, cut)
+        side = lambda c: pa.array([rows[c]["part"]] * len(links), pa.int64())
+        return pa.table({"left": side(0), "right": side(1), "a": pa.array([digests[x] for x, _ in links], pa.binary()), "b": pa.array([digests[y] for _, y in links], pa.binary())})
+
+    return compare
+
+
+def _compared(parts: DataFrame, pairs: DataFrame, count: bool) -> DataFrame:
+    columns = ["part", "digests", "words", *["weights"] * count]
+    parts = parts.where("words IS NOT NULL").select(*columns)
+    one = lambda side: pairs.select("left", "right").join(parts, F.col(side) == F.col("part"))
+    schema = "digest binary, links long" if count else "left long, right long, a binary, b binary"
+    return one("left").unionByName(one("right")).groupBy("left", "right").applyInArrow(_compare(count), schema)
+
 
+# ---------------------------------------------------------------- the join
 
-def set_links(sets: DataFrame) -> DataFrame:
-    """(a, b): links between classes of equal sets that connect all that links connect. sets: digest, first, shingles of distinct live sets."""
-    return _dealt(sets, "shingles").groupBy("root", "left", "right").applyInArrow(_compare, "a binary, b binary")
+
+def set_links(members: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b): links between classes of families() that connect all that links connect."""
+    parts = family_parts(members, most=most)
+    each = F.arrays_zip("a", "b")
+    links = parts.where(F.size("a") > 0).select(F.explode(each).alias("e")).select("e.a", "e.b")
+    if not (found := part_pairs(parts)):
+        return links
+    pairs, last = found
+    # Pairs of near parts first, twice as far each time. Parts that are connected inside, and by now with each other, need no comparison.
+    merged, edges = None, None
+    for r in range(last.bit_length()):
+        mine = pairs.where(F.col("gap").between(1 << r, (2 << r) - 1))
+        if merged is not None:
+            of = lambda side: merged.select(F.col("node").alias(side), F.col("root").alias(f"{side}_in"))  # noqa: B023, E731
+            mine = mine.join(of("left"), "left", "left").join(of("right"), "right", "left")
+            mine = mine.where("left_in IS NULL OR right_in IS NULL OR left_in <> right_in OR NOT whole").select("left", "right", "whole")
+        new = common.as_table(_compared(parts, mine, False), "links-across")
+        links = links.unionByName(new.select("a", "b"))
+        if 2 << r <= last:
+            more = new.select("left", "right").distinct().join(pairs.where("whole"), ["left", "right"], "left_semi").select(F.col("left").alias("a"), F.col("right").alias("b"))
+            edges = more if edges is None else edges.unionByName(more)
+            merged = common.as_table(components(edges), "merged-parts")
+    return links
 
 
-def link_counts(docs: DataFrame) -> DataFrame:
+def _given(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, text), stored, for docs(doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    table, rid = common.numbered(rows, "rows")
+    return table.withColumnRenamed(rid, "rid")
+
+
+def link_counts(docs: DataFrame, most: int | None = None, hash_bits: int = 64) -> DataFrame:
     """(rid, doc_id, n_shingles, n_links) for each row of docs(doc_id, text): how many other rows it is similar to, all pairs counted."""
-    sets = common.as_table(document_sets(docs), "sets")
+    sets = common.as_table(document_sets(_given(docs), hash_bits), "sets")
     live = sets.where("live")
-    distinct = common.as_table(live.groupBy("digest").agg(F.first("first").alias("first"), F.first("shingles").alias("shingles"), F.count(F.lit(1)).alias("documents")), "distinct-sets")
-    found = _dealt(distinct, "shingles", "documents").groupBy("root", "left", "right").applyInArrow(_count, "digest binary, links long")
+    parts = family_parts(families(live), count=True, most=most)
+    found = parts.select(F.explode(F.arrays_zip("digests", "links")).alias("e")).select(F.col("e.digests").alias("digest"), "e.links")
+    if across := part_pairs(parts):
+        found = found.unionByName(_compared(parts, across[0], True))
     found = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    of_set = distinct.select("digest", "documents").join(found, "digest", "left").select("digest", (F.col("documents") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    of_set = common.as_table(of_set, "link-counts")
+    of_set = live.groupBy("digest").agg(F.count(F.lit(1)).alias("documents")).join(found, "digest", "left")
+    of_set = common.as_table(of_set.select("digest", (F.col("documents") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "link-counts")
     rows = sets.select("rid", "doc_id", "n_shingles", "live", "digest")
     linked = rows.where("live").join(of_set, "digest").select("rid", "doc_id", "n_shingles", "n_links")
     return linked.unionByName(rows.where(~F.col("live")).select("rid", "doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links")))
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text); kept is true for one row of a component."""
-    sets = common.as_table(document_sets(docs), "sets")
+def similar_rows(docs: DataFrame, most: int | None = None, hash_bits: int = 64) -> DataFrame:
+    """(rid, doc_id, n_shingles, component_id, kept) for each row of docs(rid, doc_id, text), a stored table; kept is true for one row of a component."""
+    sets = common.as_table(document_sets(docs, hash_bits), "sets")
     live = sets.where("live")
-    distinct = common.as_table(live.groupBy("digest").agg(F.first("first").alias("first"), F.first("shingles").alias("shingles")), "distinct-sets")
-    roots = components(set_links(distinct)).withColumnRenamed("node", "digest")
-    # Equal sets first, before anything is dealt by their digest; a null doc_id comes last.
+    roots = components(set_links(families(live), most)).withColumnRenamed("node", "digest")
+    # Classes first, before anything is dealt by their digest; a null doc_id comes last.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
     of_set = live.groupBy("digest").agg(least).join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     of_set = common.as_table(of_set, "equal-sets")
-    best = of_set.groupBy("root").agg(F.min("least").alias("best"))
+    best = common.as_table(of_set.groupBy("root").agg(F.min("least").alias("best")), "least-of-components")
     classes = of_set.join(best, "root").select("digest", F.col("best.doc_id").alias("component_id"), F.col("best.rid").alias("keep"))
     classes = common.as_table(classes, "classes")
     rows = sets.select("rid", "doc_id", "n_shingles", "live", "digest")
@@ -436,11 +642,17 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone)
 
 
+def similar_documents(docs: DataFrame, most: int | None = None, hash_bits: int = 64) -> DataFrame:
+    """similar_rows() for docs(doc_id, text); rid is a number of its own for each row."""
+    return similar_rows(_given(docs), most, hash_bits)
+
+
 def drop_similar(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that with the smallest doc_id; all columns of docs."""
-    rid = common.free_name(docs, "_rid_similar")
-    kept = similar_documents(docs).where("kept").select(F.col("rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left_semi").drop(rid)
+    table, rid = common.numbered(docs, "documents")
+    given = table.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kept = similar_rows(given).where("kept").select(F.col("rid").alias(rid))
+    return table.join(kept, rid, "left_semi").drop(rid)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ def brute(rows):
     return sorted(((d, len(s), best.get(find(k))) for k, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
 
 
-def got(spark, rows):
-    out = jj.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+def got(spark, rows, **how):
+    out = jj.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()
     assert sum(r.kept for r in out) == len({(r.component_id) if r.n_shingles else ("own", r.rid) for r in out})
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str)
 
@@ -46,9 +46,10 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("family", [4096, 8])
-def test_near_copies(spark, monkeypatch, family):
-    monkeypatch.setattr(jj, "FAMILY", family)
+@pytest.mark.parametrize("family, hash_bits", [(4096, 64), (8, 64), (3, 64), (1024, 6)])
+def test_near_copies(spark, monkeypatch, family, hash_bits):
+    """Families in many parts with levels above them; hashes of six bits, by which all shingles seem to occur everywhere."""
+    monkeypatch.setattr(jj, "WIDE", 2)
     rng = random.Random(family)
     rows = [(1000, None), (1001, ""), (1002, " \t"), (1003, "One two"), (1004, "one TWO"), (1004, "one two"), (1005, "one two three four"), (1006, "A B C D E"), (1007, "a b c d e")]
     for d in range(12):
@@ -56,9 +57,72 @@ def test_near_copies(spark, monkeypatch, family):
         rows += [(d * 20 + k, edited(rng, base, rng.randrange(0, 8))) for k in range(15)]
     rows += [(2000, " ".join(f"v{i}" for i in range(3000))), (2001, " ".join(f"v{i}" for i in range(3000)) + " more")]
     rng.shuffle(rows)
+    assert got(spark, rows, most=family, hash_bits=hash_bits) == brute(rows)
+
+
+def thue_morse(a, b, times):
+    for _ in range(times):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_whose_polynomials_agree(spark):
+    """Words of 1024 and 2048 bytes that agree in every polynomial with odd base modulo 2**64."""
+    rows = []
+    for times in (10, 11):
+        x, y = thue_morse("a", "b", times)
+        rows += [(100 * times + 1, x), (100 * times + 2, y), (100 * times + 3, f"one two {x} four five"), (100 * times + 4, f"one two {y} four five")]
+        tail = " ".join(f"w{i}" for i in range(40))
+        rows += [(100 * times + 5, f"{tail} {x}"), (100 * times + 6, f"{tail} {y}"), (100 * times + 7, f"{' '.join([x] * 9)} {tail[:60]}"), (100 * times + 8, f"{' '.join([y] * 9)} {tail[:60]}")]
     assert got(spark, rows) == brute(rows)
 
 
+def test_shingles_with_one_hash_count_as_two():
+    """All hashes equal: a document's distinct shingles are still told apart, and repeated ones count once."""
+    import pyarrow as pa
+
+    texts = ["a b c d e f g a b c d e f g", "x y z", "", "a b c d e a b c d e a b c d e", None]
+    token, doc, rows = jj.pairs_of_table(pa.table({"text": texts}), 0)
+    assert rows == 5 and set(token.tolist()) <= {0}
+    assert np.bincount(doc, minlength=5).tolist() == [n for _, n, _ in brute([(0, texts[0])])] + [1, 0, 5, 0]
+
+
+def test_byte_hashes_tell_spans_apart():
+    from paperloom.llm import common
+
+    rng = random.Random(5)
+    words = sorted({bytes(rng.choice(b"ab") for _ in range(n)) for n in range(1, 140) for _ in range(40)} | {x.encode() for t in range(1, 12) for x in thue_morse("a", "b", t)})
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(x) for x in words])
+    starts = ends - [len(x) for x in words]
+    hashes = common.byte_hashes(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(words)
+    shifted = common.byte_hashes(np.concatenate([np.zeros(3, np.uint8), data]), starts + 3, ends + 3)
+    assert (hashes == shifted).all()
+
+
+def test_named_sets_are_exact():
+    rng = random.Random(8)
+    texts = list({" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))): 0 for _ in range(60)})
+    sets, text, bit = jj.named_sets([x.encode() for x in texts])
+    words = [x.split() for x in texts]
+    real = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} for w in words]
+    for i in range(len(texts)):
+        assert len(sets[i]) == len(real[i])
+        for j in range(i):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(real[i] & real[j])
+    assert len(bit) == sum(map(len, real)) and np.bincount(text).tolist() == [len(x) for x in real]
+
+
+def test_very_long_text_and_many_repeated_rows(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(100_000)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, "\t".join(long[:-1])), (3, "W1 " * 150_000)]
+    rows += [(4, "the same few words again and again")] * 3000 + [(None, "the same few words again and again")] * 1000 + [(5, "the same few words again and again too")] * 50
+    out = jj.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, None: 4}
+    assert len(out) == len(rows) and all(r.component_id == want[r.doc_id] for r in out) and sum(r.kept for r in out) == 4
+
+
 def test_threshold_is_inclusive(spark):
     a = [f"x{i}" for i in range(94)]  # 90 shingles
     rows = [(1, " ".join(a)), (2, " ".join(a[:76])), (3, " ".join(a[:75]))]  # 72 of 90: 0.8 exactly
@@ -75,8 +139,8 @@ def test_empty_and_clashing_columns(spark):
 
 def test_node_bound_never_hides_a_link():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 200).astype(np.uint64)
-    sets = [np.unique(np.concatenate([rng.choice(base, 180, replace=False), rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64)])) for _ in range(60)]
+    base = rng.integers(0, 2**62, 200)
+    sets = [np.unique(np.concatenate([rng.choice(base, 180, replace=False), rng.integers(0, 2**62, int(rng.integers(0, 60)))])) for _ in range(60)]
     sets.sort(key=len)
     tree = jj.Tree(sets, 1024)
     label = np.arange(len(sets))
@@ -100,7 +164,7 @@ def test_query_matches_brute_force_and_sql(spark):
 
 @pytest.mark.parametrize("family", [4096, 8])
 def test_every_link_is_counted(spark, monkeypatch, family):
-    monkeypatch.setattr(jj, "FAMILY", family)
+    monkeypatch.setattr(jj, "WIDE", 2)
     rng = random.Random(3)
     rows = [(1000, None), (1001, ""), (1002, "One two"), (1003, "one TWO"), (1003, "one two")]
     for d in range(3):
@@ -113,7 +177,7 @@ def test_every_link_is_counted(spark, monkeypatch, family):
     similar = lambda x, y: bool(x) and 100 * len(x & y) >= 80 * len(x | y)
     want = sorted((d, len(x), sum(similar(x, y) for y in sets) - bool(x)) for (d, _), x in zip(rows, sets, strict=True))
     assert max(n for _, _, n in want) > 2
-    out = jj.link_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = jj.link_counts(spark.createDataFrame(rows, "doc_id long, text string"), most=family).collect()
     assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in out) == want
 
 
