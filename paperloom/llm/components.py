@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge only, to a node that has none onwards."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("onward")), F.struct(F.col("v").alias("node"), F.lit(0).alias("onward"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.onward").alias("onward"), F.count(F.lit(1)).alias("n"))
+    return nodes.where("onward > 1 OR onward = 1 AND n > 1").isEmpty()
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -27,15 +30,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spread = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct()
     edges = common.as_table(spread, "edges")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both).select("u", F.least("u", "m").alias("m")), "u").where(F.col("v") > F.col("u"))
         large = common.as_table(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
         small = large.join(_least(large), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = common.as_table(small.where(F.col("u") != F.col("v")).distinct(), "edges")
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

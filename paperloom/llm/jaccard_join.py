@@ -298,10 +298,6 @@ class Tree:
             at = np.arange(0, len(low), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(some, at)))
 
-    def span(self, level: int, k: int) -> tuple[int, int]:
-        """The sets below a node."""
-        return k * FANOUT**level, min((k + 1) * FANOUT**level, len(self.sets))
-
 
 def _too_unlike(low_a, high_a, some_a, low_b, high_b, some_b, shared) -> np.ndarray:
     """Whether nodes with such ranges of sizes, fewest bits and bits in common have no sets that are similar enough."""
@@ -318,73 +314,70 @@ def _apart(a: Tree, i: int, x: int, b: Tree, j: int, y: np.ndarray) -> np.ndarra
     return _too_unlike(*numbers_a, *numbers_b, np.bitwise_count(bits_b & bits_a).sum(1, dtype=np.int64))
 
 
+def candidates(a: Tree, b: Tree):
+    """(x, y) for each set x of a: all sets y of b that no pair of nodes above them rules out. If b is a, only those after x."""
+    stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, np.zeros(1, np.int64))]
+    while stack:
+        i, x, j, y = stack.pop()
+        if i == j == 0:
+            yield x, y
+        elif j >= i:
+            j -= 1
+            y = (y[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            y = y[y < len(b.levels[j][1])]
+            y = y[(y + 1) * FANOUT**j > x * FANOUT**i + 1] if a is b else y
+            y = y[~_apart(a, i, x, b, j, y)] if len(y) else y
+            stack += [(i, x, j, y)] if len(y) else []
+        else:
+            for p in range(min((x + 1) * FANOUT, len(a.levels[i - 1][1])) - 1, x * FANOUT - 1, -1):
+                mine = y[(y + 1) * FANOUT**j > p * FANOUT ** (i - 1) + 1] if a is b else y
+                mine = mine[~_apart(a, i - 1, p, b, j, mine)] if len(mine) else mine
+                stack += [(i - 1, p, j, mine)] if len(mine) else []
+
+
+class Comparer:
+    """Compares sets of a with many sets of b."""
+
+    def __init__(self, a: Tree, b: Tree):
+        self.a, self.sizes, self.token = a, b.levels[0][1], np.concatenate(b.sets)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.mine = np.zeros(1 + max(int(self.token.max()), max(int(x.max()) for x in a.sets)), bool)
+
+    def links(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Those of the sets y that link with set x."""
+        s, n = self.a.sets[x], self.sizes[y]
+        self.mine[s] = True
+        both = np.add.reduceat(self.mine[self.token[common.ranges(self.starts[y], n)]], np.cumsum(n) - n, dtype=np.int64)
+        self.mine[s] = False
+        return y[100 * both >= PERCENT * (len(s) + n - both)]
+
+
 def traverse(a: Tree, b: Tree, label_a: np.ndarray, label_b: np.ndarray) -> list[tuple[int, int]]:
     """Links between sets of a and of b (which may be the same tree) that connect all that links connect.
 
     label_a and label_b say which sets are connected already; they are changed along.
     """
     links: list[tuple[int, int]] = []
-    stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
-    while stack:
-        i, x, j, y = stack.pop()
-        a0, a1 = a.span(i, x)
-        b0, b1 = b.span(j, y)
-        la, lb = label_a[a0:a1], label_b[b0:b1]
-        one = la[0]
-        if one == lb[0] and (a1 - a0 == 1 or (la == one).all()) and (b1 - b0 == 1 or (lb == one).all()):
-            continue
-        if i == 0 and j == 0:
-            s, t = a.sets[x], b.sets[y]
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * both >= PERCENT * (len(s) + len(t) - both):
-                links.append((x, y))
-                old, new = label_b[y], label_a[x]
-                label_a[label_a == old] = new
-                if label_b is not label_a:
-                    label_b[label_b == old] = new
-            continue
-        # Go down on the higher side; pairs of a node with itself come first, as they connect the most.
-        if i >= j:
-            children = np.arange(x * FANOUT, min((x + 1) * FANOUT, len(a.levels[i - 1][1])))
-            if a is b and i == j and x == y:
-                for p in children[::-1]:
-                    more = children[children > p]
-                    more = more[~_apart(a, i - 1, p, b, i - 1, more)] if len(more) else more
-                    stack.extend((i - 1, int(p), i - 1, int(q)) for q in more[::-1])
-                stack.extend((i - 1, int(p), i - 1, int(p)) for p in children[::-1] if i > 1)
-            else:
-                stack.extend((i - 1, int(p), j, y) for p in children[~_apart(b, j, y, a, i - 1, children)][::-1])
-        else:
-            children = np.arange(y * FANOUT, min((y + 1) * FANOUT, len(b.levels[j - 1][1])))
-            stack.extend((i, x, j - 1, int(q)) for q in children[~_apart(a, i, x, b, j - 1, children)][::-1])
+    compare = Comparer(a, b)
+    for x, y in candidates(a, b):
+        while len(y := y[label_b[y] != label_a[x]]):
+            found, y = compare.links(x, y[:128]), y[128:]
+            for z in found.tolist():
+                if label_a[x] != (old := label_b[z]):
+                    links.append((x, z))
+                    label_b[label_b == old] = label_a[x]
+                    label_a[label_a == old] = label_a[x]
+            if len(found) and (label_a == label_a[0]).all() and (label_b == label_a[0]).all():
+                return links
     return links
 
 
 def every_link(a: Tree, b: Tree):
-    """(x, y) for each set x of a, y all sets of b that link with it. If b is a, only those after x, so that a pair comes once."""
-    vocabulary = np.unique(np.concatenate(a.sets))
-    token = np.concatenate(b.sets)
-    at = np.searchsorted(vocabulary, token)
-    at[vocabulary[np.minimum(at, len(vocabulary) - 1)] != token] = len(vocabulary)
-    sizes = b.levels[0][1]
-    starts = np.cumsum(sizes) - sizes
-    mine = np.zeros(len(vocabulary) + 1, bool)
-    for x, s in enumerate(a.sets):
-        y = np.zeros(1, np.int64)
-        for j in range(len(b.levels) - 1, -1, -1):
-            if j < len(b.levels) - 1:
-                y = (y[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                y = y[y < len(b.levels[j][1])]
-            y = y[(y + 1) * FANOUT**j > x + 1] if a is b else y
-            y = y[~_apart(a, 0, x, b, j, y)]
-        mine[places := np.searchsorted(vocabulary, s)] = True
-        found = []
-        for some in np.array_split(y, -(-len(y) // 128)) if len(y) else []:
-            n = sizes[some]
-            both = np.add.reduceat(mine[at[common.ranges(starts[some], n)]], np.cumsum(n) - n, dtype=np.int64)
-            found.append(some[100 * both >= PERCENT * (len(s) + n - both)])
-        mine[places] = False
-        if found:
+    """(x, y) for each set x of a, all sets y of b that link with it. If b is a, only those after x, so that a pair comes once."""
+    compare = Comparer(a, b)
+    for x, y in candidates(a, b):
+        found = [compare.links(x, some) for some in np.split(y, range(128, len(y), 128))]
+        if sum(map(len, found)):
             yield x, np.concatenate(found)
 
 
@@ -392,16 +385,19 @@ def _width(sets: list[np.ndarray]) -> int:
     return 1 << max(9, (4 * max(map(len, sets)) - 1).bit_length())
 
 
-def linked_sets(sets: list[np.ndarray], cut: int | None = None) -> tuple[list[tuple[int, int]], bool]:
-    """Links that connect all that links connect, in a part of a family, or between the first cut sets and the others; whether all are connected."""
-    label = np.arange(len(sets))
+def linked_sets(sets: list[np.ndarray], cut: int | None = None, label: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect all that links connect, in a part of a family, or between the first cut sets and the others; labels of what is connected.
+
+    label: what is connected already.
+    """
+    label = np.arange(len(sets)) if label is None else label
     if cut is None:
         tree = Tree(sets, _width(sets))
         links = traverse(tree, tree, label, label)
     else:
         a, b = Tree(sets[:cut], _width(sets)), Tree(sets[cut:], _width(sets))
         links = [(x, cut + y) for x, y in traverse(a, b, label[:cut], label[cut:])]
-    return links, bool((label == label[0]).all())
+    return links, label
 
 
 def counted_links(sets: list[np.ndarray], weights: np.ndarray, cut: int | None = None) -> np.ndarray:
@@ -438,12 +434,12 @@ def families(live: DataFrame) -> DataFrame:
     return common.as_table(whole.join(roots, "digest"), "members")
 
 
-PARTS = """root binary, part long, whole boolean, low int, high int, some int, bits binary, digests array<binary>, words array<binary>, weights array<bigint>,
+PARTS = """root binary, part long, whole boolean, low int, high int, some int, bits binary, digests array<binary>, words array<binary>, weights array<bigint>, labels array<bigint>,
 a array<binary>, b array<binary>, links array<bigint>"""
 PARTS_ARROW = pa.schema(
     [
         ("root", pa.binary()), ("part", pa.int64()), ("whole", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("some", pa.int32()), ("bits", pa.binary()),
-        ("digests", pa.list_(pa.binary())), ("words", pa.list_(pa.binary())), ("weights", pa.list_(pa.int64())), ("a", pa.list_(pa.binary())), ("b", pa.list_(pa.binary())), ("links", pa.list_(pa.int64())),
+        ("digests", pa.list_(pa.binary())), ("words", pa.list_(pa.binary())), ("weights", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("a", pa.list_(pa.binary())), ("b", pa.list_(pa.binary())), ("links", pa.list_(pa.int64())),
     ]
 )
 
@@ -460,8 +456,9 @@ def _part(root: bytes, part: int, rows: list[tuple], several: bool, count: bool)
     out |= {"digests": digests, "words": texts, "weights": weights} if several else {"digests": digests if count else None}
     if count:
         return out | {"whole": False, "links": counted_links(sets, np.array(weights)).tolist()}
-    links, whole = linked_sets(sets)
-    return out | {"whole": whole, "a": [digests[x] for x, _ in links], "b": [digests[y] for _, y in links]}
+    links, label = linked_sets(sets)
+    out |= {"labels": label.tolist()} if several else {}
+    return out | {"whole": bool((label == label[0]).all()), "a": [digests[x] for x, _ in links], "b": [digests[y] for _, y in links]}
 
 
 def family_parts(members: DataFrame, count: bool = False, most: int | None = None, most_bytes: int | None = None) -> DataFrame:
@@ -558,7 +555,8 @@ def _compare(count: bool):
         if count:
             weights = np.array([x for r in rows for x in r["weights"]])
             return pa.table({"digest": pa.array(digests, pa.binary()), "links": pa.array(counted_links(sets, weights, cut))})
-        links, _ = linked_sets(sets, cut)
+        label = np.concatenate([rows[0]["labels"], np.array(rows[1]["labels"]) + len(sets)])
+        links, _ = linked_sets(sets, cut, label)
         side = lambda c: pa.array([rows[c]["part"]] * len(links), pa.int64())
         return pa.table({"left": side(0), "right": side(1), "a": pa.array([digests[x] for x, _ in links], pa.binary()), "b": pa.array([digests[y] for _, y in links], pa.binary())})
 
@@ -566,7 +564,7 @@ def _compare(count: bool):
 
 
 def _compared(parts: DataFrame, pairs: DataFrame, count: bool) -> DataFrame:
-    columns = ["part", "digests", "words", *["weights"] * count]
+    columns = ["part", "digests", "words", "weights" if count else "labels"]
     parts = parts.where("words IS NOT NULL").select(*columns)
     one = lambda side: pairs.select("left", "right").join(parts, F.col(side) == F.col("part"))
     schema = "digest binary, links long" if count else "left long, right long, a binary, b binary"

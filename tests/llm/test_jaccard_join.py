@@ -139,8 +139,8 @@ def test_empty_and_clashing_columns(spark):
 
 def test_node_bound_never_hides_a_link():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**62, 200)
-    sets = [np.unique(np.concatenate([rng.choice(base, 180, replace=False), rng.integers(0, 2**62, int(rng.integers(0, 60)))])) for _ in range(60)]
+    base = rng.integers(0, 2**24, 200)
+    sets = [np.unique(np.concatenate([rng.choice(base, 180, replace=False), rng.integers(0, 2**24, int(rng.integers(0, 60)))])) for _ in range(60)]
     sets.sort(key=len)
     tree = jj.Tree(sets, 1024)
     label = np.arange(len(sets))
