@@ -320,7 +320,7 @@ def candidates(a: Tree, b: Tree):
     while stack:
         i, x, j, y = stack.pop()
         if i == j == 0:
-            yield x, y
+            yield x, y[y > x] if a is b else y
         elif j >= i:
             j -= 1
             y = (y[:, None] * FANOUT + np.arange(FANOUT)).ravel()
@@ -376,7 +376,7 @@ def every_link(a: Tree, b: Tree):
     """(x, y) for each set x of a, all sets y of b that link with it. If b is a, only those after x, so that a pair comes once."""
     compare = Comparer(a, b)
     for x, y in candidates(a, b):
-        found = [compare.links(x, some) for some in np.split(y, range(128, len(y), 128))]
+        found = [compare.links(x, some) for some in np.split(y, range(128, len(y), 128))] if len(y) else []
         if sum(map(len, found)):
             yield x, np.concatenate(found)
 
