@@ -10,7 +10,8 @@ group of equal rows.
 
 Cases: a null text is empty; empty texts are equal to each other. Each row is a member of its own, also where doc_id
 repeats or is null: of equal texts one row stays, with the largest doc_id (null is smallest), and of several rows with
-that doc_id one. Other columns are not read, so their names don't matter. An empty table gives an empty result.
+that doc_id one. The rows are written to a table with a number each before anything else, so a retry can't number them otherwise.
+Other columns are not read, so their names don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,9 +40,7 @@ def _named(rows: DataFrame, keys: list[str], rank) -> DataFrame:
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """A row for each block; what belongs to the whole text is in the row of its first block."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("rid", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.col("text").cast("binary").alias("data"))
+    rows = docs.select("rid", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.col("text").cast("binary").alias("data"))
     rows = rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.octet_length("data") / F.lit(BLOCK))).cast("int"))
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("data"), i * BLOCK + 1, F.lit(BLOCK)))
     rows = rows.select("rid", "n", "doc_id", "sha", F.posexplode(cut).alias("pos", "block"))
@@ -52,7 +51,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 def _block_names(docs: DataFrame) -> tuple[DataFrame, int]:
     """(rid, n, pos, doc_id, sha, name) of all blocks, and the most blocks in a text."""
     spark = docs.sparkSession
-    length = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+    length = F.octet_length("text")
     total, most = docs.agg(F.sum(F.greatest(F.lit(1), F.ceil(length / F.lit(BLOCK)))), F.max(length)).first()
     most = max(1, math.ceil((most or 0) / BLOCK))
     rows = _blocks(docs)
@@ -86,9 +85,9 @@ def _pair_names(rows: DataFrame) -> DataFrame:
 
 
 def identities(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, sha, n, name) for each row of docs(doc_id, text): texts are identical when n and name are.
+    """(rid, doc_id, sha, n, name) for each row of docs(rid, doc_id, text), a stored table: texts are identical when n and name are.
 
-    rid is monotonically_increasing_id() over docs; sha the SHA-256 of the text, carried along for reports.
+    sha is the SHA-256 of the text, carried along for reports.
     """
     rows, most = _block_names(docs)
     rows, size, done = common.as_table(rows, "names"), 1, []
@@ -104,8 +103,8 @@ def identities(docs: DataFrame) -> DataFrame:
     return out
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, keep_id, group_size, kept, text_sha256) for each row of docs(doc_id, text)."""
+def duplicate_rows(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, keep_id, group_size, kept, text_sha256) for each row of docs(rid, doc_id, text), a stored table without null texts."""
     ids = common.as_table(identities(docs), "identities")
     groups = ids.groupBy("n", "name").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
     # A table of its own, so that the join has a stage of its own, in which Spark can split a large group.
@@ -115,11 +114,20 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _given(docs: DataFrame, rid: str) -> DataFrame:
+    return docs.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def exact_duplicates(docs: DataFrame) -> DataFrame:
+    """duplicate_rows() for docs(doc_id, text); rid is a number of its own for each row."""
+    return duplicate_rows(_given(*common.numbered(docs.select("doc_id", "text"), "rows")))
+
+
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that another one replaces; all columns of docs."""
-    rid = common.free_name(docs, "_rid_exact")
-    kept = exact_duplicates(docs).where("kept").select(F.col("rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left_semi").drop(rid)
+    table, rid = common.numbered(docs, "documents")
+    kept = duplicate_rows(_given(table, rid)).where("kept").select(F.col("rid").alias(rid))
+    return table.join(kept, rid, "left_semi").drop(rid)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +135,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 from paperloom.llm import exact_dedup as ed
+from pyspark.sql import functions as F
 
 
 def brute(rows):
@@ -54,3 +55,21 @@ def test_query_matches_sql(spark, sf):
     want = sorted(con.execute(ed.SQL).fetchall())
     got = sorted(tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in ed.op9_exact_dedup(spark, d).collect())
     assert got == want
+
+
+def test_rows_keep_their_numbers_over_shuffles(spark):
+    """After a shuffle a row may get another number each time it is computed; exactly one of each text must stay."""
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 40).cast("string")).alias("text"), F.rand().alias("x"))
+    out = ed.drop_exact_duplicates(rows.repartition(13).orderBy(F.rand()))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(560, 600))
+
+
+def test_repeated_and_null_ids_match_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a"), (1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (2, ""), (2, None), (3, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((tuple(r) for r in ed.op9_exact_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(con.execute(ed.SQL).fetchall(), key=str)
