@@ -8,7 +8,9 @@ for word with the text. So hashes only choose what is compared. Documents are se
 of positions that each move on by their own shift.
 
 The patterns reach the tasks by broadcast, in groups of items of about GROUP bytes of text each; a larger benchmark makes more
-groups, which are searched one after another. Each document is searched whole.
+groups, which are searched one after another: what one pass found is stored with the documents before the next begins, so that only
+one group's patterns and workers are held at a time. A single item is in one group whatever its length, and is collected whole. Each
+document is searched whole.
 
 Words: A-Z lower-cased, then [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. A document's word inside any occurrence of a window is hit; a
 document is contaminated if it has hits and 20 * n_hit >= n_words.
@@ -162,13 +164,17 @@ def _searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     _, size = common.text_size(items)
     groups = max(1, math.ceil(size / GROUP))
+    if groups > 1:  # read once, and then by group
+        items = common.as_table(items.withColumn("group", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).cast("int")), "benchmark", partition_by="group")
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
     schema, out = T.StructType([*docs.schema.fields, *added]), docs
     for group in range(groups):
         # Only a group of about GROUP bytes is ever collected.
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group).orderBy("item_id", "text").collect()
+        mine = (items.where(F.col("group") == group) if groups > 1 else items).select("item_id", "text").orderBy("item_id", "text").collect()
         tables = spark.sparkContext.broadcast(matchers([x.item_id for x in mine], [x.text for x in mine]))
         out = out.mapInArrow(_search(tables, docs.columns, group > 0), schema)
+        if group < groups - 1:
+            out = common.as_table(out, "searched")
     return out
 
 
