@@ -12,7 +12,7 @@ too, so every text has a probability.
 
 Four passes, none of which shuffles text: (1) chunks of documents become lists of distinct words with training counts,
 and of each document's distinct words by number; (2) words meet by hash range, once for each expectation step: totals and
-expected counts, of which only vectors of the vocabulary's size reach the driver, added in two levels; (3) words meet again and get their global count and
+expected counts, vectors of the vocabulary's size, which are added FAN at a time, so that no task and not the driver gets more; (3) words meet again and get their global count and
 log probability, which return to their chunks; (4) each chunk adds up its documents.
 
 base_score is that of whole words: the sum over tokens of log10((c + 0.5) / (N + 0.5 (V + 1))).
@@ -42,6 +42,8 @@ SHORT = 64
 PRIOR = 1000.0
 #: Expectation steps.
 ROUNDS = 2
+#: Vectors of expected counts that a task adds, or the driver.
+FAN = 32
 MARKER = 0x20
 
 
@@ -301,7 +303,7 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 SUMS = "slot long, tokens long, words long, expected binary"
 
 
-def _expect(sent, slots: int):
+def _expect(sent):
     def run(table: pa.Table) -> pa.Table:
         data, at, _, counts, _ = _gathered(table)
         pieces = sent.value
@@ -309,7 +311,7 @@ def _expect(sent, slots: int):
         expected = np.zeros(len(pieces.weights))
         Lattice(pieces).words(data, at[:-1][known], np.diff(at)[known], counts[known].astype(float), expected)
         part = table["part"][0].as_py()
-        return pa.table({"slot": pa.array([part % slots]), "tokens": pa.array([int(counts.sum())]), "words": pa.array([len(known)]), "expected": pa.array([expected.tobytes()], pa.binary())})
+        return pa.table({"slot": pa.array([part]), "tokens": pa.array([int(counts.sum())]), "words": pa.array([len(known)]), "expected": pa.array([expected.tobytes()], pa.binary())})
 
     return run
 
@@ -320,6 +322,15 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"slot": table["slot"][:1], "tokens": total("tokens"), "words": total("words"), "expected": pa.array([expected.tobytes()], pa.binary())})
 
 
+def added(sums: DataFrame, parts: int, fan: int | None = None) -> DataFrame:
+    """SUMS with slots below parts, added up fan at a time until at most fan rows are left."""
+    fan = fan or FAN
+    while parts > fan:
+        sums = sums.withColumn("slot", F.expr(f"slot div {fan}")).groupBy("slot").applyInArrow(_add, SUMS)
+        parts = -(-parts // fan)
+    return sums
+
+
 VALUES = "chunk long, part long, counts binary, logs binary"
 
 
@@ -387,13 +398,12 @@ def lattice_scores(docs: DataFrame, held_out: Column, model_path: str) -> DataFr
     table = common.as_table(chunks(docs, held_out), "chunks", partition_by="kind")
     words = table.where("kind = 'words'").select("chunk", "part", "words", "lengths", "counts")
     first = Pieces.load(common.vocabulary(model_path))
-    parts = words.agg(F.max("part")).first()[0] or 0
-    slots = max(1, min(64, math.isqrt(parts + 1)))
+    parts = 1 + (words.agg(F.max("part")).first()[0] or 0)
     learned = F.aggregate(F.transform("held_out", lambda x: F.when(x, 0).otherwise(1).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     of_docs = table.where("kind = 'docs'").agg(F.sum(learned)).first()[0] or 0
     pieces, sums = first, []
     for _ in range(ROUNDS):
-        sums = words.groupBy("part").applyInArrow(_expect(spark.sparkContext.broadcast(pieces), slots), SUMS).groupBy("slot").applyInArrow(_add, SUMS).collect()
+        sums = added(words.groupBy("part").applyInArrow(_expect(spark.sparkContext.broadcast(pieces)), SUMS), parts).collect()
         expected = sum((np.frombuffer(bytes(x.expected)) for x in sums), np.zeros(len(first.weights)))
         expected[-1] = of_docs
         weights = expected + PRIOR * first.weights

@@ -128,3 +128,13 @@ def test_query_equals_brute_force(spark, tmp_path):
     want = brute(rows)
     assert len(rows) > 40 and [r[:5] for r in out] == [r[:5] for r in want]
     assert np.allclose([r[5:] for r in out], [r[5:] for r in want], rtol=1e-9)
+
+
+def test_vectors_are_added_by_a_tree(spark):
+    import numpy as np
+    from paperloom.llm import subword_lm
+
+    rows = [(k, k + 1, 1, bytearray(np.array([float(k), 1.0]).tobytes())) for k in range(0, 50, 3)]
+    out = subword_lm.added(spark.createDataFrame(rows, subword_lm.SUMS), 50, fan=3).collect()
+    assert len(out) <= 3 and sum(r.tokens for r in out) == sum(r[1] for r in rows) and sum(r.words for r in out) == len(rows)
+    assert sum(np.frombuffer(bytes(r.expected)) for r in out).tolist() == [float(sum(r[0] for r in rows)), float(len(rows))]
