@@ -9,7 +9,7 @@ whole shards, all tokens. The files are compressed with zstd. Because shards are
 takes the shards and planes that it needs.
 
 Encoding keeps a table of distinct chunks, cut where the tokenizer's pattern never joins characters, so that chunks have
-the same ids alone as in the text.
+the same ids alone as in the text. That is checked when a tokenizer is loaded; with another pattern, texts are encoded whole.
 
 Cases: a null or empty text has the end id only. Rows with equal doc_id are ordered by a hash of the text; a null doc_id
 comes first. Other columns are not written. An empty table writes no shard.
@@ -213,12 +213,17 @@ class Encoder:
     JOINED = 1000
 
     def __init__(self, tokenizer: bytes, end: int):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer.decode())
+        spec = json.loads(tokenizer)
+        split = spec.get("pre_tokenizer") or {}
+        # safe_chunks() is for this pattern; with any other, texts are single chunks.
+        self.splits = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
         self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
         vocabulary = self.tokenizer.get_vocab()
@@ -268,6 +273,9 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, first = safe_chunks(data, offsets)
+        if not self.splits:
+            starts = np.unique(offsets[:-1][np.diff(offsets) > 0])
+            first = np.searchsorted(starts, offsets)
         # The tokenizer finds its added tokens before anything else; texts with one are single chunks.
         raw, whole = data.tobytes(), set()
         for token in self.added:

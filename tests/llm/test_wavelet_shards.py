@@ -63,3 +63,14 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect())
     assert sorted(tuple(r) for r in ws.op1_wavelet_shards(spark, d).collect()) == brute(rows)
+
+
+def test_other_patterns_are_encoded_whole(spark, tmp_path):
+    """A tokenizer that splits texts otherwise."""
+    path = common.public_vocabulary("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [t for t in TEXTS if t and "<|" not in t] + ["Don't STOP it's a1b2 no.more,please"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shards = ws.write_shards(docs, path, 2, f"file://{tmp_path}/words")
+    got = {r.doc_id: r.ids_crc32 for r in ws.read_documents(shards).collect()}
+    assert got == {k: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, t in enumerate(texts)}
