@@ -6,10 +6,11 @@ allow make their hosts trusted seeds, pages that rules block make them distruste
 Personalised PageRank carries trust along links, and distrust against them: who links to blocked hosts is distrusted. A host
 whose distrust is above LIMIT times its trust is blocked, the others are allowed, as are hosts that neither reaches.
 
-Ranks are whole numbers, shares of SCALE, so that results depend neither on partitions nor on the order of sums. Each round is a
-join with the edges and a sum; it is written to a table, as what comes after would else recompute it. Rounds end when nothing
-changes: ranks begin with the seeds, never fall, and are bounded. On cycles, where 85 % of a rank goes on each time, that can be some
-200 rounds. judge() stops after ROUNDS unless told otherwise, as the SQL does; op4_url_filter goes on to the end.
+A rank is the sum of what reaches a host over all numbers of links; each round carries on what the last one brought (a join with the
+edges and a sum), and writes it to a table, as what comes after would else recompute it. Rounds end when all that is still to be carried
+is TOLERANCE or less of the whole trust or distrust, which 85 % a link bounds to some 75 rounds; on graphs without cycles they end
+when nothing is left. So a host's ranks are short of the limit by TOLERANCE at most, and ranks that differ by less than EQUAL of each
+other count as equal, whatever the order of sums.
 
 Host: after the first ://, up to /, ? or #, A-Z lower-cased. Path: from there up to ? or #.
 
@@ -25,16 +26,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SCALE = 10**15
-#: Percent of a rank that goes on along links.
-ONWARD = 85
-ROUNDS = 10
-LIMIT = 1
+#: Share of a rank that goes on along links.
+ONWARD = 0.85
+#: What may be left to be carried on, as a share of all trust or all distrust.
+TOLERANCE = 1e-6
+LIMIT, EQUAL = 1, 1e-9
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)<[a-z][^>]*?\s(?:href|src)\s*=\s*["']?([^"'\s>]*:?//[^"'\s>]*)"""
+#: From a tag's start to its link no other tag may start: else a text of open tags would be read again from each of them.
+LINK = r"""(?i)<[a-z][^<>]*?\s(?:href|src)\s*=\s*["']?([^"'\s>]*:?//[^"'\s>]*)"""
 
 
 def _host(url: Column) -> tuple[Column, Column]:
@@ -47,9 +49,9 @@ def _host(url: Column) -> tuple[Column, Column]:
 
 
 def fitting_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, rules) for the hosts that rules fit: those of the host and of each domain that it is part of."""
-    labels = F.split("host", r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    """(host, rules) for the hosts that rules fit: those of the host and of each domain that it is part of, as far as rules have labels."""
+    most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    domains = F.expr(f"array_distinct(transform(sequence(1, {most}), i -> substring_index(host, '.', -i)))")
     each = hosts.select("host", F.explode(domains).alias("domain"))
     rules = rules.select(F.col("host").alias("domain"), F.struct(F.char_length(F.concat("host", "path")).alias("length"), F.concat("host", "path").alias("rule"), "path", "verdict").alias("rule"))
     return each.join(rules, "domain").groupBy("host").agg(F.collect_set("rule").alias("rules"))
@@ -63,29 +65,26 @@ def links(pages: DataFrame) -> DataFrame:
     return found.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
-    """(kind, host, rank) after personalised PageRank, for each kind on its own. seeds: kind, host, seed; edges: kind, source, target, n.
-
-    rounds: the most rounds; None for as many as change anything.
-    """
+def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, host, rank) after personalised PageRank, for each kind on its own. seeds: kind, host, seed (1 in all of a kind); edges: kind, source, target, n."""
     totals = edges.groupBy("kind", "source").agg(F.sum("n").alias("total"))
-    edges = common.as_table(edges.join(totals, ["kind", "source"]), "edges")
-    seeds = common.as_table(seeds, "seeds")
-    home = seeds.select("kind", "host", F.expr(f"seed div 100 * {100 - ONWARD}").alias("rank"))
-    # Ranks never fall, so that nothing has changed if there are as many hosts as before and their sum is the same.
-    summed = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.col("rank").cast("decimal(38,0)"))).first())
-    ranks, before, mark = home, None, summed(home) if edges.limit(1).count() else None
-    while mark != before and rounds != 0:
-        rounds = rounds and rounds - 1
-        sent = ranks.withColumnRenamed("host", "source").join(edges, ["kind", "source"])
-        sent = sent.select("kind", F.col("target").alias("host"), F.expr(f"rank div 100 * {ONWARD} div total * n").alias("rank"))
-        ranks = common.as_table(home.unionByName(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
-        before, mark = mark, summed(ranks)
-    return ranks
-
-
-def judge(pages: DataFrame, rules: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
-    """(page_id, host, path, rule, verdict) for each row of pages(page_id, url, html). rules: verdict (allow, block), host, path; rounds as in propagate()."""
+    edges = common.as_table(edges.join(totals, ["kind", "source"]).select("kind", "source", "target", (ONWARD * F.col("n") / F.col("total")).alias("share")), "edges")
+    carried = common.as_table(seeds.select("kind", "host", ((1 - ONWARD) * F.col("seed")).alias("rank")), "ranks")
+    rounds, left = [carried], 0 if edges.isEmpty() else 1
+    while left > TOLERANCE:
+        sent = carried.withColumnRenamed("host", "source").join(edges, ["kind", "source"])
+        carried = common.as_table(sent.groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("rank")), "ranks")
+        rounds.append(carried)
+        # What comes after is at most ONWARD / (1 - ONWARD) times this round's.
+        left = max((r.left for r in carried.groupBy("kind").agg((F.sum("rank") * ONWARD / (1 - ONWARD)).alias("left")).collect()), default=0)
+    out = rounds[0]
+    for more in rounds[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+
+
+def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(page_id, host, path, rule, verdict) for each row of pages(page_id, url, html). rules: verdict (allow, block), host, path."""
     host, path = _host(F.col("url").cast("string"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     # As tables, what there is for hosts has a known size: joined by broadcast if it is small, without dealing pages by host.
@@ -96,20 +95,20 @@ def judge(pages: DataFrame, rules: DataFrame, rounds: int | None = ROUNDS) -> Da
     counts = ruled.where(F.col("verdict").isNotNull()).groupBy(F.col("verdict").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
     counts = common.as_table(counts, "ruled-hosts")
     totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
-    seeds = counts.join(totals, "kind").select("kind", "host", F.expr(f"{SCALE} div total * n").alias("seed"))
+    seeds = counts.join(totals, "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed"))
     forward = common.as_table(links(pages), "links")
     edges = forward.select(F.lit("allow").alias("kind"), "source", "target", "n").unionByName(forward.select(F.lit("block").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "n"))
-    ranks = propagate(seeds, edges, rounds)
+    ranks = propagate(seeds, edges)
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0))
     hosts = ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
-    blocked = hosts.where(F.col("distrust") > LIMIT * F.col("trust")).select("host", F.lit("block").alias("of_host"))
+    blocked = hosts.where(F.col("distrust") > LIMIT * (1 + EQUAL) * F.col("trust")).select("host", F.lit("block").alias("of_host"))
     out = ruled.join(common.as_table(blocked, "blocked-hosts"), "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "of_host", F.lit("allow")).alias("verdict"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
-    return judge(common.read(spark, sf_dir, "pages"), rules, rounds=None)
+    return judge(common.read(spark, sf_dir, "pages"), rules)
 
 
 def _sql() -> str:
@@ -119,17 +118,8 @@ def _sql() -> str:
     rest = "CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END"
     link = LINK.replace("'", "''")
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    rounds = "".join(
-        f"""
-ranks{k} AS (
-  SELECT kind, host, sum(rank)::BIGINT AS rank FROM (
-    SELECT kind, host, rank FROM home
-    UNION ALL SELECT kind, target, ((rank // 100 * {ONWARD}) // total * n)::BIGINT FROM {f"ranks{k - 1}" if k > 1 else "home"} r JOIN edges USING (kind) WHERE r.host = edges.source)
-  GROUP BY kind, host),"""
-        for k in range(1, ROUNDS + 1)
-    )
     return f"""
-WITH rules(verdict, host, path) AS (VALUES {rules}),
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES {rules}),
 p AS (
   SELECT row_number() OVER () AS r, page_id, coalesce({host("url")}, '') AS host,
          coalesce(regexp_extract(regexp_replace({rest}, '^[^/?#]*', ''), '^[^?#]*'), '') AS path, html
@@ -140,15 +130,23 @@ best AS (
   GROUP BY r),
 ruled AS (SELECT p.r, page_id, host, path, rule, verdict FROM p LEFT JOIN best USING (r)),
 counts AS (SELECT verdict AS kind, host, count(*) AS n FROM ruled WHERE verdict IS NOT NULL GROUP BY ALL),
-home AS (SELECT kind, host, ({SCALE} // sum(n) OVER (PARTITION BY kind) * n // 100 * {100 - ONWARD})::BIGINT AS rank FROM counts),
+home AS (SELECT kind, host, {1 - ONWARD} * n / sum(n) OVER (PARTITION BY kind) AS rank FROM counts),
 found AS (SELECT host AS source, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p),
 named AS (SELECT source, {host("(CASE WHEN starts_with(link, '//') THEN ':' || link ELSE link END)")} AS target FROM found),
 links AS (SELECT source, target, count(*) AS n FROM named WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL),
 both_ways AS (SELECT 'allow' AS kind, source, target, n FROM links UNION ALL SELECT 'block', target, source, n FROM links),
-edges AS (SELECT *, (sum(n) OVER (PARTITION BY kind, source))::BIGINT AS total FROM both_ways),{rounds}
+edges AS (SELECT *, {ONWARD} * n / sum(n) OVER (PARTITION BY kind, source) AS share FROM both_ways),
+rounds AS (
+  SELECT kind, host, rank::DOUBLE AS rank FROM home
+  UNION ALL
+  SELECT r.kind, target, sum(rank * share)::DOUBLE
+  FROM (SELECT *, sum(rank) OVER (PARTITION BY kind) AS carried FROM rounds) r JOIN edges ON r.kind = edges.kind AND r.host = edges.source
+  WHERE carried * {ONWARD / (1 - ONWARD)} > {TOLERANCE}
+  GROUP BY r.kind, target),
+ranks AS (SELECT kind, host, sum(rank) AS rank FROM rounds GROUP BY kind, host),
 hosts AS (
-  SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'block'), 0) > {LIMIT} * coalesce(sum(rank) FILTER (WHERE kind = 'allow'), 0) AS blocked
-  FROM ranks{ROUNDS} GROUP BY host)
+  SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'block'), 0) > {LIMIT * (1 + EQUAL)} * coalesce(sum(rank) FILTER (WHERE kind = 'allow'), 0) AS blocked
+  FROM ranks GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN hosts USING (host)
 """
