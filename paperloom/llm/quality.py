@@ -5,12 +5,14 @@ kinds of characters and words, repetition, and a signed hash projection of its w
 hidden vector; gated attention weights the passages of a document, and the weighted sum is scored. Only documents carry
 labels: the attention learns which passages matter.
 
-It is fitted in one task on a bounded sample of labelled rows: the most documents in the order of a hash of their doc_id.
+It is fitted in one task on a bounded sample of labelled rows: the first documents in the order of a hash of their doc_id, MOST
+of them and toxicity.MOST_BYTES of their texts at most, each doc_id once (of repeated labels the largest counts, of repeated
+documents the text that sorts first).
 The network has a few thousand parameters, which are broadcast. All documents are scored, whole.
 
 Cases: a document without words (null or empty texts too) is one empty passage. Labels that are null are left out; without
-any, all documents get the same score. Rows repeat as they do in docs. All columns of docs pass through; they must not be
-named as the column added. Empty tables work.
+any, all documents get the same score. Rows repeat as they do in docs. All columns of docs pass through, whatever their names;
+where one has the name of the column added, that gets a _ after it. Empty tables work.
 """
 
 from __future__ import annotations
@@ -220,7 +222,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Col
 
 
 def scores(docs: DataFrame, network: Network, column: str = "score") -> DataFrame:
-    """docs(text, ...) with the probability of label 1."""
+    """docs(text, ...) with the probability of label 1, in a column of this name, with _ after it if docs has one."""
+    column = common.free_name(docs, column)
     sent = docs.sparkSession.sparkContext.broadcast(network.pack())
 
     def run(batches):

@@ -4,12 +4,13 @@ Features are present or absent, each hashed into 2**BITS places: words, word ste
 adjacent words and pairs with one word between. FTRL-proximal gives each coordinate a learning rate of its own and, by L1,
 leaves most weights exactly zero; what is left is collected and broadcast (2**BITS weights at most).
 
-It is fitted in one task on a bounded sample of labelled rows: the most documents in the order of a hash of their doc_id.
-All documents are scored, whole.
+It is fitted in one task on a bounded sample of labelled rows: the first documents in the order of a hash of their doc_id, MOST
+of them and MOST_BYTES of their texts at most. A doc_id is learned from once: of repeated labels the largest counts, of repeated
+documents the text that sorts first. All documents are scored, whole.
 
 Cases: a null or empty text has no features and gets the score of the intercept. Labels that are null are left out; without
-any the score is near 0.1. Rows repeat as they do in docs. All columns of docs pass through; they must not be named as the
-column added. Empty tables work.
+any the score is near 0.1. Rows repeat as they do in docs. All columns of docs pass through, whatever their names; where one has
+the name of the column added, that gets a _ after it. Empty tables work.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,8 @@ BITS = 20
 STEMS = (4, 5)
 #: Labelled documents to learn from, at most.
 MOST = 10_000
+#: Bytes of their texts, at most, so that one task can hold their features.
+MOST_BYTES = 64 << 20
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.5
@@ -96,17 +99,22 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> We
     return Weights(at, w[at], float(intercept))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, train: Column | None) -> DataFrame:
-    """(rank, label, text) of a bounded sample of labelled documents; rank orders them by a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, train: Column | None, most_bytes: int | None = None) -> DataFrame:
+    """(rank, label, text) of a bounded sample of labelled documents, each doc_id once; rank orders them by a hash of doc_id.
 
-    labels: a row for each labelled document, with doc_id. train: which of its rows may be learned from.
+    labels: doc_id and label of documents. train: which of its rows may be learned from.
     """
     rows = labels if train is None else labels.where(train)
-    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
-    rows = rows.withColumn("rank", F.xxhash64("_id")).orderBy("rank", "_id", "label").limit(most)
+    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("int").alias("label"))
+    rows = rows.withColumn("rank", F.xxhash64("_id")).orderBy("rank", "_id").limit(most)
     # The sample is bounded, so its ids can be broadcast: the texts stay where they are.
     docs = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.join(F.broadcast(rows), "_id").select("rank", "label", "text")
+    found = docs.join(F.broadcast(rows), "_id").groupBy("_id", "rank", "label").agg(F.min("text").alias("text"))
+    found = common.as_table(found, "labelled")
+    # In one task, the lengths alone: MOST rows at most.
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy("rank", "_id").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = found.select("_id", F.coalesce(so_far, F.lit(0)).alias("before")).where(F.col("before") < (most_bytes or MOST_BYTES))
+    return found.join(F.broadcast(sizes), "_id").select("rank", "label", "text")
 
 
 def in_one_task(rows: DataFrame, order: list[str], fit_rows: Callable, schema: str) -> DataFrame:
@@ -145,7 +153,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Colum
 
 
 def scores(docs: DataFrame, weights: Weights, column: str = "score") -> DataFrame:
-    """docs(text, ...) with the probability of label 1."""
+    """docs(text, ...) with the probability of label 1, in a column of this name, with _ after it if docs has one."""
+    column = common.free_name(docs, column)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):

@@ -1,8 +1,11 @@
+import math
 import random
 
 import numpy as np
 from paperloom.llm import quality as ql
 
+from . import plain
+
 
 def corpus(n=500, seed=4):
     rng = random.Random(seed)
@@ -71,6 +74,59 @@ def test_cases(spark):
     assert all(0 <= r.score <= 1 for r in ql.scores(docs, one).collect())
 
 
-def test_query(spark):
-    out = ql.op3_quality(spark, "/root/testdata/sf0.001").collect()
-    assert len(out) == len({r.doc_id for r in out}) == 200 and all(r.predicted == (r.score >= 0.7) for r in out)
+def test_names_of_columns_are_free(spark):
+    docs = spark.createDataFrame([(1, "a", "own")], "doc_id long, text string, score string")
+    out = ql.scores(docs, ql.Network())
+    assert out.columns == [*docs.columns, "score_"] and out.first().score == "own"
+
+
+def plain_passages(text):
+    words, raw = plain.spaced(text)
+    lower = [w.lower() if w.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w, _ in words]
+    heads = [0, *(start for _, start in words[64::64])]
+    out = []
+    for k, (a, b) in enumerate(zip(heads, [*heads[1:], len(raw)], strict=True)):
+        x, body = [0.0] * ql.WIDTH, raw[a:b]
+        for j, kind in enumerate(ql.KINDS):
+            x[j] = sum(c in kind for c in body) / max(1, len(body))
+        mine = range(64 * k, min(64 * k + 64, len(words)))
+        if n := len(mine):
+            lengths = [len(lower[i]) for i in mine]
+            mean = sum(lengths) / n
+            repeats = lambda gap: sum(i >= gap and lower[i] == lower[i - gap] for i in mine) / n  # noqa: B023, E731
+            spread = math.sqrt(max(0, sum(v * v for v in lengths) / n - mean**2))
+            x[len(ql.KINDS) : len(ql.KINDS) + 8] = [
+                mean / 10, spread / 10, repeats(1), repeats(2), len({lower[i] for i in mine}) / n,
+                sum(words[i][0][0] in ql.KINDS[0] for i in mine) / n, sum(v == 1 for v in lengths) / n, n / 64,
+            ]
+            for i in mine:
+                h = plain.word_hash(lower[i])
+                x[len(ql.KINDS) + 8 + (h >> 40) % 32] += (1 if h >> 63 else -1) / math.sqrt(n)
+        out.append(x)
+    return np.array(out, np.float32)
+
+
+def plain_score(net, x):
+    p, rows = net.p, []
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for v in (x - net.mean) / net.scale:
+        h = [math.tanh(sum(v * p["w"][:, j]) + p["b"][j]) for j in range(ql.HIDDEN)]
+        gate = [math.tanh(sum(np.array(h) * p["v"][:, j]) + p["v0"][j]) * sigmoid(sum(np.array(h) * p["u"][:, j]) + p["u0"][j]) for j in range(ql.ATTENTION)]
+        rows.append((math.exp(sum(g * a for g, a in zip(gate, p["a"], strict=True))), h))
+    whole = sum(e for e, _ in rows)
+    z = [sum(e / whole * h[j] for e, h in rows) for j in range(ql.HIDDEN)]
+    return sigmoid(sum(a * b for a, b in zip(z, p["c"], strict=True)) + p["c0"][0])
+
+
+def test_query_matches_brute_force(spark):
+    """Passages, sample and scores once more, one by one, over a whole table; gradients have a test of their own."""
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect() if plain.remainder(r.doc_id, 4) != 2}
+    bags = {i: plain_passages(t) for i, t in texts.items()}
+    learned = plain.sample(texts, marks, 8000)
+    net = ql.Network().fit([bags[i] for i in learned], np.array([marks[i] for i in learned], np.float64))
+    out = ql.op3_quality(spark, d).collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    for r in out:
+        assert abs(r.score - plain_score(net, bags[r.doc_id])) < 1e-3 and r.held_out == (plain.remainder(r.doc_id, 4) == 2) and r.predicted == (r.score >= 0.7)
