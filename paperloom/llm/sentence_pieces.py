@@ -6,7 +6,7 @@ segmented once in a task, by the library, and its ids are joined back to all pla
 pieces are used on whole texts. Decoding is the library's, over all ids of a text.
 
 Cases: a null or empty text has no ids but the end id, and decodes to an empty text. Rows repeat as they do in docs; all
-columns of docs pass through untouched, and must not be named ids or decoded.
+columns of docs pass through untouched, whatever their names; where one is named ids or decoded, the column added gets a _ after it.
 """
 
 from __future__ import annotations
@@ -75,19 +75,20 @@ class Codec:
 def encode(docs: DataFrame, model_path: str, decode: bool = False) -> DataFrame:
     """docs with ids (array<int>, with the end id) of the column text, and with decoded, their text, if asked for."""
     model = docs.sparkSession.sparkContext.broadcast(common.vocabulary(model_path))
+    ids_name, decoded_name = common.free_name(docs, "ids"), common.free_name(docs, "decoded")
 
     def run(batches):
         codec = Codec(model.value)
         for batch in batches:
             for part, data, offsets in common.slices(batch, most=SLICE):
                 ids, at = codec.encode(data, offsets)
-                more = {"ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))}
+                more = {ids_name: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))}
                 if decode:
-                    more["decoded"] = text_array(codec.decode(ids, at))
+                    more[decoded_name] = text_array(codec.decode(ids, at))
                 yield common.with_columns(part, **more)
 
-    fields = [*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    return docs.mapInArrow(run, T.StructType(fields + [T.StructField("decoded", T.StringType())] * decode))
+    fields = [*docs.schema.fields, T.StructField(ids_name, T.ArrayType(T.IntegerType()))]
+    return docs.mapInArrow(run, T.StructType(fields + [T.StructField(decoded_name, T.StringType())] * decode))
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:

@@ -43,3 +43,9 @@ def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     out = {r.doc_id: tuple(r)[1:] for r in sp.op8_sentence_pieces(spark, d).collect()}
     assert out == {k: brute(t) for k, t in docs.items()}
+
+
+def test_names_of_columns_are_free(spark):
+    docs = spark.createDataFrame([(1, "a b", "own", "too")], "doc_id long, text string, ids string, decoded string")
+    row = sp.encode(docs, common.public_vocabulary("piece_bpe_32k.model"), decode=True).first()
+    assert (row.ids, row.decoded, row.decoded_) == ("own", "too", "a b") and len(row.ids_) > 1
