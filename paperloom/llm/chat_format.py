@@ -3,7 +3,7 @@
 A turn is written as <|im_start|>role, a line end, its text, <|im_end|> and a line end. Backslashes are doubled and "<|" becomes
 "<\\|" inside roles and texts (a line end in a role becomes "<\\N"), so that no text can imitate a mark, and all can be read back.
 
-Windows: prefix sums of the turns' tokens (estimated from the length written) are laid over a stride, what a window's budget
+Windows: prefix sums of the turns' tokens (a Column over the text written; if none is given, an estimate from its length) are laid over a stride, what a window's budget
 leaves beside the system turn and the history. Turns that lie between two multiples of the stride form a span; a turn across a
 multiple is a span of its own. So spans hold whole turns, and stay within the stride unless a single turn is longer. A window is
 the conversation's system turn (its first turn, if that is the role), then up to HISTORY_TURNS turns before the span that fit the
@@ -14,7 +14,11 @@ Cases: a null role or text is empty. Turns are ordered by turn (null first), rol
 stay as often as they occur. Rows without conv_id form one conversation. Very long turns make windows above the budget. Other
 columns are not read. An empty table gives an empty result.
 
-A conversation's digest needs its whole text in one row, which Spark limits to 2 GB; windows have no such bound.
+A conversation's turns are ordered in one task, which may spill them. Its digest needs its whole text in one row, which Spark limits
+to 2 GB; windows have no such bound.
+
+The estimate counts CHARS characters as a token. That is low for scripts of many bytes a character: pass tokens there, for
+example F.ceil(F.octet_length("body") / 3).
 """
 
 from __future__ import annotations
@@ -39,8 +43,8 @@ def _unescape(x: Column, role: bool = False) -> Column:
     return F.replace(F.replace(x, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def windows(conversations: DataFrame) -> DataFrame:
-    """(conv_id, window, repeated, formatted, loss) for conversations(conv_id, turn, role, text).
+def windows(conversations: DataFrame, tokens: Column | None = None) -> DataFrame:
+    """(conv_id, window, repeated, formatted, loss) for conversations(conv_id, turn, role, text). tokens: how many a turn as written (body) has.
 
     repeated: turns at the window's start that earlier windows have had. loss: (start, length) of the texts that count, in
     characters of formatted, from 0.
@@ -50,7 +54,7 @@ def windows(conversations: DataFrame) -> DataFrame:
     head = F.concat(F.lit(START), _escape(F.col("role"), True), F.lit("\n"))
     rows = rows.withColumn("head", F.char_length(head)).withColumn("said", F.char_length(_escape(F.col("text"))))
     rows = rows.withColumn("body", F.concat(head, _escape(F.col("text")), F.lit(END))).withColumn("size", F.char_length("body").cast("long"))
-    rows = rows.withColumn("cost", F.ceil(F.col("size") / CHARS))
+    rows = rows.withColumn("cost", (F.ceil(F.col("size") / CHARS) if tokens is None else tokens).cast("long"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     system = F.first("role").over(so_far) == "system"

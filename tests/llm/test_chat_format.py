@@ -59,3 +59,13 @@ def test_query_matches_sql(spark):
     out = cf.op5_chat_format(spark, d)
     assert sorted(tuple(r) for r in out.collect()) == sorted(con.execute(cf.SQL).fetchall())
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_very_long_conversation_and_given_tokens(spark):
+    """20,000 turns; tokens counted in bytes, so that windows of a script of many bytes keep the budget too."""
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", "日本語のとても長い文" * (t % 4)) for t in range(20_000)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = cf.windows(docs, cf.F.ceil(cf.F.octet_length("body") / 3)).cache()
+    assert windows.select(cf.F.max(cf.F.octet_length("formatted"))).first()[0] <= 3 * cf.BUDGET
+    back = cf.read_back(windows).orderBy("window").collect()
+    assert sum(r.n_turns for r in back) == 20_000 and "".join(r.loss_text for r in back) == "".join(t for _, _, r, t in rows if r == "assistant")
