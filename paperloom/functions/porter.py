@@ -83,5 +83,6 @@ def stem(word: str) -> str:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(lists: pd.Series) -> pd.Series:
-    """The stems of arrays of words."""
-    return lists.map(lambda x: None if x is None else [stem(w) for w in x])
+    """The stems of arrays of words; each distinct word of a batch is stemmed once."""
+    known = {w: stem(w) for w in set().union(*(x for x in lists if x is not None))}
+    return lists.map(lambda x: None if x is None else [known[w] for w in x])

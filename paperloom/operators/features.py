@@ -44,9 +44,12 @@ def distinctive_words(
     if len(sizes) != 2 or None in sizes:
         raise ValueError("there must be exactly two classes")
     least = sum(sizes.values()) / 10 if min_total is None else min_total
-    each = df.select(F.col(classification).alias("_class"), F.explode(_words(text, stem, stop_words, numbers)).alias("word"))
+    each = df.select(F.col(classification).alias("_class"), F.explode(_words(text, False, stop_words, numbers)).alias("word"))
     names = {c: str(c) for c in sizes}
     counts = each.groupBy("word").agg(*(F.count_if(F.col("_class") == c).alias(f"n_{names[c]}") for c in sizes))
+    if stem:  # counted first, so that each distinct word is stemmed once
+        stemmed = counts.withColumn("word", F.element_at(stems(F.array("word")), 1))
+        counts = stemmed.groupBy("word").agg(*(F.sum(f"n_{n}").alias(f"n_{n}") for n in names.values()))
     (a, size_a), (b, size_b) = ((names[c], k) for c, k in sizes.items())
     counts = counts.withColumn("total", F.col(f"n_{a}") + F.col(f"n_{b}")).where(F.col("total") >= least)
     counts = counts.withColumn(f"freq_{a}", F.col(f"n_{a}") / size_a).withColumn(f"freq_{b}", F.col(f"n_{b}") / size_b)

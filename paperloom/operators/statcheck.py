@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..functions.text import squeeze
 from ..schemas import Corpus
-from .search import search_text
+from .search import distinct_rows, full_text, search_text
 
 # The form in which the tests are reported. Groups: test, degrees of freedom, comparison, value, p value.
 _NUM = r"\d*\.?\d+"
@@ -37,8 +38,10 @@ def _number(x):
 
 
 def results(text: DataFrame) -> DataFrame:
-    """A row for each reported result, with its parts; the columns of text stay."""
-    rows = text.withColumn("raw", F.explode(F.regexp_extract_all(F.concat(F.lit(" "), "text"), F.lit(RESULT), F.lit(0))))
+    """A row for each reported result, with its parts; the columns of text stay. Of equal sentences in one place the first counts."""
+    # Only sentences with a result are compared with each other, and so shuffled.
+    found = text.select("*", F.posexplode(F.regexp_extract_all(F.concat(F.lit(" "), "text"), F.lit(RESULT), F.lit(0))).alias("_at", "raw"))
+    rows = distinct_rows(found).drop("_at")
     rows = rows.withColumn("raw", F.trim("raw"))
     raw = F.col("raw")
     kind = (
@@ -142,11 +145,13 @@ def stats(
     all_p_values: bool = False,
 ) -> DataFrame:
     """A row for each reported test in the text, with COLUMNS and the text's own. all_p_values: instead, each p value with its comparison."""
-    text = search_text(source, "[0-9]")
     if all_p_values:
+        text = search_text(source, "[0-9]")
         found = text.withColumn("raw", F.explode(F.regexp_extract_all("text", F.lit(_P), F.lit(0))))
         p = F.regexp_extract("raw", r"[<>=]\s?(.*)$", 1)
         return found.withColumn("p_comp", F.when(F.col("raw").rlike("[<>=]"), F.regexp_extract("raw", "([<>=])", 1)).otherwise("ns")).withColumn("reported_p", F.when(p == "", None).otherwise(p).try_cast("double"))
+    text = full_text(source).where(F.col("text").rlike("[0-9]"))
+    text = text.withColumn("text", squeeze(F.col("text")))
     wanted = [stat] if isinstance(stat, str) else list(stat)
     rows = results(text).where(F.col("test_type").isin(wanted))
 

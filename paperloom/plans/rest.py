@@ -15,6 +15,7 @@ from .modules import module_find, module_list, module_run
 
 #: Bytes of the largest upload.
 MOST_BYTES = 3 << 20
+#: Rows of the largest answer; a larger one is an error, never cut.
 MOST_ROWS = 10_000
 
 
@@ -25,7 +26,10 @@ class RequestError(ValueError):
 
 
 def _rows(df: DataFrame) -> list[dict[str, Any]]:
-    return [r.asDict(recursive=True) for r in df.limit(MOST_ROWS).collect()]
+    rows = df.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise RequestError(413, f"The answer has more than {MOST_ROWS} rows; search for less, or a part of the paper")
+    return [r.asDict(recursive=True) for r in rows]
 
 
 def upload(spark: SparkSession, name: str, content: bytes) -> Corpus:

@@ -26,7 +26,7 @@ from .sources.databases import compact_retractions
 from .sources.osf import osf_links
 from .sources.preregistrations import aspredicted_links, rbox_links
 from .sources.scholarly import abstracts
-from .streaming.files import stream_counts, text_stream
+from .streaming.files import shared_dir, stream_counts, text_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -724,18 +724,17 @@ def hit_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, len(regexp_extract_all(text, '[0-9]+')) AS matches FROM documents WHERE regexp_matches(text, '[0-9]')")
 def stream_search(spark: SparkSession, d: str) -> DataFrame:
     """Counts of matches by document, kept up over a stream of the table's file, and read when all of it has arrived."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    run = uuid.uuid4().hex
+    base, run = shared_dir(spark), uuid.uuid4().hex
     counts = stream_counts(text_stream(spark, f"{d}/documents.parque[t]", spark.read.parquet(f"{d}/documents.parquet").schema.simpleString()[7:-1].replace(":", " ")), "[0-9]+")
-    out = f"{base.rstrip('/')}/stream-{run}"
+    out = f"{base}/stream-{run}"
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    job = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{base.rstrip('/')}/stream-state-{run}").trigger(availableNow=True).foreachBatch(store).start()
+    # Each batch has the counts that it changed; of each document the last one holds.
+    job = counts.writeStream.outputMode("update").option("checkpointLocation", f"{base}/stream-state-{run}").trigger(availableNow=True).foreachBatch(store).start()
     job.awaitTermination()
-    rows = spark.read.parquet(out)
-    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").select("id", "matches")
+    return spark.read.parquet(out).groupBy("id").agg(F.max_by("matches", "batch").alias("matches"))
 
 
 def entry(spark: SparkSession, d: str = "/root/testdata/sf0.001") -> DataFrame:

@@ -49,10 +49,10 @@ def update_retractions(spark: SparkSession, csv: str | None = None, client: Clie
         raise ValueError(f"set {FOLDER} to a folder for the databases")
     if csv is None:
         got = (client or Client(timeout=300)).get(f"https://api.labs.crossref.org/data/retractionwatch?{email() or ''}")
-        lines = spark.createDataFrame([(x,) for x in got.text().splitlines()], "value string")
-        raw = spark.read.csv(lines.rdd.map(lambda r: r.value), header=True)
-    else:
-        raw = spark.read.csv(csv, header=True, multiLine=True, escape='"')
+        # Kept as it came, and read like a file: quoted fields have line ends.
+        csv = f"{folder}/retractionwatch-download"
+        spark.createDataFrame([(got.text(),)], "value string").write.mode("overwrite").text(csv)
+    raw = spark.read.csv(csv, header=True, multiLine=True, escape='"')
     path = f"{folder}/retractionwatch"
     compact_retractions(raw).withColumn("date", F.current_date()).write.mode("append").parquet(path)
     return path

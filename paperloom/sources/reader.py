@@ -71,9 +71,10 @@ def file_ids(paths: DataFrame, column: str = "path") -> tuple[DataFrame, Column]
     parts = F.split(F.regexp_replace(column, r"(?i)\.(xml|txt|docx)$", ""), "/")
     rows = paths.withColumn("_parts", parts)
     depth = rows.agg(F.max(F.size("_parts"))).first()[0] or 1
-    # As many counts as paths have parts: a handful.
-    counts = rows.agg(*(F.count_distinct(F.coalesce(F.get("_parts", F.lit(k)), F.lit("\0"))).alias(f"n{k}") for k in range(depth))).first()
-    varying = [k for k in range(depth) if counts[f"n{k}"] > 1] or [None]
+    # Least and largest of each part: a handful, in one pass without a shuffle of paths.
+    part = lambda k: F.coalesce(F.get("_parts", F.lit(k)), F.lit("\0"))
+    differs = rows.agg(*((F.min(part(k)) != F.max(part(k))).alias(f"n{k}") for k in range(depth))).first()
+    varying = [k for k in range(depth) if differs[f"n{k}"]] or [None]
     last = F.element_at("_parts", -1)
     id_ = last if varying == [None] else F.array_join(F.array_compact(F.array(*(F.get("_parts", F.lit(k)) for k in varying))), "/")
     return rows, id_

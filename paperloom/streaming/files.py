@@ -31,3 +31,12 @@ def stream_counts(stream: DataFrame, pattern: str, id_column: str = "doc_id", ig
 def run_available(stream: DataFrame, sink_path: str, checkpoint: str) -> None:
     """Writes what has arrived to Parquet, each row once, and ends."""
     stream.writeStream.format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Where streams keep their state: spark.checkpoint.dir; a folder of this machine only where nothing else runs."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
