@@ -25,6 +25,7 @@ from .schemas import Corpus, text_table
 from .sources.databases import compact_retractions
 from .sources.osf import osf_links
 from .sources.preregistrations import aspredicted_links, rbox_links
+from .sources.reader import corpus_of, parse_files
 from .sources.scholarly import abstracts
 from .streaming.files import shared_dir, stream_counts, text_stream
 
@@ -476,6 +477,95 @@ def author_rows(spark: SparkSession, d: str) -> DataFrame:
     return tables.author_table(Corpus.of(spark, info=authors.select("id"), authors=authors)).select("id", "surname", "given", "affiliation", "n")
 
 
+# ---------------------------------------------------------------- papers in files
+
+CONTROL = r"[\x00-\x1F\x7F]"
+
+
+def _tei_papers(spark: SparkSession, d: str) -> Corpus:
+    """Each document written as a TEI file (a division for each line, one reference), and read back."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, CONTROL, " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")
+    body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("<div><head>Part "), (i + 1).cast("string"), F.lit("</head><p>"), escaped(x), F.lit("</p></div>"))), "")
+    key = F.col("doc_id").cast("string")
+    content = F.concat(
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>On '), "source", F.lit('</title></titleStmt><sourceDesc><biblStruct><idno type="DOI">10.1/'), key,
+        F.lit("</idno></biblStruct></sourceDesc></fileDesc><profileDesc><textClass><keywords><term>"), "lang", F.lit("</term><term>"), "source",
+        F.lit("</term></keywords></textClass><abstract><p>About "), "lang", F.lit("</p></abstract></profileDesc></teiHeader><text><body>"), body,
+        F.lit('</body><back><div type="references"><listBibl><biblStruct xml:id="b0"><analytic><title level="a">Of '), "source",
+        F.lit("</title><author><persName><forename>A</forename><surname>"), "lang", F.lit('</surname></persName></author><idno type="DOI">10.2/'), key,
+        F.lit('</idno></analytic><monogr><title level="j">Journal</title><imprint><date type="published">'), (1900 + F.col("doc_id") % 100).cast("string"),
+        F.lit("</date></imprint></monogr></biblStruct></listBibl></div></back></text></TEI>"),
+    )
+    files = read(spark, d, "documents").select(F.concat(F.lit("papers/"), key, F.lit(".xml")).alias("path"), content.cast("binary").alias("content"))
+    return corpus_of(parse_files(files))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 'On ' || source AS title, lang || '; ' || source AS keywords, '10.1/' || doc_id AS doi, 'About ' || lang AS description FROM documents")
+def tei_info(spark: SparkSession, d: str) -> DataFrame:
+    return tables.info_table(_tei_papers(spark, d), ["title", "keywords", "doi", "description"])
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS id, 'b0' AS xref_id, '10.2/' || doc_id AS doi, 'article' AS bibtype, 'Of ' || source AS title, 'Journal' AS journal,
+  CAST(1900 + doc_id % 100 AS VARCHAR) AS year, 'A ' || lang AS authors FROM documents"""
+)
+def tei_references(spark: SparkSession, d: str) -> DataFrame:
+    return _tei_papers(spark, d).bib.select("id", "xref_id", "doi", "bibtype", "title", "journal", "year", "authors")
+
+
+@query(
+    """WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS id, generate_subscripts(l, 1) AS k, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+x AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k))::INT AS div, regexp_replace(text, '[^a-z]', '', 'g') AS letters FROM l WHERE text <> '')
+SELECT id, div, 'Part ' || div AS header, letters FROM x WHERE letters <> ''"""
+)
+def tei_text(spark: SparkSession, d: str) -> DataFrame:
+    """The letters of each division's sentences, in their order: whole texts, wherever sentences end."""
+    text = _tei_papers(spark, d).full_text.where("p > 0 AND (section IS NULL OR section <> 'abstract')")  # headers are in paragraph 0
+    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "s", "text"))), lambda x: F.regexp_replace(x["text"], "[^a-z]", "")), "")
+    return text.groupBy("id", F.col("div").cast("int").alias("div"), "header").agg(each.alias("letters")).where("letters <> ''")
+
+
+PHRASES = ["This was marginally significant", "It approached, then significance", "A trend toward significance here", "Almost fully significant", "Borderline significant it is", "Close to significance", "Plainly significant"]
+
+
+@query(
+    f"""WITH t AS (SELECT CAST(p_partkey % 50 AS VARCHAR) AS id, p_partkey::INT AS p, ([{", ".join(f"'{x}'" for x in PHRASES)}])[(p_partkey % {len(PHRASES)})::INT + 1] AS text FROM part),
+h AS (SELECT id, count(*) AS marginal FROM t WHERE regexp_matches(text, '(?i){builtin.MARGINAL}') GROUP BY id)
+SELECT DISTINCT id, coalesce(marginal, 0) AS marginal FROM t LEFT JOIN h USING (id)"""
+)
+def marginal_summary(spark: SparkSession, d: str) -> DataFrame:
+    text = F.get(F.array(*map(F.lit, PHRASES)), (F.col("p_partkey") % len(PHRASES)).cast("int"))
+    rows = read(spark, d, "part").select((F.col("p_partkey") % 50).cast("string").alias("id"), F.col("p_partkey").cast("int").alias("p"), text.alias("text"), F.col("p_partkey").alias("seq"))
+    return module_run(Corpus.of(spark, full_text=text_table(rows)), "marginal").summary
+
+
+@query(
+    f"""WITH {REPORTED}, {P_MATCHES}, {EFFECTS}, {REFERENCES}
+SELECT 'exact_p' AS module, CASE WHEN count(*) = 0 THEN 'na' WHEN bool_or(imprecise) THEN 'red' ELSE 'green' END AS light FROM judged
+UNION ALL SELECT 'effect_size', CASE WHEN count(*) = 0 THEN 'na' WHEN count(es) = count(*) THEN 'green' WHEN count(es) = 0 THEN 'red' ELSE 'yellow' END FROM effects
+UNION ALL SELECT 'marginal', CASE WHEN count(*) FILTER (WHERE regexp_matches(text, '(?i){builtin.MARGINAL}')) > 0 THEN 'red' ELSE 'green' END FROM reported
+UNION ALL SELECT 'ref_consistency', CASE WHEN (SELECT count(*) FROM bib) = 0 THEN 'na' WHEN (SELECT count(*) FROM unmatched) = 0 THEN 'green' ELSE 'red' END"""
+)
+def module_lights(spark: SparkSession, d: str) -> DataFrame:
+    """The traffic lights of some modules."""
+    papers = Corpus.of(spark, full_text=reported(spark, d))
+    lights = [(name, module_run(papers, name).traffic_light) for name in ("exact_p", "effect_size", "marginal")]
+    lights.append(("ref_consistency", module_run(_references(spark, d), "ref_consistency").traffic_light))
+    return spark.createDataFrame(lights, "module string, light string")
+
+
+@query(
+    f"""WITH {REPORTED}, n AS (SELECT *, regexp_extract(text, '= ([0-9]+)', 1) AS q, regexp_extract(text, 'p [<=] (\\.0[0-9]+)', 1) AS pv FROM reported WHERE starts_with(text, 'A t(') OR starts_with(text, 'An F('))
+SELECT DISTINCT id, div, p, s, CASE WHEN starts_with(text, 'A t') THEN 't(' || div || ') = ' || q || '.5, p < ' || pv ELSE 'F(2, 30) = ' || q || '.1, p = ' || pv END AS raw,
+  CASE WHEN starts_with(text, 'A t') THEN 't' ELSE 'F' END AS test_type, CASE WHEN starts_with(text, 'An') THEN 2.0::DOUBLE END AS df1, CASE WHEN starts_with(text, 'A t') THEN div::DOUBLE ELSE 30.0::DOUBLE END AS df2,
+  (q || CASE WHEN starts_with(text, 'A t') THEN '.5' ELSE '.1' END)::DOUBLE AS test_value, pv::DOUBLE AS reported_p FROM n"""
+)
+def statcheck_parts(spark: SparkSession, d: str) -> DataFrame:
+    """What statcheck takes from each reported result, before the tails of distributions."""
+    return stats(reported(spark, d)).select("id", "div", "p", "s", "raw", "test_type", "df1", "df2", "test_value", "reported_p")
+
+
 # ---------------------------------------------------------------- words
 
 WORDS_SQL = f"regexp_extract_all(lower(text), '{quoted(WORD)}')"
