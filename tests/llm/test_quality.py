@@ -2,10 +2,9 @@ import math
 import random
 
 import numpy as np
+import plain
 from paperloom.llm import quality as ql
 
-from . import plain
-
 
 def corpus(n=500, seed=4):
     rng = random.Random(seed)

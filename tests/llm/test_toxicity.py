@@ -3,10 +3,9 @@ import random
 import re
 
 import numpy as np
+import plain
 from paperloom.llm import toxicity as tx
 
-from . import plain
-
 
 def corpus(n=600, seed=3):
     rng = random.Random(seed)
