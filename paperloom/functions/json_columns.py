@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,74 +13,59 @@ MOST = 1000
 def few_values(df: DataFrame, column: str, most: int = MOST) -> list:
     """The values of a column that are to have a column each; more than most is an error, for some would vanish."""
     found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} distinct values of {column} to have a column each")
+    _check(len(found), column, most)
     return sorted(found)
 
 
-def _kind(values) -> str:
-    """The type that all of some texts have: boolean, integer, double or string."""
-    values = [v for v in values if v is not None]
-    if values and all(v in ("true", "false", "TRUE", "FALSE", "T", "F") for v in values):
-        return "boolean"
-    if values and all(re.fullmatch(r"[-+]?\d{1,9}", v) for v in values):
-        return "int"
-    if values and all(re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", v) for v in values):
+def _check(n: int, column: str, most: int) -> None:
+    if n > most:
+        raise ValueError(f"more than {most} distinct values of {column} to have a column each")
+
+
+def _kind(kinds: list[str]) -> str:
+    """The type that values of some kinds have in common: boolean, int, double or string."""
+    found = set(kinds)
+    if found == {"int", "double"}:
         return "double"
-    return "string"
+    return found.pop() if len(found) == 1 else "string"
 
 
 def json_expand(df: DataFrame, column: str = "answer", fields: dict[str, str] | list[str] | None = None) -> DataFrame:
     """df with a column for each field of the JSON objects in a column, and error where the text is no JSON object.
 
     Lists become texts joined by "; ", of lists of objects each field so. fields: the fields, with types or without (then
-    text). If not given, fields and types are taken from the data: their names in one pass, their types in another (the
-    distinct kinds of values, no values, reach the driver); more than MOST names are an error.
+    text). If not given, one aggregate over the data finds the names (in the order of their first place in an object) and the
+    kinds of their values; more than MOST names are an error.
     """
     column = column if column in df.columns else df.columns[0]
     text = F.col(column)
-    parsed = F.try_parse_json(text)
-    rows = df.withColumn("_kind", F.schema_of_variant(parsed))
-    rows = rows.withColumn("_list", F.coalesce(F.col("_kind").startswith("ARRAY<OBJECT"), F.lit(False)))
-    one = F.when(~F.col("_list"), F.from_json(text, "map<string,string>"))
-    many = F.when(F.col("_list"), F.from_json(text, "array<map<string,string>>"))
-    rows = rows.withColumn("_one", one).withColumn("_many", many)
-    if fields is None:
-        keys = rows.select(F.explode(F.coalesce(F.map_keys("_one"), F.flatten(F.transform("_many", F.map_keys)))).alias("k"))
-        names = few_values(keys, "k")
-        order = {k: i for i, k in enumerate(_first_order(rows, names))}
-        names.sort(key=lambda k: order.get(k, len(order)))
-    else:
-        names = list(fields)
 
     def listed(value):
         items = F.from_json(value, "array<string>")
         return F.when(value.startswith("["), F.coalesce(F.array_join(items, "; "), value)).otherwise(value)
 
-    def field(name):
-        alone = listed(F.try_element_at("_one", F.lit(name)))
-        each = F.array_join(F.filter(F.transform("_many", lambda m: listed(F.try_element_at(m, F.lit(name)))), lambda v: v.isNotNull()), "; ")
-        return F.when(F.col("_list"), F.nullif(each, F.lit(""))).otherwise(alone)
+    def joined(objects):
+        names = F.array_distinct(F.flatten(F.transform(objects, F.map_keys)))
+        each = lambda name: F.filter(F.transform(objects, lambda m: listed(F.try_element_at(m, name))), lambda v: v.isNotNull())
+        return F.map_from_entries(F.transform(names, lambda name: F.struct(name, F.nullif(F.array_join(each(name), "; "), F.lit("")))))
 
-    rows = rows.withColumns({f"_f_{n}": field(n) for n in names})
-    types = fields if isinstance(fields, dict) else {}
-    if fields is None and names:
-        kind = lambda c: (
-            F.when(F.col(c).isNull(), None)
-            .when(F.col(c).isin("true", "false", "TRUE", "FALSE", "T", "F"), "true")
-            .when(F.col(c).rlike(r"^[-+]?\d{1,9}$"), "1")
-            .when(F.col(c).rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), "1.5")
-            .otherwise("x")
+    rows = df.withColumn("_json", F.try_parse_json(text))
+    many = F.schema_of_variant("_json").startswith("ARRAY<OBJECT")
+    rows = rows.withColumn("_map", F.when(many, joined(F.from_json(text, "array<map<string,string>>"))).otherwise(F.transform_values(F.from_json(text, "map<string,string>"), lambda _, v: listed(v))))
+    types = fields if isinstance(fields, dict) else dict.fromkeys(fields or [], "string")
+    if fields is None:
+        value = F.col("value")
+        kind = (
+            F.when(value.isNull(), None)
+            .when(value.isin("true", "false", "TRUE", "FALSE", "T", "F"), "boolean")
+            .when(value.rlike(r"^[-+]?\d{1,9}$"), "int")
+            .when(value.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), "double")
+            .otherwise("string")
         )
-        found = rows.agg(*(F.collect_set(kind(f"_f_{n}")).alias(n) for n in names)).first()
-        types = {n: _kind(found[n]) for n in names}
-    bad = text.isNotNull() & parsed.isNull()
-    out = rows.withColumns({n: F.expr(f"try_cast(`_f_{n}` AS {types.get(n, 'string')})") for n in names})
-    out = out.withColumn("error", F.when(bad, F.lit(PARSING_ERROR)))
-    return out.drop("_kind", "_list", "_one", "_many", *(f"_f_{n}" for n in names))
-
-
-def _first_order(rows: DataFrame, names: list[str]) -> list[str]:
-    """The names in the order of the first object that has each, as far as one object shows it."""
-    first = rows.select(F.coalesce(F.map_keys("_one"), F.flatten(F.transform("_many", F.map_keys))).alias("k")).where("k IS NOT NULL").orderBy(F.size("k").desc()).first()
-    return list(dict.fromkeys([*(first.k if first else []), *names]))
+        names = rows.select(F.posexplode("_map").alias("at", "k", "value")).groupBy("k").agg(F.min("at").alias("at"), F.collect_set(kind).alias("kinds"))
+        found = names.limit(MOST + 1).collect()
+        _check(len(found), "k", MOST)
+        types = {r.k: _kind(r.kinds) for r in sorted(found, key=lambda r: (r.at, r.k))}
+    field = lambda name, kind: F.try_element_at("_map", F.lit(name)).try_cast(kind)
+    out = rows.withColumns({name: field(name, kind) for name, kind in types.items()})
+    return out.withColumn("error", F.when(text.isNotNull() & F.col("_json").isNull(), F.lit(PARSING_ERROR))).drop("_json", "_map")
