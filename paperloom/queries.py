@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids
@@ -482,9 +482,13 @@ def author_rows(spark: SparkSession, d: str) -> DataFrame:
 CONTROL = r"[\x00-\x1F\x7F]"
 
 
+def escaped(c) -> Column:
+    """A text as XML has it; control characters become spaces."""
+    return F.replace(F.replace(F.replace(F.regexp_replace(c, CONTROL, " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def _tei_papers(spark: SparkSession, d: str) -> Corpus:
     """Each document written as a TEI file (a division for each line, one reference), and read back."""
-    escaped = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, CONTROL, " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x != "")
     body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("<div><head>Part "), (i + 1).cast("string"), F.lit("</head><p>"), escaped(x), F.lit("</p></div>"))), "")
     key = F.col("doc_id").cast("string")
@@ -498,7 +502,7 @@ def _tei_papers(spark: SparkSession, d: str) -> Corpus:
         F.lit("</date></imprint></monogr></biblStruct></listBibl></div></back></text></TEI>"),
     )
     files = read(spark, d, "documents").select(F.concat(F.lit("papers/"), key, F.lit(".xml")).alias("path"), content.cast("binary").alias("content"))
-    return corpus_of(parse_files(files))
+    return corpus_of(parse_files(files), files)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, 'On ' || source AS title, lang || '; ' || source AS keywords, '10.1/' || doc_id AS doi, 'About ' || lang AS description FROM documents")
@@ -834,3 +838,5 @@ def entry(spark: SparkSession, d: str = "/root/testdata/sf0.001") -> DataFrame:
     counts = builtin.counted(search_text(corpus, "[0-9]+", return_="match"), "numbers")
     return corpus.ids().join(counts, "id", "left").select("id", F.coalesce("numbers", F.lit(0)).alias("numbers"))
 
+
+from . import paper_queries  # noqa: E402, F401 (registers its queries, which use the above)

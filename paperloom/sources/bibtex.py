@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .http import Client, frame
+from ..functions.json_columns import few_values
+from .http import Client
 from .scholarly import bibsearch, short_doi
 
 _ENTRY = re.compile(r"@(\w+)\s*\{\s*([^,\s]+)\s*,", re.MULTILINE)
@@ -48,11 +52,22 @@ def format_bibtex(entries: list[dict[str, str]]) -> str:
     return "\n".join(map(block, entries))
 
 
+def _fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"fields": [e for source in batch["source"] if source for e in parse_bibtex(source)]}, dtype=object)
+
+
+def bibtex_fields(df: DataFrame, column: str) -> DataFrame:
+    """(fields): a map for each entry in a column of BibTeX sources; a null or empty source has none."""
+    return df.select(F.col(column).alias("source")).mapInPandas(_fields, "fields map<string, string>")
+
+
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of .bib files, with a column for each field; what an entry lacks is null."""
-    entries = [e for r in spark.read.text(path, wholetext=True).collect() for e in parse_bibtex(r.value)]
-    columns = list(dict.fromkeys(k for e in entries for k in e)) or ["CATEGORY", "BIBTEXKEY"]
-    return frame(spark, entries, ", ".join(f"`{c}` string" for c in columns))
+    """The entries of .bib files, with a column for each field; what an entry lacks is null. More than MOST names of fields are an error."""
+    entries = bibtex_fields(spark.read.text(path, wholetext=True), "value")
+    first = ["CATEGORY", "BIBTEXKEY"]
+    names = few_values(entries.select(F.explode(F.map_keys("fields")).alias("name")), "name")
+    return entries.select(*(F.col("fields")[n].alias(n) for n in first + [n for n in names if n not in first]))
 
 
 def bibtex_add_dois(path: str, save_to: str | None = None, strict: bool = True, client: Client | None = None) -> list[dict[str, str]]:

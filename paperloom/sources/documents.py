@@ -367,13 +367,7 @@ def plain_paragraphs(data: bytes, header: int = 20) -> list[Paragraph]:
     return [paragraph(None, x, None, None, None, 0 < len(x) <= header) for x in bodies]
 
 
-def kind_of(name: str, data: bytes) -> str:
-    """apa, nlm, tei, word or text, from the content."""
-    if data[:2] == b"PK" or name.lower().endswith(".docx"):
-        return "word"
-    if not name.lower().endswith(".xml"):
-        return "text"
-    root, doctype = parse(data)
+def _kind_of_xml(root: ET.Element, doctype: str) -> str:
     if "//APA//DTD" in doctype:
         return "apa"
     if "//NLM//DTD" in doctype or root.tag == "article":
@@ -381,16 +375,24 @@ def kind_of(name: str, data: bytes) -> str:
     return "tei" if root.tag == "TEI" else "text"
 
 
+def kind_of(name: str, data: bytes) -> str:
+    """apa, nlm, tei, word or text, from the content."""
+    if data[:2] == b"PK" or name.lower().endswith(".docx"):
+        return "word"
+    return _kind_of_xml(*parse(data)) if name.lower().endswith(".xml") else "text"
+
+
 def parse_document(name: str, data: bytes) -> dict:
     """info, authors, paragraphs, bib and xrefs of one file. Raises on files that can't be read."""
-    kind = kind_of(name, data)
     out = {"info": {}, "authors": [], "bib": [], "xrefs": []}
-    if kind == "word":
+    if data[:2] == b"PK" or name.lower().endswith(".docx"):
         return {**out, "paragraphs": word_paragraphs(data)}
+    if not name.lower().endswith(".xml"):
+        return {**out, "paragraphs": plain_paragraphs(data)}
+    root, doctype = parse(data)
+    kind = _kind_of_xml(root, doctype)
     if kind == "text":
-        body = text(parse(data)[0]).encode() if name.lower().endswith(".xml") else data
-        return {**out, "paragraphs": plain_paragraphs(body)}
-    root, _ = parse(data)
+        return {**out, "paragraphs": plain_paragraphs(text(root).encode())}
     if kind == "tei":
         return {"info": tei_info(root), "authors": tei_authors(root), "paragraphs": tei_paragraphs(root), "bib": tei_bib(root), "xrefs": tei_xrefs(root)}
     apa = kind == "apa"

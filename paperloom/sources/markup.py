@@ -21,7 +21,7 @@ def parse(data: bytes) -> tuple[ET.Element, str]:
 
 
 def squeeze(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
+    return " ".join(text.split())
 
 
 def _link(el: ET.Element) -> str | None:

@@ -66,10 +66,13 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_parse, PARSED)
 
 
+def path_parts(column: str) -> Column:
+    return F.split(F.regexp_replace(column, r"(?i)\.(xml|txt|docx)$", ""), "/")
+
+
 def file_ids(paths: DataFrame, column: str = "path") -> tuple[DataFrame, Column]:
     """paths, and each one's id: its parts that differ among the paths, without the ending."""
-    parts = F.split(F.regexp_replace(column, r"(?i)\.(xml|txt|docx)$", ""), "/")
-    rows = paths.withColumn("_parts", parts)
+    rows = paths.withColumn("_parts", path_parts(column))
     depth = rows.agg(F.max(F.size("_parts"))).first()[0] or 1
     # Least and largest of each part: a handful, in one pass without a shuffle of paths.
     part = lambda k: F.coalesce(F.get("_parts", F.lit(k)), F.lit("\0"))
@@ -80,10 +83,15 @@ def file_ids(paths: DataFrame, column: str = "path") -> tuple[DataFrame, Column]
     return rows, id_
 
 
-def corpus_of(parsed: DataFrame) -> Corpus:
-    """The tables of parsed files. Rows with errors are left out."""
-    rows, id_ = file_ids(parsed.where("error IS NULL"))
-    rows = rows.withColumn("id", id_).drop("_parts")
+def corpus_of(parsed: DataFrame, files: DataFrame | None = None) -> Corpus:
+    """The tables of parsed files. Rows with errors are left out.
+
+    files: the table with the column path that ids are told apart by; if not given, that of the files without errors, which
+    are parsed once more for it unless they are persisted.
+    """
+    rows = parsed.where("error IS NULL")
+    _, id_ = file_ids((rows if files is None else files).select("path"))
+    rows = rows.withColumn("_parts", path_parts("path")).withColumn("id", id_).drop("_parts")
     info = rows.select("id", F.col("path").alias("filename"), "info.*")
     paragraphs = rows.select("id", F.posexplode("paragraphs").alias("seq", "x")).select("id", F.col("seq").cast("bigint").alias("seq"), "x.*")
     structured = paragraphs.where("is_header IS NULL").drop("is_header")
