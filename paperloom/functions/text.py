@@ -34,7 +34,7 @@ SENTENCE_END = r"""(?<=[!?][)\]"'’”]{0,2})\s+|(?<=[.][)\]"'’”]{0,2})\s+(
 
 def sentences(x: Column) -> Column:
     """The sentences of a text, as an array."""
-    return F.filter(F.transform(F.split(x, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(x, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
 #: A word: letters and digits of any alphabet, with single full stops or apostrophes inside, and commas before digits.

@@ -105,3 +105,8 @@ def test_feature_classifier(spark):
     rows = text_features(table, ["medium", "effect"])
     model = feature_classifier(rows, "y", ["medium", "effect"])
     assert model.transform(rows).where("prediction = y").count() >= 12
+
+
+def test_sentences_keep_their_digits(spark):
+    table = spark.createDataFrame([("0 In all. 1 Of 1. Then it was 2",)], "text string")
+    assert table.select(sentences(F.col("text"))).first()[0] == ["0 In all.", "1 Of 1.", "Then it was 2"]
