@@ -44,6 +44,11 @@ class ChunkTable:
             self.used += len(ids)
         return np.fromiter(map(self.index.__getitem__, chunks), np.int32, len(chunks))
 
+    def gathered(self, place: np.ndarray) -> np.ndarray:
+        """The ids of the chunks at these places of the table, after each other."""
+        counts = self.counts[place]
+        return self.flat[common.ranges(self.starts[place].astype(np.int64), counts.astype(np.int64))]
+
     def tokens(self, data: np.ndarray, starts: np.ndarray, first: np.ndarray, lead: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that are cut at starts into chunks, an end id after each text, and the index of each text's first id.
 

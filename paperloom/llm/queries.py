@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, quality, sentence_pieces, subword_lm, toxicity, url_filter, wavelet_shards
+from . import (
+    byte_bpe, chat_format, decontaminate, exact_dedup, fill_in_middle, jaccard_join, merkle_manifest, quality, sentence_pieces, subword_lm, toxicity, url_filter, wavelet_shards,
+)
 
 QUERIES = {
     "op1_wavelet_shards": wavelet_shards.op1_wavelet_shards,
@@ -16,6 +18,9 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op10_jaccard_join_counts": jaccard_join.op10_jaccard_join_counts,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 
 SQL = {
@@ -25,4 +30,6 @@ SQL = {
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_jaccard_join": jaccard_join.SQL,
     "op10_jaccard_join_counts": jaccard_join.SQL_COUNTS,
+    "op11_fill_in_middle": fill_in_middle.SQL,
+    "op13_merkle_manifest": merkle_manifest.SQL,
 }
