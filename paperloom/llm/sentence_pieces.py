@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a distinct-chunk table.
 
-If no piece of the model has its whitespace marker after another character (checked when a model is loaded), then pieces
-cannot cross from one marked word to the next. So each distinct marked word, with the run of markers before it, is
-segmented once in a task, by the library, and its ids are joined back to all places of that word. Models with such
-pieces are used on whole texts. Decoding is the library's, over all ids of a text.
+If no piece of the model has its whitespace marker after another character, white space stays as it is and a marker has a piece of its
+own (checked when a model is loaded), then pieces cannot cross from one marked word to the next. So each distinct marked word, with the
+run of markers before it, is segmented once in a task, by the library, and its ids are joined back to all places of that word. Models for
+which that doesn't hold are used on whole texts. Decoding is the library's, over all ids of a text.
 
 Cases: a null or empty text has no ids but the end id, and decodes to an empty text. Rows repeat as they do in docs; all
 columns of docs pass through untouched, whatever their names; where one is named ids or decoded, the column added gets a _ after it.
@@ -48,14 +48,17 @@ class Codec:
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
-        plain = self.model.encode(MARK + "a " + MARK + "b") == self.model.encode("  a  b") and self.model.encode("") == []
-        self.splits = plain and not any(MARK in x.lstrip(MARK) for x in pieces)
+        # The model puts one marker before a text, reads spaces as markers, and drops none.
+        plain = self.model.encode(MARK + "a " + MARK + "b ") == self.model.encode(" a  b ") != self.model.encode("a b") and self.model.encode("") == []
+        self.mark = self.model.piece_to_id(MARK)
+        self.splits = plain and self.mark != self.model.unk_id() and not any(MARK in x.lstrip(MARK) for x in pieces)
         self.end = self.model.eos_id()
         self.table = ChunkTable(self._encode, self.end)
 
     def _encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # The model puts a marker before each text; it stands for the chunk's first one.
-        ids = self.model.encode([(x[1:] if x[:1] == b" " else x[3:]).decode("utf-8", "replace") for x in chunks])
+        # The model puts a marker before each text; it stands for the chunk's first one. It puts none before an empty one.
+        rest = [(x[1:] if x[:1] == b" " else x[3:]).decode("utf-8", "replace") for x in chunks]
+        ids = [x if text else [self.mark] for x, text in zip(self.model.encode(rest), rest, strict=True)]
         return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

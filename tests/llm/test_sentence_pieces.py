@@ -1,4 +1,5 @@
 import hashlib
+from itertools import product
 
 import pyarrow as pa
 import sentencepiece
@@ -24,9 +25,28 @@ def test_cases(spark):
     assert out == {k: brute(t) for k, t in rows}
 
 
+def test_table_is_used_and_equals_the_library_on_all_short_texts():
+    texts = ["".join(x) for n in range(6) for x in product("a \n\x00▁", repeat=n)]
+    texts += ["".join(x) for n in range(4) for x in product(["ab", "  ", "\t", "é", "日", "🙂", "<s>", "\r\n", "　", "▁▁", "."], repeat=n)]
+    codec = sp.Codec(common.vocabulary(PATH))
+    ids, at = codec.encode(*common.buffers(pa.array(texts)))
+    assert codec.splits and len(codec.table.index) > 1000
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*x, 2] for x in codec.model.encode(texts)]
+
+
+def test_table_is_joined_back():
+    """A word's entry decides its ids at all of its places."""
+    codec = sp.Codec(common.vocabulary(PATH))
+    codec.encode(*common.buffers(pa.array(["some words"])))
+    codec.table.flat[codec.table.starts[codec.table.index[b" words"]]] = 5
+    ids, at = codec.encode(*common.buffers(pa.array(["some words and words", "other words"])))
+    assert (ids == 5).sum() == 3
+
+
 def test_table_of_one_slice_may_be_larger_than_its_limit():
     codec = sp.Codec(common.vocabulary(PATH))
     codec.table.most = 2
+    assert codec.splits
     data, offsets = common.buffers(pa.array(["a b c d e f", "e f g"]))
     ids, at = codec.encode(data, offsets)
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*codec.model.encode(x), 2] for x in ("a b c d e f", "e f g")]
