@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -20,7 +21,7 @@ from .config import email, settings, verbose
 from .operators import sections, tables, validation
 from .operators.search import search_text
 from .plans.modules import module_run
-from .queries import FLAGGED_WHOLE, LINES, PAPERS, REFERENCES, REPORTED, TALKS, _flagged, _papers, _references, doc_lines, escaped, query, read, reported, squeezed, talks
+from .queries import FLAGGED, LINES, PAPERS, REFERENCES, REPORTED, TALKS, _flagged, _papers, _references, _tei_papers, doc_lines, escaped, query, read, reported, squeezed, talks
 from .schemas import Corpus, concat_tables, text_table
 from .sources import scholarly
 from .sources.bibtex import bibtex_fields
@@ -28,6 +29,9 @@ from .sources.chat_model import ask
 from .sources.http import Recorded
 from .sources.preregistrations import AP_SECTIONS
 from .sources.reader import corpus_of, parse_files
+from .sources.reader import read as read_papers
+from .sources.text_files import write_files
+from .streaming.files import shared_dir
 
 # ---------------------------------------------------------------- JATS
 
@@ -41,12 +45,14 @@ def _filled(template: str, **values) -> Column:
 
 
 JATS = """<article><front><article-meta><article-id pub-id-type="doi">10.3/{key}</article-id><title-group><article-title>On {source}</article-title></title-group>
-<contrib-group content-type="primary-authors"><contrib contrib-type="author" rid="a1"><name><surname>{lang}</surname><given-names>Ada</given-names></name><xref ref-type="aff" rid="a1"/></contrib></contrib-group>
+<contrib-group content-type="primary-authors"><contrib contrib-type="author" rid="a1"><name><surname>{lang}</surname><given-names>Ada</given-names></name><xref ref-type="aff" rid="a1"/></contrib><contrib contrib-type="author"><string-name>Jan Piet van der {lang}</string-name></contrib></contrib-group>
 <aff id="a1"><institution>House {source}</institution></aff><pub-date pub-type="print"><day>{day}</day><month>{month}</month><year>2001</year></pub-date>
 <abstract><p>About {lang}</p></abstract><kwd-group><kwd>{lang}</kwd><kwd>{source}</kwd></kwd-group></article-meta></front>
-<body>{body}<sec><title>Outlook</title><p>Nothing is here. Seen in {source} before <xref ref-type="bibr" rid="r1">(1)</xref> by many. It ends.</p></sec></body>
-<back><fn-group><fn id="fn1"><label>1</label><p>Note on {lang}</p></fn></fn-group><ref-list><ref id="r1"><mixed-citation publication-type="journal"><person-group person-group-type="author"><name><surname>{lang}</surname><given-names>Bo</given-names></name></person-group>
-<article-title>Of {source}</article-title><source>Journal</source><year>{year}</year><volume>3</volume><fpage>1</fpage><lpage>9</lpage><pub-id pub-id-type="doi">10.2/{key}</pub-id></mixed-citation></ref></ref-list></back></article>"""
+<body>{body}<sec><title>Outlook</title><p>Nothing is here. Seen in {source} before <xref ref-type="bibr" rid="r1 r2">(1, 2)</xref> by many. It ends.</p></sec></body>
+<back><fn-group><fn id="fn1"><label>1</label><p>Note on {lang}</p></fn></fn-group><author-notes><p>Thanks to {lang}.</p></author-notes><fig id="f1"><label>2</label><caption><title>Plot of {source}</title><p>It shows {lang}.</p></caption></fig><ref-list><ref id="r1"><mixed-citation publication-type="journal"><person-group person-group-type="author"><name><surname>{lang}</surname><given-names>Bo</given-names></name></person-group>
+<article-title>Of {source}</article-title><source>Journal</source><year>{year}</year><volume>3</volume><fpage>1</fpage><lpage>9</lpage><pub-id pub-id-type="doi">10.2/{key}</pub-id></mixed-citation></ref>
+<ref id="r2"><mixed-citation publication-type="book"><string-name><given-names>Cy</given-names><surname>{lang}</surname></string-name>, <source>Book of {source}</source>, <year>{year}</year></mixed-citation></ref>
+<ref id="r3"><mixed-citation publication-type="book-chapter"><string-name><given-names>Di</given-names><surname>Roe</surname></string-name> <string-name><given-names>Ed</given-names><surname>Poe</surname></string-name>, <article-title>Chapter {key}</article-title>, <source>Book of {source}</source>, <year>{year}</year>, <fpage>{key}</fpage></mixed-citation></ref></ref-list></back></article>"""
 DOCTYPES = {"nlm": '<!DOCTYPE article PUBLIC "-//NLM//DTD Journal Publishing DTD v2.3//EN" "j.dtd">', "apa": '<!DOCTYPE article PUBLIC "-//APA//DTD APA Journal Archive DTD v1.0//EN" "a.dtd">'}
 
 
@@ -73,8 +79,12 @@ def apa_info(spark: SparkSession, d: str) -> DataFrame:
     return tables.info_table(_jats_papers(spark, d, "apa"), ["title", "doi", "pub_print"])
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang AS surname, 'Ada' AS given, 'House ' || source AS affiliation, 1 AS n FROM documents")
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS id, lang AS surname, 'Ada' AS given, 'House ' || source AS affiliation, 1 AS n FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'van der ' || lang, 'Jan Piet', '', 2 FROM documents"""
+)
 def nlm_authors(spark: SparkSession, d: str) -> DataFrame:
+    """One author whose name comes in parts, and one whose name has particles."""
     return tables.author_table(_jats_papers(spark, d, "nlm")).select("id", "surname", "given", "affiliation", "n")
 
 
@@ -83,38 +93,83 @@ def apa_notes(spark: SparkSession, d: str) -> DataFrame:
     return _jats_papers(spark, d, "apa").full_text.where("header = 'fn1'").select("id", "section", "header", "text")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 'fig' AS section, 2 AS div, unnest([0, 1]) AS p, 'Plot of ' || source AS header, unnest(['Plot of ' || source, 'It shows ' || lang || '.']) AS text FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 'annex', 0, NULL, 'Author Notes', 'Thanks to ' || lang || '.' FROM documents")
+def apa_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of figures, and what authors note."""
+    return _jats_papers(spark, d, "apa").full_text.where("section IN ('fig', 'annex')").select("id", "section", "div", "p", "header", "text")
+
+
 @query(
-    """SELECT CAST(doc_id AS VARCHAR) AS id, 'r1' AS xref_id, '10.2/' || doc_id AS doi, 'Article' AS bibtype, 'Of ' || source AS title, 'Journal' AS journal,
-  CAST(1900 + doc_id % 100 AS VARCHAR) AS year, 'Bo ' || lang AS authors, '3' AS volume, '1' AS fpage, '9' AS lpage FROM documents"""
+    """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, source, lang, doc_id, CAST(1900 + doc_id % 100 AS VARCHAR) AS year FROM documents)
+SELECT id, 'r1' AS xref_id, '10.2/' || doc_id AS doi, 'Article' AS bibtype, 'Of ' || source AS title, 'Journal' AS journal, year, 'Bo ' || lang AS authors, '3' AS volume, '1' AS fpage, '9' AS lpage FROM d
+UNION ALL SELECT id, 'r2', '', 'Book', '', 'Book of ' || source, year, 'Cy ' || lang, '', '', '' FROM d
+UNION ALL SELECT id, 'r3', '', 'InCollection', 'Chapter ' || doc_id, 'Book of ' || source, year, 'Di Roe; Ed Poe', '', CAST(doc_id AS VARCHAR), '' FROM d"""
 )
 def nlm_references(spark: SparkSession, d: str) -> DataFrame:
+    """An article, a book and a chapter in each list of references."""
     return _jats_papers(spark, d, "nlm").bib.select("id", "xref_id", "doi", "bibtype", "title", "journal", "year", "authors", "volume", "fpage", "lpage")
 
 
 @query(
-    """SELECT CAST(doc_id AS VARCHAR) AS id, 'r1' AS xref_id, '(1)' AS contents, 'Seen in ' || source || ' before (1) by many.' AS text,
+    """SELECT CAST(doc_id AS VARCHAR) AS id, unnest(['r1', 'r2']) AS xref_id, '(1, 2)' AS contents, 'Seen in ' || source || ' before (1, 2) by many.' AS text,
   (1 + len(list_filter(string_split(text, chr(10)), lambda x: x <> '')))::INT AS div, 1 AS p, 2 AS s FROM documents"""
 )
 def nlm_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Citations, with the sentences that they stand in."""
+    """Citations of two references at once, with the sentences that they stand in."""
     return _jats_papers(spark, d, "nlm").xrefs.where("type = 'bibr'").select("id", "xref_id", "contents", "text", "div", "p", "s")
 
 
-LETTERS = """l AS (SELECT CAST(doc_id AS VARCHAR) AS id, generate_subscripts(l, 1) AS k, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-x AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k))::INT AS div, regexp_replace(text, '[^a-z]', '', 'g') AS letters FROM l WHERE text <> '')"""
+#: Single capital letters lose their full stop. The letter's border is found by a mark before it.
+GUARDED = "replace(regexp_replace(regexp_replace(chr(1) || text, '([^\\p{L}\\p{N}_])', '\\1' || chr(1), 'g'), chr(1) || '([A-Z])\\.', '\\1', 'g'), chr(1), '')"
+#: White space as XML readers take it: runs are one space.
+SPACES = r"[\s\x00-\x1F\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+PARTS = rf"""l AS (SELECT CAST(doc_id AS VARCHAR) AS id, generate_subscripts(l, 1) AS k, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+n AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k))::INT AS div, trim(regexp_replace(text, '{SPACES}', ' ', 'g')) AS text FROM l WHERE text <> ''),
+x AS (SELECT id, div, replace(replace({GUARDED}, '{{{{', '<'), '}}}}', '>') AS text FROM n)"""
 
 
-def _letters(text: DataFrame, *keys) -> DataFrame:
-    """The small letters of some sentences, in their order."""
-    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: F.regexp_replace(x["text"], "[^a-z]", "")), "")
-    return text.groupBy(*keys).agg(each.alias("letters")).where("letters <> ''")
+def _whole(text: DataFrame, *keys) -> DataFrame:
+    """The sentences of each place in their order, with a space between."""
+    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "s", "text"))), lambda x: x["text"]), " ")
+    return text.groupBy(*keys).agg(F.trim(F.regexp_replace(each, r"\s+", " ")).alias("text"))
 
 
-@query(f"WITH {LETTERS} SELECT id, div, 'Part ' || div AS header, letters FROM x WHERE letters <> ''")
+@query(f"WITH {PARTS} SELECT id, div, 'Part ' || div AS header, text FROM x WHERE text <> ''")
 def nlm_text(spark: SparkSession, d: str) -> DataFrame:
-    """Whole texts, section by section, wherever sentences end."""
-    text = _jats_papers(spark, d, "nlm").full_text.where("p > 0 AND header LIKE 'Part %'")
-    return _letters(text, "id", F.col("div").cast("int").alias("div"), "header")
+    """Whole texts, section by section."""
+    return _whole(_jats_papers(spark, d, "nlm").full_text.where("p > 0 AND header LIKE 'Part %'"), "id", F.col("div").cast("int").alias("div"), "header")
+
+
+@query(f"WITH {PARTS} SELECT id, div, 'Part ' || div AS header, text FROM x WHERE text <> ''")
+def tei_text(spark: SparkSession, d: str) -> DataFrame:
+    text = _tei_papers(spark, d).full_text.where("p > 0 AND (section IS NULL OR section <> 'abstract')")  # headers are in paragraph 0
+    return _whole(text, "id", F.col("div").cast("int").alias("div"), "header")
+
+
+# ---------------------------------------------------------------- folders
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n?|\n') AS l FROM documents)),
+n AS (SELECT doc_id, k, trim(regexp_replace(line, '{SPACES}', ' ', 'g')) AS text FROM l),
+x AS (SELECT doc_id, k, replace(replace({GUARDED}, '{{{{', '<'), '}}}}', '>') AS text FROM n WHERE text <> ''),
+w AS (SELECT doc_id, count(*) AS paragraphs, string_agg(text, ' ' ORDER BY k) AS text FROM x GROUP BY doc_id)
+SELECT lang || '/' || source || '/' || doc_id AS id, lang = 'en' AS tei, coalesce(paragraphs, 0) AS paragraphs, coalesce(w.text, '') AS text FROM documents LEFT JOIN w USING (doc_id)"""
+)
+def folder_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Each document a file, TEI or plain, in a folder of its language and in it one of its source; the folder is then read as it is."""
+    docs = read(spark, d, "documents")
+    name = F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"))
+    tei = F.col("lang") == "en"
+    body = F.array_join(F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), r"\r\n?|\n"), lambda x: x != ""), lambda x: F.concat(F.lit("<p>"), escaped(x), F.lit("</p>"))), "")
+    content = F.when(tei, F.concat(F.lit("<TEI><text><body><div><head>Whole</head>"), body, F.lit("</div></body></text></TEI>"))).otherwise(F.coalesce("text", F.lit("")))
+    folder = f"{shared_dir(spark)}/papers-{uuid.uuid4().hex}"
+    write_files(docs.select(F.concat(name, F.when(tei, ".xml").otherwise(".txt")).alias("name"), content.alias("content")).repartition("name"), folder).agg(F.sum("bytes")).collect()
+    papers = read_papers(spark, folder, partition_bytes=2 << 20)
+    kinds = papers.info.select("id", F.col("filename").endswith(".xml").alias("tei"))
+    rows = papers.full_text.join(kinds, "id").where("NOT tei OR p > 0")  # the heading is paragraph 0
+    text = _whole(rows, "id").join(rows.groupBy("id").agg(F.count_distinct(F.struct("div", "p")).alias("paragraphs")), "id")
+    return kinds.join(text, "id", "left").select("id", "tei", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 # ---------------------------------------------------------------- TEI: people, dates, citations
@@ -175,7 +230,7 @@ def _word_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": batch["path"], "content": files})
 
 
-@query(f"WITH {LETTERS} SELECT id, div, 'Part ' || div AS header, letters FROM x WHERE letters <> ''")
+@query(f"WITH {PARTS} SELECT id, div, 'Part ' || div AS header, text FROM x WHERE text <> ''")
 def word_text(spark: SparkSession, d: str) -> DataFrame:
     """Each document written as a Word file (a heading and a paragraph for each line), and read back."""
     heading = lambda i: F.concat(F.lit('<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Part '), (i + 1).cast("string"), F.lit("</w:t></w:r></w:p>"))
@@ -183,19 +238,16 @@ def word_text(spark: SparkSession, d: str) -> DataFrame:
     body = F.array_join(F.transform(lines, lambda x, i: F.concat(heading(i), F.lit("<w:p><w:r><w:t>"), escaped(x), F.lit("</w:t></w:r></w:p>"))), "")
     rows = read(spark, d, "documents").select(F.concat(F.lit("word/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), body.alias("content"))
     files = rows.mapInPandas(_word_files, "path string, content binary")
-    return _letters(corpus_of(parse_files(files), files).full_text.where("p > 0"), "id", F.col("div").cast("int").alias("div"), "header")
-
-
-GUARDED = "replace(regexp_replace(regexp_replace(chr(1) || text, '([^\\p{L}\\p{N}_])', '\\1' || chr(1), 'g'), chr(1) || '([A-Z])\\.', '\\1', 'g'), chr(1), '')"  # single capital letters lose their full stop
+    return _whole(corpus_of(parse_files(files), files).full_text.where("p > 0"), "id", F.col("div").cast("int").alias("div"), "header")
 
 
 @query(
-    f"""WITH {LINES}, x AS (SELECT id, div, p, header, regexp_replace(text, '[^a-z]', '', 'g') AS letters FROM lines WHERE NOT regexp_matches(text, '\\[div-\\d+\\]'))
-SELECT * FROM x WHERE letters <> ''"""
+    rf"""WITH {LINES}, x AS (SELECT id, div, p, header, trim(regexp_replace(replace(replace({GUARDED}, '{{{{', '<'), '}}}}', '>'), '\s+', ' ', 'g')) AS text FROM lines WHERE NOT regexp_matches(text, '\[div-\d+\]'))
+SELECT * FROM x WHERE text <> ''"""
 )
 def plain_text_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Plain texts as read, paragraph by paragraph, wherever sentences end."""
-    return _letters(sections.read_plain_text(read(spark, d, "documents")), "id", "div", "p", "header")
+    """Plain texts as read, paragraph by paragraph."""
+    return _whole(sections.read_plain_text(read(spark, d, "documents")), "id", "div", "p", "header")
 
 
 @query(
@@ -300,12 +352,12 @@ OFTEN = ("10.1/1", "10.1/2", "10.1/4")
 
 
 @query(
-    f"""WITH {FLAGGED_WHOLE} SELECT id, {", ".join(f"min(xref_id) FILTER (WHERE doi = '{x}') AS c{k}" for k, x in enumerate(OFTEN))} FROM bib GROUP BY id"""
+    f"""WITH {FLAGGED} SELECT id, {", ".join(f"min(xref_id) FILTER (WHERE doi = '{x}') AS c{k}" for k, x in enumerate(OFTEN))} FROM bib GROUP BY id"""
 )
 def miscitation_summary(spark: SparkSession, d: str) -> DataFrame:
     """The reference of each paper to three papers that are often miscited."""
     db = spark.createDataFrame([(x, "a paper", "read it") for x in OFTEN], "doi string, reftext string, warning string")
-    summary = module_run(_flagged(spark, d, every=True)[0], "miscitation", db=db).summary
+    summary = module_run(_flagged(spark, d)[0], "miscitation", db=db).summary
     column = lambda x: F.col(f"`miscite_{x}`") if f"miscite_{x}" in summary.columns else F.lit(None).cast("string")
     return summary.select("id", *(column(x).alias(f"c{k}") for k, x in enumerate(OFTEN)))
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.search import RETURNS, search_text
 from ..operators.tables import author_table, info_table
 from ..schemas import Corpus
-from ..sources.reader import corpus_of, parse_files
+from ..sources.parsed import PARSED, parsed_row
+from ..sources.reader import corpus_of
 from .modules import module_find, module_list, module_run
 
 #: Bytes of the largest upload.
@@ -40,10 +41,10 @@ def upload(spark: SparkSession, name: str, content: bytes) -> Corpus:
         raise RequestError(413, f"The file is larger than {MOST_BYTES >> 20} MB")
     if not re.search(r"\.xml$", name, re.IGNORECASE):
         raise RequestError(415, "The file must be XML")
-    parsed = parse_files(spark.createDataFrame([(name, content)], "path string, content binary")).persist()
-    if error := parsed.select("error").first().error:
-        raise RequestError(500, f"The file could not be read: {error}")
-    return corpus_of(parsed)
+    row = parsed_row(name, content)  # one file of a few MB
+    if row["error"]:
+        raise RequestError(500, f"The file could not be read: {row['error']}")
+    return corpus_of(spark.createDataFrame([row], PARSED))
 
 
 def health() -> dict[str, Any]:

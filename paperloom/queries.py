@@ -317,10 +317,10 @@ def ref_consistency_summary(spark: SparkSession, d: str) -> DataFrame:
     return module_run(_references(spark, d), "ref_consistency").summary
 
 
-def _flagged(spark: SparkSession, d: str, every: bool = False) -> tuple[Corpus, DataFrame]:
-    """References, their citations (one for each at most, or every one) and a database of DOIs."""
+def _flagged(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame]:
+    """References, every citation of them, and a database of DOIs."""
     bib = read(spark, d, "orders").select((F.col("o_orderkey") % 50).cast("string").alias("id"), F.col("o_orderkey").cast("string").alias("xref_id"), F.concat(F.lit("10.1/"), F.col("o_custkey").cast("string")).alias("doi"), F.col("o_orderstatus").alias("ref"))
-    xrefs = read(spark, d, "lineitem").where(F.lit(every) | (F.col("l_linenumber") == 2)).select(
+    xrefs = read(spark, d, "lineitem").select(
         (F.col("l_orderkey") % 50).cast("string").alias("id"), F.col("l_orderkey").cast("string").alias("xref_id"), F.lit("bibr").alias("type"), F.lit("x").alias("contents"), F.col("l_returnflag").alias("text"),
         F.lit("intro").alias("section"), F.lit(1).alias("div"), F.lit(1).alias("p"), F.col("l_linenumber").alias("s"),
     )
@@ -329,63 +329,40 @@ def _flagged(spark: SparkSession, d: str, every: bool = False) -> tuple[Corpus,
 
 
 FLAGGED = """bib AS (SELECT CAST(o_orderkey % 50 AS VARCHAR) AS id, CAST(o_orderkey AS VARCHAR) AS xref_id, '10.1/' || o_custkey AS doi, o_orderstatus AS ref FROM orders),
-xrefs AS (SELECT CAST(l_orderkey % 50 AS VARCHAR) AS id, CAST(l_orderkey AS VARCHAR) AS xref_id, l_returnflag AS text, l_linenumber AS s FROM lineitem WHERE l_linenumber = 2),
-db AS (SELECT '10.1/' || c_custkey AS doi, c_mktsegment AS retractionwatch FROM customer WHERE c_acctbal < 0),
-flagged AS (SELECT id, xref_id, doi, retractionwatch, text, s FROM bib JOIN db USING (doi) LEFT JOIN xrefs USING (id, xref_id))"""
-
-
-FLAGGED_WHOLE = """bib AS (SELECT CAST(o_orderkey % 50 AS VARCHAR) AS id, CAST(o_orderkey AS VARCHAR) AS xref_id, '10.1/' || o_custkey AS doi, o_orderstatus AS ref FROM orders),
 xrefs AS (SELECT CAST(l_orderkey % 50 AS VARCHAR) AS id, CAST(l_orderkey AS VARCHAR) AS xref_id, l_returnflag AS text, l_linenumber AS s FROM lineitem),
 db AS (SELECT '10.1/' || c_custkey AS doi, c_mktsegment AS retractionwatch FROM customer WHERE c_acctbal < 0),
 flagged AS (SELECT id, xref_id, doi, retractionwatch, text, s FROM bib JOIN db USING (doi) LEFT JOIN xrefs USING (id, xref_id))"""
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-@query(f"WITH {FLAGGED} SELECT id, xref_id, doi, retractionwatch, text, s FROM flagged")
-def retraction_flags(spark: SparkSession, d: str) -> DataFrame:
+def _retraction_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Every place that cites a flagged reference."""
     corpus, db = _flagged(spark, d)
     return module_run(corpus, "retractionwatch", db=db).table.select("id", "xref_id", "doi", "retractionwatch", "text", "s")
 
 
-@query(
-    f"""WITH {FLAGGED} SELECT b.id, {", ".join(f"count(*) FILTER (WHERE retractionwatch = '{s}') AS " + f'"rw_{s}"' for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))}
-FROM (SELECT DISTINCT id FROM bib) b LEFT JOIN flagged USING (id) GROUP BY b.id"""
-)
-def retraction_summary(spark: SparkSession, d: str) -> DataFrame:
+def _retraction_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The same, counted; kinds that small tables lack count 0."""
     corpus, db = _flagged(spark, d)
-    return module_run(corpus, "retractionwatch", db=db).summary
+    summary = module_run(corpus, "retractionwatch", db=db).summary
+    return summary.withColumns({f"rw_{s}": F.lit(0).cast("bigint") for s in SEGMENTS if f"rw_{s}" not in summary.columns})
 
 
-@query(f"WITH {FLAGGED} SELECT DISTINCT id, xref_id, doi, text, s FROM flagged")
-def miscitation_table(spark: SparkSession, d: str) -> DataFrame:
+def _miscitation_table(spark: SparkSession, d: str) -> DataFrame:
     corpus, db = _flagged(spark, d)
     db = db.select("doi", F.lit("a paper").alias("reftext"), F.col("retractionwatch").alias("warning"))
     return builtin.miscited(corpus, db).select("id", "xref_id", "doi", "text", "s").distinct()
 
 
-@query(f"WITH {FLAGGED_WHOLE} SELECT id, xref_id, doi, retractionwatch, text, s FROM flagged")
-def retraction_flags_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every place that cites a flagged reference."""
-    corpus, db = _flagged(spark, d, every=True)
-    return module_run(corpus, "retractionwatch", db=db).table.select("id", "xref_id", "doi", "retractionwatch", "text", "s")
-
-
-@query(
-    f"""WITH {FLAGGED_WHOLE} SELECT b.id, {", ".join(f"count(*) FILTER (WHERE retractionwatch = '{s}') AS " + f'"rw_{s}"' for s in SEGMENTS)}
-FROM (SELECT DISTINCT id FROM bib) b LEFT JOIN flagged USING (id) GROUP BY b.id"""
-)
-def retraction_summary_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same, counted; kinds that small tables lack count 0."""
-    corpus, db = _flagged(spark, d, every=True)
-    summary = module_run(corpus, "retractionwatch", db=db).summary
-    return summary.withColumns({f"rw_{s}": F.lit(0).cast("bigint") for s in SEGMENTS if f"rw_{s}" not in summary.columns})
-
-
-@query(f"WITH {FLAGGED_WHOLE} SELECT DISTINCT id, xref_id, doi, text, s FROM flagged")
-def miscitation_table_whole(spark: SparkSession, d: str) -> DataFrame:
-    corpus, db = _flagged(spark, d, every=True)
-    db = db.select("doi", F.lit("a paper").alias("reftext"), F.col("retractionwatch").alias("warning"))
-    return builtin.miscited(corpus, db).select("id", "xref_id", "doi", "text", "s").distinct()
+# Each under two names, the second from when the first took a part of the citations.
+for _name, _f, _sql in (
+    ("retraction_flags", _retraction_flags, f"WITH {FLAGGED} SELECT id, xref_id, doi, retractionwatch, text, s FROM flagged"),
+    ("retraction_summary", _retraction_summary, f"""WITH {FLAGGED} SELECT b.id, {", ".join(f"count(*) FILTER (WHERE retractionwatch = '{s}') AS " + f'"rw_{s}"' for s in SEGMENTS)}
+FROM (SELECT DISTINCT id FROM bib) b LEFT JOIN flagged USING (id) GROUP BY b.id"""),
+    ("miscitation_table", _miscitation_table, f"WITH {FLAGGED} SELECT DISTINCT id, xref_id, doi, text, s FROM flagged"),
+):
+    for _n in (_name, f"{_name}_whole"):
+        QUERIES[_n], SQL[_n] = _f, _sql
 
 
 @query(
@@ -447,12 +424,12 @@ def _papers(spark: SparkSession, d: str) -> Corpus:
     doi = F.when(k == 0, "").when(k == 1, "10.1/bad").otherwise(F.concat(F.lit("10.1234/x."), F.col("doc_id").cast("string")))
     title = F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 7 == 1, "Corrigendum: a").when(F.col("doc_id") % 7 == 2, "A Reply To b").otherwise(F.concat(F.lit("On "), "source"))
     info = docs.select(F.col("doc_id").cast("string").alias("id"), title.alias("title"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("lang")).alias("description"), doi.alias("doi"), F.array("lang", "source").alias("keywords"))
-    bib = docs.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("id"), F.lit("b1").alias("xref_id"))
+    bib = docs.where("n_chars > 500").select(F.col("doc_id").cast("string").alias("id"), F.lit("b1").alias("xref_id"))
     return Corpus.of(spark, info=info, bib=bib)
 
 
 PAPERS = """papers AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN 'Corrigendum: a' WHEN doc_id % 7 = 2 THEN 'A Reply To b' ELSE 'On ' || source END AS title,
-  CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang END AS description, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '10.1/bad' ELSE '10.1234/x.' || doc_id END AS doi, lang || '; ' || source AS keywords, (doc_id % 2 = 0)::BIGINT AS bib FROM documents)"""
+  CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang END AS description, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '10.1/bad' ELSE '10.1234/x.' || doc_id END AS doi, lang || '; ' || source AS keywords, (n_chars > 500)::BIGINT AS bib FROM documents)"""
 
 
 @query(f"WITH {PAPERS} SELECT id, title, keywords, doi, NULL::VARCHAR AS received FROM papers")
@@ -518,18 +495,6 @@ def tei_references(spark: SparkSession, d: str) -> DataFrame:
     return _tei_papers(spark, d).bib.select("id", "xref_id", "doi", "bibtype", "title", "journal", "year", "authors")
 
 
-@query(
-    """WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS id, generate_subscripts(l, 1) AS k, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-x AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k))::INT AS div, regexp_replace(text, '[^a-z]', '', 'g') AS letters FROM l WHERE text <> '')
-SELECT id, div, 'Part ' || div AS header, letters FROM x WHERE letters <> ''"""
-)
-def tei_text(spark: SparkSession, d: str) -> DataFrame:
-    """The letters of each division's sentences, in their order: whole texts, wherever sentences end."""
-    text = _tei_papers(spark, d).full_text.where("p > 0 AND (section IS NULL OR section <> 'abstract')")  # headers are in paragraph 0
-    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "s", "text"))), lambda x: F.regexp_replace(x["text"], "[^a-z]", "")), "")
-    return text.groupBy("id", F.col("div").cast("int").alias("div"), "header").agg(each.alias("letters")).where("letters <> ''")
-
-
 PHRASES = ["This was marginally significant", "It approached, then significance", "A trend toward significance here", "Almost fully significant", "Borderline significant it is", "Close to significance", "Plainly significant"]
 
 
@@ -628,13 +593,13 @@ def validate_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT doc_id AS id, quality, toxic FROM labels), o AS (SELECT doc_id AS id, (n_chars > 500)::INT AS quality, 0 AS toxic FROM documents WHERE doc_id % 3 > 0)
+    """WITH e AS (SELECT doc_id AS id, quality, toxic FROM labels), o AS (SELECT doc_id AS id, (n_chars > 500)::INT AS quality, 0 AS toxic FROM documents)
 SELECT id, e.quality AS quality_expected, e.toxic AS toxic_expected, o.quality AS quality_observed, o.toxic AS toxic_observed,
   e.quality IS NOT DISTINCT FROM o.quality AS quality, e.toxic IS NOT DISTINCT FROM o.toxic AS toxic FROM e FULL JOIN o USING (id)"""
 )
 def validate_summary(spark: SparkSession, d: str) -> DataFrame:
     expected = read(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
-    observed = read(spark, d, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("id"), (F.col("n_chars") > 500).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    observed = read(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") > 500).cast("int").alias("quality"), F.lit(0).alias("toxic"))
     return validation.compare_summaries(expected, observed)[0]
 
 
@@ -714,18 +679,8 @@ def contents_category(spark: SparkSession, d: str) -> DataFrame:
     return files.select("p_partkey", ids.file_category(F.col("name"), F.col("filetype")).alias("category"))
 
 
-@query("SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 30), ' ') AS abstract FROM documents")
-def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    """Texts put together again from the positions of their words."""
-    docs = read(spark, d, "documents").select("doc_id", F.slice(F.split("text", " "), 1, 30).alias("first"))
-    first = F.col("first")
-    places = F.transform(F.array_distinct(first), lambda w: F.struct(w.alias("w"), F.filter(F.transform(first, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("p")))
-    return abstracts(docs.select("doc_id", F.map_from_entries(places).alias("index")), "doc_id", "index")
-
-
-@query("SELECT doc_id, array_to_string(string_split(text, ' '), ' ') AS abstract FROM documents")
-def inverted_index_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same with all words of each text: the words are sorted with their positions, so that each word's are one run."""
+def _inverted_index(spark: SparkSession, d: str) -> DataFrame:
+    """Texts put together again from the positions of their words, which are sorted with their positions, so that each word's are one run."""
     sort = F.sort_array(F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     runs = read(spark, d, "documents").select("doc_id", sort.alias("s"))
     word = lambda i: F.get("s", i)["w"]
@@ -736,6 +691,10 @@ def inverted_index_whole(spark: SparkSession, d: str) -> DataFrame:
     return abstracts(runs.select("doc_id", F.map_from_entries(places).alias("index")), "doc_id", "index")
 
 
+for _n in ("inverted_index", "inverted_index_whole"):
+    QUERIES[_n], SQL[_n] = _inverted_index, "SELECT doc_id, array_to_string(string_split(text, ' '), ' ') AS abstract FROM documents"
+
+
 @query("SELECT p_brand, p_partkey, p_size FROM (SELECT *, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM part) WHERE t <= 400")
 def download_cap(spark: SparkSession, d: str) -> DataFrame:
     return tables.keep_within(read(spark, d, "part").select("p_brand", "p_partkey", "p_size"), "p_size", 400, ["p_brand"], "p_partkey")

@@ -363,7 +363,7 @@ def word_paragraphs(data: bytes) -> list[Paragraph]:
 
 
 def plain_paragraphs(data: bytes, header: int = 20) -> list[Paragraph]:
-    bodies = [squeeze(x) for x in data.decode("utf-8", "replace").splitlines() if x]
+    bodies = [squeeze(x) for x in re.split(r"\r\n?|\n", data.decode("utf-8", "replace")) if x]
     return [paragraph(None, x, None, None, None, 0 < len(x) <= header) for x in bodies]
 
 

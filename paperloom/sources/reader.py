@@ -1,69 +1,49 @@
 """Files of papers as the tables of a corpus.
 
-Files are read and parsed where they are, one row each; a file that can't be read is a row with an error, and no more. The
-parsed rows are kept (on disk if need be), as five tables come from them. To keep a corpus, write it: Corpus.write.
+Files are read and parsed where they are, one row each; a file that can't be read is a row with an error, and no more. What one
+pass over the files gives is written to the shared folder as a table partitioned by kind (file, text, bib, xref), from which
+each of the five tables reads its own kind alone. To keep a corpus, write it: Corpus.write.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..operators.sections import locate_xrefs, process_full_text
-from ..schemas import AUTHOR, BIB_COLUMNS, Corpus
+from ..operators.sections import locate_xrefs, number_paragraphs, process_full_text
+from ..schemas import Corpus
+from .files import PaperSource, reachable
+from .parsed import PARSED, parsed_row
+from .stored import stored
 
-INFO = ("title", "description", "doi", "submission", "received", "accepted", "revised", "pub_print", "pub_online")
+#: Bytes of content whose rows are handed over at once.
+BATCH = 4 << 20
 
 
-def _strings(*names: str) -> list[T.StructField]:
-    return [T.StructField(n, T.StringType()) for n in names]
-
-
-PARAGRAPH = T.StructType([*_strings("header", "text"), T.StructField("div", T.IntegerType()), T.StructField("p", T.IntegerType()), *_strings("section"), T.StructField("is_header", T.BooleanType())])
-PARSED = T.StructType(
-    [
-        *_strings("path", "error"),
-        T.StructField("info", T.StructType([*_strings(*INFO), T.StructField("keywords", T.ArrayType(T.StringType()))])),
-        T.StructField("authors", T.ArrayType(AUTHOR)),
-        T.StructField("paragraphs", T.ArrayType(PARAGRAPH)),
-        T.StructField("bib", T.ArrayType(T.StructType(_strings(*BIB_COLUMNS[:-1])))),
-        T.StructField("xrefs", T.ArrayType(T.StructType(_strings("xref_id", "type", "contents", "text")))),
-    ]
-)
-
-
-def _only(record: dict, names) -> dict:
-    return {n: record.get(n) for n in names}
-
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(PARSED)
+    for batch in batches:
+        rows, size = [], 0
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            data = content.as_py()
+            rows.append(parsed_row(path.as_py(), data))
+            size += len(data or b"")
+            if size >= BATCH:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from .documents import parse_document
 
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            row = dict.fromkeys(PARSED.names)
-            row["path"] = path
-            try:
-                doc = parse_document(path, bytes(content))
-                row["info"] = {**_only(doc["info"], INFO), "keywords": doc["info"].get("keywords", [])}
-                row["authors"], row["paragraphs"] = doc["authors"], doc["paragraphs"]
-                row["bib"] = [_only(x, BIB_COLUMNS[:-1]) for x in doc["bib"]]
-                row["xrefs"] = doc["xrefs"]
-            except Exception as e:  # whatever is wrong with one file is that file's error
-                row["error"] = f"{type(e).__name__}: {e}"[:500]
-            rows.append(row)
-        yield pd.DataFrame(rows, columns=PARSED.names)
-
-
-def parse_files(files: DataFrame) -> DataFrame:
-    """PARSED, a row for each of files(path, content)."""
-    return files.select("path", "content").mapInPandas(_parse, PARSED)
+def parse_files(files: DataFrame, deal: bool = True) -> DataFrame:
+    """PARSED, a row for each of files(path, content). deal: over tasks first; not needed if the files come from a source that has packed them."""
+    files = files.select("path", "content")
+    return (files.repartition("path") if deal else files).mapInArrow(_parse, PARSED)
 
 
 def path_parts(column: str) -> Column:
@@ -83,42 +63,71 @@ def file_ids(paths: DataFrame, column: str = "path") -> tuple[DataFrame, Column]
     return rows, id_
 
 
-def corpus_of(parsed: DataFrame, files: DataFrame | None = None) -> Corpus:
-    """The tables of parsed files. Rows with errors are left out.
+def by_kind(parsed: DataFrame) -> DataFrame:
+    """(kind, path, seq, and error, info and authors of a file, or one of its paragraphs, references or citations) of PARSED, in one pass."""
+    types = {f.name: f.dataType for f in PARSED.fields}
+    item = {"file": None, "text": types["paragraphs"].elementType, "bib": types["bib"].elementType, "xref": types["xrefs"].elementType}
+
+    def row(kind: str, seq: Column, value: Column | None = None) -> Column:
+        whole = [F.col(c) if kind == "file" else F.lit(None).cast(types[c]).alias(c) for c in ("error", "info", "authors")]
+        parts = [(value if k == kind else F.lit(None).cast(t)).alias(k) for k, t in item.items() if t is not None]
+        return F.struct(F.lit(kind).alias("kind"), seq.cast("bigint").alias("seq"), *whole, *parts)
+
+    each = lambda column, kind: F.coalesce(F.transform(column, lambda x, k: row(kind, k, x)), F.array())
+    rows = F.concat(F.array(row("file", F.lit(0))), each("paragraphs", "text"), each("bib", "bib"), each("xrefs", "xref"))
+    return parsed.select("path", F.explode(rows).alias("x")).select("path", "x.*")
 
-    files: the table with the column path that ids are told apart by; if not given, that of the files without errors, which
-    are parsed once more for it unless they are persisted.
-    """
-    rows = parsed.where("error IS NULL")
-    _, id_ = file_ids((rows if files is None else files).select("path"))
-    rows = rows.withColumn("_parts", path_parts("path")).withColumn("id", id_).drop("_parts")
-    info = rows.select("id", F.col("path").alias("filename"), "info.*")
-    paragraphs = rows.select("id", F.posexplode("paragraphs").alias("seq", "x")).select("id", F.col("seq").cast("bigint").alias("seq"), "x.*")
-    structured = paragraphs.where("is_header IS NULL").drop("is_header")
-    from ..operators.sections import number_paragraphs
 
+def _corpus(table: DataFrame, ids_of: DataFrame | None) -> Corpus:
+    """The tables of a stored by_kind()."""
+    _, id_ = file_ids((table.where("kind = 'file' AND error IS NULL") if ids_of is None else ids_of).select("path"))
+    table = table.withColumn("_parts", path_parts("path")).withColumn("id", id_).drop("_parts")
+    of = lambda kind: table.where(F.col("kind") == kind)
+    files = of("file").where("error IS NULL")
+    paragraphs = of("text").select("id", "seq", "text.*")
+    structured = paragraphs.where("is_header IS NULL").drop("is_header")
     flat = number_paragraphs(paragraphs.where("is_header IS NOT NULL").select("id", "seq", "text", "is_header"), F.col("is_header")).drop("is_header")
     columns = ["id", "seq", "header", "text", "div", "p", "section"]
     full_text = process_full_text(structured.select(columns).unionByName(flat.select(columns)))
-    bib = rows.select("id", F.explode("bib").alias("x")).select("x.*", "id")
-    xrefs = rows.select("id", F.explode("xrefs").alias("x")).select("x.*", "id").withColumns({c: F.lit(None).cast("string") for c in ("section", "div", "p", "s")})
-    return Corpus(info, rows.select("id", "authors"), full_text, bib, locate_xrefs(xrefs, full_text))
+    xrefs = of("xref").select("xref.*", "id").withColumns({c: F.lit(None).cast("string") for c in ("section", "div", "p", "s")})
+    return Corpus(files.select("id", F.col("path").alias("filename"), "info.*"), files.select("id", "authors"), full_text, of("bib").select("bib.*", "id"), locate_xrefs(xrefs, full_text))
+
+
+def corpus_of(parsed: DataFrame, files: DataFrame | None = None) -> Corpus:
+    """The tables of parsed files, which are parsed once. Files with errors are left out.
+
+    files: the table with the column path that ids are told apart by; if not given, the files without errors.
+    """
+    return _corpus(stored(by_kind(parsed), "parsed", "kind"), files)
 
 
-def read(spark: SparkSession, path: str | list[str]) -> Corpus:
+def files_source(spark: SparkSession, paths: list[str], partition_bytes: int | None = None) -> DataFrame:
+    """PARSED of the files in folders and below. Paths that only Spark can open, and patterns, are read by its own source of files."""
+    if all(reachable(p) for p in paths):
+        spark.dataSource.register(PaperSource)
+        reader = spark.read.format("papers").option("paths", json.dumps(paths))
+        return (reader.option("partitionBytes", partition_bytes) if partition_bytes else reader).load()
+    known = r"(?i)\.(xml|txt|docx)$"
+    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).where(F.col("path").rlike(known)), deal=False)
+
+
+def read(spark: SparkSession, path: str | list[str], partition_bytes: int | None = None) -> Corpus:
     """The papers in files, or in all files with known endings in folders and below."""
     paths = [path] if isinstance(path, str) else list(path)
-    known = r"(?i)\.(xml|txt|docx)$"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).where(F.col("path").rlike(known))
-    parsed = parse_files(files).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = {r.bad: r["count"] for r in parsed.groupBy(F.col("error").isNotNull().alias("bad")).count().collect()}
-    if not counts:
+    table = stored(by_kind(files_source(spark, paths, partition_bytes)), "parsed", "kind")
+    files, bad = table.where("kind = 'file'").agg(F.count(F.lit(1)), F.count("error")).first()
+    if not files:
         raise ValueError(f"There are no xml, docx or txt files in {', '.join(paths)}")
-    if bad := counts.get(True):
+    if bad:
         import warnings
 
         warnings.warn(f"{bad} files did not read correctly", stacklevel=2)
-    return corpus_of(parsed)
+    return _corpus(table, None)
+
+
+def read_errors(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, error) of the files that can't be read."""
+    return files_source(spark, [path] if isinstance(path, str) else list(path)).where("error IS NOT NULL").select("path", "error")
 
 
 read_grobid = read_cermine = read_text = read

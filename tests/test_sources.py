@@ -330,3 +330,54 @@ def test_empty_xml(spark, tmp_path):
     with pytest.raises(ValueError, match="no xml"):
         read(spark, str(tmp_path / "none"))
     assert search_text(read(spark, str(tmp_path / "notext.xml")), "x").count() == 0
+
+
+def test_files_are_packed_by_bytes_and_bad_ones_are_rows(spark, folder, tmp_path):
+    from paperloom.sources import files, reader
+
+    sizes = [5, 1, 1, 9 << 20, 1, 1, 12 << 20, 20 << 20, 1]
+    parts = files.packed([("", str(k), n) for k, n in enumerate(sizes)], 16 << 20)
+    assert [[int(x[1]) for x in p] for p in parts] == [[0, 1, 2, 3, 4, 5], [6], [7], [8]]
+    assert {name.rpartition("/")[2] for _, name, _ in files.listed([str(folder)])} == {"paper.xml", "plain.txt", "word.docx", "bad.xml"}
+    assert files.listed([str(folder), f"file://{folder}/bad.xml"]) [0][1].endswith("bad.xml")
+    one = reader.files_source(spark, [str(folder)], 1)
+    assert one.rdd.getNumPartitions() == 5 and {r.path.rpartition("/")[2]: r.error is None for r in one.collect()}["bad.xml"] is False
+    errors = reader.read_errors(spark, str(folder)).collect()
+    assert [r.path.rpartition("/")[2] for r in errors] == ["bad.xml"] and "ParseError" in errors[0].error
+    gone = files.PaperReader({"paths": "[]"}).read(files.Files([(str(tmp_path), f"{tmp_path}/none.xml", 3)]))
+    assert next(gone).to_pylist()[0]["error"].startswith("FileNotFoundError")
+
+
+def test_folders_that_only_spark_opens(spark, folder):
+    from paperloom.sources import reader
+
+    by_pattern = reader.files_source(spark, [f"{folder}/*"])
+    assert {r.path.rpartition("/")[2] for r in by_pattern.collect()} == {"paper.xml", "plain.txt", "word.docx", "bad.xml"}
+
+
+def test_one_parse_in_a_plan(spark):
+    from paperloom import paper_queries, queries
+
+    d = "/root/testdata/sf0.001"
+    for name in ("nlm_citations", "tei_citations", "nlm_text", "apa_notes"):
+        plan = queries.QUERIES[name](spark, d)._jdf.queryExecution().toString()
+        assert "MapInArrow" not in plan and "MapInPandas" not in plan
+        assert "kind" in plan.partition("PartitionFilters")[2]
+    stored = reader_table(spark)
+    assert {r.kind for r in stored.select("kind").distinct().collect()} == {"file", "text", "bib", "xref"}
+    assert paper_queries.corpus_of
+
+
+def reader_table(spark):
+    from paperloom.sources import reader
+
+    return reader.by_kind(reader.parse_files(spark.createDataFrame([("a/b.xml", TEI.encode()), ("a/c.xml", b"<bad")], "path string, content binary")))
+
+
+def test_written_files(spark, tmp_path):
+    from paperloom.sources.text_files import write_files
+
+    rows = [("a/b/c.txt", "é"), ("a/d.txt", None), ("e.txt", "")]
+    out = {r.name: r.bytes for r in write_files(spark.createDataFrame(rows, "name string, content string"), str(tmp_path / "new")).collect()}
+    assert out == {"a/b/c.txt": 2, "a/d.txt": 0, "e.txt": 0} and (tmp_path / "new/a/b/c.txt").read_text() == "é"
+    assert sorted(str(p.relative_to(tmp_path / "new")) for p in (tmp_path / "new").rglob("*") if p.is_file()) == sorted(out)
