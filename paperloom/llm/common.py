@@ -7,6 +7,7 @@ import hashlib
 import shutil
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,18 @@ def as_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, bucketed by keys, so that joins on them leave it where it is; forgotten by the catalog afterwards."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), *keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """docs as a table with a number for each row, and the number's column: once written, a row keeps it in all that reads it."""
     column = free_name(docs, "_rid")

@@ -7,16 +7,19 @@ Personalised PageRank carries trust along links, and distrust against them: who
 whose distrust is above LIMIT times its trust is blocked, the others are allowed, as are hosts that neither reaches.
 
 A rank is the sum of what reaches a host over all numbers of links; each round carries on what the last one brought (a join with the
-edges and a sum), and writes it to a table, as what comes after would else recompute it. Rounds end when all that is still to be carried
-is TOLERANCE or less of the whole trust or distrust, which 85 % a link bounds to some 75 rounds; on graphs without cycles they end
-when nothing is left. So a host's ranks are short of the limit by TOLERANCE at most, and ranks that differ by less than EQUAL of each
-other count as equal, whatever the order of sums.
+edges, which are a table bucketed by source, and a sum), and writes it to a table, as what comes after would else recompute it. What is
+left to be carried after a round is ONWARD / (1 - ONWARD) times that round's at most. Rounds end when no verdict can change any more: no host
+has been reached anew, and at each host that both kinds reach the difference of its ranks is more than all that is left, or what is left
+is less than EQUAL of its ranks. Ranks that differ by less than EQUAL of each other count as equal, whatever the order of sums.
 
 Host: after the first ://, up to /, ? or #, A-Z lower-cased. Path: from there up to ? or #.
 
+Links are the attributes href and src of tags, each after white space or /, if they begin with a scheme and ://, or with //. A tag ends at the first > outside quotes;
+one whose quotes aren't closed is none.
+
 Cases: a null url, or one without ://, has an empty host and path; no rule fits it, and its verdict is that of the host "". Null
-html has no links; relative links stay on their host and count for nothing. Rows repeat as they do in pages. Other columns are not
-read. Empty tables work.
+html has no links; relative links stay on their host and count for nothing, whatever address they carry along. Rows repeat as they do in pages.
+Other columns are not read. Empty tables work.
 """
 
 from __future__ import annotations
@@ -28,15 +31,17 @@ from . import common
 
 #: Share of a rank that goes on along links.
 ONWARD = 0.85
-#: What may be left to be carried on, as a share of all trust or all distrust.
-TOLERANCE = 1e-6
 LIMIT, EQUAL = 1, 1e-9
+#: Rounds between two looks at what is left.
+LOOK = 8
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: From a tag's start to its link no other tag may start: else a text of open tags would be read again from each of them.
-LINK = r"""(?i)<[a-z][^<>]*?\s(?:href|src)\s*=\s*["']?([^"'\s>]*:?//[^"'\s>]*)"""
+# The loop of a tag is possessive in Java, so that one of any length takes no stack; as its parts begin with characters of their own, it matches as without.
+TAG = r"""<[A-Za-z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+ATTRIBUTE = r"""[\s/][^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+LINK = r"""(?i)^[\s/](?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"'>]*)"""
 
 
 def _host(url: Column) -> tuple[Column, Column]:
@@ -59,28 +64,60 @@ def fitting_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame) -> DataFrame:
     """(source, target, n): links between different hosts. pages: host, html."""
-    found = pages.select(F.col("host").alias("source"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("link"))
+    tags = pages.select(F.col("host").alias("source"), F.explode(F.regexp_extract_all("html", F.lit(TAG), 0)).alias("tag"))
+    tags = tags.where((F.col("source") != "") & F.contains("tag", F.lit("//")))
+    found = tags.select("source", F.explode(F.regexp_extract_all("tag", F.lit(ATTRIBUTE), 0)).alias("attribute"))
+    found = found.select("source", F.regexp_extract("attribute", LINK, 1).alias("link"))
     found = found.withColumn("link", F.when(F.col("link").startswith("//"), F.concat(F.lit(":"), "link")).otherwise(F.col("link")))
-    found = found.select("source", _host(F.col("link"))[0].alias("target")).where((F.col("target") != "") & (F.col("source") != "") & (F.col("target") != F.col("source")))
+    found = found.select("source", _host(F.col("link"))[0].alias("target")).where((F.col("target") != "") & (F.col("target") != F.col("source")))
     return found.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, host, rank) after personalised PageRank, for each kind on its own. seeds: kind, host, seed (1 in all of a kind); edges: kind, source, target, n."""
+def _both(ranks: DataFrame) -> DataFrame:
+    """(host, trust, distrust), null where nothing of a kind has come."""
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")))
+    return ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
+
+
+def _blocked() -> Column:
+    """More distrust than trust, or distrust alone, however little."""
+    return F.coalesce(F.col("distrust") > LIMIT * (1 + EQUAL) * F.col("trust"), F.col("distrust").isNotNull())
+
+
+def _open(ranks: DataFrame, left: dict[str, float]) -> bool:
+    """Whether a verdict of a host that both kinds reach can change by what is left of each."""
+    limit = F.col("trust") * LIMIT * (1 + EQUAL)
+    more = F.lit(left.get("allow", 0.0)) * LIMIT * (1 + EQUAL)
+    settled = F.when(F.col("distrust") > limit, F.col("distrust") > limit + more).otherwise(F.col("distrust") + left.get("block", 0.0) <= limit)
+    near = F.lit(sum(left.values())) <= EQUAL * F.least("trust", "distrust")
+    return not _both(ranks).where("trust IS NOT NULL AND distrust IS NOT NULL").where(~settled & ~near).isEmpty()
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, within: float = 1.0) -> DataFrame:
+    """(kind, host, rank) after personalised PageRank, for each kind on its own, as far as comparisons of the kinds allow and block need it.
+
+    seeds: kind, host, seed (1 in all of a kind); edges: kind, source, target, n. within: what may be left of a kind in any case.
+    """
     totals = edges.groupBy("kind", "source").agg(F.sum("n").alias("total"))
-    edges = common.as_table(edges.join(totals, ["kind", "source"]).select("kind", "source", "target", (ONWARD * F.col("n") / F.col("total")).alias("share")), "edges")
-    carried = common.as_table(seeds.select("kind", "host", ((1 - ONWARD) * F.col("seed")).alias("rank")), "ranks")
-    rounds, left = [carried], 0 if edges.isEmpty() else 1
-    while left > TOLERANCE:
-        sent = carried.withColumnRenamed("host", "source").join(edges, ["kind", "source"])
-        carried = common.as_table(sent.groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("rank")), "ranks")
-        rounds.append(carried)
-        # What comes after is at most ONWARD / (1 - ONWARD) times this round's.
-        left = max((r.left for r in carried.groupBy("kind").agg((F.sum("rank") * ONWARD / (1 - ONWARD)).alias("left")).collect()), default=0)
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+    shares = edges.join(totals, ["kind", "source"]).select("kind", "source", "target", (ONWARD * F.col("n") / F.col("total")).alias("share"))
+    with common.bucketed(shares, "edges", ["kind", "source"]) as edges:
+        carried = common.as_table(seeds.select("kind", "host", ((1 - ONWARD) * F.col("seed")).alias("rank")), "ranks")
+        ranks, hosts = carried, carried.count()
+        while hosts and not edges.isEmpty():
+            rounds = [ranks]
+            for _ in range(LOOK):
+                sent = carried.withColumnRenamed("host", "source").join(edges, ["kind", "source"])
+                carried = common.as_table(sent.groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("rank")), "ranks")
+                rounds.append(carried)
+            for more in rounds[1:]:
+                rounds[0] = rounds[0].unionByName(more)
+            ranks = common.as_table(rounds[0].groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
+            left = {r.kind: r.left for r in carried.groupBy("kind").agg((F.sum("rank") * ONWARD / (1 - ONWARD)).alias("left")).collect()}
+            before, hosts = hosts, ranks.count()
+            # A round without new hosts is the last one that could have had any.
+            if not left or (hosts == before and max(left.values()) <= within and not _open(ranks, left)):
+                break
+    return ranks
 
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -91,17 +128,14 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     fitting = common.as_table(fitting_rules(pages.select("host").distinct(), rules), "fitting-rules")
     ruled = pages.select("page_id", "host", "path").join(fitting, "host", "left")
     fit = F.filter("rules", lambda r: F.col("path").startswith(r["path"]))
-    ruled = ruled.withColumn("best", F.array_max(fit)).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    ruled = common.as_table(ruled.withColumn("best", F.array_max(fit)).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict")), "ruled")
     counts = ruled.where(F.col("verdict").isNotNull()).groupBy(F.col("verdict").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
     counts = common.as_table(counts, "ruled-hosts")
     totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
     seeds = counts.join(totals, "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed"))
     forward = common.as_table(links(pages), "links")
     edges = forward.select(F.lit("allow").alias("kind"), "source", "target", "n").unionByName(forward.select(F.lit("block").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "n"))
-    ranks = propagate(seeds, edges)
-    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0))
-    hosts = ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
-    blocked = hosts.where(F.col("distrust") > LIMIT * (1 + EQUAL) * F.col("trust")).select("host", F.lit("block").alias("of_host"))
+    blocked = _both(propagate(seeds, edges)).where(_blocked()).select("host", F.lit("block").alias("of_host"))
     out = ruled.join(common.as_table(blocked, "blocked-hosts"), "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "of_host", F.lit("allow")).alias("verdict"))
 
@@ -116,8 +150,9 @@ def _sql() -> str:
         return f"translate(regexp_extract(CASE WHEN contains({url}, '://') THEN substr({url}, instr({url}, '://') + 3) ELSE '' END, '^[^/?#]*'), '{UPPER}', '{LOWER}')"
 
     rest = "CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END"
-    link = LINK.replace("'", "''")
+    tag, attribute, link = (x.replace("*+", "*").replace("++", "+").replace("'", "''") for x in (TAG, ATTRIBUTE, LINK))
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    # Ranks are carried on until they are nothing beside any other, so verdicts are those of the limit.
     return f"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES {rules}),
 p AS (
@@ -131,7 +166,9 @@ best AS (
 ruled AS (SELECT p.r, page_id, host, path, rule, verdict FROM p LEFT JOIN best USING (r)),
 counts AS (SELECT verdict AS kind, host, count(*) AS n FROM ruled WHERE verdict IS NOT NULL GROUP BY ALL),
 home AS (SELECT kind, host, {1 - ONWARD} * n / sum(n) OVER (PARTITION BY kind) AS rank FROM counts),
-found AS (SELECT host AS source, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p),
+tags AS (SELECT host AS source, unnest(regexp_extract_all(html, '{tag}')) AS tag FROM p),
+attributes AS (SELECT source, unnest(regexp_extract_all(tag, '{attribute}')) AS attribute FROM tags),
+found AS (SELECT source, regexp_extract(attribute, '{link}', 1) AS link FROM attributes),
 named AS (SELECT source, {host("(CASE WHEN starts_with(link, '//') THEN ':' || link ELSE link END)")} AS target FROM found),
 links AS (SELECT source, target, count(*) AS n FROM named WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL),
 both_ways AS (SELECT 'allow' AS kind, source, target, n FROM links UNION ALL SELECT 'block', target, source, n FROM links),
@@ -140,12 +177,12 @@ rounds AS (
   SELECT kind, host, rank::DOUBLE AS rank FROM home
   UNION ALL
   SELECT r.kind, target, sum(rank * share)::DOUBLE
-  FROM (SELECT *, sum(rank) OVER (PARTITION BY kind) AS carried FROM rounds) r JOIN edges ON r.kind = edges.kind AND r.host = edges.source
-  WHERE carried * {ONWARD / (1 - ONWARD)} > {TOLERANCE}
+  FROM rounds r JOIN edges ON r.kind = edges.kind AND r.host = edges.source
+  WHERE rank > 1e-300
   GROUP BY r.kind, target),
 ranks AS (SELECT kind, host, sum(rank) AS rank FROM rounds GROUP BY kind, host),
 hosts AS (
-  SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'block'), 0) > {LIMIT * (1 + EQUAL)} * coalesce(sum(rank) FILTER (WHERE kind = 'allow'), 0) AS blocked
+  SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'block') > {LIMIT * (1 + EQUAL)} * sum(rank) FILTER (WHERE kind = 'allow'), bool_or(kind = 'block')) AS blocked
   FROM ranks GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN hosts USING (host)
