@@ -1,4 +1,7 @@
-"""The stemming algorithm of M. F. Porter (Program 14(3), 1980), from its published description."""
+"""The stemming algorithm of M. F. Porter (Program 14(3), 1980), from its published description.
+
+with_stems() stems a table of distinct words by DataFrame functions, a column a step; stems() stems arrays of words in their rows.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,3 +90,70 @@ def stems(lists: pd.Series) -> pd.Series:
     """The stems of arrays of words; each distinct word of a batch is stemmed once."""
     known = {w: stem(w) for w in set().union(*(x for x in lists if x is not None))}
     return lists.map(lambda x: None if x is None else [known[w] for w in x])
+
+
+# ---------------------------------------------------------------- on columns
+
+#: Runs of consonants and of vowels: y is a consonant at the start and after a vowel, so it begins a run of either kind, and is inside none.
+CONSONANTS, VOWELS = "(?:[^aeiou][^aeiouy]*)", "(?:[aeiouy][aeiou]*)"
+#: A word up to the end of its first vowels.
+FIRST = f"(?:{CONSONANTS}{VOWELS}|[aeiou]+)"
+#: What a stem has to be like: at least one vowel; m above 0, 1, and above 1 (m counts vowels followed by consonants); m 1 with a short end; ending in a consonant.
+HAS_VOWEL = f"^(?:[aeiou]|{CONSONANTS}[aeiouy])"
+ABOVE_0 = f"^{FIRST}{CONSONANTS}"
+JUST_1 = f"{ABOVE_0}{VOWELS}?$"
+ABOVE_1 = f"{ABOVE_0}{VOWELS}{CONSONANTS}"
+SHORT = f"^{CONSONANTS}[aeiouy][^aeiouwxy]$"
+ENDS_CONSONANT = f"^(?:{CONSONANTS}|{FIRST}{CONSONANTS}(?:{VOWELS}{CONSONANTS})*)$"
+
+
+def _cut(word: Column, n: int) -> Column:
+    """Without the last n letters."""
+    return F.left(word, F.length(word) - n)
+
+
+def _first_ending(word: Column, rules: list[tuple[str, str]], condition) -> Column:
+    """The word with its longest ending of some replaced, if the rest meets the condition(rest, ending)."""
+    out = F
+    for ending, instead in sorted(rules, key=lambda r: -len(r[0])):
+        rest = _cut(word, len(ending))
+        out = out.when(word.endswith(ending), F.when(condition(rest, ending), F.concat(rest, F.lit(instead))).otherwise(word))
+    return out.otherwise(word)
+
+
+def with_stems(table: DataFrame, word: str = "word", stem: str = "stem") -> DataFrame:
+    """table with the stems of words in small letters. Give it distinct words: each step looks at each row."""
+    w = F.col(stem)
+    steps = [
+        F.when(w.endswith("sses") | w.endswith("ies"), _cut(w, 2)).when(w.endswith("s") & ~w.endswith("ss"), _cut(w, 1)).otherwise(w),
+        # What ed or ing is taken from is marked, as it may need an e or lose a letter.
+        F.when(w.endswith("eed"), F.when(_cut(w, 3).rlike(ABOVE_0), _cut(w, 1)).otherwise(w))
+        .when(w.endswith("ed") & _cut(w, 2).rlike(HAS_VOWEL), F.concat(_cut(w, 2), F.lit("+")))
+        .when(w.endswith("ing") & _cut(w, 3).rlike(HAS_VOWEL), F.concat(_cut(w, 3), F.lit("+")))
+        .otherwise(w),
+        F.when(~w.endswith("+"), w)
+        .when(w.rlike(r"(?:at|bl|iz)\+$"), F.concat(_cut(w, 1), F.lit("e")))
+        .when((F.length(w) > 2) & (F.substring(w, -2, 1) == F.substring(w, -3, 1)) & _cut(w, 1).rlike(ENDS_CONSONANT) & ~w.rlike(r"[lsz]\+$"), _cut(w, 2))
+        .when(_cut(w, 1).rlike(SHORT), F.concat(_cut(w, 1), F.lit("e")))
+        .otherwise(_cut(w, 1)),
+        F.when(w.endswith("y") & _cut(w, 1).rlike(HAS_VOWEL), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w),
+        _first_ending(w, STEP2, lambda rest, _: rest.rlike(ABOVE_0)),
+        _first_ending(w, STEP3, lambda rest, _: rest.rlike(ABOVE_0)),
+        _first_ending(w, [(x, "") for x in STEP4], lambda rest, ending: rest.rlike(ABOVE_1) & (rest.rlike("[st]$") if ending == "ion" else F.lit(True))),
+        F.when(w.endswith("e") & (_cut(w, 1).rlike(ABOVE_1) | (_cut(w, 1).rlike(JUST_1) & ~_cut(w, 1).rlike(SHORT))), _cut(w, 1)).otherwise(w),
+        F.when(w.endswith("ll") & w.rlike(ABOVE_1), _cut(w, 1)).otherwise(w),
+    ]
+    out = table.withColumn(stem, F.col(word))
+    for step in steps:
+        out = out.withColumn(stem, F.when(F.length(word) < 3, F.col(word)).otherwise(step))
+    return out
+
+
+def stem_texts(texts: DataFrame, key: str, words: Column, stem: str = "stems") -> DataFrame:
+    """(key, stems: an array in the order of words, null where words is null) of texts, one for each key; each distinct word is stemmed once."""
+    rows = texts.select(F.col(key), words.alias("_words"))
+    each = rows.select(key, F.posexplode("_words").alias("_at", "word"))
+    found = with_stems(each.select("word").distinct())
+    placed = each.join(found, "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "stem"))).alias("_x"))
+    empty = F.when(F.col("_words").isNotNull(), F.array().cast("array<string>"))
+    return rows.join(placed, key, "left").select(key, F.coalesce(F.transform("_x", lambda x: x["stem"]), empty).alias(stem))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.porter import stems
+from ..functions.porter import stems, with_stems
 from ..functions.text import words as word_list
 
 # Fixed value: what counts as a number among words, and what stands for any number.
@@ -48,7 +48,7 @@ def distinctive_words(
     names = {c: str(c) for c in sizes}
     counts = each.groupBy("word").agg(*(F.count_if(F.col("_class") == c).alias(f"n_{names[c]}") for c in sizes))
     if stem:  # counted first, so that each distinct word is stemmed once
-        stemmed = counts.withColumn("word", F.element_at(stems(F.array("word")), 1))
+        stemmed = with_stems(counts).withColumn("word", F.col("stem"))
         counts = stemmed.groupBy("word").agg(*(F.sum(f"n_{n}").alias(f"n_{n}") for n in names.values()))
     (a, size_a), (b, size_b) = ((names[c], k) for c, k in sizes.items())
     counts = counts.withColumn("total", F.col(f"n_{a}") + F.col(f"n_{b}")).where(F.col("total") >= least)

@@ -1,17 +1,12 @@
 """Reported tests, their p values computed anew, and whether the two agree.
 
-Results such as "t(28) = 2.20, p = .036" are found and taken apart with DataFrame functions; only the distributions' tails
-are numpy, over Arrow batches. A p value agrees if some value of the statistic that rounds to the reported one gives, rounded
-as reported, that p value (method of Nuijten and others, 2016).
+Results such as "t(28) = 2.20, p = .036" are found, taken apart and judged with DataFrame functions. A p value agrees if some value
+of the statistic that rounds to the reported one gives, rounded as reported, that p value (method of Nuijten and others, 2016).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
@@ -77,62 +72,49 @@ def results(text: DataFrame) -> DataFrame:
     return rows.where(possible)
 
 
-def p_values(kind: np.ndarray, value: np.ndarray, df1: np.ndarray, df2: np.ndarray) -> np.ndarray:
-    """Two-sided p values of t, r and z, upper tails of the others."""
-    out = np.full(len(value), np.nan)
-    for name, f in (
-        ("t", lambda m: tails.t_two_sided(value[m], df2[m])),
-        ("cor", lambda m: tails.r_two_sided(value[m], df2[m])),
-        ("F", lambda m: tails.f_upper(value[m], df1[m], df2[m])),
-        ("chisq", lambda m: tails.chi2_upper(value[m], df1[m])),
-        ("Q", lambda m: tails.chi2_upper(value[m], df2[m])),
-        ("Z", lambda m: tails.normal_two_sided(value[m])),
-    ):
-        m = kind == name
-        if m.any():
-            out[m] = f(m)
-    return out
+def p_value(kind: Column, value: Column, df1: Column, df2: Column) -> Column:
+    """The two-sided p value of t, r and z, the upper tail of the others."""
+    return (
+        F.when(kind == "t", tails.t_two_sided(value, df2))
+        .when(kind == "cor", tails.r_two_sided(value, df2))
+        .when(kind == "F", tails.f_upper(value, df1, df2))
+        .when(kind == "chisq", tails.chi2_upper(value, df1))
+        .when(kind == "Q", tails.chi2_upper(value, df2))
+        .when(kind == "Z", tails.normal_two_sided(value))
+    )
 
 
-def judge(pdf: pd.DataFrame, alpha: float, one_tailed: bool, equal_is_significant: bool, zero_is_error: bool) -> pd.DataFrame:
-    """computed_p, error and decision_error for results in parts."""
-    kind, value = pdf["test_type"].to_numpy(str), pdf["test_value"].to_numpy(float)
-    df1, df2 = pdf["df1"].to_numpy(float), pdf["df2"].to_numpy(float)
-    half = 0.5 * 10.0 ** -pdf["_decimals"].to_numpy(float)
-    away = np.where(value < 0, -1.0, 1.0)
-    scale = 0.5 if one_tailed else 1.0
-    two_sided = np.isin(kind, ["t", "cor", "Z"])
-    share = np.where(two_sided, scale, 1.0)
-    computed = p_values(kind, value, df1, df2) * share
+def judge(rows: DataFrame, alpha: float, one_tailed: bool, equal_is_significant: bool, zero_is_error: bool) -> DataFrame:
+    """rows with computed_p, error and decision_error."""
+    kind, value, reported, comp, test = (F.col(c) for c in ("test_type", "test_value", "reported_p", "p_comp", "test_comp"))
+    share = F.when(kind.isin("t", "cor", "Z"), 0.5 if one_tailed else 1.0).otherwise(1.0)
+    half = 0.5 * F.pow(F.lit(10.0), -F.col("_decimals"))
+    outwards = F.when(value < 0, -half).otherwise(half)
     # The largest p is that of the value nearest to 0 that rounds as reported.
-    near = np.where(np.abs(value) < half, 0.0, value - away * half)
-    far = np.where(kind == "cor", np.clip(value + away * half, -1, 1), value + away * half)
-    high, low = p_values(kind, near, df1, df2) * share, p_values(kind, far, df1, df2) * share
-    reported, decimals = pdf["reported_p"].to_numpy(float), pdf["_p_decimals"].to_numpy(float)
-    comp, test = pdf["p_comp"].to_numpy(str), pdf["test_comp"].to_numpy(str)
-    slack = 0.5 * 10.0**-decimals + 1e-12
-    with np.errstate(invalid="ignore"):
-        agrees = {
-            "=": np.where(test == "=", (reported >= low - slack) & (reported <= high + slack), np.where(test == "<", reported >= low - slack, reported <= high + slack)),
-            "<": np.where(test == "<", False, low < reported),
-            ">": np.where(test == ">", False, high > reported),
-            "ns": high > alpha,
-        }
-        # "t < 1, p > .1": the comparison of the statistic turns that of its p value around.
-        agrees["<"] = np.where(test == "<", computed < reported, agrees["<"])
-        agrees[">"] = np.where(test == ">", computed > reported, agrees[">"])
-        error = ~np.select([comp == k for k in agrees], list(agrees.values()), True)
-        if zero_is_error:
-            error |= (comp != ">") & (reported == 0)
-        says = np.select(
-            [comp == "=", comp == "<", comp == ">"],
-            [(reported <= alpha) if equal_is_significant else (reported < alpha), reported <= alpha, (reported < alpha) & False],
-            False,
-        )
-        is_ = (computed <= alpha) if equal_is_significant else (computed < alpha)
-    unclear = (comp == "<") & (reported > alpha) | (comp == ">") & (reported < alpha)
-    missing = np.isnan(computed)
-    return pdf.assign(computed_p=computed, error=error & ~missing, decision_error=error & ~missing & ~unclear & (says != is_))
+    near = F.when(F.abs(value) < half, 0.0).otherwise(value - outwards)
+    far = F.when(kind == "cor", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value + outwards))).otherwise(value + outwards)
+    found = F.transform(F.array(value, near, far), lambda v: p_value(kind, v, F.col("df1"), F.col("df2")) * share)
+    rows = rows.withColumn("_p", found)
+    computed, high, low = (F.col("_p")[k] for k in range(3))
+    slack = 0.5 * F.pow(F.lit(10.0), -F.col("_p_decimals")) + 1e-12
+    below, above = reported >= low - slack, reported <= high + slack
+    # "t < 1, p > .1": the comparison of the statistic turns that of its p value around.
+    agrees = (
+        F.when(comp == "=", F.when(test == "=", below & above).when(test == "<", below).otherwise(above))
+        .when(comp == "<", F.when(test == "<", computed < reported).otherwise(low < reported))
+        .when(comp == ">", F.when(test == ">", computed > reported).otherwise(high > reported))
+        .when(comp == "ns", high > alpha)
+        .otherwise(True)
+    )
+    significant = (lambda p: p <= alpha) if equal_is_significant else (lambda p: p < alpha)
+    says = F.when(comp == "=", significant(reported)).when(comp == "<", reported <= alpha).otherwise(False)
+    error = ~F.coalesce(agrees, F.lit(False))
+    if zero_is_error:
+        error = error | ((comp != ">") & F.coalesce(reported == 0, F.lit(False)))
+    error = error & computed.isNotNull()
+    unclear = F.coalesce(((comp == "<") & (reported > alpha)) | ((comp == ">") & (reported < alpha)), F.lit(False))
+    wrong = F.coalesce(says, F.lit(False)) != F.coalesce(significant(computed), F.lit(False))
+    return rows.withColumns({"computed_p": computed, "error": error, "decision_error": error & ~unclear & wrong})
 
 
 def stats(
@@ -150,15 +132,9 @@ def stats(
         found = text.withColumn("raw", F.explode(F.regexp_extract_all("text", F.lit(_P), F.lit(0))))
         p = F.regexp_extract("raw", r"[<>=]\s?(.*)$", 1)
         return found.withColumn("p_comp", F.when(F.col("raw").rlike("[<>=]"), F.regexp_extract("raw", "([<>=])", 1)).otherwise("ns")).withColumn("reported_p", F.when(p == "", None).otherwise(p).try_cast("double"))
-    text = full_text(source).where(F.col("text").rlike("[0-9]"))
+    # The cheap test first: a result has a comma and a comparison.
+    text = full_text(source).where(F.col("text").contains(",") & F.col("text").rlike("[<>=]") & F.col("text").rlike("[0-9]"))
     text = text.withColumn("text", squeeze(F.col("text")))
     wanted = [stat] if isinstance(stat, str) else list(stat)
     rows = results(text).where(F.col("test_type").isin(wanted))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield judge(pdf, alpha, one_tailed, equal_is_significant, zero_is_error)
-
-    schema = rows.schema.simpleString()[len("struct<") : -1]
-    out = rows.mapInPandas(run, f"{schema},computed_p:double,error:boolean,decision_error:boolean")
-    return out.select(*COLUMNS, *(c for c in text.columns))
+    return judge(rows, alpha, one_tailed, equal_is_significant, zero_is_error).select(*COLUMNS, *(c for c in text.columns))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from statistics import NormalDist
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tails import normal_quantile
 from ..schemas import Corpus, null_safe_join
 
 
@@ -81,31 +81,24 @@ def validate(corpus: Corpus, module: str, **expected) -> Validation:
     return out
 
 
-def confusion(df: DataFrame, expected: str = "expected", observed: str = "observed") -> DataFrame:
-    """One row with hits, misses, false_alarms and correct_rejections of two boolean columns."""
+def confusion(df: DataFrame, expected: str = "expected", observed: str = "observed", by: list[str] = ()) -> DataFrame:
+    """hits, misses, false_alarms and correct_rejections of two boolean columns: one row, or one for each group."""
     e, o = F.col(expected), F.col(observed)
-    return df.agg(F.count_if(e & o).alias("hits"), F.count_if(e & ~o).alias("misses"), F.count_if(~e & o).alias("false_alarms"), F.count_if(~e & ~o).alias("correct_rejections"))
+    return df.groupBy(*by).agg(F.count_if(e & o).alias("hits"), F.count_if(e & ~o).alias("misses"), F.count_if(~e & o).alias("false_alarms"), F.count_if(~e & ~o).alias("correct_rejections"))
+
+
+def measures(df: DataFrame, expected: str = "expected", observed: str = "observed", by: list[str] = ()) -> DataFrame:
+    """confusion() with signal detection measures. specificity is the rate of false alarms, as users of this measure expect here; true_specificity its complement."""
+    counts = confusion(df, expected, observed, by)
+    present, absent = F.col("hits") + F.col("misses"), F.col("false_alarms") + F.col("correct_rejections")
+    # Never 0 or 1, whose normal quantiles are infinite; unknown if there is nothing to count.
+    rate = lambda k, n: F.least(F.greatest(F.try_divide(k, n), F.try_divide(F.lit(0.5), n)), 1 - F.try_divide(F.lit(0.5), n))
+    out = counts.withColumns({"sensitivity": rate(F.col("hits"), present), "specificity": rate(F.col("false_alarms"), absent), "accuracy": F.try_divide(F.col("hits") + F.col("correct_rejections"), present + absent)})
+    out = out.withColumns({"true_specificity": 1 - F.col("specificity"), "_hit": normal_quantile(F.col("sensitivity")), "_alarm": normal_quantile(F.col("specificity"))})
+    out = out.withColumns({"d_prime": F.col("_hit") - F.col("_alarm"), "beta": F.exp((F.col("_alarm") * F.col("_alarm") - F.col("_hit") * F.col("_hit")) / 2)})
+    return out.select(*counts.columns, "accuracy", "sensitivity", "specificity", "true_specificity", "d_prime", "beta")
 
 
 def accuracy(df: DataFrame, expected: str = "expected", observed: str = "observed") -> dict[str, float]:
-    """Signal detection measures. specificity is the rate of false alarms, as users of this measure expect here; true_specificity its complement."""
-    counts = {k: v for k, v in confusion(df, expected, observed).first().asDict().items()}
-    present, absent = counts["hits"] + counts["misses"], counts["false_alarms"] + counts["correct_rejections"]
-
-    def rate(k: int, n: int) -> float:
-        """Never 0 or 1, whose normal quantiles are infinite."""
-        return math.nan if not n else min(max(k / n, 0.5 / n), 1 - 0.5 / n)
-
-    hit, alarm = rate(counts["hits"], present), rate(counts["false_alarms"], absent)
-    quantile = lambda p: math.nan if math.isnan(p) else NormalDist().inv_cdf(p)
-    z_hit, z_alarm = quantile(hit), quantile(alarm)
-    total = present + absent
-    return {
-        **counts,
-        "accuracy": (counts["hits"] + counts["correct_rejections"]) / total if total else math.nan,
-        "sensitivity": hit,
-        "specificity": alarm,
-        "true_specificity": 1 - alarm,
-        "d_prime": z_hit - z_alarm,
-        "beta": math.exp((z_alarm**2 - z_hit**2) / 2),
-    }
+    """The row of measures(); what is unknown is not a number."""
+    return {k: math.nan if v is None else v for k, v in measures(df, expected, observed).first().asDict().items()}

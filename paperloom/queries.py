@@ -12,9 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ids
+from .functions import ids, porter
 from .functions.json_columns import json_expand
-from .functions.porter import stems
 from .functions.text import WORD, words
 from .operators import features, sections, tables, validation
 from .operators.search import expand_text, search_text
@@ -283,12 +282,6 @@ def effect_size_summary(spark: SparkSession, d: str) -> DataFrame:
     return module_run(Corpus.of(spark, full_text=reported(spark, d)), "effect_size").summary
 
 
-@query()
-def statcheck_table(spark: SparkSession, d: str) -> DataFrame:
-    """Tests with recomputed p values; the distributions' tails are beyond SQL."""
-    return stats(reported(spark, d)).select("id", "div", "s", "raw", "test_type", "df1", "df2", "test_value", "reported_p", "computed_p", "error", "decision_error")
-
-
 def _references(spark: SparkSession, d: str) -> Corpus:
     bib = read(spark, d, "customer").select((F.col("c_custkey") % 25).cast("string").alias("id"), F.col("c_custkey").cast("string").alias("xref_id"), F.col("c_name").alias("ref"))
     key = F.col("o_custkey") + 7 * (F.col("o_orderkey") % 3)
@@ -524,17 +517,40 @@ def module_lights(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(lights, "module string, light string")
 
 
-@query(
-    f"""WITH {REPORTED}, n AS (SELECT *, regexp_extract(text, '= ([0-9]+)', 1) AS q, regexp_extract(text, 'p [<=] (\\.0[0-9]+)', 1) AS pv FROM reported WHERE starts_with(text, 'A t(') OR starts_with(text, 'An F('))
-SELECT DISTINCT id, div, p, s, CASE WHEN starts_with(text, 'A t') THEN 't(' || div || ') = ' || q || '.5, p < ' || pv ELSE 'F(2, 30) = ' || q || '.1, p = ' || pv END AS raw,
+STATS = f"""{REPORTED}, n AS (SELECT *, regexp_extract(text, '= ([0-9]+)', 1) AS q, regexp_extract(text, 'p [<=] (\\.0[0-9]+)', 1) AS pv FROM reported WHERE starts_with(text, 'A t(') OR starts_with(text, 'An F(')),
+parts AS (SELECT DISTINCT id, div, p, s, CASE WHEN starts_with(text, 'A t') THEN 't(' || div || ') = ' || q || '.5, p < ' || pv ELSE 'F(2, 30) = ' || q || '.1, p = ' || pv END AS raw,
   CASE WHEN starts_with(text, 'A t') THEN 't' ELSE 'F' END AS test_type, CASE WHEN starts_with(text, 'An') THEN 2.0::DOUBLE END AS df1, CASE WHEN starts_with(text, 'A t') THEN div::DOUBLE ELSE 30.0::DOUBLE END AS df2,
-  (q || CASE WHEN starts_with(text, 'A t') THEN '.5' ELSE '.1' END)::DOUBLE AS test_value, pv::DOUBLE AS reported_p FROM n"""
-)
+  (q || CASE WHEN starts_with(text, 'A t') THEN '.5' ELSE '.1' END)::DOUBLE AS test_value, pv::DOUBLE AS reported_p FROM n)"""
+
+
+@query(f"WITH {STATS} SELECT * FROM parts")
 def statcheck_parts(spark: SparkSession, d: str) -> DataFrame:
     """What statcheck takes from each reported result, before the tails of distributions."""
     return stats(reported(spark, d)).select("id", "div", "p", "s", "raw", "test_type", "df1", "df2", "test_value", "reported_p")
 
 
+def _t_tail(x: str) -> str:
+    """The two-sided p value of t with whole degrees of freedom, which has a closed form: sums of sines and cosines of atan(t / sqrt(df))."""
+    angle = f"atan(abs({x}) / sqrt(df2))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * list_sum(list_transform(range(1, df2::INT, 2), lambda k: cos({angle}) ** k * list_product([1.0] || list_transform(range(2, k, 2), lambda j: j / (j + 1.0))))))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, df2::INT, 2), lambda k: cos({angle}) ** k * list_product([1.0] || list_transform(range(2, k + 1, 2), lambda j: (j - 1.0) / j))))"
+    return f"1 - CASE WHEN df2 = 1 THEN 2 / pi() * {angle} WHEN df2::INT % 2 = 1 THEN {odd} ELSE {even} END"
+
+
+#: Each value's p; that of F with 2 degrees of freedom above is a power.
+TAILS = ", ".join(f"CASE WHEN test_type = 't' THEN {_t_tail(x)} ELSE (1 + 2 * ({x}) / df2) ** (-df2 / 2) END AS {name}" for x, name in (("test_value", "computed"), ("test_value - 0.05", "high"), ("test_value + 0.05", "low")))
+JUDGED_STATS = f"""{STATS}, tails AS (SELECT *, {TAILS} FROM parts),
+checked AS (SELECT *, CASE WHEN test_type = 't' THEN low >= reported_p OR reported_p = 0 ELSE NOT (reported_p BETWEEN low - 0.0005 - 1e-12 AND high + 0.0005 + 1e-12) END AS error FROM tails),
+stat_errors AS (SELECT *, error AND NOT (test_type = 't' AND reported_p > 0.05) AND (reported_p <= 0.05) <> (computed <= 0.05) AS decision_error FROM checked)"""
+
+
+@query(f"WITH {JUDGED_STATS} SELECT id, div, s, raw, test_type, df1, df2, test_value, reported_p, round(computed, 8) AS computed_p, error, decision_error FROM stat_errors")
+def statcheck_table(spark: SparkSession, d: str) -> DataFrame:
+    """Tests with recomputed p values, and whether the reported ones agree; SQL has the closed forms that tails of these degrees of freedom have."""
+    rows = stats(reported(spark, d)).withColumn("computed_p", F.round("computed_p", 8))
+    return rows.select("id", "div", "s", "raw", "test_type", "df1", "df2", "test_value", "reported_p", "computed_p", "error", "decision_error")
+
+
 # ---------------------------------------------------------------- words
 
 WORDS_SQL = f"regexp_extract_all(lower(text), '{quoted(WORD)}')"
@@ -555,7 +571,46 @@ def distinctive_words(spark: SparkSession, d: str) -> DataFrame:
     return features.distinctive_words(_labelled(spark, d), n=60, stop_words=["the", "of"], stem=False)
 
 
-@query()
+def _stem_sql(words: str, more: str = "") -> str:
+    """Stems of the distinct words of a table, as common table expressions; the last is stemmed(word, stem, and the columns more)."""
+    cut = lambda n: f"left(w, length(w) - {n})"
+    like = lambda x, pattern: f"regexp_matches({x}, '{pattern}')"
+
+    def endings(rules: list[tuple[str, str]], measure: str) -> str:
+        out = []
+        for ending, instead in sorted(rules, key=lambda r: -len(r[0])):
+            rest = cut(len(ending))
+            more = f" AND {like(rest, '[st]$')}" if (ending, instead) == ("ion", "") else ""
+            out.append(f"WHEN ends_with(w, '{ending}') THEN CASE WHEN {like(rest, measure)}{more} THEN {rest} || '{instead}' ELSE w END")
+        return f"CASE {' '.join(out)} ELSE w END"
+
+    last = "left(w, length(w) - 1)"
+    steps = [
+        f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {cut(2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {cut(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {like(cut(3), porter.ABOVE_0)} THEN {cut(1)} ELSE w END WHEN ends_with(w, 'ed') AND {like(cut(2), porter.HAS_VOWEL)} THEN {cut(2)} || '+'"
+        f" WHEN ends_with(w, 'ing') AND {like(cut(3), porter.HAS_VOWEL)} THEN {cut(3)} || '+' ELSE w END",
+        f"CASE WHEN NOT ends_with(w, '+') THEN w WHEN {like('w', '(at|bl|iz).$')} THEN {last} || 'e' WHEN length(w) > 2 AND w[-2] = w[-3] AND {like(last, porter.ENDS_CONSONANT)} AND w[-2] NOT IN ('l', 's', 'z') THEN {cut(2)}"
+        f" WHEN {like(last, porter.SHORT)} THEN {last} || 'e' ELSE {last} END",
+        f"CASE WHEN ends_with(w, 'y') AND {like(last, porter.HAS_VOWEL)} THEN {last} || 'i' ELSE w END",
+        endings(porter.STEP2, porter.ABOVE_0),
+        endings(porter.STEP3, porter.ABOVE_0),
+        endings([(x, "") for x in porter.STEP4], porter.ABOVE_1),
+        f"CASE WHEN ends_with(w, 'e') AND ({like(last, porter.ABOVE_1)} OR {like(last, porter.JUST_1)} AND NOT {like(last, porter.SHORT)}) THEN {last} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {like('w', porter.ABOVE_1)} THEN {last} ELSE w END",
+    ]
+    out = [f"stem0 AS (SELECT DISTINCT word, word AS w{more} FROM {words})"]
+    out += [f"stem{k} AS (SELECT word{more}, CASE WHEN length(word) < 3 THEN word ELSE {step} END AS w FROM stem{k - 1})" for k, step in enumerate(steps, 1)]
+    return ", ".join([*out, f"stemmed AS (SELECT word, w AS stem{more} FROM stem{len(steps)})"])
+
+
+@query(
+    f"""WITH l AS (SELECT text, toxic FROM documents JOIN labels USING (doc_id)), k AS (SELECT count(*) FILTER (WHERE toxic = 0) AS a, count(*) FILTER (WHERE toxic = 1) AS b FROM l),
+w AS (SELECT toxic, unnest({WORDS_SQL}) AS word FROM l), v AS (SELECT toxic, CASE WHEN regexp_matches(word, '{features.NUMBER}') THEN '###' ELSE word END AS word FROM w),
+n AS (SELECT word, count(*) FILTER (WHERE toxic = 0) AS n_0, count(*) FILTER (WHERE toxic = 1) AS n_1 FROM v GROUP BY word), {_stem_sql("n", ", n_0, n_1")},
+c AS (SELECT stem AS word, sum(n_0)::BIGINT AS n_0, sum(n_1)::BIGINT AS n_1 FROM stemmed GROUP BY stem)
+SELECT word, n_0, n_1, n_0 + n_1 AS total, n_0 / a AS freq_0, n_1 / b AS freq_1, abs(n_0 / a - n_1 / b) AS difference FROM c, k WHERE n_0 + n_1 >= (a + b) / 10.0
+ORDER BY difference DESC, word LIMIT 60"""
+)
 def distinctive_stems(spark: SparkSession, d: str) -> DataFrame:
     return features.distinctive_words(_labelled(spark, d), n=60)
 
@@ -575,9 +630,14 @@ def top_words(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(25)
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT doc_id, generate_subscripts(w, 1) AS k, unnest(w) AS word FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)), {_stem_sql("e")},
+t AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY k) AS stems FROM e JOIN stemmed USING (word) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(stems, '') END AS stems FROM documents LEFT JOIN t USING (doc_id)"""
+)
 def porter_stems(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.array_join(stems(words(F.col("text"))), " ").alias("stems"))
+    found = porter.stem_texts(read(spark, d, "documents"), "doc_id", words(F.col("text")))
+    return found.select("doc_id", F.array_join("stems", " ").alias("stems"))
 
 
 # ---------------------------------------------------------------- validation
@@ -612,6 +672,27 @@ def accuracy_counts(spark: SparkSession, d: str) -> DataFrame:
     return validation.confusion(rows.select((F.col("quality") == 1).alias("expected"), (F.col("n_chars") > 500).alias("observed")))
 
 
+#: The normal quantile by Newton's steps; what is below a value by a series of odd powers.
+_BELOW = "(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * z * list_reduce(range(120, 0, -1), lambda so_far, k: 1 + z * z / (2 * k + 1) * so_far, 1.0::DOUBLE))"
+_QUANTILE = "CASE WHEN {0} < 0.5 THEN -1 ELSE 1 END * list_reduce(range(0, 40), lambda z, _: z + (greatest({0}, 1 - {0}) - " + _BELOW + ") * sqrt(2 * pi()) * exp(z * z / 2), 0.0::DOUBLE)"
+
+
+@query(
+    f"""WITH c AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND n_chars > 500) AS hits, count(*) FILTER (WHERE quality = 1 AND n_chars <= 500) AS misses,
+  count(*) FILTER (WHERE quality = 0 AND n_chars > 500) AS false_alarms, count(*) FILTER (WHERE quality = 0 AND n_chars <= 500) AS correct_rejections FROM documents JOIN labels USING (doc_id) GROUP BY lang),
+n AS (SELECT *, hits + misses AS present, false_alarms + correct_rejections AS absent FROM c),
+r AS (SELECT *, least(greatest(hits / present, 0.5 / present), 1 - 0.5 / present) AS hit, least(greatest(false_alarms / absent, 0.5 / absent), 1 - 0.5 / absent) AS alarm FROM n),
+z AS (SELECT *, {_QUANTILE.format("hit")} AS z_hit, {_QUANTILE.format("alarm")} AS z_alarm FROM r)
+SELECT lang, hits, misses, round(hit, 8) AS sensitivity, round(alarm, 8) AS specificity, round((hits + correct_rejections) / (present + absent), 8) AS accuracy,
+  round(z_hit - z_alarm, 7) AS d_prime, round(exp((z_alarm ** 2 - z_hit ** 2) / 2), 7) AS beta FROM z"""
+)
+def accuracy_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Signal detection measures for the documents of each language."""
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("lang", (F.col("quality") == 1).alias("expected"), (F.col("n_chars") > 500).alias("observed"))
+    columns = {"sensitivity": 8, "specificity": 8, "accuracy": 8, "d_prime": 7, "beta": 7}
+    return validation.measures(rows, by=["lang"]).select("lang", "hits", "misses", *(F.round(c, k).alias(c) for c, k in columns.items()))
+
+
 # ---------------------------------------------------------------- scalar functions
 
 

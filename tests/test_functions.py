@@ -1,14 +1,17 @@
 import math
+from itertools import product
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from paperloom.functions import ids, tails
 from paperloom.functions.json_columns import json_expand
-from paperloom.functions.porter import stem
+from paperloom.functions.porter import STEP2, STEP3, STEP4, stem, stem_texts, with_stems
 from paperloom.functions.text import guard_initials, sentences, words
 from paperloom.operators.features import distinctive_words, feature_classifier, text_features
 from pyspark.sql import functions as F
 
+ENDS = [e + f for e in [*dict(STEP2), *dict(STEP3), *STEP4, "at", "bl", "iz", "tt", "ll", "y", "ee"] for f in ("", "s", "ed", "ing", "e")]
 TEXTS = [
     "This effect had a large effect size of x = 0.4, the effect", "An effect of medium size", "The effect is medium", "Medium effect", "Some effects are medium", "Effect: medium y", "One effect medium z",
     "A large effect", "Larger effect of 0.5", "The effect was large", "Small effect", "The small effect of an x", "No effect at 1.2", "Effect size 3",
@@ -67,12 +70,46 @@ def test_json(spark):
     assert json_expand(table.select("answer").limit(0)).columns == ["answer", "error"]
 
 
-def test_tails():
-    assert np.allclose(tails.t_two_sided([2.086, 0, -12.706], [20, 5, 1]), [0.05, 1, 0.05], atol=1e-4)
-    assert np.allclose(tails.f_upper([4.35, 3.32, 0], [1, 2, 3], [20, 30, 10]), [0.05, 0.05, 1], atol=1e-3)
-    assert np.allclose(tails.chi2_upper([3.8415, 18.307, 124.342, 0], [1, 10, 100, 3]), [0.05, 0.05, 0.05, 1], atol=1e-4)
-    assert np.allclose(tails.normal_two_sided([1.96, -2.576, 0]), [0.05, 0.01, 1], atol=1e-4)
-    assert math.isclose(float(tails.r_two_sided(0.3, 48)), 0.0343, abs_tol=2e-4)
+def test_stems_on_columns_equal_the_rules_word_by_word(spark):
+    """All words of the tables, and all short ones of letters that the rules look at."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.explode(words(F.col("text"))).alias("word")).distinct()
+    made = ["".join(x) for n in range(1, 6) for x in product("aeylst", repeat=n)] + [a + b for a in ("", "b", "tr", "a", "hop", "fil", "ay", "yy", "rate", "syzyg", "+", "conn3") for b in ENDS]
+    table = rows.union(spark.createDataFrame([(x,) for x in made], "word string")).distinct()
+    found = with_stems(table).collect()
+    assert len(found) > 9000 and [(r.word, r.stem) for r in found if stem(r.word) != r.stem] == []
+    texts = spark.createDataFrame([(1, ["cats", "a", "cats", "hopping"]), (2, []), (3, None)], "k int, w array<string>")
+    assert {r.k: r.stems for r in stem_texts(texts, "k", F.col("w")).collect()} == {1: ["cat", "a", "cat", "hop"], 2: [], 3: None}
+
+
+def test_tails(spark):
+    """Against published tables, and forms in which the functions are closed."""
+
+    def rows(f, *columns):
+        table = spark.createDataFrame([tuple(float(x) for x in r) for r in zip(*columns, strict=True)], ", ".join(f"c{k} double" for k in range(len(columns))))
+        return [r[0] for r in table.select(f(*(F.col(f"c{k}") for k in range(len(columns))))).collect()]
+
+    assert np.allclose(rows(tails.t_two_sided, [2.086, 0, -12.706], [20, 5, 1]), [0.05, 1, 0.05], atol=1e-4)
+    assert np.allclose(rows(tails.f_upper, [4.35, 3.32, 0, -1], [1, 2, 3, 2], [20, 30, 10, 9]), [0.05, 0.05, 1, 1], atol=1e-3)
+    assert np.allclose(rows(tails.chi2_upper, [3.8415, 18.307, 124.342, 0], [1, 10, 100, 3]), [0.05, 0.05, 0.05, 1], atol=1e-4)
+    assert np.allclose(rows(tails.normal_two_sided, [1.96, -2.576, 0]), [0.05, 0.01, 1], atol=1e-4)
+    assert math.isclose(rows(tails.r_two_sided, [0.3], [48])[0], 0.0343, abs_tol=2e-4)
+    x = [0.01, 0.5, 1, 3, 7, 20, 60]
+    assert np.allclose(rows(tails.normal_two_sided, x), [math.erfc(v / math.sqrt(2)) for v in x], rtol=1e-11, atol=0)
+    assert np.allclose(rows(tails.t_two_sided, x, [1] * 7), [1 - 2 / math.pi * math.atan(v) for v in x], rtol=1e-10, atol=1e-14)
+    for df in (1, 9, 200, 5000, 10**6):
+        assert np.allclose(rows(tails.f_upper, x, [2] * 7, [df] * 7), [(1 + 2 * v / df) ** (-df / 2) for v in x], rtol=1e-8, atol=0)
+    assert np.allclose(rows(tails.chi2_upper, x, [2] * 7), [math.exp(-v / 2) for v in x], rtol=1e-11, atol=0)
+    many = [900, 990, 1000, 1010, 1100, 1500]  # a sum of Poisson probabilities
+    assert np.allclose(rows(tails.chi2_upper, many, [1000] * 6), [math.fsum(math.exp(-v / 2 + k * math.log(v / 2) - math.lgamma(k + 1)) for k in range(500)) for v in many], rtol=1e-9, atol=0)
+    assert np.allclose(rows(tails.log_gamma, [0.5, 1, 2, 3.25, 100, 1e6]), [math.lgamma(v) for v in (0.5, 1, 2, 3.25, 100, 1e6)], rtol=1e-12, atol=1e-12)
+    assert rows(tails.t_two_sided, [1, 1], [0, -3]) == [None, None] and rows(tails.chi2_upper, [1], [0]) == [None]
+
+
+def test_normal_quantile(spark):
+    p = [1e-9, 0.001, 0.2, 0.5, 0.8, 0.975, 1 - 1e-9]
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in p], "p double").select(tails.normal_quantile(F.col("p"))).collect()]
+    assert np.allclose(found, [NormalDist().inv_cdf(x) for x in p], rtol=1e-7, atol=1e-12)
+    assert spark.range(1).select(tails.normal_quantile(F.lit(1.0))).first()[0] is None
 
 
 def test_distinctive_words(spark):
