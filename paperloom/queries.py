@@ -879,4 +879,4 @@ def entry(spark: SparkSession, d: str = "/root/testdata/sf0.001") -> DataFrame:
     return corpus.ids().join(counts, "id", "left").select("id", F.coalesce("numbers", F.lit(0)).alias("numbers"))
 
 
-from . import paper_queries  # noqa: E402, F401 (registers its queries, which use the above)
+from . import catalogue_queries, paper_queries  # noqa: E402, F401 (they register their queries, which use the above)
