@@ -101,3 +101,53 @@ def feature_classifier(df: DataFrame, label: str, names: list[str]):
 
     stages = [VectorAssembler(inputCols=names, outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol=label)]
     return Pipeline(stages=stages).fit(df)
+
+
+#: Words of a vocabulary, which the driver holds: those that most texts have.
+VOCABULARY = 1 << 16
+
+
+class WordClassifier:
+    """A logistic regression on the words of texts, as sparse vectors of a fitted vocabulary."""
+
+    def __init__(self, vocabulary: list[str], model, text: str, binary: bool):
+        from pyspark.ml.feature import CountVectorizerModel
+
+        self.vocabulary, self.model, self.text = vocabulary, model, text
+        self.vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_words", outputCol="_features")
+        self.vectors.setBinary(binary)
+
+    def features(self, df: DataFrame) -> DataFrame:
+        """df with _features, a sparse vector; a text without known words has an empty one."""
+        words = F.coalesce(word_list(F.col(self.text)), F.array().cast("array<string>"))
+        return self.vectors.transform(df.withColumn("_words", words)).drop("_words")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with probability (of label 1) and prediction, in place of columns with these names."""
+        from pyspark.ml.functions import vector_to_array
+
+        out = self.model.transform(self.features(df))
+        own = [F.col(f"`{c}`") for c in df.columns if c not in ("probability", "prediction")]
+        return out.select(*own, F.get(vector_to_array("_probability"), F.lit(1)).alias("probability"), F.col("_prediction").cast("int").alias("prediction"))
+
+    def weights(self) -> dict[str, float]:
+        return dict(zip(self.vocabulary, self.model.coefficients.toArray().tolist(), strict=True))
+
+
+def word_classifier(df: DataFrame, text: str = "text", label: str = "label", least: int = 2, most: int = VOCABULARY, ridge: float = 0.01, binary: bool = True) -> WordClassifier:
+    """Fits a logistic regression of label (0 or 1) on the words of texts, each present or not (binary) or counted.
+
+    The vocabulary are the words in at least so many of the texts, at most the given number of them, the commonest first. The texts are sparse
+    vectors, so the width of the data does not grow with the vocabulary; Spark adds up gradients over all partitions. Rows without label are left out.
+    """
+    from pyspark.ml.classification import LogisticRegression
+
+    rows = df.where(F.col(label).isNotNull())
+    counts = rows.select(F.explode(F.array_distinct(word_list(F.col(text)))).alias("word")).groupBy("word").count().where(F.col("count") >= least)
+    vocabulary = [r.word for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]
+    if not vocabulary:
+        raise ValueError(f"no word is in {least} texts")
+    out = WordClassifier(vocabulary, None, text, binary)
+    fit = LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_probability", predictionCol="_prediction", rawPredictionCol="_raw", regParam=ridge, standardization=False, tol=1e-12, maxIter=1000)
+    out.model = fit.fit(out.features(rows).select("_features", F.col(label).cast("double").alias("_label")))
+    return out

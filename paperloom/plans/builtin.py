@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import settings
@@ -12,6 +12,7 @@ from ..operators.search import distinct_rows, expand_text, full_text, search_tex
 from ..operators.statcheck import stats
 from ..operators.tables import info_table
 from ..schemas import Corpus, null_safe_join
+from ..sources.stored import kept
 from .modules import module
 
 # ---------------------------------------------------------------- fixed values: patterns
@@ -84,7 +85,7 @@ def all_p_values(corpus: Corpus) -> dict:
 
 @module("Exact P-Values", "Find p values that are only bounded or left out, such as p < .05 or n.s.")
 def exact_p(corpus: Corpus) -> dict:
-    p = with_imprecise(p_values(corpus)).persist()  # only what was found; table, summary and light all need it
+    p = kept(with_imprecise(p_values(corpus)))  # only what was found; table, summary and light all need it
     summary = p.groupBy("id").agg(F.count_if(~F.col("imprecise")).alias("exact_p"), F.count_if("imprecise").alias("imprecise_p"))
     total = summary.agg(F.sum("exact_p").alias("exact"), F.sum("imprecise_p").alias("imprecise")).first()
     light = "na" if total.exact is None else "red" if total.imprecise else "green"
@@ -93,19 +94,16 @@ def exact_p(corpus: Corpus) -> dict:
     return {"table": p.where("imprecise").select(columns), "summary": summary, "na_replace": 0, "traffic_light": light, "report": report[light]}
 
 
-def _tests(sentences: DataFrame, name: str, test: str, effect: str) -> DataFrame:
-    """Sentences with a test, its exact text, and the effect sizes in the same sentence (null if none)."""
-    joined = lambda pattern: F.array_join(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "; ")
-    rows = sentences.where(F.col("text").rlike(test)).select("id", "text", "section", "div", "p", "s", "seq")
-    return rows.withColumn("es", F.nullif(joined(f"(?iu){effect}"), F.lit(""))).withColumn("test_text", joined(test)).withColumn("test", F.lit(name))
-
-
 def effect_tests(source: Corpus | DataFrame) -> DataFrame:
-    """t and F tests with the effect sizes reported beside them. One pass for each over the sentences with = and a digit."""
+    """t and F tests with the effect sizes reported beside them (null if none), in one pass: only sentences with a test are compared with each other."""
+    joined = lambda pattern: F.array_join(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "; ")
     text = full_text(source)
     likely = text.where(F.col("text").contains("=") & F.col("text").rlike("[0-9]"))  # the cheap test first
-    sentences = distinct_rows(likely.withColumn("text", squeeze(F.col("text"))))
-    return _tests(sentences, "t-test", T_TEST, T_EFFECTS).unionByName(_tests(sentences, "F-test", F_TEST, F_EFFECTS))
+    tested = likely.withColumn("text", squeeze(F.col("text"))).where(F.col("text").rlike(T_TEST) | F.col("text").rlike(F_TEST))
+    sentences = distinct_rows(tested).select("id", "text", "section", "div", "p", "s", "seq")
+    kinds = (("t-test", T_TEST, T_EFFECTS), ("F-test", F_TEST, F_EFFECTS))
+    found = [F.when(F.col("text").rlike(test), F.struct(F.nullif(joined(f"(?iu){effect}"), F.lit("")).alias("es"), joined(test).alias("test_text"), F.lit(name).alias("test"))) for name, test, effect in kinds]
+    return sentences.withColumn("_x", F.explode(F.array_compact(F.array(*found)))).select(*sentences.columns, "_x.*")
 
 
 def effect_summary(table: DataFrame) -> DataFrame:
@@ -115,7 +113,7 @@ def effect_summary(table: DataFrame) -> DataFrame:
 
 @module("Missing Effect Sizes", "Find t tests and F tests without an effect size beside them")
 def effect_size(corpus: Corpus) -> dict:
-    table = effect_tests(corpus).persist()
+    table = kept(effect_tests(corpus))
     n, without = table.agg(F.count(F.lit(1)), F.count_if(F.col("es").isNull())).first()
     light = "na" if not n else "green" if not without else "red" if without == n else "yellow"
     report = {
@@ -129,7 +127,7 @@ def effect_size(corpus: Corpus) -> dict:
 
 @module("StatCheck", "Recompute p values from the reported statistics and compare")
 def statcheck(corpus: Corpus) -> dict:
-    table = stats(corpus).persist()
+    table = kept(stats(corpus))
     summary = table.groupBy("id").agg(F.count(F.lit(1)).alias("stats_found"), F.count_if("error").alias("stats_error"), F.count_if("decision_error").alias("decision_error"))
     n, errors = table.agg(F.count(F.lit(1)), F.count_if("error")).first()
     light = "na" if not n else "red" if errors else "green"
@@ -174,7 +172,7 @@ def power(corpus: Corpus, seed: int = 8675309, client=None) -> dict:
         complete = F.lit(True)
         for c in POWER_FIELDS:
             complete = complete & F.col(c).isNotNull()
-        table = table.withColumn("complete", complete).where("type IS NULL OR type <> 'none'").persist()
+        table = kept(table.withColumn("complete", complete).where("type IS NULL OR type <> 'none'"))
         summary = table.groupBy("id").agg(
             F.count(F.lit(1)).alias("power.n"), F.count_if("complete").alias("power.complete"), *(F.count(c).alias(f"power.{c}") for c in POWER_FIELDS)
         )
@@ -263,6 +261,23 @@ def miscited(corpus: Corpus, db: DataFrame) -> DataFrame:
     return null_safe_join(hits, cites, ["id", "xref_id"], "left").distinct()
 
 
+#: Citing sentences that a report shows of each paper.
+QUOTES = 5
+
+
+def quotes(rows: DataFrame, most: int = QUOTES) -> DataFrame:
+    """(doi, reftext, warning, n, text, place) of miscited(): how often each paper is cited, and the first sentences that do, in the order of the alphabet.
+
+    Spark limits the groups before it shuffles them for the window, so a paper that everyone cites is no more than most rows a task. Papers that
+    no sentence cites have one row without text.
+    """
+    keys = ["doi", "reftext", "warning"]
+    counts = rows.groupBy(*keys).agg(F.count("text").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("text"))
+    first = rows.where("text IS NOT NULL").select(*keys, "text").distinct().withColumn("place", place).where(F.col("place") <= most)
+    return null_safe_join(counts, first, keys, "left").select(*keys, "n", "text", "place")
+
+
 @module("Miscitation", "Find papers that are often cited for what they don't say.", "The database needs the columns doi (short, like 10.1/x), reftext and warning.")
 def miscitation(corpus: Corpus, db: DataFrame | None = None) -> dict:
     from ..sources.databases import miscitations
@@ -273,11 +288,11 @@ def miscitation(corpus: Corpus, db: DataFrame | None = None) -> dict:
     summary = table.groupBy("id").agg(*(F.min(F.when(F.col("doi") == d, F.col("xref_id"))).alias(f"miscite_{d}") for d in dois)) if dois else table.select("id").distinct()
     if not dois:
         return {"table": table, "summary": summary, "traffic_light": "green", "report": "None of these papers is cited."}
-    quotes = rows.groupBy("doi", "reftext", "warning").agg(F.count("text").alias("n"), F.slice(F.array_sort(F.collect_set("text")), 1, 5).alias("quotes"))
     parts = ["These papers are often cited for what they don't say."]
-    for r in quotes.orderBy("doi").collect():
-        shown = f"{len(r.quotes)} of {r.n}" if len(r.quotes) < r.n else str(r.n)
-        parts += [f"**{r.doi}**", r.reftext or "", r.warning or "", f"*{shown} instance{'' if r.n == 1 else 's'}:*", *(f"> {q}" for q in r.quotes)]
+    shown = quotes(rows)
+    for r in shown.groupBy("doi", "reftext", "warning").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("text")).alias("quotes")).orderBy("doi").collect():
+        count = f"{len(r.quotes)} of {r.n}" if len(r.quotes) < r.n else str(r.n)
+        parts += [f"**{r.doi}**", r.reftext or "", r.warning or "", f"*{count} instance{'' if r.n == 1 else 's'}:*", *(f"> {q}" for q in r.quotes)]
     return {"table": table, "summary": summary, "traffic_light": "yellow", "report": "\n\n".join(parts)}
 
 
@@ -304,7 +319,7 @@ def osf_check(corpus: Corpus, client=None) -> dict:
     links = osf_links(corpus)
     if links.isEmpty():
         return {"table": links, "summary": links.select("id").limit(0), "na_replace": 0, "traffic_light": "na", "report": "There are no links to OSF."}
-    table = osf_status(osf_retrieve(links, "text", client=client)).persist()
+    table = kept(osf_status(osf_retrieve(links, "text", client=client)))
     states = {r.status for r in table.select("status").distinct().collect()}
     light = "fail" if states in ({"error"}, {"unknown"}) else "red" if states & {"unfound", "invalid", "closed"} else "green" if states == {"open"} else "yellow"
     report = {"fail": "None of the links to OSF could be looked up.", "red": "Some links to OSF are private or lead nowhere.", "yellow": "Some links to OSF could not be looked up.", "green": "Every link to OSF can be opened."}
@@ -318,7 +333,7 @@ def aspredicted(corpus: Corpus, client=None) -> dict:
     links = aspredicted_links(corpus)
     if links.isEmpty():
         return {"table": links, "summary": links.select("id").limit(0), "na_replace": 0, "traffic_light": "na", "report": "There are no links to AsPredicted."}
-    table = aspredicted_retrieve(links, "text", client=client).persist()
+    table = kept(aspredicted_retrieve(links, "text", client=client))
     summary = table.groupBy("id").agg(F.count_distinct("text").alias("AP_links"))
     n = summary.agg(F.sum("AP_links")).first()[0]
     report = f"{n} pre-registration{'' if n == 1 else 's'} on AsPredicted fetched."

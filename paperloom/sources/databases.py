@@ -42,6 +42,30 @@ def compact_retractions(raw: DataFrame) -> DataFrame:
     return rows.groupBy("doi").agg(F.array_join(F.array_sort(F.collect_set("nature")), ";").alias("retractionwatch"))
 
 
+def latest(snapshots: DataFrame, key: str = "doi", date: str = "date") -> DataFrame:
+    """One row for each key of dated snapshots together: that of the newest snapshot that has it; of several in one snapshot the least."""
+    others = [c for c in snapshots.columns if c not in (key, date)]
+    newest = F.min(F.struct((-F.unix_date(date)).alias("_age"), *others))
+    return snapshots.where(F.col(key).isNotNull()).groupBy(key).agg(newest.alias("_x")).select(key, *(F.col(f"_x.{c}").alias(c) for c in others), F.date_from_unix_date(-F.col("_x._age")).alias(date))
+
+
+def difference(old: DataFrame, new: DataFrame, key: str = "doi") -> DataFrame:
+    """(key, change, before, after) of what is added, removed or changed from one snapshot to another; keys are unique in each. before, after: rows of the other columns."""
+    others = [c for c in old.columns if c != key]
+    side = lambda df, name: df.select(key, F.struct(*others).alias(name))
+    rows = side(old, "before").join(side(new, "after"), key, "full_outer")
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(~F.col("before").eqNullSafe(F.col("after")), "changed")
+    return rows.withColumn("change", change).where("change IS NOT NULL").select(key, "change", "before", "after")
+
+
+def retraction_changes(spark: SparkSession, since: date) -> DataFrame:
+    """What the newest copy has otherwise than the one that was newest on a day; all is new if there was none."""
+    rows = _table(spark, "retractionwatch", RETRACTIONS)
+    before = rows.where(F.col("date") <= F.lit(since)).agg(F.max("date")).first()[0]
+    old = rows.where(F.col("date") == F.lit(before)) if before else rows.limit(0)
+    return difference(old.select("doi", "retractionwatch"), retractions(spark))
+
+
 def update_retractions(spark: SparkSession, csv: str | None = None, client: Client | None = None) -> str:
     """Stores a newer copy, from a CSV file or else the service, and returns its path."""
     folder = _folder(spark)
@@ -54,7 +78,8 @@ def update_retractions(spark: SparkSession, csv: str | None = None, client: Clie
         spark.createDataFrame([(got.text(),)], "value string").write.mode("overwrite").text(csv)
     raw = spark.read.csv(csv, header=True, multiLine=True, escape='"')
     path = f"{folder}/retractionwatch"
-    compact_retractions(raw).withColumn("date", F.current_date()).write.mode("append").parquet(path)
+    # A folder for each day: an update that is repeated takes its place, and readers of the newest copy read no other.
+    compact_retractions(raw).withColumn("date", F.current_date()).write.partitionBy("date").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     return path
 
 

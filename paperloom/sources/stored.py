@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming.files import shared_dir
 
 _made: list[str] = []
+_kept: list[DataFrame] = []
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -21,8 +23,16 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df persisted until release(): for what is small and read a few times, such as what a search has found."""
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
 def release(spark: SparkSession) -> None:
-    """Deletes the tables made so far. Call it when no DataFrame that reads them is needed any more."""
+    """Deletes the tables made so far, and lets go of what is kept. Call it when no DataFrame that reads them is needed any more."""
+    while _kept:
+        _kept.pop().unpersist()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _made:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())

@@ -1,7 +1,15 @@
 import random
+import re
+from datetime import date
 
+import numpy as np
 import pytest
-from paperloom.operators import bibliography, trees
+from paperloom.operators import bibliography, features, trees
+from paperloom.plans import builtin
+from paperloom.plans import report as reports
+from paperloom.schemas import Corpus, text_table, texts
+from paperloom.sources import databases, stored
+from pyspark.sql import functions as F
 
 
 def distance(a, b):
@@ -101,3 +109,78 @@ def test_trees(spark):
     assert trees.descendants(names.limit(0)).collect() == []
     sums = trees.totals(trees.descendants(names), spark.createDataFrame([("b", 2), ("c", 3)], "id string, size int"), "size")
     assert {r.id: (r.n, r.total) for r in sums.collect()} == {"a": (3, 5), "b": (2, 5), "c": (1, 3)}
+
+
+def test_snapshots(spark, tmp_path):
+    rows = [("a", "x", date(2024, 1, 1)), ("a", "y", date(2024, 2, 1)), ("b", "x", date(2024, 1, 1)), ("c", "z", date(2024, 2, 1)), ("c", "q", date(2024, 2, 1)), (None, "x", date(2024, 1, 1))]
+    out = databases.latest(spark.createDataFrame(rows, "doi string, retractionwatch string, date date")).collect()
+    assert {tuple(r) for r in out} == {("a", "y", date(2024, 2, 1)), ("b", "x", date(2024, 1, 1)), ("c", "q", date(2024, 2, 1))}
+    old, new = (spark.createDataFrame(x, "doi string, kind string") for x in ([("a", "x"), ("b", None), ("c", "x"), ("d", None)], [("a", "x"), ("b", "y"), ("e", None), ("d", None)]))
+    assert {(r.doi, r.change) for r in databases.difference(old, new).collect()} == {("b", "changed"), ("c", "removed"), ("e", "added")}
+    assert databases.difference(old.limit(0), new.limit(0)).collect() == []
+
+
+def test_an_update_twice_on_a_day_is_one(spark, tmp_path):
+    before = spark.conf.get(databases.FOLDER, None)
+    spark.conf.set(databases.FOLDER, str(tmp_path / "db"))
+    try:
+        for kinds in ("Retraction", "Correction"):
+            (tmp_path / "list.csv").write_text(f"OriginalPaperDOI,RetractionNature\n10.1/a,{kinds}\n")
+            databases.update_retractions(spark, str(tmp_path / "list.csv"))
+        assert [tuple(r) for r in databases.retractions(spark).collect()] == [("10.1/a", "Correction")]
+        spark.createDataFrame([("10.1/a", "Retraction", date(2020, 1, 1)), ("10.1/b", "x", date(2020, 1, 1))], databases.RETRACTIONS).write.partitionBy("date").mode("append").parquet(str(tmp_path / "db/retractionwatch"))
+        assert databases.retractions(spark).count() == 1
+        assert {(r.doi, r.change) for r in databases.retraction_changes(spark, date(2021, 1, 1)).collect()} == {("10.1/a", "changed"), ("10.1/b", "removed")}
+        assert {(r.doi, r.change) for r in databases.retraction_changes(spark, date(2019, 1, 1)).collect()} == {("10.1/a", "added")}
+    finally:
+        spark.conf.unset(databases.FOLDER) if before is None else spark.conf.set(databases.FOLDER, before)
+
+
+def test_quotes_are_limited_early(spark):
+    rows = [("10.1/hot", "t", "w", f"says {k:04}", k) for k in range(300)] + [("10.1/hot", "t", "w", "says 0000", 999), ("10.1/none", "t", "w", None, None), ("10.1/one", None, "w", "x", 1)]
+    found = builtin.quotes(spark.createDataFrame(rows, "doi string, reftext string, warning string, text string, s int"))
+    assert "WindowGroupLimit" in found._jdf.queryExecution().toString()
+    out = sorted((r.doi, r.n, r.place, r.text) for r in found.where("place IS NOT NULL").collect())
+    assert out == [("10.1/hot", 301, k + 1, f"says {k:04}") for k in range(5)] + [("10.1/one", 1, 1, "x")]
+    assert [(r.doi, r.n, r.text) for r in found.where("place IS NULL").collect()] == [("10.1/none", 0, None)]
+
+
+def test_reports_of_papers(spark, tmp_path):
+    text = [("a/1", "p < .05 | x", 1), ("a/1", "p = n.s.\nso", 2), ("b", "fine", 1), ("c", "This was marginally significant", 1)]
+    corpus = Corpus.of(spark, full_text=text_table(spark.createDataFrame(text, "id string, text string, seq long")))
+    out = {r.id: r.report for r in reports.paper_reports(corpus, ("exact_p", "marginal", "retractionwatch"), max_rows=1, options={"retractionwatch": {"db": "not a table"}}).collect()}
+    assert out["a/1"].startswith("# a/1\n\n## Exact P-Values\n\nShowing 1 of 2 rows\n\n| text | section | div | p | s |\n") and out["b"].count("Nothing found.") == 2
+    assert "marginally" in out["c"] and all("This check failed" in x for x in out.values())
+    written = reports.write_reports(corpus, str(tmp_path / "out"), ("marginal",)).collect()
+    assert {r.name for r in written} == {"a/1_report.md", "b_report.md", "c_report.md"} and (tmp_path / "out/a/1_report.md").read_text().startswith("# a/1\n")
+    with pytest.raises((ValueError, LookupError)):
+        reports.paper_reports(corpus, ("no such module",))
+
+
+def test_word_classifier_is_at_its_optimum(spark):
+    docs = [(k, f"{'bad' if k % 3 == 0 else 'good'} word{k % 7} and more{' bad' if k % 11 == 0 else ''}", int(k % 3 == 0)) for k in range(90)] + [(200, None, 1), (201, "", 0), (202, "unlabelled rare", None)]
+    table = spark.createDataFrame(docs, "doc_id int, text string, label int")
+    fitted = features.word_classifier(table, ridge=0.02)
+    assert "bad" in fitted.vocabulary and "rare" not in fitted.vocabulary
+    weights, bias = np.array([fitted.weights()[w] for w in fitted.vocabulary]), fitted.model.intercept
+    rows = [(set(re.findall(r"\w+", t or "")), y) for _, t, y in docs if y is not None]
+    x = np.array([[w in words for w in fitted.vocabulary] for words, _ in rows], float)
+    y = np.array([v for _, v in rows])
+    slope = 1 / (1 + np.exp(-(x @ weights + bias))) - y
+    assert np.abs(x.T @ slope / len(y) + 0.02 * weights).max() < 1e-6 and abs(slope.mean()) < 1e-6
+    out = {r.doc_id: r for r in fitted.transform(table.withColumn("probability", F.lit("own"))).collect()}
+    assert out[0].prediction == 1 and out[1].prediction == 0 and 0 < out[202].probability < 1
+    with pytest.raises(ValueError, match="no word"):
+        features.word_classifier(table.where("doc_id = 202").withColumn("label", F.lit(1)))
+
+
+def test_what_is_kept_is_let_go(spark):
+    stored.release(spark)
+    table = stored.stored(texts(spark, ["a"]), "probe")
+    kept = stored.kept(texts(spark, ["b"]))
+    assert table.count() == kept.count() == 1 and kept.is_cached
+    path = table.inputFiles()[0]
+    stored.release(spark)
+    assert not kept.is_cached
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path.rpartition("/")[0]).count()
