@@ -4,8 +4,8 @@ A text is cut into blocks of BLOCK bytes. Distinct blocks are sorted and named b
 of adjacent blocks are paired, the distinct pairs are sorted and named, and so on until each text has one name. Two texts
 of as many blocks have the same name if and only if they are identical: no hash decides.
 
-Names are places within buckets. A hash of the block only spreads the blocks over the buckets, so that no task sorts all
-of them, and finds blocks that very many rows share. These are named once and joined back; so the sort never gets a large
+Names are places within buckets, of which there are as many as the blocks need (about 128 MB each). A hash of the block only spreads the
+blocks over the buckets, so that no task sorts all of them, and finds blocks that very many rows share. These are named once and joined back; so the sort never gets a large
 group of equal rows.
 
 Cases: a null text is empty; empty texts are equal to each other. Each row is a member of its own, also where doc_id
@@ -23,17 +23,18 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of a block.
-BLOCK = 4096
+#: Bytes of a block, and blocks that are sorted in one bucket, about.
+BLOCK, BUCKET = 4096, 1 << 15
 
 
-def _buckets(spark: SparkSession) -> int:
-    return 4 * common.shuffle_partitions(spark)
+def _buckets(spark: SparkSession, rows: int) -> int:
+    """How many buckets so many names are sorted in: none has more than about BUCKET of them, whatever there is in all."""
+    return max(4 * common.shuffle_partitions(spark), math.ceil(rows / BUCKET))
 
 
-def _named(rows: DataFrame, keys: list[str], rank) -> DataFrame:
+def _named(rows: DataFrame, keys: list[str], rank, buckets: int) -> DataFrame:
     """rows with name: the place of the keys in their order within a bucket. rank: row_number if the keys are distinct, else dense_rank."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(_buckets(rows.sparkSession))).cast("long")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("long")
     place = rank().over(Window.partitionBy("_bucket").orderBy(*keys)).cast("long")
     return rows.withColumn("_bucket", bucket).withColumn("name", F.shiftleft(F.col("_bucket"), 40) + place).drop("_bucket")
 
@@ -48,30 +49,31 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return rows.select("rid", "n", "pos", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("sha")).alias("sha"), "block")
 
 
-def _block_names(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(rid, n, pos, doc_id, sha, name) of all blocks, and the most blocks in a text."""
+def _block_names(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """(rid, n, pos, doc_id, sha, name) of all blocks, the most blocks in a text, and buckets for all of them."""
     spark = docs.sparkSession
     length = F.octet_length("text")
     total, most = docs.agg(F.sum(F.greatest(F.lit(1), F.ceil(length / F.lit(BLOCK)))), F.max(length)).first()
     most = max(1, math.ceil((most or 0) / BLOCK))
     rows = _blocks(docs)
-    hash_ = F.xxhash64("block")
-    # At most four blocks a partition can be above this count, so this list is short.
-    often = max(512, (total or 0) // _buckets(spark))
-    counts = rows.select(hash_.alias("hash")).groupBy("hash").count().where(F.col("count") > often)
-    hot = [x.hash for x in counts.select("hash").collect()]
+    buckets = _buckets(spark, total or 0)
+    rows = rows.withColumn("hash", F.xxhash64("block"))
+    # Blocks that would fill a bucket by themselves: no more than there are buckets, a number each.
+    often = max(512, (total or 0) // buckets)
+    hot = common.as_table(rows.groupBy("hash").count().where(F.col("count") > often).select("hash"), "hot-blocks")
     columns = ["rid", "n", "pos", "doc_id", "sha"]
-    if not hot:
-        return _named(rows, ["block"], F.dense_rank).select(*columns, "name"), most
-    shared = hash_.isin(hot)
-    once = rows.where(shared).select("block").distinct().select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns), "block")
-    named = _named(rows.where(~shared).unionByName(once), ["block"], F.dense_rank)
+    if hot.isEmpty():
+        return _named(rows, ["block"], F.dense_rank, buckets).select(*columns, "name"), most, buckets
+    shared, others = rows.join(hot, "hash", "left_semi"), rows.join(hot, "hash", "left_anti")
+    once = shared.select("block").distinct().select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns), "block")
+    named = _named(others.select(*columns, "block").unionByName(once), ["block"], F.dense_rank, buckets)
     named = common.as_table(named.withColumn("block", F.when(F.col("rid").isNull(), F.col("block"))), "block-names")
     names = named.where(F.col("rid").isNull()).select("block", "name")
-    return named.where(F.col("rid").isNotNull()).select(*columns, "name").unionByName(rows.where(shared).join(names, "block").select(*columns, "name")), most
+    out = named.where(F.col("rid").isNotNull()).select(*columns, "name").unionByName(shared.join(names, "block").select(*columns, "name"))
+    return out, most, buckets
 
 
-def _pair_names(rows: DataFrame) -> DataFrame:
+def _pair_names(rows: DataFrame, buckets: int) -> DataFrame:
     """rows with the names of adjacent pairs instead of those of blocks; a last one without partner is paired with -1."""
     left = F.col("pos") % 2 == 0
     pairs = rows.groupBy("rid", "n", F.expr("pos div 2").cast("int").alias("at")).agg(
@@ -80,7 +82,7 @@ def _pair_names(rows: DataFrame) -> DataFrame:
         F.max(F.when(left, F.col("doc_id"))).alias("doc_id"),
         F.max(F.when(left, F.col("sha"))).alias("sha"),
     )
-    names = _named(pairs.select("a", "b").distinct(), ["a", "b"], F.row_number)
+    names = _named(pairs.select("a", "b").distinct(), ["a", "b"], F.row_number, buckets)
     return pairs.join(names, ["a", "b"]).select("rid", "n", F.col("at").alias("pos"), "doc_id", "sha", "name")
 
 
@@ -89,13 +91,13 @@ def identities(docs: DataFrame) -> DataFrame:
 
     sha is the SHA-256 of the text, carried along for reports.
     """
-    rows, most = _block_names(docs)
+    rows, most, buckets = _block_names(docs)
     rows, size, done = common.as_table(rows, "names"), 1, []
     columns = ["rid", "doc_id", "sha", "n", "name"]
     while size < most:
         done.append(rows.where(F.col("n") <= size).select(columns) if size == 1 else rows.where((F.col("n") <= size) & (F.col("n") > size // 2)).select(columns))
         size *= 2
-        rows = common.as_table(_pair_names(rows.where(F.col("n") > size // 2)), "pairs")
+        rows = common.as_table(_pair_names(rows.where(F.col("n") > size // 2), buckets), "pairs")
     done.append(rows.select(columns))
     out = done[0]
     for more in done[1:]:

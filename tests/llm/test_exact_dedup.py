@@ -73,3 +73,14 @@ def test_repeated_and_null_ids_match_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted((tuple(r) for r in ed.op9_exact_dedup(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted(con.execute(ed.SQL).fetchall(), key=str)
+
+
+def test_buckets_follow_the_blocks(spark, monkeypatch):
+    assert ed._buckets(spark, 0) == 32 and ed._buckets(spark, 1 << 30) == 1 << 15
+    monkeypatch.setattr(ed, "BUCKET", 2)
+    rows = [(k, "x" * (k % 50 + 1) * 300) for k in range(400)] + [(1000 + k, "same") for k in range(700)]
+    found = ed.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    last = {}
+    for d, t in rows:
+        last[t] = max(d, last.get(t, 0))
+    assert {r.doc_id: r.keep_id for r in found} == {d: last[t] for d, t in rows}
