@@ -15,7 +15,7 @@ Jaccard similarity is 0.8 or more. Three steps, each of which keeps every link:
    each a subtree that one task holds; the nodes above are rows of a table. A dual traversal compares nodes with nodes, above the
    parts by joins and below them in tasks: it leaves a pair of nodes if no sets of such sizes are similar enough, if the bitmaps
    allow too small an overlap, or if all their sets are connected already; pairs of leaves are compared exactly. Texts are sent
-   only for the pairs of parts that are left. Near parts come first, so that what they connect need not be compared again.
+   only for the pairs of parts that are left and have a first shingle in common, without which no two of their sets can link. Near parts come first, so that what they connect need not be compared again.
 
 Components of the links found, with the smallest doc_id in each, are the result.
 
@@ -422,9 +422,14 @@ def _explode_first(batches):
         yield pa.RecordBatch.from_arrays([pa.array(shingle), batch.column("digest").take(pa.array(np.repeat(np.arange(len(counts)), counts)))], names=["shingle", "digest"])
 
 
+def first_shingles(live: DataFrame) -> DataFrame:
+    """(shingle, digest): the first shingles of each class of live sets."""
+    return live.groupBy("digest").agg(F.first("first").alias("first")).mapInArrow(_explode_first, "shingle long, digest binary")
+
+
 def families(live: DataFrame) -> DataFrame:
     """(root, digest, n_shingles, least, words, documents) of each class of live sets that shares a first shingle with another."""
-    firsts = live.groupBy("digest").agg(F.first("first").alias("first")).mapInArrow(_explode_first, "shingle long, digest binary")
+    firsts = first_shingles(live)
     stars = firsts.groupBy("shingle").agg(F.min("digest").alias("center"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     # A table of its own, so that the join has a stage of its own, in which Spark can split a shingle of many sets.
     stars = common.as_table(stars.select("shingle", "center"), "stars")
@@ -513,15 +518,25 @@ def _possible(batches):
         yield batch.select(["root", "left", "right"]).filter(pa.array(keep))
 
 
-def part_pairs(parts: DataFrame) -> tuple[DataFrame, int] | None:
+def sharing_parts(parts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(left, right): parts of a family with a first shingle in common. Others have no sets that link."""
+    of_part = parts.where("words IS NOT NULL").select("root", "part", F.explode("digests").alias("digest"))
+    # A row for each shingle of a part, however many of its sets have it.
+    keys = common.as_table(firsts.join(of_part, "digest").select("root", "shingle", "part").distinct(), "shingles-of-parts")
+    both = keys.withColumnRenamed("part", "left").join(keys.withColumnRenamed("part", "right"), ["root", "shingle"])
+    return both.where(F.col("left") < F.col("right")).select("left", "right").distinct()
+
+
+def part_pairs(parts: DataFrame, firsts: DataFrame | None = None) -> tuple[DataFrame, int] | None:
     """(left, right, gap): parts of a family, and how far apart they are in it, that may have similar sets; and the largest gap there can be.
 
-    The dual traversal above the parts, level by level from the root. A family's parts are numbered in one task: one row for FAMILY
-    sets or BYTES bytes, without the words.
+    The dual traversal above the parts, level by level from the root; and of the pairs that it leaves, those with a first shingle in
+    common, if firsts are given. A family's parts are numbered in one task: one row for FAMILY sets or BYTES bytes, without words and bitmap.
     """
-    several = parts.where("words IS NOT NULL").select("root", "part", "whole", "low", "high", "some", "bits")
-    several = several.withColumn("k", (F.row_number().over(Window.partitionBy("root").orderBy("part")) - 1).cast("long"))
-    nodes = [common.as_table(several, "nodes")]
+    several = parts.where("words IS NOT NULL")
+    place = (F.row_number().over(Window.partitionBy("root").orderBy("part")) - 1).cast("long")
+    placed = several.select("root", "part").withColumn("k", place)
+    nodes = [common.as_table(placed.join(several.select("part", "whole", "low", "high", "some", "bits"), "part"), "nodes")]
     most = last = nodes[0].agg(F.max("k")).first()[0] or 0
     if not most:
         return None
@@ -543,6 +558,8 @@ def part_pairs(parts: DataFrame) -> tuple[DataFrame, int] | None:
     name = lambda s: nodes[0].select("root", F.col("k").alias(s), F.col("part").alias(f"{s}_part"), F.col("whole").alias(f"{s}_whole"))
     pairs = pairs.join(name("left"), ["root", "left"]).join(name("right"), ["root", "right"])
     pairs = pairs.select(F.col("left_part").alias("left"), F.col("right_part").alias("right"), (F.col("right") - F.col("left")).alias("gap"), (F.col("left_whole") & F.col("right_whole")).alias("whole"))
+    if firsts is not None:
+        pairs = pairs.join(sharing_parts(parts, firsts), ["left", "right"], "left_semi")
     return common.as_table(pairs, "part-pairs"), most
 
 
@@ -574,12 +591,12 @@ def _compared(parts: DataFrame, pairs: DataFrame, count: bool) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
-def set_links(members: DataFrame, most: int | None = None) -> DataFrame:
-    """(a, b): links between classes of families() that connect all that links connect."""
+def set_links(members: DataFrame, most: int | None = None, firsts: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between classes of families() that connect all that links connect. firsts: first_shingles(), to compare fewer parts."""
     parts = family_parts(members, most=most)
     each = F.arrays_zip("a", "b")
     links = parts.where(F.size("a") > 0).select(F.explode(each).alias("e")).select("e.a", "e.b")
-    if not (found := part_pairs(parts)):
+    if not (found := part_pairs(parts, firsts)):
         return links
     pairs, last = found
     # Pairs of near parts first, twice as far each time. Parts that are connected inside, and by now with each other, need no comparison.
@@ -612,7 +629,7 @@ def link_counts(docs: DataFrame, most: int | None = None, hash_bits: int = 64) -
     live = sets.where("live")
     parts = family_parts(families(live), count=True, most=most)
     found = parts.select(F.explode(F.arrays_zip("digests", "links")).alias("e")).select(F.col("e.digests").alias("digest"), "e.links")
-    if across := part_pairs(parts):
+    if across := part_pairs(parts, first_shingles(live)):
         found = found.unionByName(_compared(parts, across[0], True))
     found = found.groupBy("digest").agg(F.sum("links").alias("links"))
     of_set = live.groupBy("digest").agg(F.count(F.lit(1)).alias("documents")).join(found, "digest", "left")
@@ -626,7 +643,7 @@ def similar_rows(docs: DataFrame, most: int | None = None, hash_bits: int = 64)
     """(rid, doc_id, n_shingles, component_id, kept) for each row of docs(rid, doc_id, text), a stored table; kept is true for one row of a component."""
     sets = common.as_table(document_sets(docs, hash_bits), "sets")
     live = sets.where("live")
-    roots = components(set_links(families(live), most)).withColumnRenamed("node", "digest")
+    roots = components(set_links(families(live), most, first_shingles(live))).withColumnRenamed("node", "digest")
     # Classes first, before anything is dealt by their digest; a null doc_id comes last.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least")
     of_set = live.groupBy("digest").agg(least).join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
