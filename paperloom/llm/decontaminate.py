@@ -8,8 +8,8 @@ for word with the text. So hashes only choose what is compared. Documents are se
 of positions that each move on by their own shift.
 
 The patterns reach the tasks by broadcast, in groups of items of about GROUP bytes of text each; a larger benchmark makes more
-groups, which are searched one after another: what one pass found is stored with the documents before the next begins, so that only
-one group's patterns and workers are held at a time. A single item is in one group whatever its length, and is collected whole. Each
+groups, which are searched one after another: what one pass found, by numbers of rows, is stored before the next begins, so that only
+one group's patterns and workers are held at a time, and documents are written once, however many passes there are. A single item is in one group whatever its length, and is collected whole. Each
 document is searched whole.
 
 Words: A-Z lower-cased, then [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. A document's word inside any occurrence of a window is hit; a
@@ -127,8 +127,8 @@ def matchers(ids: list[str], texts: list[str | None]) -> list[Matcher]:
     return [Matcher(n, list(x), words.hashes[np.array([at for at, _ in x.values()])[:, None] + np.arange(n)], [sorted(i) for _, i in x.values()]) for n, x in sorted(known.items())]
 
 
-def _search(broadcast, columns: list[str], earlier: bool):
-    """A pass over documents with one group of patterns; earlier: passes with others have been made."""
+def _search(broadcast, columns: list[str]):
+    """A pass over documents with one group of patterns, which keeps some of their columns."""
 
     def run(batches):
         groups = broadcast.value
@@ -149,9 +149,6 @@ def _search(broadcast, columns: list[str], earlier: bool):
                 bounds = np.searchsorted(at, words.first)
                 places = (at - np.repeat(words.first[:-1], np.diff(bounds))).astype(np.int32)
                 hits = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(places))
-                if earlier:
-                    hits = pa.array([sorted({*a, *b}) for a, b in zip(hits.to_pylist(), part.column("hits").to_pylist(), strict=True)], pa.list_(pa.int32()))
-                    items = [{*a, *b} for a, b in zip(items, part.column("items").to_pylist(), strict=True)]
                 yield common.with_columns(part.select(columns), n_words=pa.array(words.counts, pa.int64()), hits=hits, items=pa.array([sorted(x) for x in items], pa.list_(pa.string())))
 
     return run
@@ -167,15 +164,24 @@ def _searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if groups > 1:  # read once, and then by group
         items = common.as_table(items.withColumn("group", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)).cast("int")), "benchmark", partition_by="group")
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
-    schema, out = T.StructType([*docs.schema.fields, *added]), docs
-    for group in range(groups):
+
+    def search(rows: DataFrame, columns: list[str], group: int) -> DataFrame:
         # Only a group of about GROUP bytes is ever collected.
         mine = (items.where(F.col("group") == group) if groups > 1 else items).select("item_id", "text").orderBy("item_id", "text").collect()
         tables = spark.sparkContext.broadcast(matchers([x.item_id for x in mine], [x.text for x in mine]))
-        out = out.mapInArrow(_search(tables, docs.columns, group > 0), schema)
-        if group < groups - 1:
-            out = common.as_table(out, "searched")
-    return out
+        return rows.mapInArrow(_search(tables, columns), T.StructType([*(rows.schema[c] for c in columns), *added]))
+
+    if groups == 1:
+        return search(docs, docs.columns, 0)
+    rows, rid = common.numbered(docs, "documents")
+    # A pass keeps rows that it found something in; the first one all, for their words.
+    passes = [common.as_table(search(rows.select(rid, "text"), [rid], g).where(F.lit(g == 0) | (F.size("hits") > 0)), "searched") for g in range(groups)]
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.unionByName(more)
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    found = found.groupBy(rid).agg(F.first("n_words").alias("n_words"), together("hits"), together("items"))
+    return rows.join(found, rid).select(*docs.columns, "n_words", "hits", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
