@@ -1,33 +1,30 @@
-"""Queries of papers in files, of whole corpora, and of services that answer from recordings, with SQL.
+"""Queries of papers in files, of whole corpora, and of what services answered, with SQL.
 
-Files are made from the tables and read back; services answer for the 25 rows of nation.
+Files are made from the tables and read back; services' answers are tables, too.
 """
 
 from __future__ import annotations
 
 import io
-import json
 import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import email, settings, verbose
+from .config import settings
 from .operators import sections, tables, validation
+from .operators.bibliography import add_dois
 from .operators.search import search_text
 from .plans.modules import module_run
 from .queries import FLAGGED, LINES, PAPERS, REFERENCES, REPORTED, TALKS, _flagged, _papers, _references, _tei_papers, doc_lines, escaped, query, read, reported, squeezed, talks
 from .schemas import Corpus, concat_tables, text_table
-from .sources import scholarly
 from .sources.bibtex import bibtex_fields
 from .sources.chat_model import ask
-from .sources.http import Recorded
-from .sources.preregistrations import AP_SECTIONS
+from .sources.http import Answers
+from .sources.preregistrations import AP_SECTIONS, rbox_retrieve
 from .sources.reader import corpus_of, parse_files
 from .sources.reader import read as read_papers
 from .sources.text_files import write_files
@@ -392,76 +389,65 @@ def power_counts(spark: SparkSession, d: str) -> DataFrame:
     return module_run(_powered(spark, d), "power").summary.select("id", F.col("`power.n`").alias("n"))
 
 
-# ---------------------------------------------------------------- services, from recordings
+# ---------------------------------------------------------------- services, whose answers were gathered before
 
 
-@contextmanager
-def _quiet():
-    """Without messages about requests."""
-    before = verbose()
-    verbose(False)
-    try:
-        yield
-    finally:
-        verbose(before)
-
-
-def _nations(spark: SparkSession, d: str, text: str) -> tuple[Corpus, list]:
-    """A paper of one sentence for each nation, and the nations."""
-    rows = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.expr(text).alias("text"), F.lit(1).alias("div"), F.lit(1).alias("p"), F.lit(1).alias("s"), F.col("n_nationkey").cast("bigint").alias("seq"))
-    return Corpus.of(spark, full_text=text_table(rows)), read(spark, d, "nation").collect()
+def _customers(spark: SparkSession, d: str, text: str) -> Corpus:
+    """A paper of one sentence for each customer."""
+    rows = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.expr(text).alias("text"), F.lit(1).alias("div"), F.lit(1).alias("p"), F.lit(1).alias("s"), F.col("c_custkey").cast("bigint").alias("seq"))
+    return Corpus.of(spark, full_text=text_table(rows))
 
 
 @query(
-    """SELECT CAST(n_nationkey AS VARCHAR) AS id, (n_nationkey % 3 = 0)::BIGINT AS open, (n_nationkey % 3 = 1)::BIGINT AS closed, (n_nationkey % 3 = 2)::BIGINT AS unfound FROM nation"""
+    "SELECT CAST(c_custkey AS VARCHAR) AS id, (c_custkey % 4 = 0)::BIGINT AS open, (c_custkey % 4 IN (1, 3))::BIGINT AS closed, (c_custkey % 4 = 2)::BIGINT AS unfound FROM customer"
 )
 def osf_check_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the project that each paper names can be opened, is private, or isn't there."""
-    papers, nations = _nations(spark, d, "'Data are at osf.io/' || lpad(n_nationkey, 5, 'b') || ' for all.'")
-    node = lambda k: {"data": {"id": k, "type": "nodes", "attributes": {"title": "A", "public": True}}}
-    answers = {settings.osf_api: {}}
-    for n in nations:
-        key = str(n.n_nationkey).rjust(5, "b")
-        if n.n_nationkey % 3 < 2:
-            answers[f"{settings.osf_api}/nodes/{key}"] = node(key) if n.n_nationkey % 3 == 0 else {"data": {**node(key)["data"], "attributes": {"title": "A", "public": False}}}
-    with _quiet():
-        summary = module_run(papers, "osf_check", client=Recorded(answers)).summary
+    """Whether the project that each paper names can be opened, is private or may not be seen, or isn't there."""
+    papers = _customers(spark, d, "'Data are at osf.io/' || lpad(c_custkey, 5, 'b') || ' for all.'")
+    k, key = F.col("c_custkey") % 4, F.lpad(F.col("c_custkey").cast("string"), 5, "b")
+    body = F.concat(F.lit('{"data": {"type": "nodes", "attributes": {"title": "A", "public": '), F.when(k == 0, "true").otherwise("false"), F.lit('}, "id": "'), key, F.lit('"}}'))
+    answers = read(spark, d, "customer").where(k != 2).select(F.concat(F.lit(f"{settings.osf_api}/nodes/"), key).alias("url"), F.when(k == 3, 401).otherwise(200).alias("status"), body.alias("body"))
+    summary = module_run(papers, "osf_check", client=Answers(answers)).summary
     return summary.select("id", *(F.col(f"`osf.{s}`").alias(s) for s in ("open", "closed", "unfound")))
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, 'https://aspredicted.org/k' || n_nationkey AS text, n_name AS AP_title, 'Answer 8' AS AP_sample_size FROM nation")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, 'https://aspredicted.org/k' || c_custkey AS text, replace(c_name, '#', ' ') AS AP_title, 'Answer 8' AS AP_sample_size FROM customer")
 def aspredicted_answers(spark: SparkSession, d: str) -> DataFrame:
-    papers, nations = _nations(spark, d, "'See <https://aspredicted.org/k' || n_nationkey || '> for it.'")
+    papers = _customers(spark, d, "'See <https://aspredicted.org/k' || c_custkey || '> for it.'")
     body = "".join(f"<p>{h}</p><div>Answer {k}</div>" for k, h in enumerate(AP_SECTIONS.values()))
-    pages = {f"https://aspredicted.org/k{n.n_nationkey}": f"<html><body><h3><b><i>{n.n_name}</i></b></h3>{body}</body></html>" for n in nations}
-    with _quiet():
-        return module_run(papers, "aspredicted", client=Recorded(pages)).table.select("id", "text", "AP_title", "AP_sample_size")
+    page = F.concat(F.lit("<html><body><h3><b><i>"), F.replace("c_name", F.lit("#"), F.lit(" ")), F.lit(f"</i></b></h3>{body}</body></html>"))
+    pages = read(spark, d, "customer").select(F.concat(F.lit("https://aspredicted.org/k"), F.col("c_custkey").cast("string")).alias("url"), F.lit(200).alias("status"), page.alias("body"))
+    return module_run(papers, "aspredicted", client=Answers(pages)).table.select("id", "text", "AP_title", "AP_sample_size")
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS xref_id, n_name AS title, CASE WHEN n_nationkey % 2 = 0 THEN '10.5/have' WHEN n_nationkey % 3 = 0 THEN '10.6/' || n_nationkey END AS doi FROM nation")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS xref_id, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN '10.5/have' WHEN c_custkey % 3 = 0 THEN '10.6/' || c_custkey END AS doi FROM customer")
 def references_with_dois(spark: SparkSession, d: str) -> DataFrame:
-    """References that have a DOI keep it; of the others, those that the service knows get one."""
-    email(email() or "nobody@example.org")
-    address = lambda title: f"https://api.openalex.org/works?filter=title.search:{quote(title)}&mailto={email()}&select={scholarly.FIELDS}"
-    work = lambda n: {"doi": f"https://doi.org/10.6/{n.n_nationkey}", "display_name": n.n_name, "relevance_score": 1, "primary_location": {"source": {"display_name": "J"}}, "authorships": []}
-    nations = read(spark, d, "nation")
-    answers = {address(n.n_name): {"results": [work(n)]} for n in nations.collect() if n.n_nationkey % 3 == 0}
-    bib = nations.select(F.col("n_nationkey").cast("string").alias("xref_id"), F.col("n_name").alias("title"), F.lit("J").alias("journal"), F.when(F.col("n_nationkey") % 2 == 0, "10.5/have").alias("doi"))
-    with _quiet():
-        return scholarly.bib_add_dois(bib, client=Recorded(answers)).select("xref_id", "title", "doi")
+    """References that have a DOI keep it; of the others, those that a bibliography has get one."""
+    customers = read(spark, d, "customer")
+    bib = customers.select(F.col("c_custkey").cast("string").alias("xref_id"), F.col("c_name").alias("title"), F.lit("J").alias("journal"), F.when(F.col("c_custkey") % 2 == 0, "10.5/have").alias("doi"))
+    works = customers.where("c_custkey % 3 = 0").select(F.concat(F.lit("10.6/"), F.col("c_custkey").cast("string")).alias("doi"), F.upper("c_name").alias("title"), F.lit("j").alias("source"))
+    return add_dois(bib, works).select("xref_id", "title", "doi")
 
 
 @query(
-    """SELECT n_nationkey, r_name AS text, 'About ' || r_name AS answer, CASE WHEN row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) = 1 THEN length(r_name) ELSE 0 END AS tokens
-FROM nation JOIN region ON n_regionkey = r_regionkey"""
+    """SELECT c_custkey, n_name AS text, CASE WHEN n_nationkey <> 3 THEN 'About ' || n_name END AS answer, CASE WHEN n_nationkey <> 3 THEN CASE WHEN row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) = 1 THEN length(n_name) ELSE 0 END END AS tokens
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 )
 def chat_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Each region is asked for once, and answered for all its nations; the first has the tokens."""
-
-    def reply(data: bytes) -> dict:
-        asked = json.loads(data)["messages"][-1]["content"]
-        return {"choices": [{"message": {"content": f"About {asked}"}}], "usage": {"total_time": 0.1, "total_tokens": len(asked)}}
-
-    regions = read(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("text"))
-    table = read(spark, d, "nation").select("n_nationkey", "n_regionkey").join(regions, "n_regionkey").drop("n_regionkey")
-    return ask(table, "What is it?", client=Recorded({f"{settings.chat_url}/chat/completions": reply})).select("n_nationkey", "text", "answer", "tokens")
+    """Each nation was asked for once, and is answered for all its customers; the first has the tokens. One nation was never asked for."""
+    nations = read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("text"))
+    answers = nations.where("c_nationkey <> 3").select(F.col("text").alias("asked"), F.concat(F.lit("About "), "text").alias("answer"), F.length("text").alias("tokens"))
+    table = read(spark, d, "customer").select("c_custkey", "c_nationkey").join(nations, "c_nationkey").drop("c_nationkey")
+    return ask(table, "What is it?", answers=answers).select("c_custkey", "text", "answer", "tokens")
+
+
+@query("SELECT c_custkey, 'https://researchbox.org/' || c_custkey AS rb_url, CASE WHEN c_custkey % 5 = 0 THEN 'unfound' END AS error, CASE WHEN c_custkey % 5 > 0 THEN 'data.csv' END AS name, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS description FROM customer")
+def researchbox_files(spark: SparkSession, d: str) -> DataFrame:
+    """What boxes have in them; some were moved, and some are gone."""
+    customers, box = read(spark, d, "customer"), lambda c: F.concat(F.lit("https://researchbox.org/"), c.cast("string"))
+    k = F.col("c_custkey")
+    page = F.concat(F.lit('<html><body><p class="file_name">data.csv</p><p class="preview_link">'), "c_mktsegment", F.lit("</p></body></html>"))
+    moved = customers.where("c_custkey % 5 = 1").select(box(k).alias("url"), F.lit(200).alias("status"), F.concat(F.lit("<script>window.location.replace('"), box(k + 10**8), F.lit("')</script>")).alias("body"))
+    whole = customers.where("c_custkey % 5 > 0").select(box(F.when(k % 5 == 1, k + 10**8).otherwise(k)).alias("url"), F.lit(200).alias("status"), page.alias("body"))
+    found = rbox_retrieve(customers.select("c_custkey", box(k).alias("rb_url")), client=Answers(moved.unionByName(whole)))
+    return found.select("c_custkey", "rb_url", "error", F.get("files", F.lit(0))["name"].alias("name"), F.get("files", F.lit(0))["description"].alias("description"))

@@ -88,9 +88,16 @@ def _call(client: Client, key: str, body: dict) -> dict[str, Any]:
 
 def ask(
     table: DataFrame, query: str, text_col: str = "text", model_name: str | None = None, max_tokens: int = 1024, temperature: float = 0.5, top_p: float = 0.95,
-    seed: int | None = None, client: Client | None = None, key: str | None = None,
+    seed: int | None = None, client: Client | None = None, key: str | None = None, answers: DataFrame | None = None,
 ) -> DataFrame:
-    """table with answer, time, tokens, error and error_msg. Time and tokens are in the first row of each text, 0 in its others."""
+    """table with answer, time, tokens, error and error_msg. Time and tokens are in the first row of each text, 0 in its others.
+
+    answers: those that a model gave before, unique by asked (the text), with answer, time, tokens, error and error_msg as far as there are;
+    then no model is asked, and texts without an answer have nulls.
+    """
+    if answers is not None:
+        kinds = {"answer": "string", "time": "double", "tokens": "bigint", "error": "boolean", "error_msg": "string"}
+        return _answered(table, text_col, answers.select(F.col("asked").alias("_asked"), *((F.col(c) if c in answers.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items())))
     key = key or _key()
     if not key and client is None:
         raise ValueError("You need to include a key or set the variable GROQ_API_KEY")
@@ -109,7 +116,11 @@ def ask(
     for t in texts:
         asked = {**body, "messages": [{"role": "system", "content": query}, {"role": "user", "content": t}]}
         rows.append({"_asked": t, **_call(client or Client(), key, asked)})
-    answers = frame(table.sparkSession, rows, "_asked string, answer string, time double, tokens long, error boolean, error_msg string")
+    return _answered(table, text_col, frame(table.sparkSession, rows, "_asked string, answer string, time double, tokens long, error boolean, error_msg string"))
+
+
+def _answered(table: DataFrame, text_col: str, answers: DataFrame) -> DataFrame:
+    """The answers joined back."""
     out = table.join(answers, F.col(text_col) == F.col("_asked"), "left").drop("_asked")
     first = F.row_number().over(Window.partitionBy(text_col).orderBy(*([c for c in table.columns if c != text_col] or [text_col]))) == 1
     return out.withColumn("_first", first).withColumns({c: F.when(F.col("_first") | F.col(c).isNull(), F.col(c)).otherwise(0) for c in ("time", "tokens")}).drop("_first")

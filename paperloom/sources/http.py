@@ -1,7 +1,8 @@
 """HTTP for the connectors: one small client, and one that answers from recorded responses.
 
 Service calls are made one after another on the driver: services limit requests, and many executors would only meet that limit
-sooner. Distinct addresses are asked once, and the answers joined back to all rows.
+sooner. Distinct addresses are asked once, and the answers joined back to all rows. Answers that were gathered before are a table; they are
+joined and read in tasks, and nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import settings
@@ -79,6 +82,28 @@ class Recorded(Client):
         return Response(200, found.encode() if isinstance(found, str) else json.dumps(found).encode())
 
 
+class Answers:
+    """Answers that were gathered before, as a table: url, status (whole number), body (text). An address that isn't there was not found."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table.select("url", F.col("status").cast("int").alias("status"), F.col("body").cast("string").alias("body"))
+
+    def to(self, urls: DataFrame) -> DataFrame:
+        """urls, with a column url, with status (404 if it isn't there) and body of each."""
+        return urls.join(self.table, "url", "left").withColumn("status", F.coalesce("status", F.lit(404)))
+
+    def records(self, urls: DataFrame, read: Callable[[str, int, str], dict[str, Any]], schema: str) -> DataFrame:
+        """A row of the schema for each of urls(url), which read makes of address, status and body in tasks; fields that it leaves out are null."""
+        fields = T._parse_datatype_string(schema).names
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = (read(*row) for row in batch[["url", "status", "body"]].itertuples(index=False, name=None))
+                yield pd.DataFrame([[r.get(f) for f in fields] for r in rows], columns=fields, dtype=object)
+
+        return self.to(urls.select("url").distinct()).mapInPandas(run, schema)
+
+
 def site_down(url: str, error: bool = True, client: Client | None = None) -> bool:
     """Whether a site does not answer; an error, if asked for."""
     site = urllib.parse.urlsplit(url if "//" in url else f"https://{url}").netloc

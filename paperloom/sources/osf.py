@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from typing import Any
@@ -13,7 +14,7 @@ from ..config import message, settings
 from ..functions.ids import FILE_TYPES, osf_id
 from ..operators.search import expand_text, search_text
 from ..schemas import Corpus, null_safe_join
-from .http import Client, attach, distinct_values, frame, state, wait
+from .http import Answers, Client, attach, distinct_values, frame, state, wait
 
 # Links in text, with or without an address for viewing only, and the kinds of entries in the order asked for.
 LINK = r"\bosf\s*\.\s*io\s*/\s*[a-z0-9]{5}\s*/?\s*\??\b"
@@ -130,6 +131,22 @@ def osf_info(id_: str, client: Client | None = None) -> dict[str, Any]:
     return {"osf_id": id_, "osf_type": "unfound"}
 
 
+def _gathered(ids: DataFrame, answers: Answers) -> DataFrame:
+    """SCHEMA of ids(_osf) from answers that were gathered before: of each id's kinds, in order, the first that doesn't say it isn't there."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("order"), F.lit(kind).alias("kind")) for k, kind in enumerate(KINDS)))).alias("x")
+    urls = ids.select(F.col("_osf").alias("osf_id"), kinds).select("osf_id", "x.order", F.concat(F.lit(f"{settings.osf_api}/"), "x.kind", F.lit("/"), "osf_id").alias("url"))
+    there = (F.col("status") != 404) & ~((F.col("status") == 200) & F.get_json_object("body", "$.errors").isNotNull())
+    first = answers.to(urls).where(there).groupBy("osf_id").agg(F.min_by(F.struct("url", "status", "body"), "order").alias("got"))
+    found = ids.select(F.col("_osf").alias("osf_id")).join(first, "osf_id", "left").select(F.col("osf_id").alias("url"), F.coalesce("got.status", F.lit(404)).alias("status"), "got.body")
+
+    def read(id_: str, status: int, body: str) -> dict[str, Any]:
+        if status == 200:
+            return {**entry(json.loads(body)["data"]), "osf_id": id_}
+        return {"osf_id": id_, "osf_type": {401: "private", 429: "too many requests"}.get(status, "unfound")} | ({"public": False} if status == 401 else {})
+
+    return Answers(found).records(found, read, SCHEMA)
+
+
 def osf_get_all_pages(url: str, page_end: float = float("inf"), client: Client | None = None) -> list[dict]:
     """The data of a listing and its further pages."""
     out, client = [], client or Client()
@@ -193,8 +210,18 @@ def contents(ids: list[str], client: Client | None = None, recursive: bool = Fal
     return rows + below
 
 
-def osf_retrieve(source: DataFrame, column: str = "osf_url", recursive: bool = False, find_project: bool = False, client: Client | None = None) -> DataFrame:
-    """A table of links with what each leads to. recursive: rows for all components and files below, too. find_project: the project at the top of each."""
+def osf_retrieve(source: DataFrame, column: str = "osf_url", recursive: bool = False, find_project: bool = False, client: Client | Answers | None = None) -> DataFrame:
+    """A table of links with what each leads to. recursive: rows for all components and files below, too. find_project: the project at the top of each.
+
+    client: what asks the service, or Answers that were gathered before (then neither of the two is possible; trees.descendants()
+    finds what is below entries whose parents are in a table).
+    """
+    if isinstance(client, Answers):
+        if recursive or find_project:
+            raise ValueError("answers that were gathered before can't be asked for more")
+        known = source.withColumn("_osf", osf_id(F.col(column)))
+        found = _gathered(known.select("_osf").where("_osf IS NOT NULL").distinct(), client)
+        return attach(known, found.withColumn("_id", F.col("osf_id")), "_osf", "_id", ".osf").drop("_osf")
     client = client or Client()
     if (status := osf_api_check(client)) != "ok":
         raise ConnectionError(f"The OSF API seems to be having a problem: {status}\nCheck {settings.osf_api}")
@@ -210,10 +237,11 @@ def osf_retrieve(source: DataFrame, column: str = "osf_url", recursive: bool = F
                 tops[above] = osf_parent_project(above, client)
             r["project"] = tops.get(above) if above else r["osf_id"] if r.get("osf_type") == "nodes" else None
     found = frame(spark, rows, SCHEMA + (", project string" if find_project else ""))
-    own = found.where(F.col("osf_id").isin(ids)) if ids else found.limit(0)
+    asked = spark.createDataFrame([(x,) for x in ids], "osf_id string")
+    own = found.join(asked, "osf_id", "left_semi")
     out = attach(known, own.withColumn("_id", F.col("osf_id")), "_osf", "_id", ".osf").drop("_osf")
     if recursive:
-        out = out.unionByName(found.where(~F.col("osf_id").isin(ids)), allowMissingColumns=True)
+        out = out.unionByName(found.join(asked, "osf_id", "left_anti"), allowMissingColumns=True)
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import message
 from ..operators.search import distinct_rows, expand_text, search_text
 from ..schemas import Corpus, null_safe_join
-from .http import Client, attach, distinct_values, frame
+from .http import Answers, Client, attach, distinct_values, frame
 
 # The headings of both kinds of pages, in their order.
 AP_SECTIONS = {
@@ -119,9 +119,13 @@ def aspredicted_info(url: str, client: Client | None = None) -> dict:
     """The answers of a preregistration."""
     message(f"* Retrieving info from {url}...")
     got = (client or Client()).get(url)
-    if got.status != 200:
+    return _aspredicted(url, got.status, got.text())
+
+
+def _aspredicted(url: str, status: int, body: str | None) -> dict:
+    if status != 200:
         return {"ap_url": url, "error": "unfound"}
-    page = _Page(got.text())
+    page = _Page(body or "")
     if CAPTCHA in page.text:
         return {"ap_url": url, "error": "captcha"}
     return {"ap_url": url, "AP_title": page.headings[0] if page.headings else None, **between(page.text, AP_SECTIONS)}
@@ -132,22 +136,31 @@ def rbox_info(url: str, client: Client | None = None) -> dict:
     message(f"* Retrieving info from {url}...")
     client = client or Client()
     got = client.get(url)
-    if onward := re.search(r"window\.location\.replace\('(https://researchbox\.org/\d+)'\)", got.text()):
+    if onward := re.search(ONWARD, got.text()):
         got = client.get(onward[1])
-    if got.status != 200:
+    return _rbox(url, got.status, got.text())
+
+
+def _rbox(url: str, status: int, body: str | None) -> dict:
+    if status != 200:
         return {"rb_url": url, "error": "unfound"}
-    page = _Page(got.text())
+    page = _Page(body or "")
     names = page.by_class.get("file_name", [])
     descriptions = [x for x in page.by_class.get("preview_link", []) if x]
     files = [{"name": n, "description": descriptions[k] if k < len(descriptions) else None} for k, n in enumerate(names)]
     return {"rb_url": url, "files": files, **between(html.unescape(page.text), RB_SECTIONS)}
 
 
+ONWARD = r"window\.location\.replace\('(https://researchbox\.org/\d+)'\)"
 AP_SCHEMA = "ap_url string, error string, AP_title string, " + ", ".join(f"{c} string" for c in AP_SECTIONS if c != "end")
 RB_SCHEMA = "rb_url string, error string, files array<struct<name: string, description: string>>, " + ", ".join(f"{c} string" for c in RB_SECTIONS if c != "end")
 
 
-def _retrieve(table: DataFrame, column: str, info, schema: str, key: str, stop, client: Client | None) -> DataFrame:
+def _retrieve(table: DataFrame, column: str, info, schema: str, key: str, stop, client: Client | Answers | None) -> DataFrame:
+    if isinstance(client, Answers):
+        urls = table.select(F.col(column).alias("url")).where("url IS NOT NULL")
+        found = client.records(urls, {"ap_url": _aspredicted, "rb_url": _rbox}[key], schema)
+        return attach(table, found, column, key, f".{key[:2]}")
     rows = []
     for url in distinct_values(table, column):
         rows.append(info(url, client))
@@ -156,13 +169,19 @@ def _retrieve(table: DataFrame, column: str, info, schema: str, key: str, stop,
     return attach(table, frame(table.sparkSession, rows, schema), column, key, f".{key[:2]}")
 
 
-def aspredicted_retrieve(table: DataFrame, column: str = "ap_url", client: Client | None = None) -> DataFrame:
-    """table with the preregistration of each address; stops at a captcha."""
+def aspredicted_retrieve(table: DataFrame, column: str = "ap_url", client: Client | Answers | None = None) -> DataFrame:
+    """table with the preregistration of each address; stops at a captcha, unless the answers were gathered before."""
     return _retrieve(table, column, aspredicted_info, AP_SCHEMA, "ap_url", ("captcha",), client)
 
 
-def rbox_retrieve(table: DataFrame, column: str = "rb_url", client: Client | None = None) -> DataFrame:
-    """table with the box of each address."""
+def rbox_retrieve(table: DataFrame, column: str = "rb_url", client: Client | Answers | None = None) -> DataFrame:
+    """table with the box of each address. A page that sends on to another is followed once."""
+    if isinstance(client, Answers):
+        pages = client.table.withColumn("onward", F.nullif(F.regexp_extract("body", ONWARD, 1), F.lit("")))
+        there = client.table.select(F.col("url").alias("onward"), F.col("status").alias("_status"), F.col("body").alias("_body"))
+        sent = pages.join(there, "onward", "left")
+        followed = lambda c: F.when(F.col("onward").isNull(), F.col(c)).otherwise(F.col(f"_{c}"))
+        client = Answers(sent.select("url", F.coalesce(followed("status"), F.lit(404)).alias("status"), followed("body").alias("body")))
     return _retrieve(table, column, rbox_info, RB_SCHEMA, "rb_url", ("unfound",), client)
 
 
