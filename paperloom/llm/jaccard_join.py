@@ -531,7 +531,7 @@ def part_pairs(parts: DataFrame, firsts: DataFrame | None = None) -> tuple[DataF
     """(left, right, gap): parts of a family, and how far apart they are in it, that may have similar sets; and the largest gap there can be.
 
     The dual traversal above the parts, level by level from the root; and of the pairs that it leaves, those with a first shingle in
-    common, if firsts are given. A family's parts are numbered in one task: one row for FAMILY sets or BYTES bytes, without words and bitmap.
+    common, if firsts are given and a family has more than WIDE parts. A family's parts are numbered in one task: one row for FAMILY sets or BYTES bytes, without words and bitmap.
     """
     several = parts.where("words IS NOT NULL")
     place = (F.row_number().over(Window.partitionBy("root").orderBy("part")) - 1).cast("long")
@@ -558,7 +558,8 @@ def part_pairs(parts: DataFrame, firsts: DataFrame | None = None) -> tuple[DataF
     name = lambda s: nodes[0].select("root", F.col("k").alias(s), F.col("part").alias(f"{s}_part"), F.col("whole").alias(f"{s}_whole"))
     pairs = pairs.join(name("left"), ["root", "left"]).join(name("right"), ["root", "right"])
     pairs = pairs.select(F.col("left_part").alias("left"), F.col("right_part").alias("right"), (F.col("right") - F.col("left")).alias("gap"), (F.col("left_whole") & F.col("right_whole")).alias("whole"))
-    if firsts is not None:
+    # In families of fewer parts, to compare some more pairs takes less than to find those that share a shingle.
+    if firsts is not None and most >= WIDE:
         pairs = pairs.join(sharing_parts(parts, firsts), ["left", "right"], "left_semi")
     return common.as_table(pairs, "part-pairs"), most
 

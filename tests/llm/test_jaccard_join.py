@@ -188,8 +188,9 @@ def test_counts_match_sql(spark):
     assert sorted((tuple(r) for r in jj.op10_jaccard_join_counts(spark, d).collect()), key=str) == sorted(con.execute(jj.SQL_COUNTS).fetchall(), key=str)
 
 
-def test_only_parts_that_share_a_first_shingle_are_compared(spark):
+def test_only_parts_that_share_a_first_shingle_are_compared(spark, monkeypatch):
     """A family in parts, each document further along a long text than the one before: a part's bitmap is too full to rule out pairs, first shingles rule out more."""
+    monkeypatch.setattr(jj, "WIDE", 2)
     rng = random.Random(9)
     words = [f"w{rng.randrange(10**7)}" for _ in range(300 * 320 + 3000)]
     rows = [(k, " ".join(words[300 * k : 300 * k + 3000])) for k in range(320)]
