@@ -6,12 +6,19 @@ store, and are bounded by the documents seen.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import java_pattern
 
 
+#: Folders of this machine, which go when the process ends.
+_local: set[str] = set()
+
+
 def text_stream(spark: SparkSession, path: str, schema: str = "doc_id long, text string", max_files: int = 1) -> DataFrame:
     """A stream of the rows of Parquet files in a folder, or that a pattern names."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
@@ -39,4 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if folder not in _local:
+        _local.add(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
