@@ -247,20 +247,37 @@ def plain_text_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return _whole(sections.read_plain_text(read(spark, d, "documents")), "id", "div", "p", "header")
 
 
-@query(
-    f"""WITH {LINES}, w0 AS (SELECT id, div, p, list_filter(string_split_regex({GUARDED}, '\\s+'), lambda x: x <> '') AS l FROM lines),
-w AS (SELECT id, div, p, generate_subscripts(l, 1) AS k, unnest(l) AS word FROM w0),
-f AS (SELECT *, first_value(nullif(regexp_extract(word, '\\p{{L}}'), '') IGNORE NULLS) OVER (PARTITION BY id, div, p ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM w),
+#: Every line cut into sentences: a word ends one with ! or ?, or with a full stop if the next letter is no small one.
+SENTENCES = f"""{LINES}, w0 AS (SELECT id, seq, header, div, p, list_filter(string_split_regex({GUARDED}, '\\s+'), lambda x: x <> '') AS l FROM lines),
+w AS (SELECT id, seq, header, div, p, generate_subscripts(l, 1) AS k, unnest(l) AS word FROM w0),
+f AS (SELECT *, first_value(nullif(regexp_extract(word, '\\p{{L}}'), '') IGNORE NULLS) OVER (PARTITION BY id, seq ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM w),
 e AS (SELECT *, regexp_matches(word, '[!?][)\\]"''’”]{{0,2}}$') OR (regexp_matches(word, '[.][)\\]"''’”]{{0,2}}$') AND (next IS NULL OR NOT regexp_matches(next, '\\p{{Ll}}'))) AS ends FROM f),
-g AS (SELECT *, (1 + coalesce(sum(ends::INT) OVER (PARTITION BY id, div, p ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS s FROM e)
-SELECT id, div, p, s, replace(replace(string_agg(word, ' ' ORDER BY k), '{{{{', '<'), '}}}}', '>') AS text FROM g GROUP BY ALL"""
-)
+g AS (SELECT *, (1 + coalesce(sum(ends::INT) OVER (PARTITION BY id, seq ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS s FROM e),
+sentences AS (SELECT id, seq, header, div, p, s, replace(replace(string_agg(word, ' ' ORDER BY k), '{{{{', '<'), '}}}}', '>') AS text FROM g GROUP BY ALL)"""
+
+
+@query(f"WITH {SENTENCES} SELECT id, div, p, s, text FROM sentences")
 def sentence_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every line cut into sentences."""
     rows = sections.split_sentences(doc_lines(spark, d))
     return rows.select("id", "div", "p", "s", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
+@query(
+    f"""WITH {SENTENCES}, h AS (SELECT *, lower(regexp_replace(coalesce(header, ''), '\\s', '', 'g')) AS low FROM sentences),
+n AS (SELECT *, contains(low, 'abstract') AS abstract, CASE WHEN contains(low, 'result') THEN 'results' WHEN contains(low, 'discuss') THEN 'discussion' WHEN contains(low, 'method') OR contains(low, 'material') THEN 'method'
+  WHEN contains(low, 'intro') THEN 'intro' WHEN contains(low, 'abstract') THEN 'abstract' END AS named FROM h),
+b AS (SELECT *, min(CASE WHEN named <> 'abstract' THEN seq * 100000 + s END) OVER (PARTITION BY id) AS start FROM n),
+i AS (SELECT *, CASE WHEN seq * 100000 + s < start AND NOT abstract THEN 'intro' ELSE named END AS sec, sum(abstract::INT) OVER (PARTITION BY id ORDER BY seq, s ROWS UNBOUNDED PRECEDING) AS part FROM b)
+SELECT id, CASE WHEN abstract THEN sec ELSE coalesce(sec, last_value(CASE WHEN NOT abstract THEN sec END IGNORE NULLS) OVER (PARTITION BY id, part ORDER BY seq, s ROWS UNBOUNDED PRECEDING)) END AS section, header, div, p, s, text
+FROM i WHERE NOT regexp_matches(text, '\\[div-\\d+\\]')"""
+)
+def plain_text_reader(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as classified sentences."""
+    rows = sections.read_plain_text(read(spark, d, "documents"))
+    return rows.select("id", "section", "header", "div", "p", "s", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+
+
 @query("SELECT 'ARTICLE' AS category, 'k' || p_partkey AS bibtexkey, p_name AS title, p_brand AS journal, CAST(1900 + p_size AS VARCHAR) AS year FROM part")
 def bibtex_entries(spark: SparkSession, d: str) -> DataFrame:
     """An entry of BibTeX for each part, values in braces, quotes and bare, read back."""

@@ -398,12 +398,6 @@ def section_locf(spark: SparkSession, d: str) -> DataFrame:
     return sections.classify_sections(_headed(spark, d)).select("id", "seq", "section")
 
 
-@query()
-def plain_text_reader(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as classified sentences; the rule for where sentences end needs look-around."""
-    return sections.read_plain_text(read(spark, d, "documents")).select("id", "section", "header", "div", "p", "s", "text")
-
-
 @query(f"WITH {TALKS}, x AS (SELECT id, text, min(seq) AS seq FROM talks GROUP BY ALL) SELECT id, text, section, div, p, s FROM x JOIN talks USING (id, text, seq)")
 def xref_locate(spark: SparkSession, d: str) -> DataFrame:
     text = talks(spark, d)
