@@ -186,21 +186,3 @@ def test_counts_match_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
     assert sorted((tuple(r) for r in jj.op10_jaccard_join_counts(spark, d).collect()), key=str) == sorted(con.execute(jj.SQL_COUNTS).fetchall(), key=str)
-
-
-def test_only_parts_that_share_a_first_shingle_are_compared(spark, monkeypatch):
-    """A family in parts, each document further along a long text than the one before: a part's bitmap is too full to rule out pairs, first shingles rule out more."""
-    monkeypatch.setattr(jj, "WIDE", 2)
-    rng = random.Random(9)
-    words = [f"w{rng.randrange(10**7)}" for _ in range(300 * 320 + 3000)]
-    rows = [(k, " ".join(words[300 * k : 300 * k + 3000])) for k in range(320)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    live = jj.common.as_table(jj.document_sets(jj._given(docs)), "sets").where("live")
-    parts = jj.family_parts(jj.families(live), count=True, most=32)
-    before, after = jj.part_pairs(parts)[0], jj.part_pairs(parts, jj.first_shingles(live))[0]
-    assert after.join(before, ["left", "right"], "left_anti").count() == 0
-    n = parts.count()
-    assert n >= 10 and after.count() < before.count()
-    counts = {r.doc_id: r.n_links for r in jj.link_counts(docs, most=32).collect()}
-    assert counts == {k: sum(abs(k - j) == 1 for j in range(320)) for k in range(320)}
-    assert {r.component_id for r in jj.similar_documents(docs, most=32).collect()} == {0}
