@@ -65,6 +65,19 @@ def test_look_up_equals_brute_force(spark, strict):
     assert {r.n: (r.work, r.match) for r in rows} == look_up(asked, works, strict) and len(rows) == len(asked)
 
 
+def test_near_titles_are_only_searched_for_what_is_open(spark, monkeypatch):
+    """Titles of two words with one in common are near to very many; those found already, or that strictness leaves out, are not looked for."""
+    searched = []
+    near_titles = bibliography.near_titles
+    monkeypatch.setattr(bibliography, "near_titles", lambda asked, *more: searched.append(asked.count()) or near_titles(asked, *more))
+    works = spark.createDataFrame([(k, f"Customer {k:09}", "J") for k in range(200)], "work long, title string, source string")
+    asked = spark.createDataFrame([(k, f"CUSTOMER {k:09}", "j" if k % 2 else "K") for k in range(100, 300)], "n long, title string, source string")
+    strict = {r.n: r.work for r in bibliography.look_up(asked, works).collect()}
+    assert strict == {k: k if k < 200 and k % 2 else None for k in range(100, 300)} and not searched
+    loose = {r.n: r.match for r in bibliography.look_up(asked, works, strict=False).collect()}
+    assert loose == {k: ("both" if k % 2 else "title") if k < 200 else "near" for k in range(100, 300)} and searched == [100]
+
+
 def test_look_up_of_nothing(spark):
     none, one = spark.createDataFrame([], "n long, title string, source string"), spark.createDataFrame([(1, "a b", "J")], "n long, title string, source string")
     assert bibliography.look_up(none, one.withColumnRenamed("n", "work")).collect() == []
