@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from paperloom import queries
 from paperloom.config import settings
 from paperloom.operators.validation import accuracy, validate
 from paperloom.plans import report as reports
@@ -54,6 +55,30 @@ def test_effect_sizes(spark):
         assert module_run(corpus(spark, some), "effect_size").traffic_light == light
 
 
+def test_effect_sizes_of_equal_sentences(spark):
+    twice = corpus(spark, ["t(20) = 2.1, p = .04"] * 2)
+    twice = Corpus.of(spark, full_text=twice.full_text.withColumns({"seq": F.lit(1), "s": F.lit(1)}))
+    out = module_run(twice, "effect_size")
+    assert out.table.count() == out.summary.first().ttests_without_es == 2
+
+
+def test_osf_projects_are_told_apart(spark, tmp_path):
+    """Customers whose numbers have more than five digits have a project each."""
+    rows = spark.range(123450, 123462).select(F.col("id").alias("c_custkey"))
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    got = {int(r.id): (r.open, r.closed, r.unfound) for r in queries.QUERIES["osf_check_summary"](spark, str(tmp_path)).collect()}
+    assert got == {k: (int(k % 4 == 0), int(k % 4 in (1, 3)), int(k % 4 == 2)) for k in range(123450, 123462)}
+
+
+def test_a_result_is_judged_once(spark, monkeypatch):
+    from paperloom.operators import statcheck
+
+    judged, judge = [], statcheck.judge
+    monkeypatch.setattr(statcheck, "judge", lambda rows, *more: judged.append(rows.count()) or judge(rows, *more))
+    rows = statcheck.stats(texts(spark, ["t(20) = 4.23, p = .002 and t(20) = 4.23, p = .002", "F(2, 30) = 3.50, p = .043"]).withColumn("id", F.lit("a")).crossJoin(spark.range(5).select(F.col("id").cast("int").alias("k")))).collect()
+    assert judged == [2] and sorted((r.raw, r.error) for r in rows) == [("F(2, 30) = 3.50, p = .043", False)] * 5 + [("t(20) = 4.23, p = .002", True)] * 10
+
+
 def test_statcheck(spark):
     from paperloom.operators.statcheck import stats
 
