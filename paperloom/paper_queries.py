@@ -420,8 +420,10 @@ def _customers(spark: SparkSession, d: str, text: str) -> Corpus:
 )
 def osf_check_summary(spark: SparkSession, d: str) -> DataFrame:
     """Whether the project that each paper names can be opened, is private or may not be seen, or isn't there."""
-    papers = _customers(spark, d, "'Data are at osf.io/' || lpad(c_custkey, 5, 'b') || ' for all.'")
-    k, key = F.col("c_custkey") % 4, F.lpad(F.col("c_custkey").cast("string"), 5, "b")
+    # A project of each paper's own: five signs hold 60 million numbers if letters are digits.
+    own = "lpad(lower(conv(c_custkey, 10, 36)), 5, '0')"
+    papers = _customers(spark, d, f"'Data are at osf.io/' || {own} || ' for all.'")
+    k, key = F.col("c_custkey") % 4, F.expr(own)
     body = F.concat(F.lit('{"data": {"type": "nodes", "attributes": {"title": "A", "public": '), F.when(k == 0, "true").otherwise("false"), F.lit('}, "id": "'), key, F.lit('"}}'))
     answers = read(spark, d, "customer").where(k != 2).select(F.concat(F.lit(f"{settings.osf_api}/nodes/"), key).alias("url"), F.when(k == 3, 401).otherwise(200).alias("status"), body.alias("body"))
     summary = module_run(papers, "osf_check", client=Answers(answers)).summary
