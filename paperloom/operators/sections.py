@@ -25,11 +25,10 @@ def lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def number_paragraphs(rows: DataFrame, is_header) -> DataFrame:
     """Paragraphs below their headers: header and div come from the last header, p counts from 0, the header's own number."""
     so_far = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_header", is_header)
-    rows = rows.withColumn("div", F.nullif(F.sum(F.col("_header").cast("int")).over(so_far).cast("int"), F.lit(0)))
-    rows = rows.withColumn("header", F.last(F.when(F.col("_header"), F.col("text")), ignorenulls=True).over(so_far))
-    rows = rows.withColumn("p", F.row_number().over(Window.partitionBy("id", "div").orderBy("seq")) - 1)
-    return text_table(rows.drop("_header").withColumn("section", F.lit(None).cast("string")).withColumn("s", F.lit(None).cast("int")))
+    rows = rows.withColumns({"_header": is_header, "_n": F.row_number().over(Window.partitionBy("id").orderBy("seq"))})
+    last = lambda c: F.last(F.when(F.col("_header"), F.col(c)), ignorenulls=True).over(so_far)
+    rows = rows.withColumns({"div": F.nullif(F.sum(F.col("_header").cast("int")).over(so_far).cast("int"), F.lit(0)), "header": last("text"), "p": F.col("_n") - F.coalesce(last("_n"), F.lit(1))})
+    return text_table(rows.drop("_header", "_n").withColumn("section", F.lit(None).cast("string")).withColumn("s", F.lit(None).cast("int")))
 
 
 def split_sentences(paragraphs: DataFrame) -> DataFrame:
@@ -54,19 +53,21 @@ def classify_sections(rows: DataFrame) -> DataFrame:
         .when(F.col("_abstract"), "abstract")
     )
     rows = rows.withColumn("section", F.coalesce("section", named))
-    whole = Window.partitionBy("id")
+    whole = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     start = F.min(F.when(F.col("section").isNotNull() & (F.col("section") != "abstract"), F.col("seq"))).over(whole)
     rows = rows.withColumn("section", F.when((F.col("seq") < start) & ~F.col("_abstract"), "intro").otherwise(F.col("section")))
     opens = (F.col("p") == 1) & (F.col("s") == 1) & F.coalesce(F.col("header").startswith("[div"), F.lit(False))
-    in_div = Window.partitionBy("id", "div")
-    is_a = lambda word: F.col("div").isNotNull() & F.coalesce(F.max(opens & F.col("text").rlike(rf"^{word}\s*\d+")).over(in_div), F.lit(False))
-    rows = rows.withColumn("section", F.when(is_a("Table"), "table").when(is_a("Figure"), "figure").otherwise(F.col("section")))
-    # Values go down to unclassified rows, but not into or out of abstracts: these part the rows into groups.
+    divs = lambda word: F.collect_set(F.when(opens & F.col("text").rlike(rf"^{word}\s*\d+"), F.col("div"))).over(whole)
+    rows = rows.withColumns({"_tables": divs("Table"), "_figures": divs("Figure")})
+    section = F.when(F.array_contains("_tables", F.col("div")), "table").when(F.array_contains("_figures", F.col("div")), "figure").otherwise(F.col("section"))
+    rows = rows.withColumn("section", section).drop("_tables", "_figures")
+    # Values go down to unclassified rows, but not into or out of abstracts: these part the rows into groups. All windows share one order.
     so_far = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_group", F.sum(F.col("_abstract").cast("int")).over(so_far))
-    inside = Window.partitionBy("id", "_group").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = F.last(F.when(~F.col("_abstract"), F.col("section")), ignorenulls=True).over(inside)
-    rows = rows.withColumn("section", F.when(F.col("_abstract"), F.col("section")).otherwise(F.coalesce("section", filled)))
+    above = F.last(F.when(~F.col("_abstract") & F.col("section").isNotNull(), F.struct("_group", "section")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("_above", above)
+    filled = F.when(F.col("_above._group") == F.col("_group"), F.col("_above.section"))
+    rows = rows.withColumn("section", F.when(F.col("_abstract"), F.col("section")).otherwise(F.coalesce("section", filled))).drop("_above")
     return rows.drop("_abstract", "_group")
 
 

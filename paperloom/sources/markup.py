@@ -13,10 +13,11 @@ def parse(data: bytes) -> tuple[ET.Element, str]:
     doctype = re.search(r"<!DOCTYPE[^>\"']*[\"']([^\"']*)[\"']", head, re.IGNORECASE)
     root = ET.fromstring(re.sub(rb"<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>", b"", data, count=1))
     for el in root.iter():
-        if isinstance(el.tag, str):
+        if isinstance(el.tag, str) and "}" in el.tag:
             el.tag = el.tag.rpartition("}")[2]
-        for k in [k for k in el.attrib if "}" in k]:
-            el.attrib[k.rpartition("}")[2]] = el.attrib.pop(k)
+        if el.attrib:
+            for k in [k for k in el.attrib if "}" in k]:
+                el.attrib[k.rpartition("}")[2]] = el.attrib.pop(k)
     return root, doctype[1] if doctype else ""
 
 
@@ -51,11 +52,17 @@ def pieces(el: ET.Element, mark: ET.Element | None = None) -> Iterator[str]:
 
 
 def text(el: ET.Element | None, mark: ET.Element | None = None) -> str:
-    return "" if el is None else squeeze("".join(pieces(el, mark)))
+    if el is None:
+        return ""
+    if mark is None and not len(el) and el.tag not in ("ref", "ext-link"):  # most elements: nothing inside but text
+        return squeeze(el.text or "")
+    return squeeze("".join(pieces(el, mark)))
 
 
 def find(root: ET.Element, path: str) -> list[ET.Element]:
     """All elements at the end of a chain of descendants, like "text body div", in document order, each once."""
+    if " " not in path and "[" not in path:
+        return [x for x in root.iter(path) if x is not root]
     found = [root]
     for step in path.split():
         tag, _, condition = step.partition("[")

@@ -88,7 +88,8 @@ def _corpus(table: DataFrame, ids_of: DataFrame | None) -> Corpus:
     structured = paragraphs.where("is_header IS NULL").drop("is_header")
     flat = number_paragraphs(paragraphs.where("is_header IS NOT NULL").select("id", "seq", "text", "is_header"), F.col("is_header")).drop("is_header")
     columns = ["id", "seq", "header", "text", "div", "p", "section"]
-    full_text = process_full_text(structured.select(columns).unionByName(flat.select(columns)))
+    # Paragraphs are dealt by paper once, before they are cut: every window of sentences is inside a paper.
+    full_text = process_full_text(structured.select(columns).unionByName(flat.select(columns)).repartition("id"))
     xrefs = of("xref").select("xref.*", "id").withColumns({c: F.lit(None).cast("string") for c in ("section", "div", "p", "s")})
     return Corpus(files.select("id", F.col("path").alias("filename"), "info.*"), files.select("id", "authors"), full_text, of("bib").select("bib.*", "id"), locate_xrefs(xrefs, full_text))
 

@@ -381,3 +381,14 @@ def test_written_files(spark, tmp_path):
     out = {r.name: r.bytes for r in write_files(spark.createDataFrame(rows, "name string, content string"), str(tmp_path / "new")).collect()}
     assert out == {"a/b/c.txt": 2, "a/d.txt": 0, "e.txt": 0} and (tmp_path / "new/a/b/c.txt").read_text() == "é"
     assert sorted(str(p.relative_to(tmp_path / "new")) for p in (tmp_path / "new").rglob("*") if p.is_file()) == sorted(out)
+
+
+def test_paragraphs_are_dealt_once(spark, tmp_path):
+    """Numbering, cutting and classifying share one shuffle by paper and two orders."""
+    (tmp_path / "a.txt").write_text("Methods\nIt began a long while ago. It ended.\nResults\nNothing was found by anyone.")
+    (tmp_path / "b.xml").write_text("<TEI><text><body><div><head>Intro</head><p>One. Two.</p></div></body></text></TEI>")
+    text = read(spark, str(tmp_path)).full_text
+    structured = text._jdf.queryExecution().executedPlan().toString()
+    assert structured.count("Exchange hashpartitioning(id") == 2 and structured.count("Sort [") <= 3
+    got = [tuple(r) for r in text.where("p > 0").orderBy("id", "seq").select("header", "section", "div", "p", "s", "text").collect()]
+    assert got == [("Methods", "method", 1, 1, 1, "It began a long while ago."), ("Methods", "method", 1, 1, 2, "It ended."), ("Results", "results", 2, 1, 1, "Nothing was found by anyone."), ("Intro", "intro", 1, 1, 1, "One."), ("Intro", "intro", 1, 1, 2, "Two.")]
