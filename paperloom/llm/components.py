@@ -1,12 +1,37 @@
-"""Connected components by large-star and small-star rounds, with DataFrame operations only."""
+"""Connected components: edges in chunks first, each by itself, then large-star and small-star rounds over what the chunks leave."""
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
+#: Edges of a chunk, which one task contracts.
+CHUNK = 1 << 16
+
+
+def _contract(batches):
+    """(u, v): the nodes of a chunk of edges with the least node that they are connected with in it, but for those least ones."""
+    up, schema = {}, None
+
+    def top(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]  # each node on the way points further up
+        return x
+
+    for batch in batches:
+        schema = batch.schema
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            if (a := top(u)) != (b := top(v)):
+                up[max(a, b)] = min(a, b)
+    if up:
+        found = [(x, root) for x in up if (root := top(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([pair[k] for pair in found], schema.types[k]) for k in range(2)], schema=schema)
+
 
 def _settled(edges: DataFrame) -> bool:
     """Whether each node has one edge only, to a node that has none onwards."""
@@ -24,13 +49,16 @@ def _least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(a, b): root is the smallest node that it is connected with.
 
-    Each round rewires edges towards the smallest neighbour; the number of rounds grows with the logarithm of a
-    component's size. Nodes need an order. A node without edges to others isn't in the result. Edges are written to a
+    Edges are dealt out in chunks of CHUNK, whatever their nodes, and of each chunk a star for each of its components is left: with one
+    chunk, the result. Otherwise each round rewires edges towards the smallest neighbour; the number of rounds grows with the logarithm
+    of a component's size. Nodes need an order. A node without edges to others isn't in the result. Edges are written to a
     table each round.
     """
-    spread = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct()
+    spread = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v"))
     edges = common.as_table(spread, "edges")
-    while not _settled(edges):
+    chunks = max(1, math.ceil(edges.count() / CHUNK))
+    edges = common.as_table(edges.repartition(chunks).mapInArrow(_contract, edges.schema), "edges")
+    while chunks > 1 and not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both).select("u", F.least("u", "m").alias("m")), "u").where(F.col("v") > F.col("u"))
         large = common.as_table(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")

@@ -11,9 +11,9 @@ Jaccard similarity is 0.8 or more. Three steps, each of which keeps every link:
 2. Families: the sets with a first shingle in common, transitively (connected components over a star of edges for each
    shingle, no pairs). All links lie inside families.
 3. In each family a signature tree: sets are leaves, and a node holds the OR of its sets' token bitmaps, their range of
-   sizes and their fewest bits. The sets of a family, by size and least hash, are cut into parts of FAMILY sets or BYTES bytes,
-   each a subtree that one task holds; the nodes above are rows of a table. A dual traversal compares nodes with nodes, above the
-   parts by joins and below them in tasks: it leaves a pair of nodes if no sets of such sizes are similar enough, if the bitmaps
+   sizes and their fewest bits. The sets of a family, by size and least hash, are cut into parts of FAMILY sets or BYTES bytes
+   by their places in this order, whatever the number of tasks, each a subtree that one task holds; the nodes above are rows of a
+   table. A dual traversal compares nodes with nodes, above the parts by joins and below them in tasks: it leaves a pair of nodes if no sets of such sizes are similar enough, if the bitmaps
    allow too small an overlap, or if all their sets are connected already; pairs of leaves are compared exactly. Texts are sent
    only for the pairs of parts that are left. Near parts come first, so that what they connect need not be compared again.
 
@@ -37,7 +37,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -434,11 +434,11 @@ def families(live: DataFrame) -> DataFrame:
     return common.as_table(whole.join(roots, "digest"), "members")
 
 
-PARTS = """root binary, part long, whole boolean, low int, high int, some int, bits binary, digests array<binary>, words array<binary>, weights array<bigint>, labels array<bigint>,
+PARTS = """root binary, part long, chunk long, whole boolean, low int, high int, some int, bits binary, digests array<binary>, words array<binary>, weights array<bigint>, labels array<bigint>,
 a array<binary>, b array<binary>, links array<bigint>"""
 PARTS_ARROW = pa.schema(
     [
-        ("root", pa.binary()), ("part", pa.int64()), ("whole", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("some", pa.int32()), ("bits", pa.binary()),
+        ("root", pa.binary()), ("part", pa.int64()), ("chunk", pa.int64()), ("whole", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("some", pa.int32()), ("bits", pa.binary()),
         ("digests", pa.list_(pa.binary())), ("words", pa.list_(pa.binary())), ("weights", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("a", pa.list_(pa.binary())), ("b", pa.list_(pa.binary())), ("links", pa.list_(pa.int64())),
     ]
 )
@@ -461,35 +461,61 @@ def _part(root: bytes, part: int, rows: list[tuple], several: bool, count: bool)
     return out | {"whole": bool((label == label[0]).all()), "a": [digests[x] for x, _ in links], "b": [digests[y] for _, y in links]}
 
 
+def _order() -> list[Column]:
+    """The order of a family's sets: by size, a factor of 1.25 at a time, and by least hash, which similar sets mostly share, so that parts are alike inside."""
+    return [F.floor(F.log("n_shingles") / math.log(1.25)), F.col("least"), F.col("digest")]
+
+
+def family_chunks(members: DataFrame, most: int, most_bytes: int, tasks: int) -> DataFrame:
+    """members with chunk: which part of its family a set is in, by its place in _order(); null for families of one part.
+
+    A part has at most so many sets, and at most so many bytes and one set. Only sets of larger families are put in order, without their
+    words: they are dealt by range, and a place is the number of sets before in the task and in earlier tasks.
+    """
+    size = F.octet_length("words").cast("long")
+    large = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).where((F.col("n") > most) | (F.col("bytes") > most_bytes))
+    large = common.as_table(large.select("root"), "large-families")
+    if large.isEmpty():
+        return members.withColumn("chunk", F.lit(None).cast("long"))
+    light = members.select("root", "digest", "n_shingles", "least", size.alias("bytes")).join(large, "root")
+    places = common.as_table(light.repartitionByRange(tasks, "root", *_order()).withColumn("task", F.spark_partition_id()), "places")
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = Window.partitionBy("root").orderBy("task")
+    totals = places.groupBy("root", "task").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
+    totals = totals.select("root", "task", before(earlier, "n").alias("sets_before"), before(earlier, "size").alias("bytes_before"))
+    inside = Window.partitionBy("root", "task").orderBy(*_order())
+    places = places.select("root", "task", "digest", before(inside, F.lit(1)).alias("at"), before(inside, "bytes").alias("at_byte")).join(totals, ["root", "task"])
+    chunk = F.expr(f"(at + sets_before) div {most} + (at_byte + bytes_before) div {most_bytes}")
+    return members.join(places.select("digest", chunk.cast("long").alias("chunk")), "digest", "left")
+
+
 def family_parts(members: DataFrame, count: bool = False, most: int | None = None, most_bytes: int | None = None) -> DataFrame:
-    """PARTS of families(), whatever their size: dealt by range, so a family of many sets is in many tasks."""
+    """PARTS of families(), whatever their size and the number of tasks: a family of many sets is in many tasks."""
     most, most_bytes, spark = most or FAMILY, most_bytes or BYTES, members.sparkSession
 
     def run(batches):
-        base, k, root, rows, size = TaskContext.get().partitionId() << 32, 0, None, [], 0
-        several = True  # the first family of a task may have begun in another, as the last may go on in one
-        made = []
+        base, k, key, rows, made = TaskContext.get().partitionId() << 32, 0, None, [], []
+        part = lambda: _part(key[0], base + k, rows, key[1] is not None, count) | {"chunk": key[1]}
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("root", "digest", "words", "documents"))
-            for family, *row in zip(*columns, strict=True):
-                if rows and (family != root or len(rows) >= most or size + len(row[1]) > most_bytes):
-                    made.append(_part(root, base + k, rows, several or family == root, count))
-                    several, rows, size, k = family == root, [], 0, k + 1
+            columns = (batch.column(c).to_pylist() for c in ("root", "chunk", "digest", "words", "documents"))
+            for root, chunk, *row in zip(*columns, strict=True):
+                if rows and (root, chunk) != key:
+                    made.append(part())
+                    rows, k = [], k + 1
                     if len(made) >= 64 or made[-1].get("words"):
                         yield pa.RecordBatch.from_pylist(made, PARTS_ARROW)
                         made = []
-                root, size = family, size + len(row[1])
+                key = root, chunk
                 rows.append(row)
         if rows:
-            made.append(_part(root, base + k, rows, True, count))
+            made.append(part())
         if made:
             yield pa.RecordBatch.from_pylist(made, PARTS_ARROW)
 
     _, size = members.agg(F.count(F.lit(1)), F.sum(F.octet_length("words"))).first()
     tasks = max(common.shuffle_partitions(spark), math.ceil((size or 0) / (8 * BYTES)))
-    # By size, a factor of 1.25 at a time, and by least hash, which similar sets mostly share, so that parts are alike inside.
-    order = [F.col("root"), F.floor(F.log(F.col("n_shingles")) / math.log(1.25)), F.col("least"), F.col("digest")]
-    dealt = members.select("root", "digest", "words", "documents", "n_shingles", "least").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    dealt = family_chunks(members, most, most_bytes, tasks).select("root", "chunk", "digest", "words", "documents", "n_shingles", "least")
+    dealt = dealt.repartition(tasks, "root", "chunk").sortWithinPartitions("root", "chunk", *_order())
     return common.as_table(dealt.mapInArrow(run, PARTS), "parts")
 
 
@@ -519,8 +545,8 @@ def part_pairs(parts: DataFrame) -> tuple[DataFrame, int] | None:
     The dual traversal above the parts, level by level from the root. A family's parts are numbered in one task: one row for FAMILY
     sets or BYTES bytes, without the words.
     """
-    several = parts.where("words IS NOT NULL").select("root", "part", "whole", "low", "high", "some", "bits")
-    several = several.withColumn("k", (F.row_number().over(Window.partitionBy("root").orderBy("part")) - 1).cast("long"))
+    several = parts.where("words IS NOT NULL").select("root", "part", "chunk", "whole", "low", "high", "some", "bits")
+    several = several.withColumn("k", (F.row_number().over(Window.partitionBy("root").orderBy("chunk")) - 1).cast("long"))
     nodes = [common.as_table(several, "nodes")]
     most = last = nodes[0].agg(F.max("k")).first()[0] or 0
     if not most:
@@ -582,6 +608,8 @@ def set_links(members: DataFrame, most: int | None = None) -> DataFrame:
     if not (found := part_pairs(parts)):
         return links
     pairs, last = found
+    if pairs.count() <= common.shuffle_partitions(members.sparkSession):  # few enough to be compared at once
+        return links.unionByName(common.as_table(_compared(parts, pairs, False), "links-across").select("a", "b"))
     # Pairs of near parts first, twice as far each time. Parts that are connected inside, and by now with each other, need no comparison.
     merged, edges = None, None
     for r in range(last.bit_length()):

@@ -186,3 +186,39 @@ def test_counts_match_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
     assert sorted((tuple(r) for r in jj.op10_jaccard_join_counts(spark, d).collect()), key=str) == sorted(con.execute(jj.SQL_COUNTS).fetchall(), key=str)
+
+
+def test_parts_of_a_family_do_not_depend_on_tasks(spark, monkeypatch):
+    """40 near copies in parts of 16 sets, over 23 partitions: 3 parts, each set in one of them, in order."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(300)}" for _ in range(150)]
+    rows = [(k, edited(rng, base, 2)) for k in range(40)]
+    docs, rid = jj.common.numbered(spark.createDataFrame(rows, "doc_id long, text string"), "rows")
+    members = jj.families(jj.document_sets(docs.withColumnRenamed(rid, "rid")).where("live"))
+    assert members.select("root").distinct().count() == 1
+    n = members.count()
+    for tasks in (1, 23):
+        monkeypatch.setattr(jj.common, "shuffle_partitions", lambda _, tasks=tasks: tasks)
+        parts = jj.family_parts(members, most=16).orderBy("chunk").collect()
+        assert [len(p.digests) for p in parts] == [16] * (n // 16) + [n % 16] * (n % 16 > 0)
+        assert len({bytes(d) for p in parts for d in p.digests}) == n
+        assert sorted(p.part for p in parts) == sorted({p.part for p in parts})
+        assert len(jj.family_parts(members).collect()) == 1
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 40, 3])
+def test_components_in_chunks(spark, monkeypatch, chunk):
+    """Edges contracted in one chunk, in some, and in very many."""
+    from paperloom.llm import components as cc
+
+    monkeypatch.setattr(cc, "CHUNK", chunk)
+    rng = random.Random(6)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7), (200, 200)]
+    up = {x: {x} for e in edges for x in e}
+    for a, b in edges:
+        if up[a] is not up[b]:
+            up[a] |= up[b]
+            up.update(dict.fromkeys(up[b], up[a]))
+    want = sorted((x, min(mine)) for x, mine in up.items() if len(mine) > 1)
+    found = cc.components(spark.createDataFrame(edges * 2, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in found) == want
