@@ -1,6 +1,6 @@
 """The stemming algorithm of M. F. Porter (Program 14(3), 1980), from its published description.
 
-with_stems() stems a table of distinct words by DataFrame functions, a column a step; stems() stems arrays of words in their rows.
+with_stems() stems a table of distinct words by DataFrame functions, a column a step; stems() stems arrays of words in their rows, without a shuffle.
 """
 
 from __future__ import annotations
@@ -8,7 +8,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,11 +87,14 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(lists: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems(lists: pa.Array) -> pa.Array:
     """The stems of arrays of words; each distinct word of a batch is stemmed once."""
-    known = {w: stem(w) for w in set().union(*(x for x in lists if x is not None))}
-    return lists.map(lambda x: None if x is None else [known[w] for w in x])
+    coded = lists.flatten().dictionary_encode()
+    found = pa.array([None if w is None else stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), dtype=np.int64)
+    offsets = pa.array(np.append(0, ends), pa.int32(), mask=np.append(lists.is_null().to_numpy(zero_copy_only=False), False) if lists.null_count else None)
+    return pa.ListArray.from_arrays(offsets, found)
 
 
 # ---------------------------------------------------------------- on columns
@@ -150,10 +155,5 @@ def with_stems(table: DataFrame, word: str = "word", stem: str = "stem") -> Data
 
 
 def stem_texts(texts: DataFrame, key: str, words: Column, stem: str = "stems") -> DataFrame:
-    """(key, stems: an array in the order of words, null where words is null) of texts, one for each key; each distinct word is stemmed once."""
-    rows = texts.select(F.col(key), words.alias("_words"))
-    each = rows.select(key, F.posexplode("_words").alias("_at", "word"))
-    found = with_stems(each.select("word").distinct())
-    placed = each.join(found, "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "stem"))).alias("_x"))
-    empty = F.when(F.col("_words").isNotNull(), F.array().cast("array<string>"))
-    return rows.join(placed, key, "left").select(key, F.coalesce(F.transform("_x", lambda x: x["stem"]), empty).alias(stem))
+    """(key, stems: an array in the order of words, null where words is null) of texts. A text's words stay in its row, so there is no shuffle."""
+    return texts.select(F.col(key), stems(words).alias(stem))

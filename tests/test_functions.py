@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from paperloom.functions import ids, tails
 from paperloom.functions.json_columns import json_expand
-from paperloom.functions.porter import STEP2, STEP3, STEP4, stem, stem_texts, with_stems
+from paperloom.functions.porter import STEP2, STEP3, STEP4, stem, stem_texts, stems, with_stems
 from paperloom.functions.text import guard_initials, sentences, words
 from paperloom.operators.features import distinctive_words, feature_classifier, text_features
 from pyspark.sql import functions as F
@@ -147,3 +147,17 @@ def test_feature_classifier(spark):
 def test_sentences_keep_their_digits(spark):
     table = spark.createDataFrame([("0 In all. 1 Of 1. Then it was 2",)], "text string")
     assert table.select(sentences(F.col("text"))).first()[0] == ["0 In all.", "1 Of 1.", "Then it was 2"]
+
+
+def test_texts_are_stemmed_in_their_rows(spark):
+    """Texts with repeated words, no words and null, in slices of an Arrow batch; no row leaves its partition."""
+    import pyarrow as pa
+
+    lists = [["relational", "cats", "cats"], None, [], ["hopping", "a"], None, ["ponies", "cats"]]
+    want = [None if x is None else [stem(w) for w in x] for x in lists]
+    texts = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, w array<string>").coalesce(1)
+    found = stem_texts(texts, "k", F.col("w"))
+    assert {r.k: r.stems for r in found.collect()} == dict(enumerate(want))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    for a in range(len(lists)):
+        assert stems.func(pa.array(lists, pa.list_(pa.string())).slice(a)).to_pylist() == want[a:]
