@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.porter import stems, with_stems
+from ..functions.text import plain_or_words, times_of, words_of_rows
 from ..functions.text import words as word_list
 
 # Fixed value: what counts as a number among words, and what stands for any number.
@@ -107,20 +114,40 @@ def feature_classifier(df: DataFrame, label: str, names: list[str]):
 VOCABULARY = 1 << 16
 
 
+def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) for each batch of plain_or_words: how many of its texts have the word."""
+    for batch in batches:
+        words, rows, codes = words_of_rows(*batch.columns)
+        once, _ = times_of(rows * max(len(words), 1) + codes)
+        n = np.bincount(once % max(len(words), 1), minlength=len(words))
+        yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], ["word", "n"])
+
+
 class WordClassifier:
     """A logistic regression on the words of texts, as sparse vectors of a fitted vocabulary."""
 
     def __init__(self, vocabulary: list[str], model, text: str, binary: bool):
-        from pyspark.ml.feature import CountVectorizerModel
-
-        self.vocabulary, self.model, self.text = vocabulary, model, text
-        self.vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_words", outputCol="_features")
-        self.vectors.setBinary(binary)
+        self.vocabulary, self.model, self.text, self.binary = vocabulary, model, text, binary
 
     def features(self, df: DataFrame) -> DataFrame:
         """df with _features, a sparse vector; a text without known words has an empty one."""
-        words = F.coalesce(word_list(F.col(self.text)), F.array().cast("array<string>"))
-        return self.vectors.transform(df.withColumn("_words", words)).drop("_words")
+        from pyspark.ml.linalg import VectorUDT
+
+        known, size, binary = df.sparkSession.sparkContext.broadcast(self.vocabulary), len(self.vocabulary), self.binary
+
+        @F.arrow_udf(VectorUDT())
+        def vectors(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            vocabulary = pa.array(known.value, pa.string())
+            for batch in batches:
+                words, rows, codes = words_of_rows(*batch)
+                places = pc.fill_null(pc.index_in(words, vocabulary), -1).to_numpy().astype(np.int64)[codes]
+                cells, times = times_of((rows * size + places)[places >= 0])
+                ends = np.searchsorted(cells, np.arange(len(batch[0]) + 1, dtype=np.int64) * size).astype(np.int32)
+                values = np.ones(len(cells)) if binary else times.astype(float)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((cells % size).astype(np.int32), values)]
+                yield pa.StructArray.from_arrays([pa.array(np.zeros(len(batch[0]), np.int8)), pa.array(np.full(len(batch[0]), size, np.int32)), *lists], ["type", "size", "indices", "values"])
+
+        return df.withColumn("_features", vectors(*plain_or_words(F.col(self.text))))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """df with probability (of label 1) and prediction, in place of columns with these names."""
@@ -138,16 +165,22 @@ def word_classifier(df: DataFrame, text: str = "text", label: str = "label", lea
     """Fits a logistic regression of label (0 or 1) on the words of texts, each present or not (binary) or counted.
 
     The vocabulary are the words in at least so many of the texts, at most the given number of them, the commonest first. The texts are sparse
-    vectors, so the width of the data does not grow with the vocabulary; Spark adds up gradients over all partitions. Rows without label are left out.
+    vectors, made once and kept on disk while it is fitted, so the width of the data does not grow with the vocabulary; Spark adds up gradients
+    over all partitions. Rows without label are left out.
     """
     from pyspark.ml.classification import LogisticRegression
 
     rows = df.where(F.col(label).isNotNull())
-    counts = rows.select(F.explode(F.array_distinct(word_list(F.col(text)))).alias("word")).groupBy("word").count().where(F.col("count") >= least)
+    each = rows.select(*(c.alias(name) for name, c in zip(("plain", "words"), plain_or_words(F.col(text)), strict=True)))
+    counts = each.mapInArrow(_texts_with, "word string, n long").groupBy("word").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
     vocabulary = [r.word for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]
     if not vocabulary:
         raise ValueError(f"no word is in {least} texts")
     out = WordClassifier(vocabulary, None, text, binary)
     fit = LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_probability", predictionCol="_prediction", rawPredictionCol="_raw", regParam=ridge, standardization=False, tol=1e-12, maxIter=1000)
-    out.model = fit.fit(out.features(rows).select("_features", F.col(label).cast("double").alias("_label")))
+    vectors = out.features(rows).select("_features", F.col(label).cast("double").alias("_label")).persist(StorageLevel.DISK_ONLY)
+    try:
+        out.model = fit.fit(vectors)
+    finally:
+        vectors.unpersist()
     return out

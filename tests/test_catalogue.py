@@ -1,9 +1,11 @@
 import random
 import re
+from collections import Counter
 from datetime import date
 
 import numpy as np
 import pytest
+from paperloom.functions.text import words
 from paperloom.operators import bibliography, features, trees
 from paperloom.plans import builtin
 from paperloom.plans import report as reports
@@ -187,6 +189,30 @@ def test_word_classifier_is_at_its_optimum(spark):
         features.word_classifier(table.where("doc_id = 202").withColumn("label", F.lit(1)))
 
 
+def test_word_vectors_are_of_the_words_that_spark_finds(spark):
+    """Every plain character alone and beside what joins words, and texts of others, which Spark takes apart itself."""
+    plain = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2070), 0x20AC]]
+    rows = [f"{c} a{c}b a.{c}b 1,{c}2 x{c}'y {c}’z A{c},3" for c in plain] + ["".join(plain), "Ça l'été, ÉTÉ l’été 1,000.5 x,½,y a..b _a_ ,1 ß", None, "", " \n ", "a\n", "\n"]
+    rows += ["Ωμέγα ΣΑΣ, σας", "слово 1,٣ й.Й", "漢字,5 平仮名.a", "İstanbul 𝒳𝒴.𝟙 𐓀a", "a\u2028b \ufeffword \U0001f600x"]
+    rows *= 2
+    table = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(rows)], "n int, text string, label int")
+    wanted = {r.n: Counter(r.w or ()) for r in table.select("n", words(F.col("text")).alias("w")).collect()}
+    for binary in (True, False):
+        fitted = features.word_classifier(table, binary=binary)
+        assert set(fitted.vocabulary) == {w for c in wanted.values() for w in c}
+        for r in fitted.features(table).collect():
+            assert dict(zip((fitted.vocabulary[k] for k in r._features.indices), r._features.values, strict=True)) == {w: 1 if binary else k for w, k in wanted[r.n].items()}, r.text
+            assert r._features.size == len(fitted.vocabulary)
+
+
+def test_texts_are_read_twice_to_fit_their_words(spark):
+    """For the vocabulary and for the vectors, however often these are needed."""
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(f"word{k % 5} and {'bad' if k % 3 else 'good'}", k % 2) for k in range(60)], 2).map(lambda r: read.add(1) or r)
+    features.word_classifier(spark.createDataFrame(rows, "text string, label int"))
+    assert read.value == 120
+
+
 def test_what_is_kept_is_let_go(spark):
     stored.release(spark)
     table = stored.stored(texts(spark, ["a"]), "probe")
