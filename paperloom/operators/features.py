@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.porter import stems, with_stems
-from ..functions.text import plain_or_words, times_of, words_of_rows
+from ..functions.text import parts_of, plain_or_words, times_of, words_of_rows
 from ..functions.text import words as word_list
 
 # Fixed value: what counts as a number among words, and what stands for any number.
@@ -115,9 +115,9 @@ VOCABULARY = 1 << 16
 
 
 def _texts_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) for each batch of plain_or_words: how many of its texts have the word."""
-    for batch in batches:
-        words, rows, codes = words_of_rows(*batch.columns)
+    """(word, n) for each part of batches of plain_or_words: how many of its texts have the word."""
+    for part in (part for batch in batches for part in parts_of(*batch.columns)):
+        words, rows, codes = words_of_rows(*part)
         once, _ = times_of(rows * max(len(words), 1) + codes)
         n = np.bincount(once % max(len(words), 1), minlength=len(words))
         yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], ["word", "n"])
@@ -138,14 +138,14 @@ class WordClassifier:
         @F.arrow_udf(VectorUDT())
         def vectors(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             vocabulary = pa.array(known.value, pa.string())
-            for batch in batches:
-                words, rows, codes = words_of_rows(*batch)
+            for part in (part for batch in batches for part in parts_of(*batch)):
+                words, rows, codes = words_of_rows(*part)
                 places = pc.fill_null(pc.index_in(words, vocabulary), -1).to_numpy().astype(np.int64)[codes]
                 cells, times = times_of((rows * size + places)[places >= 0])
-                ends = np.searchsorted(cells, np.arange(len(batch[0]) + 1, dtype=np.int64) * size).astype(np.int32)
+                ends = np.searchsorted(cells, np.arange(len(part[0]) + 1, dtype=np.int64) * size).astype(np.int32)
                 values = np.ones(len(cells)) if binary else times.astype(float)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((cells % size).astype(np.int32), values)]
-                yield pa.StructArray.from_arrays([pa.array(np.zeros(len(batch[0]), np.int8)), pa.array(np.full(len(batch[0]), size, np.int32)), *lists], ["type", "size", "indices", "values"])
+                yield pa.StructArray.from_arrays([pa.array(np.zeros(len(part[0]), np.int8)), pa.array(np.full(len(part[0]), size, np.int32)), *lists], ["type", "size", "indices", "values"])
 
         return df.withColumn("_features", vectors(*plain_or_words(F.col(self.text))))
 

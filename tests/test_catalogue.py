@@ -4,8 +4,9 @@ from collections import Counter
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from paperloom.functions.text import words
+from paperloom.functions.text import parts_of, words, words_of_rows
 from paperloom.operators import bibliography, features, trees
 from paperloom.plans import builtin
 from paperloom.plans import report as reports
@@ -205,6 +206,16 @@ def test_word_vectors_are_of_the_words_that_spark_finds(spark):
             assert r._features.size == len(fitted.vocabulary)
 
 
+def test_parts_of_a_batch_have_its_words():
+    texts, lists = pa.array(["a b", None, "b c. b", "", "d"]), pa.array([None, ["x", "y"], None, None, None], pa.list_(pa.string()))
+    found, parts = [], list(parts_of(texts, lists, 5))
+    for part in parts:
+        known, rows, codes = words_of_rows(*part)
+        found += [Counter(known[int(c)].as_py() for r, c in zip(rows, codes, strict=True) if r == k) for k in range(len(part[0]))]
+    assert len(parts) > 2 and found == [Counter("ab"), Counter("xy"), Counter("bcb"), Counter(), Counter("d")]
+    assert sum(len(words_of_rows(*part)[1]) for part in parts_of(texts[:0], lists[:0])) == 0
+
+
 def test_texts_are_read_twice_to_fit_their_words(spark):
     """For the vocabulary and for the vectors, however often these are needed."""
     read = spark.sparkContext.accumulator(0)
