@@ -125,10 +125,15 @@ n AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k))::INT AS div, t
 x AS (SELECT id, div, replace(replace({GUARDED}, '{{{{', '<'), '}}}}', '>') AS text FROM n)"""
 
 
-def _whole(text: DataFrame, *keys) -> DataFrame:
-    """The sentences of each place in their order, with a space between."""
+def _joined() -> Column:
+    """The sentences of a group in their order, with a space between."""
     each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "s", "text"))), lambda x: x["text"]), " ")
-    return text.groupBy(*keys).agg(F.trim(F.regexp_replace(each, r"\s+", " ")).alias("text"))
+    return F.trim(F.regexp_replace(each, r"\s+", " ")).alias("text")
+
+
+def _whole(text: DataFrame, *keys) -> DataFrame:
+    """The sentences of each place in their order."""
+    return text.groupBy(*keys).agg(_joined())
 
 
 @query(f"WITH {PARTS} SELECT id, div, 'Part ' || div AS header, text FROM x WHERE text <> ''")
@@ -164,9 +169,11 @@ def folder_papers(spark: SparkSession, d: str) -> DataFrame:
     write_files(docs.select(F.concat(name, F.when(tei, ".xml").otherwise(".txt")).alias("name"), content.alias("content")).repartition("name"), folder).agg(F.sum("bytes")).collect()
     papers = read_papers(spark, folder, partition_bytes=2 << 20)
     kinds = papers.info.select("id", F.col("filename").endswith(".xml").alias("tei"))
-    rows = papers.full_text.join(kinds, "id").where("NOT tei OR p > 0")  # the heading is paragraph 0
-    text = _whole(rows, "id").join(rows.groupBy("id").agg(F.count_distinct(F.struct("div", "p")).alias("paragraphs")), "id")
-    return kinds.join(text, "id", "left").select("id", "tei", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), F.coalesce("text", F.lit("")).alias("text"))
+    sentences = papers.full_text.select(F.col("id").alias("_id"), "seq", "s", "text", "div", "p")
+    # The heading of a TEI file is paragraph 0. Joined by sorting: Spark takes two columns of a wide table for few bytes, and may send all their rows through the driver.
+    rows = kinds.hint("merge").join(sentences, (F.col("id") == F.col("_id")) & (~F.col("tei") | (F.col("p") > 0)), "left")
+    paragraphs = F.count_distinct(F.when(F.col("_id").isNotNull(), F.struct("div", "p"))).alias("paragraphs")
+    return rows.groupBy("id", "tei").agg(paragraphs, _joined()).select("id", "tei", "paragraphs", "text")
 
 
 # ---------------------------------------------------------------- TEI: people, dates, citations

@@ -1,13 +1,12 @@
 """Files of papers as the tables of a corpus.
 
-Files are read and parsed where they are, one row each; a file that can't be read is a row with an error, and no more. What one
+Files are found, read and parsed in tasks, one row each; a file that can't be read is a row with an error, and no more. What one
 pass over the files gives is written to the shared folder as a table partitioned by kind (file, text, bib, xref), from which
 each of the five tables reads its own kind alone. To keep a corpus, write it: Corpus.write.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.sections import locate_xrefs, number_paragraphs, process_full_text
 from ..schemas import Corpus
-from .files import PaperSource, reachable
+from .files import PARTITION, found_files, parse_found, reachable
 from .parsed import PARSED, parsed_row
 from .stored import stored
 
@@ -105,9 +104,7 @@ def corpus_of(parsed: DataFrame, files: DataFrame | None = None) -> Corpus:
 def files_source(spark: SparkSession, paths: list[str], partition_bytes: int | None = None) -> DataFrame:
     """PARSED of the files in folders and below. Paths that only Spark can open, and patterns, are read by its own source of files."""
     if all(reachable(p) for p in paths):
-        spark.dataSource.register(PaperSource)
-        reader = spark.read.format("papers").option("paths", json.dumps(paths))
-        return (reader.option("partitionBytes", partition_bytes) if partition_bytes else reader).load()
+        return found_files(spark, paths, partition_bytes or PARTITION).mapInArrow(parse_found, PARSED)
     known = r"(?i)\.(xml|txt|docx)$"
     return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).where(F.col("path").rlike(known)), deal=False)
 

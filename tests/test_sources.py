@@ -392,3 +392,47 @@ def test_paragraphs_are_dealt_once(spark, tmp_path):
     assert structured.count("Exchange hashpartitioning(id") == 2 and structured.count("Sort [") <= 3
     got = [tuple(r) for r in text.where("p > 0").orderBy("id", "seq").select("header", "section", "div", "p", "s", "text").collect()]
     assert got == [("Methods", "method", 1, 1, 1, "It began a long while ago."), ("Methods", "method", 1, 1, 2, "It ended."), ("Results", "results", 2, 1, 1, "Nothing was found by anyone."), ("Intro", "intro", 1, 1, 1, "One."), ("Intro", "intro", 1, 1, 2, "Two.")]
+
+
+def test_folders_are_listed_in_tasks(spark, folder, tmp_path, monkeypatch):
+    """Names of files don't pass through the driver, and tasks don't grow with their number."""
+    import pyarrow as pa
+    from paperloom.sources import files, reader
+
+    want = {(name, size) for _, name, size in files.listed([str(folder)])}
+    monkeypatch.setattr(files, "listed", None)
+    for paths in ([str(folder)], [f"file://{folder}/"], [str(folder), f"{folder}/one", f"file://{folder}/bad.xml", f"{folder}/two/"]):
+        assert sorted((r.path, r.bytes) for r in files.found_files(spark, paths).collect()) == sorted(want)
+    assert files.found_files(spark, []).count() == 0 and files.found_files(spark, [f"{folder}/other.csv"]).count() == 0
+    few = reader.files_source(spark, [str(folder)], 1)
+    assert few.rdd.getNumPartitions() == 5 and {r.path for r in few.collect()} == {name for name, _ in want}
+    monkeypatch.setattr(files, "TASKS", 3)
+    few = reader.files_source(spark, [str(folder)], 1)
+    assert few.rdd.getNumPartitions() == 3 and {r.path for r in few.collect()} == {name for name, _ in want}
+    monkeypatch.setattr(files, "BATCH", 2 * files.OPEN)
+    gone = pa.RecordBatch.from_pylist([{"root": str(tmp_path), "path": f"{tmp_path}/{k}.xml", "bytes": 3} for k in range(5)])
+    assert [b.num_rows for b in files.parse_found(iter([gone, gone]))] == [2] * 5
+
+
+def test_local_folders_are_read_on_as_they_are_listed(tmp_path):
+    import os
+
+    from paperloom.sources import files
+    from pyarrow.fs import LocalFileSystem, SubTreeFileSystem
+
+    for name in ("a.txt", "b/c.XML", "b/d/e.docx", "f.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    os.symlink(tmp_path / "b", tmp_path / "g")
+    os.symlink(tmp_path / "none", tmp_path / "h.txt")
+    got = sorted(files.within(LocalFileSystem(), str(tmp_path)), key=str)
+    assert got == [(f"{tmp_path}/a.txt", 5), (f"{tmp_path}/b", None), (f"{tmp_path}/g", None)]
+    assert sorted(files.within(SubTreeFileSystem(str(tmp_path), LocalFileSystem()), ""), key=str) == [("a.txt", 5), ("b", None), ("g", None)]
+    assert list(files.within(LocalFileSystem(), f"{tmp_path}/b/c.XML")) == [(f"{tmp_path}/b/c.XML", 7)]
+
+
+def test_papers_of_a_folder_are_not_broadcast(spark):
+    from paperloom import queries
+
+    plan = queries.QUERIES["folder_papers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Join") == 1
